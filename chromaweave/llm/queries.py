@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, packing
+from chromaweave.llm import bpe, langid, packing
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,17 @@ def op9_pack_sequences(spark, sf_dir):
     """Every document's tokens in gapless sequences of at most 2048."""
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def in_fold(divisor: int, remainder: int):
+    """Whether crc32(doc_id as text) leaves the remainder; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder, F.lit(False))
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    """Predicted language and calibrated probability of every whole text."""
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.select("doc_id", "text", "lang"), train=~in_fold(4, 2))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", in_fold(4, 2).alias("held_out"), "lang_pred", "score")
