@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, langid, packing
+from chromaweave.llm import bpe, langid, packing, secrets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,24 @@ def op10_language_id(spark, sf_dir):
     model = langid.fit(docs.select("doc_id", "text", "lang"), train=~in_fold(4, 2))
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", in_fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_secret_scan(spark, sf_dir):
+    """Secrets in every whole text, classed by how many owners carry them."""
+    found = secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+    def number(test):
+        return F.size(F.filter("spans", test)).cast("long")
+
+    def told(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    return found.select(
+        "doc_id",
+        *[number(lambda s, k=k: s["kind"] == k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(told(F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+        number(lambda s: s["class"] == "live").alias("n_live"),
+        number(lambda s: s["class"] == "example").alias("n_example"),
+    )
