@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, langid, packing, secrets
+from chromaweave.llm import bpe, langid, packing, secrets, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,19 @@ def op7_secret_scan(spark, sf_dir):
         number(lambda s: s["class"] == "live").alias("n_live"),
         number(lambda s: s["class"] == "example").alias("n_example"),
     )
+
+
+@query
+def op1_simhash(spark, sf_dir):
+    """Fingerprints of all documents and their edited texts, and how alike they are."""
+    found = simhash.fingerprint_edits(documents(spark, sf_dir).select("doc_id", "text"))
+    own, edited, following = [F.col("hi"), F.col("lo")], [F.col("edited_hi"), F.col("edited_lo")], [F.col("next_hi"), F.col("next_lo")]
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.as_text(*own).alias("fingerprint"),
+        simhash.as_text(*edited).alias("edited_fingerprint"),
+        simhash.likeness(*own, *edited).alias("near_edited"),
+        simhash.likeness(*own, *following).alias("near_next"),
+    )
