@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 BATCH_CHARS = 1 << 20
 #: Distinct pieces whose merges a worker remembers.
 CACHE_PIECES = 400_000
+#: Rank of pairs that do not merge.
+NO_PAIR = np.int32(2**31 - 1)
 
 # Classes of code points (fixed order).
 SPACE, WHITE, STMD, RV, LOW_L, LOW_E, LETTER, NUMBER, OTHER, QUOTE = range(10)
@@ -189,6 +191,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class PairTable:
+    """Ranks of what two tokens merge to, in an open-addressed hash table."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.bits = max(8, (4 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, NO_PAIR, np.int32)
+        todo = np.array([(a << 32) | b for a, b in pairs], np.int64)
+        value = np.array(list(pairs.values()), np.int32)
+        at = self.slot(todo)
+        while len(todo):  # one of those that want a slot gets it, the others try the next one
+            free = self.keys[at] == -1
+            self.keys[at[free]] = todo[free]
+            won = self.keys[at] == todo
+            self.values[at[won]] = value[won]
+            todo, value, at = todo[~won], value[~won], (at[~won] + 1) & (len(self.keys) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = (a.astype(np.int64) << 32) | b
+        at = self.slot(keys)
+        out = self.values[at]
+        other = self.keys[at] != keys
+        out[other] = NO_PAIR
+        more = np.nonzero(other & (self.keys[at] != -1))
+        while len(more[0]):
+            at[more] = (at[more] + 1) & (len(self.keys) - 1)
+            hit = self.keys[at[more]] == keys[more]
+            out[tuple(x[hit] for x in more)] = self.values[at[more]][hit]
+            go = ~hit & (self.keys[at[more]] != -1)
+            more = tuple(x[go] for x in more)
+        return out
+
+
 class ByteBPE:
     """Encoder and decoder over a rank file in tiktoken's format."""
 
@@ -199,7 +238,11 @@ class ByteBPE:
             self.vocab[i] = piece
         self.sizes = np.array([len(x) for x in self.vocab], np.int64)
         self.pre = PreTokenizer()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.pairs = PairTable(self.ranks)
+        self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.blob = np.frombuffer(b"".join(self.vocab), np.uint8)
+        self.blob_at = np.cumsum(self.sizes) - self.sizes
+        self.cache: dict[str, bytes] = {}  # ids as packed int32
         self.cache_pieces = cache_pieces
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -259,27 +302,80 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0].tolist()
 
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """:meth:`merge` of pieces of one length, all at once; ids as packed int32."""
+        ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)].reshape(len(pieces), -1)
+        out = [b""] * len(pieces)
+
+        def put(rows, ids):
+            raw, step = ids.tobytes(), ids.shape[1] * 4
+            for i, r in enumerate(rows.tolist()):
+                out[r] = raw[i * step : (i + 1) * step]
+
+        rows, width = np.arange(len(pieces)), ids.shape[1]
+        pairs = self.pairs.lookup(ids[:, :-1], ids[:, 1:])
+        while width > 1 and len(rows):
+            at = pairs.argmin(1)
+            every = np.arange(len(rows))
+            best = pairs[every, at]
+            over = best == NO_PAIR
+            if over.any():
+                put(rows[over], ids[over])
+                go = ~over
+                rows, ids, pairs, at, best = rows[go], ids[go], pairs[go], at[go], best[go]
+                every = np.arange(len(rows))
+                if not len(rows):
+                    break
+            keep = np.ones(ids.shape, bool)
+            keep[every, at + 1] = False
+            ids[every, at] = best
+            ids = ids[keep].reshape(len(rows), width - 1)
+            keep = np.ones(pairs.shape, bool)
+            keep[every, at] = False
+            pairs = pairs[keep].reshape(len(rows), width - 2)
+            width -= 1
+            left = np.flatnonzero(at > 0)
+            j = at[left]
+            pairs[left, j - 1] = self.pairs.lookup(ids[left, j - 1], ids[left, j])
+            right = np.flatnonzero(at < width - 1)
+            j = at[right]
+            pairs[right, j] = self.pairs.lookup(ids[right, j], ids[right, j + 1])
+        put(rows, ids)
+        return out
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Merges of pieces that the cache does not hold."""
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        found = {}
+        for p in pieces:
+            raw = p.encode("utf-8", "replace")
+            if raw in self.ranks:
+                found[p] = self.ranks[raw].to_bytes(4, "little")
+            elif len(raw) > 32:
+                found[p] = np.array(self.merge(raw), "<i4").tobytes()
+            else:
+                by_length.setdefault(len(raw), []).append((p, raw))
+        for group in by_length.values():
+            found.update(zip([p for p, _ in group], self.merge_many([raw for _, raw in group]), strict=True))
+        return found
+
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text.  Texts are joined for the scan; a text's pieces never cross its ends."""
-        cache, out = self.cache, []
+        """Token ids of each text; a piece never crosses the end of its text."""
+        split = []
         for text in texts:
-            if not text:
-                out.append(np.empty(0, np.int32))
-                continue
-            at = self.pre.starts(text).tolist()
-            pieces = [text[i:j] for i, j in zip(at, [*at[1:], None], strict=True)]
-            ids: list[int] = []
-            for p in pieces:
-                try:
-                    ids += cache[p]
-                except KeyError:
-                    got = self.merge(p.encode("utf-8", "replace"))
-                    if len(cache) >= self.cache_pieces:
-                        cache.clear()
-                    if len(p) <= 64:
-                        cache[p] = got
-                    ids += got
-            out.append(np.array(ids, np.int32))
+            at = self.pre.starts(text).tolist() if text else []
+            split.append([text[i:j] for i, j in zip(at, [*at[1:], None], strict=False)])
+        distinct = set().union(*split)
+        new = {p for p in distinct if p not in self.cache}
+        if len(self.cache) + len(new) > self.cache_pieces:
+            self.cache.clear()
+            new = distinct
+        cache = self.cache
+        learned = self.learn(new)
+        cache.update(learned)
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, pieces)), "<i4") for pieces in split]
+        for p in [p for p in learned if len(p) > 64]:
+            del cache[p]
         return out
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
@@ -288,7 +384,15 @@ class ByteBPE:
         return (ends - self.sizes[ids]).astype(np.int32)
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
+        return self.decode_many(np.asarray(ids, np.int64)).tobytes()
+
+    def decode_many(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all tokens, one after another."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.vocab)):
+            raise ValueError("an id outside the vocabulary")
+        sizes = self.sizes[ids]
+        shift = self.blob_at[ids] - (np.cumsum(sizes) - sizes)
+        return self.blob[np.repeat(shift, sizes) + np.arange(sizes.sum())]
 
 
 _ENCODERS: dict[str, ByteBPE] = {}
@@ -358,10 +462,21 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     def run(batches):
         bpe = encoder(path)
         for b in batches:
-            step = max(1, min(b.num_rows, 256))
-            for i in range(0, b.num_rows, step):
-                part = b.slice(i, step)
-                raw = [None if x is None else bpe.decode(x) for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(raw, pa.binary())], names=keep + [out])
+            at = 0
+            while at < b.num_rows:
+                # As many rows as hold BATCH_CHARS tokens, one at least.
+                lists = b.column(ids)
+                ends = lists.offsets.to_numpy()
+                n = max(1, int(np.searchsorted(ends, ends[at] + BATCH_CHARS, "right")) - 1 - at)
+                part, lists = b.slice(at, n), lists.slice(at, n)
+                at += n
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                raw = bpe.decode_many(flat)
+                token_ends = np.concatenate([[0], np.cumsum(bpe.sizes[flat])])
+                cuts = token_ends[np.concatenate([[0], np.cumsum(counts)])]
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+                data = pc.if_else(lists.is_valid(), data, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [data], names=[*keep, out])
 
     return tokens.select(*[F.col(c) for c in keep]).mapInArrow(run, schema)
