@@ -44,3 +44,8 @@ def free_shuffles(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand texts to Python in batches of few rows, so that long ones fit a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
