@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, langid, packing, secrets, simhash
+from chromaweave.llm import bpe, langid, linededup, packing, secrets, simhash
 from chromaweave.llm.store import small_batches
 
 QUERIES: dict = {}
@@ -93,3 +93,16 @@ def op1_simhash(spark, sf_dir):
         simhash.likeness(*own, *edited).alias("near_edited"),
         simhash.likeness(*own, *following).alias("near_next"),
     )
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    """Every document without lines that repeat, exactly or nearly, an earlier one."""
+    docs = documents(spark, sf_dir)
+    found = linededup.dedup_lines(docs, kept="kept_lines")
+    return found.select(
+        "doc_id",
+        F.size("kept_lines").cast("long").alias("n_kept"),
+        F.array_join(F.col("kept_lines").cast("array<string>"), ",").alias("kept_lines"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
