@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, langid, linededup, packing, secrets, simhash
+from chromaweave.llm import bpe, jaccard, langid, linededup, packing, secrets, simhash
 from chromaweave.llm.store import small_batches
 
 QUERIES: dict = {}
@@ -106,3 +106,9 @@ def op4_line_dedup(spark, sf_dir):
         F.array_join(F.col("kept_lines").cast("array<string>"), ",").alias("kept_lines"),
         F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+@query
+def op2_ngram_jaccard(spark, sf_dir):
+    """Classes of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard.classes(documents(spark, sf_dir).select("doc_id", "text"))
