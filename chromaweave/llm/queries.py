@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, jaccard, langid, linededup, packing, secrets, simhash
+from chromaweave.llm import bpe, jaccard, langid, linededup, packing, pii, secrets, simhash
 from chromaweave.llm.store import small_batches
 
 QUERIES: dict = {}
@@ -112,3 +112,24 @@ def op4_line_dedup(spark, sf_dir):
 def op2_ngram_jaccard(spark, sf_dir):
     """Classes of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
     return jaccard.classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def told_spans(spans):
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def of_kind(kind):
+    return lambda s: s["kind"] == kind
+
+
+@query
+def op5_pii(spark, sf_dir):
+    """Personal data in every whole text, and the terms that disclose it."""
+    found = pii.protect(documents(spark, sf_dir).select("doc_id", "text"), sanitised=None)
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(told_spans(F.filter("spans", lambda s: s["kind"] != "term")), 256).alias("base_sha256"),
+        told_spans(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", of_kind("term"))).cast("long").alias("n_term"),
+    )
