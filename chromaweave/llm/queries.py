@@ -66,12 +66,15 @@ def op7_secret_scan(spark, sf_dir):
     def number(test):
         return F.size(F.filter("spans", test)).cast("long")
 
+    def of_kind(kind):
+        return lambda s: s["kind"] == kind
+
     def told(spans):
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
     return found.select(
         "doc_id",
-        *[number(lambda s, k=k: s["kind"] == k).alias(f"n_{k}") for k in secrets.BASE],
+        *[number(of_kind(k)).alias(f"n_{k}") for k in secrets.BASE],
         F.sha2(told(F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"),
         number(lambda s: s["class"] == "live").alias("n_live"),

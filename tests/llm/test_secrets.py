@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chromaweave.llm import queries, secrets
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -45,7 +45,7 @@ def test_ownership_tells_examples_from_live(spark, docs):
 def test_op7_whole_table(spark):
     got = {r.doc_id: r for r in queries.op7_secret_scan(spark, SF).collect()}
     rows = queries.documents(spark, SF).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and sum(len(brute(r.text)) for r in rows) > 0
     for r in rows:
         want = brute(r.text)
         g = got[r.doc_id]
