@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromaweave.llm.components import components
+from chromaweave.llm.linededup import BROADCAST_ROWS, ROW, with_row_ids
 from chromaweave.llm.store import free_shuffles, materialise, release
 
 WORDS = 5
@@ -187,23 +188,17 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = THRESHOLD_PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per document: the id, ``n_shingles`` and ``component_id``.
+def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, roots) of rows with ``carry`` columns, _text, _t1 and _t2.
 
-    Words are runs without ASCII white space, A-Z in lower case.  Documents link when
-    100 * intersection >= percent * union of their shingle sets; component_id is the
-    least id reachable by links, the document's own without any.  Null or blank texts
-    have no shingles and no links.  Equal texts always link.  Null ids never are a
-    component's id unless all its ids are null.  Repeated rows are answered each; an
-    empty table gives an empty table; other columns are ignored.
+    keys: the carried columns, set size _n and member _member (null without shingles);
+    roots: _member and root, the same for linked members.
     """
-    spark = docs.sparkSession
-    body = F.col(text).cast("string")
-    rows = docs.select(F.col(doc_id).alias("_id"), body.alias("_text"), F.xxhash64(body).alias("_t1"), F.xxhash64(body, F.lit(1)).alias("_t2"))
+    spark = rows.sparkSession
     levels = spark.sparkContext.broadcast(sketch(rows.select("_text"), n, sketch_bits))  # 2 ** bits bytes
-    keys = materialise(keyed(rows, levels, n, percent, ["_id", "_t1", "_t2"]), "keys")
-    known = keys.where("_member IS NOT NULL").groupBy("_member").agg(F.min("_id").alias("least"), F.first("_n").alias("_n"), F.first("_group").alias("_group"), F.min_by(F.struct("_t1", "_t2"), F.struct("_t1", "_t2")).alias("t"))
-    known = materialise(known.select("_member", "least", "_n", "_group", "t.*"), "members")
+    keys = materialise(keyed(rows, levels, n, percent, [*carry, "_t1", "_t2"]), "keys")
+    known = keys.where("_member IS NOT NULL").groupBy("_member").agg(F.first("_n").alias("_n"), F.first("_group").alias("_group"), F.min_by(F.struct("_t1", "_t2"), F.struct("_t1", "_t2")).alias("t"))
+    known = materialise(known.select("_member", "_n", "_group", "t.*"), "members")
 
     # Groups that meet on a shingle of their prefixes.
     groups = keys.where("_member IS NOT NULL").groupBy("_group").agg(F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"))
@@ -255,8 +250,42 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     if more.limit(1).count():
         roots = materialise(components(links.unionByName(more)), "roots")
 
-    named = known.select("_member", "least").join(roots.select(F.col("node").alias("_member"), "root"), "_member", "left").select("_member", "least", F.coalesce("root", "_member").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(named.join(least, "root").select("_member", "component_id"), "classes")
-    out = keys.select("_id", "_n", "_member").join(named, "_member", "left")
+    named = known.select("_member").join(roots.select(F.col("node").alias("_member"), "root"), "_member", "left")
+    named = materialise(named.select("_member", F.coalesce("root", "_member").alias("root")), "classes")
+    return keys.select(*carry, "_n", "_member"), named
+
+
+def _rows(docs: DataFrame, text: str, *more: Column) -> DataFrame:
+    body = F.col(text).cast("string")
+    return docs.select(*more, body.alias("_text"), F.xxhash64(body).alias("_t1"), F.xxhash64(body, F.lit(1)).alias("_t2"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = THRESHOLD_PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """One row per document: the id, ``n_shingles`` and ``component_id``.
+
+    Words are runs without ASCII white space, A-Z in lower case.  Documents link when
+    100 * intersection >= percent * union of their shingle sets; component_id is the
+    least id reachable by links, the document's own without any.  Null or blank texts
+    have no shingles and no links.  Equal texts always link.  Null ids never are a
+    component's id unless all its ids are null.  Repeated rows are answered each; an
+    empty table gives an empty table; other columns are ignored.
+    """
+    keys, roots = memberships(_rows(docs, text, F.col(doc_id).alias("_id")), ["_id"], n, percent, sketch_bits)
+    least = keys.where("_member IS NOT NULL").groupBy("_member").agg(F.min("_id").alias("_least")).join(roots, "_member")
+    least = least.join(least.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("_member", "component_id")
+    out = keys.join(least, "_member", "left")
     return out.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = THRESHOLD_PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """``docs`` with one document of each class: the one of the least id, nulls last, then the first row.
+
+    Documents without shingles all stay.  Columns called _file or _at are reserved.
+    """
+    named = with_row_ids(docs)
+    keys, roots = memberships(_rows(named, text, F.col(doc_id).alias("_id"), *ROW), ["_id", *ROW], n, percent, sketch_bits)
+    placed = keys.where("_member IS NOT NULL").select("_member", F.struct(F.col("_id").isNull().alias("null"), "_id", *ROW).alias("place")).join(roots, "_member")
+    first = placed.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1")
+    gone = materialise(placed.join(first, "root").where("place <> first").select("place._file", "place._at"), "gone")
+    small = gone.count() <= BROADCAST_ROWS
+    return named.join(F.broadcast(gone) if small else gone, ROW, "left_anti").select(*[c for c in docs.columns if c not in ROW])
