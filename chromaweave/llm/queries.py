@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, jaccard, langid, linededup, packing, pii, secrets, simhash
+from chromaweave.llm import bpe, hamming, jaccard, langid, linededup, packing, pii, secrets, simhash
 from chromaweave.llm.store import small_batches
 
 QUERIES: dict = {}
@@ -136,3 +136,22 @@ def op5_pii(spark, sf_dir):
         told_spans(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", of_kind("term"))).cast("long").alias("n_term"),
     )
+
+
+@query
+def op6_hamming_top_k(spark, sf_dir):
+    """The ten vectors whose sign codes are nearest to those of every fiftieth vector."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    codes = hamming.sign_codes(rows, "vec_id", "embedding", dims=64)
+    found = hamming.top_k(codes.where("id % 50 = 0"), codes, k=10, dims=64)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").cast("int").alias("distance"))
+
+
+ORACLES["op6_hamming_top_k"] = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: CASE WHEN (x[1] > 0) <> (x[2] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
