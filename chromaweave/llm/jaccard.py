@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from chromaweave.llm.components import components
 from chromaweave.llm.linededup import BROADCAST_ROWS, ROW, with_row_ids
-from chromaweave.llm.store import free_shuffles, materialise, release
+from chromaweave.llm.store import batches_of, free_shuffles, materialise, release
 
 WORDS = 5
 THRESHOLD_PERCENT = 80
@@ -44,7 +44,9 @@ SKETCH_BITS = 22
 SLICE = 1 << 16
 HASH_MASK = np.uint64((1 << 58) - 1)
 #: Word hashes that a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
+#: Pairs handed to Python at once: each carries two whole sets.
+PAIRS_AT_ONCE = 16
 
 
 class WordHashes(dict):
@@ -179,7 +181,8 @@ def verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, n: int, percen
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = materialise(both.mapInArrow(test, "a binary, b binary"), "links")
+    with batches_of(pairs.sparkSession, PAIRS_AT_ONCE):
+        links = materialise(both.mapInArrow(test, "a binary, b binary"), "links")
     release(sets)
     return links
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,20 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand texts to Python in batches of few rows, so that long ones fit a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set(BATCH_ROWS, rows)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Batches of so many rows for what is run inside."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
