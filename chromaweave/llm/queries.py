@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, hamming, jaccard, langid, linededup, packing, pii, secrets, simhash
+from chromaweave.llm import bpe, hamming, jaccard, langid, linededup, lm, packing, pii, secrets, simhash
 from chromaweave.llm.store import small_batches
 
 QUERIES: dict = {}
@@ -155,3 +155,11 @@ WITH pairs AS (
 ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs)
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op3_lm_score(spark, sf_dir):
+    """log10 probabilities of every whole text by word frequencies and by the attention model."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = lm.score(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ~in_fold(7, 2))
+    return found.select("doc_id", in_fold(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
