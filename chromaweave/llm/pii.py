@@ -96,13 +96,17 @@ def entity(kind: int, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}".encode("utf-8", "replace")) - (1 << 63)
 
 
+def core_of(word: str) -> str:
+    """What of a word can disclose: no punctuation around it, no digits in it."""
+    core = word.strip(_TRIM)
+    return "" if any(c in "0123456789@" for c in core) else core
+
+
 def terms(text: str):
-    """(hash, start, end) of the words that can disclose: letters, without punctuation around them."""
+    """(hash, start, end) of the words that can disclose."""
     for m in _WORD.finditer(text):
-        w = m[0]
-        core = w.strip(_TRIM)
-        if core and not any(c in "0123456789@" for c in core):
-            start = m.start() + w.index(core)
+        if core := core_of(m[0]):
+            start = m.start() + m[0].index(core)
             yield term_hash(core), start, start + len(core)
 
 
@@ -126,12 +130,12 @@ def _entities(batches):
 
 
 def _pairs(batches):
-    """(term, entity, text) for every term of a text with recurring entities."""
+    """(term, entity) for every term of a text with recurring entities, and (term, null) once."""
     for b in batches:
-        for key, es, t in zip(b.column("_key").to_pylist(), b.column("_es").to_pylist(), b.column("_text").to_pylist(), strict=True):
-            ts = np.array(sorted({h for h, _, _ in terms(t)}), np.int64)
-            for e in es:
-                yield pa.RecordBatch.from_arrays([pa.array(ts), pa.array(np.full(len(ts), e))], names=["t", "e"])
+        for es, t in zip(b.column("_es").to_pylist(), b.column("_text").to_pylist(), strict=True):
+            ts = pa.array(np.array(sorted({h for h, _, _ in terms(t)}), np.int64))
+            for e in [None, *es]:
+                yield pa.RecordBatch.from_arrays([ts, pa.array([e] * len(ts), pa.int64())], names=["t", "e"])
 
 
 class _Bits:
@@ -151,6 +155,8 @@ class _Bits:
 
 #: Bits of the map that keeps words which cannot be candidates from being shuffled (1 MB).
 MAP_BITS = 23
+#: Words that a worker remembers.
+CACHE_WORDS = 250_000
 
 
 def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float) -> DataFrame:
@@ -173,8 +179,17 @@ def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float)
     small = with_recurring.count() <= BROADCAST_ROWS
     texts = may.mapInArrow(key_texts, "_key binary, _text string").join(F.broadcast(with_recurring) if small else with_recurring, "_key")
     texts = texts.groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_es").alias("_es"))
-    pairs = texts.mapInArrow(_pairs, "t long, e long").groupBy("t", "e").agg(F.count("*").alias("nte")).where(F.col("nte") >= least_texts)
-    pairs = materialise(pairs.join(recurring, "e"), "pairs")
+    counted = materialise(texts.mapInArrow(_pairs, "t long, e long").groupBy("t", "e").agg(F.count("*").alias("n")), "counted")
+    total = F.lit(float(max(1, rows.where("_text <> ''").select(F.xxhash64("_text").alias("a"), F.xxhash64("_text", F.lit(1)).alias("b")).distinct().count())))
+
+    def tells(pairs, nt):
+        information = -F.log2(F.col("ne") / total)
+        return pairs.where((information > 0) & (F.log2(F.col("nte") / F.col(nt) / (F.col("ne") / total)) >= disclosure * information))
+
+    # The texts at hand hold a term at least as often as it is there said; common words go here.
+    least = counted.where("e IS NULL").select("t", F.col("n").alias("least"))
+    pairs = counted.where(F.col("e").isNotNull() & (F.col("n") >= least_texts)).select("t", "e", F.col("n").alias("nte"))
+    pairs = materialise(tells(pairs.join(recurring, "e").join(least, "t"), "least").drop("least"), "pairs")
     wanted = pairs.select("t").distinct()
 
     # How many distinct texts hold each candidate term, over the whole corpus.
@@ -190,25 +205,22 @@ def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float)
 
     def count_terms(batches):
         bits = _Bits(MAP_BITS, held_map.value)
-        known: dict[str, bool] = {}
+        known: dict[bytes, int | None] = {}  # hash of a word that may be a candidate
         for b in batches:
-            ts, keys, n = [], [], 0
-            for t in b.column("_text").to_pylist():
-                if not t:
-                    continue
-                n += 1
-                hit = set()
-                for w in set(t.split()):
-                    if w not in known:
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[w] = any(bits.has(np.array([h], np.int64).view(np.uint64))[0] for h, _, _ in terms(w))
-                    if known[w]:
-                        hit.update(h for h, _, _ in terms(w))
-                if hit:
-                    key = text_key(t)
+            split = [(t, set(t.encode("utf-8", "replace").split())) for t in b.column("_text").to_pylist() if t]
+            new = [w for w in set().union(*(ws for _, ws in split)) if w not in known]
+            if len(known) + len(new) > CACHE_WORDS:
+                known.clear()
+                new = list(set().union(*(ws for _, ws in split)))
+            cores = [core_of(w.decode("utf-8")) for w in new]
+            hashes = np.array([term_hash(c) if c else 0 for c in cores], np.int64)
+            may = bits.has(hashes.view(np.uint64)).tolist()
+            known.update((w, h if c and m else None) for w, h, c, m in zip(new, hashes.tolist(), cores, may, strict=True))
+            ts, keys = [], []
+            for t, ws in split:
+                if hit := {h for h in map(known.__getitem__, ws) if h is not None}:
                     ts += sorted(hit)
-                    keys += [key] * len(hit)
+                    keys += [text_key(t)] * len(hit)
             yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(keys, pa.binary())], names=["t", "_key"])
 
     any_pairs = pairs.limit(1).count() > 0
@@ -217,11 +229,7 @@ def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float)
         return docs.sparkSession.createDataFrame([], "_key binary, ts array<long>")
     seen = rows.mapInArrow(count_terms, "t long, _key binary").join(wanted, "t", "left_semi")
     held_terms = seen.distinct().groupBy("t").agg(F.count("*").alias("nt"))
-    # Equal texts count once; their number by hash, as the terms' counts are.
-    total = rows.where("_text <> ''").select(F.xxhash64("_text").alias("a"), F.xxhash64("_text", F.lit(1)).alias("b")).distinct().count()
-    information = -F.log2(F.col("ne") / F.lit(float(max(total, 1))))
-    mutual = F.log2(F.col("nte") / F.col("nt") / (F.col("ne") / F.lit(float(max(total, 1)))))
-    telling = pairs.join(held_terms, "t").where((information > 0) & (mutual >= disclosure * information)).select("t", "e")
+    telling = tells(pairs.join(held_terms, "t"), "nt").select("t", "e")
     out = with_recurring.select("_key", F.explode("_es").alias("e")).join(telling, "e").groupBy("_key").agg(F.collect_set("t").alias("ts"))
     return materialise(out, "disclosing")
 
