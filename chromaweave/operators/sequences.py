@@ -12,7 +12,7 @@ def gc_histogram(seqs: DataFrame, seq: str, bins: int, by: list[str] | None = No
     """by, bin, n, share: floor(gc * bins), where gc = 1 falls in the last bin; empty bins are left out."""
     by = by or []
     gc = gc_content(F.col(seq))
-    each = seqs.select(*by, F.least(F.floor(gc * bins), F.lit(bins - 1)).cast("int").alias("bin")).where("bin IS NOT NULL")
+    each = seqs.where(gc.isNotNull()).select(*by, F.least(F.floor(gc * bins), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = each.groupBy(*by, "bin").agg(F.count("*").alias("n"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_t")) if by else counts.agg(F.sum("n").alias("_t"))
     joined = counts.join(F.broadcast(totals), by) if by else counts.crossJoin(F.broadcast(totals))  # one row

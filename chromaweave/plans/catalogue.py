@@ -321,7 +321,8 @@ def rank_join_shuffle(spark, sf_dir):
 
 # -- factor by gene matrices, regression ----------------------------------------------
 
-SIGNED = "l_discount * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END"
+# Adding 0 turns -0.0 into 0.0.
+SIGNED = "l_discount * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END + 0"
 
 
 def matrix(spark, sf_dir):
