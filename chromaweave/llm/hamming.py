@@ -87,13 +87,13 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, dims: int, width: int | N
     closed: list[DataFrame] = []
     kept = None
     for r in range(rounds + 1):
-        looks = []
-        for i, s in enumerate(segments):
-            if r > s[2]:
-                continue
-            masks = F.array(*[F.lit(sum(1 << b for b in bits)).cast("long") for bits in combinations(range(s[2]), r)])
-            looks.append(open_.select("q", F.lit(i).alias("s"), _part(F.col("q"), s).alias("own"), F.explode(masks).alias("mask")))
-        look = reduce(DataFrame.unionByName, looks).select("q", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
+        # From a table, not as literals: thousands of masks would swell every plan.
+        masks = [(i, sum(1 << b for b in bits)) for i, s in enumerate(segments) if r <= s[2] for bits in combinations(range(s[2]), r)]
+        masks = materialise(rows.sparkSession.createDataFrame(masks, "s int, mask long"), "masks")
+        own = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _part(F.col("q"), s).alias("own")) for i, s in enumerate(segments)]))
+        look = open_.select("q", own.alias("o")).select("q", "o.s", "o.own")
+        # At most 12870 masks (16 choose 8) a segment.
+        look = look.join(F.broadcast(masks), "s").select("q", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
         met = look.join(index, ["s", "key"])
         apart = [F.bit_count(_part(F.col("q"), s).bitwiseXOR(_part(F.col("code"), s))) for s in segments]
         # A code is met in every segment at distance r, and may have been met before: it counts once.
