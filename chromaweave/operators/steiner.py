@@ -41,9 +41,9 @@ class Instance:
         return out
 
 
-def value(inst: Instance, parent: dict[str, str], reported: bool = True) -> float:
+def value(inst: Instance, parent: dict[str, str], reported: bool = True, costs=None) -> float:
     """The objective; as reported, single roots count as left out."""
-    costs, used = inst.parents(), set(parent)
+    costs, used = costs or inst.parents(), set(parent)
     if reported:
         inner = {p for p in parent.values() if p}
         used = {v for v in parent if parent[v] or v in inner}
@@ -72,7 +72,7 @@ def exact(inst: Instance) -> dict[str, str]:
     best, best_key = {}, (value(inst, {}, False), 0, ())
     for pick in product(*[[None, *sorted(choices[v])] for v in names]):
         parent = {v: p for v, p in zip(names, pick, strict=True) if p is not None}
-        key = (round(value(inst, parent, False), 9), len(parent), tuple(sorted(parent.items())))
+        key = (round(value(inst, parent, False, choices), 9), len(parent), tuple(sorted(parent.items())))
         if key < best_key and _depth_ok(parent, inst.depth):
             best, best_key = parent, key
     return best
@@ -126,7 +126,7 @@ def heuristic(inst: Instance, rounds: int = 3) -> dict[str, str]:
             # Later layers may have moved an ancestor: keep what is still a tree within the limit.
             via = {v: p for v, p in via.items() if _depth_ok({k: via[k] for k in _path(via, v)}, inst.depth)}
         found = _prune(inst, via, costs)
-        if value(inst, found, False) < value(inst, best, False) - 1e-12:
+        if value(inst, found, False, costs) < value(inst, best, False, costs) - 1e-12:
             best = found
         discount = {v: max(0.0, inst.prizes.get(v, 0.0)) * (turn + 1) / rounds for v in costs}
     return _improve(inst, best, costs)
@@ -142,21 +142,27 @@ def _path(via, v):
 
 def _improve(inst: Instance, parent: dict[str, str], costs) -> dict[str, str]:
     """Attach prized nodes next to the forest and move nodes to cheaper parents while it pays."""
-    now, best = dict(parent), value(inst, parent, False)
+    now = dict(parent)
+    by_prize = sorted(costs, key=lambda v: (-inst.prizes.get(v, 0.0), v))
     for _ in range(20):
         moved = False
-        for v in sorted(costs, key=lambda v: -inst.prizes.get(v, 0.0)):
-            for p in sorted(costs[v], key=costs[v].get):
-                if (p and p not in now) or now.get(v) == p or p == v:
-                    continue
-                trial = {**now, v: p}
-                got = value(inst, trial, False)
-                if got < best - 1e-12 and _depth_ok({k: trial[k] for u in trial for k in _path(trial, u)}, inst.depth):
-                    now, best, moved = trial, got, True
+        for v in by_prize:
+            # What v costs now: its prize, or the edge that holds it.
+            held = now.get(v)
+            price = inst.prizes.get(v, 0.0) if held is None else costs[v][held]
+            depth = inst.depth if held is None else len(_path(now, v))
+            for p, x in sorted(costs[v].items(), key=lambda kv: (kv[1], kv[0])):
+                if x >= price - 1e-12:
                     break
+                above = _path(now, p) if p else []
+                # No deeper than before, so what hangs below v stays within the limit; never below itself.
+                if (p and p not in now) or v in above or len(above) + 1 > min(depth, inst.depth - 1):
+                    continue
+                now[v], moved = p, True
+                break
         pruned = _prune(inst, now, costs)
-        if value(inst, pruned, False) < best - 1e-12:
-            now, best, moved = pruned, value(inst, pruned, False), True
+        if value(inst, pruned, False, costs) < value(inst, now, False, costs) - 1e-12:
+            now, moved = pruned, True
         if not moved:
             break
     return now
