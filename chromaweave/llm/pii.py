@@ -203,7 +203,14 @@ def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float)
     candidates = np.bitwise_or.reduce([np.frombuffer(r["m"], np.uint8) for r in maps]) if maps else np.zeros(1 << (MAP_BITS - 3), np.uint8)
     held_map = docs.sparkSession.sparkContext.broadcast(candidates)
 
+    # A term of more texts than this discloses nothing, however many more there are.
+    most = pairs.agg(F.max(F.col("nte") * F.pow(total / F.col("ne"), F.lit(1 - disclosure)))).first()[0] or 0
+    enough = int(most) + 2
+
     def count_terms(batches):
+        """(term, text) for the first ``enough`` different texts of each term in this task."""
+        told: dict[int, int] = {}
+        seen: set[bytes] = set()
         bits = _Bits(MAP_BITS, held_map.value)
         known: dict[bytes, int | None] = {}  # hash of a word that may be a candidate
         for b in batches:
@@ -218,9 +225,17 @@ def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float)
             known.update((w, h if c and m else None) for w, h, c, m in zip(new, hashes.tolist(), cores, may, strict=True))
             ts, keys = [], []
             for t, ws in split:
-                if hit := {h for h in map(known.__getitem__, ws) if h is not None}:
-                    ts += sorted(hit)
-                    keys += [text_key(t)] * len(hit)
+                hit = {h for h in map(known.__getitem__, ws) if h is not None and told.get(h, 0) < enough}
+                if not hit or (key := text_key(t)) in seen:
+                    continue
+                if len(seen) >= CACHE_WORDS:
+                    seen.clear()  # an equal text that comes again is told again, and counts once all the same
+                    told.clear()
+                seen.add(key)
+                for h in hit:
+                    told[h] = told.get(h, 0) + 1
+                ts += sorted(hit)
+                keys += [key] * len(hit)
             yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(keys, pa.binary())], names=["t", "_key"])
 
     any_pairs = pairs.limit(1).count() > 0
