@@ -10,11 +10,11 @@
    prefix are one group; only groups are joined on prefix shingles.
 3. Groups that meet are filtered by size and, as all their common prefix shingles are
    counted, by the largest overlap that this count leaves possible.
-4. What passes is expanded to members and verified on whole sets.  The first round
-   verifies one partner for each group, the one with most common shingles, and one
-   member of each group against the others; later pairs are expanded only where they
-   could still connect different components.  So large groups of near copies cost
-   about one pair per member, and no link that could join components is lost.
+4. What passes is expanded to members and verified on whole sets.  The first rounds
+   verify one partner for each group, the one with most common shingles, and one
+   member of each group against the others; then all pairs are expanded that could
+   still connect different components.  So large groups of near copies cost a few
+   pairs per member, and no link that could join components is lost.
 
 Sets of members are made again from texts where they are needed, and go through the
 network once per round.
@@ -39,10 +39,12 @@ from chromaweave.llm.store import batches_of, free_shuffles, materialise, releas
 
 WORDS = 5
 THRESHOLD_PERCENT = 80
-#: Counters of the sketch, in bits; more of them order larger corpora more finely.
-SKETCH_BITS = 22
+#: Bytes of input for each counter of the sketch, and its least and largest size in bits.
+BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 16, 16, 26
 SLICE = 1 << 16
 HASH_MASK = np.uint64((1 << 58) - 1)
+#: Rounds in which each group tries one partner of another component.
+ROUNDS = 4
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 250_000
 #: Pairs handed to Python at once: each carries two whole sets.
@@ -84,7 +86,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def sketch(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     """For each counter, twice the binary logarithm of its count (uint8).
 
     Tasks emit their counters in compressed slices; slices are summed by number, task
@@ -94,10 +96,11 @@ def sketch(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
     width = min(SLICE, size)
 
     def count(batches):
-        counts = np.zeros(size, np.uint32)
+        counts = np.zeros(size, np.uint16)
         for b in batches:
             for t in b.column(0).to_pylist():
-                counts[shingles(t, n) & np.uint64(size - 1)] += 1
+                at = shingles(t, n) & np.uint64(size - 1)
+                counts[at] = np.minimum(counts[at], 65534) + 1
         for i in range(size // width):
             part = counts[i * width : (i + 1) * width]
             if part.any():
@@ -107,7 +110,7 @@ def sketch(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, c in zip(b.column("i").to_pylist(), b.column("c").to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(c), np.uint32)
+                part = np.frombuffer(zlib.decompress(c), np.uint16)
                 sums[i] = sums[i] + part if i in sums else part.astype(np.uint64)
         for i, s in sums.items():
             level = np.minimum(2 * np.log2(np.maximum(s, 1)), 63).astype(np.uint8)
@@ -191,13 +194,17 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
-def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_bits: int) -> tuple[DataFrame, DataFrame]:
+def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_bits: int | None) -> tuple[DataFrame, DataFrame]:
     """(keys, roots) of rows with ``carry`` columns, _text, _t1 and _t2.
 
     keys: the carried columns, set size _n and member _member (null without shingles);
     roots: _member and root, the same for linked members.
     """
     spark = rows.sparkSession
+    if sketch_bits is None:
+        # Only the order of shingles depends on it, so an estimate will do.
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        sketch_bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_COUNTER).bit_length()))
     levels = spark.sparkContext.broadcast(sketch(rows.select("_text"), n, sketch_bits))  # 2 ** bits bytes
     keys = materialise(keyed(rows, levels, n, percent, [*carry, "_t1", "_t2"]), "keys")
     known = keys.where("_member IS NOT NULL").groupBy("_member").agg(F.first("_n").alias("_n"), F.first("_group").alias("_group"), F.min_by(F.struct("_t1", "_t2"), F.struct("_t1", "_t2")).alias("t"))
@@ -222,14 +229,18 @@ def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_
     links = verified(first, rows, known, n, percent)
     roots = materialise(components(links), "roots")
 
-    # Round two: what could still connect components.
-    placed = known.join(roots.select(F.col("node").alias("_member"), "root"), "_member", "left").select("_member", "_n", "_group", F.coalesce("root", "_member").alias("_root"))
-    placed = materialise(placed, "placed")
-    spread = placed.groupBy("_group").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"))
+    def where_now():
+        """(members with their roots, groups with their least and greatest root)."""
+        placed = known.join(roots.select(F.col("node").alias("_member"), "root"), "_member", "left").select("_member", "_n", "_group", F.coalesce("root", "_member").alias("_root"))
+        placed = materialise(placed, "placed")
+        spread = materialise(placed.groupBy("_group").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")), "spread")
+        return placed, spread
+
+    # What could still connect components: pairs of groups that meet, with their common shingles.
+    placed, spread = where_now()
     located = lists.select("_s", "_group", "_n").join(spread, "_group")
     mixed = located.groupBy("_s").agg(F.min("_lo").alias("_l"), F.max("_hi").alias("_h")).where("_l <> _h").select("_s")
-    located = located.join(mixed, "_s")
-    # A shingle's largest component meets the others only, never itself.
+    located = materialise(located.join(mixed, "_s"), "located")
     uniform = F.col("_lo") == F.col("_hi")
     major = located.where(uniform).groupBy("_s", "_lo").count().groupBy("_s").agg(F.max_by("_lo", F.struct("count", "_lo")).alias("_major"))
     located = located.join(major, "_s", "left").withColumn("_in_major", F.coalesce(uniform & (F.col("_lo") == F.col("_major")), F.lit(False)))
@@ -244,14 +255,45 @@ def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_
     meet = meet.groupBy("_group1", "_group2", "_n1", "_n2").count()
     # All common shingles outside both prefixes lie in the rest of one of the sets.
     rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("_n1", "_n2")])
-    meet = meet.where((F.col("count") + rest) * (100 + percent) >= (F.col("_n1") + F.col("_n2")) * percent).select("_group1", "_group2")
-    again = spread.where("_lo <> _hi").select(F.col("_group").alias("_group1"), F.col("_group").alias("_group2"))
-    side = lambda i: placed.select(F.col("_group").alias(f"_group{i}"), F.col("_member").alias("ab"[i - 1]), F.col("_root").alias(f"_root{i}"))
-    second = meet.unionByName(again).join(side(1), "_group1").join(side(2), "_group2").where("_root1 <> _root2").where((F.col("_group1") != F.col("_group2")) | (F.col("a") < F.col("b"))).select("a", "b")
-    second = materialise(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    more = verified(second, rows, known, n, percent)
-    if more.limit(1).count():
-        roots = materialise(components(links.unionByName(more)), "roots")
+    meet = meet.where((F.col("count") + rest) * (100 + percent) >= (F.col("_n1") + F.col("_n2")) * percent)
+    meet = materialise(meet.select("_group1", "_group2", "count"), "meet")
+    release(located)
+    free_shuffles(spark)
+
+    # Rounds: each group with the partner of another component that has most in common,
+    # so that classes of many near copies grow together; then all pairs that are left.
+    tested = first
+    for turn in range(ROUNDS + 1):
+        ends = [spread.select(F.col("_group").alias(f"_group{i}"), F.col("_lo").alias(f"_lo{i}"), F.col("_hi").alias(f"_hi{i}")) for i in (1, 2)]
+        meet = meet.join(ends[0], "_group1").join(ends[1], "_group2").where(open_).select("_group1", "_group2", "count")
+        meet = materialise(meet, "meet")
+        if turn < ROUNDS:
+            each = meet.unionByName(meet.select(F.col("_group2").alias("_group1"), F.col("_group1").alias("_group2"), "count"))
+            best = each.groupBy("_group1").agg(F.max_by("_group2", F.struct("count", F.xxhash64("_group2", F.lit(turn)))).alias("_group2"))
+            best = best.select(F.least("_group1", "_group2").alias("_group1"), F.greatest("_group1", "_group2").alias("_group2")).distinct()
+            meet = materialise(meet.join(best, ["_group1", "_group2"], "left_anti"), "meet")
+            best = best.join(lead.select(F.col("_group").alias("_group1"), F.col("_lead").alias("a")), "_group1").join(lead.select(F.col("_group").alias("_group2"), F.col("_lead").alias("b")), "_group2")
+            # Groups of several members keep their pair for the last round, but for the one tried here.
+            several = known.groupBy("_group").count().where("count > 1").select(F.col("_group").alias("g"))
+            again_later = best.select("_group1", "_group2", F.lit(0).cast("long").alias("count"))
+            again_later = again_later.join(several, F.col("_group1") == F.col("g"), "left_semi").unionByName(again_later.join(several, F.col("_group2") == F.col("g"), "left_semi")).distinct()
+            meet = materialise(meet.unionByName(again_later), "meet")
+            pairs = best.select("a", "b")
+        else:
+            inner = spread.where("_lo <> _hi").select(F.col("_group").alias("_group1"), F.col("_group").alias("_group2"))
+            side = lambda i: placed.select(F.col("_group").alias(f"_group{i}"), F.col("_member").alias("ab"[i - 1]), F.col("_root").alias(f"_root{i}"))
+            pairs = meet.select("_group1", "_group2").unionByName(inner).join(side(1), "_group1").join(side(2), "_group2")
+            pairs = pairs.where("_root1 <> _root2").where((F.col("_group1") != F.col("_group2")) | (F.col("a") < F.col("b"))).select("a", "b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        more = verified(pairs, rows, known, n, percent)
+        free_shuffles(spark)
+        if more.limit(1).count():
+            links = materialise(links.unionByName(more), "links")
+            roots = materialise(components(links), "roots")
+            placed, spread = where_now()
+        tested = materialise(tested.unionByName(pairs), "tested")
 
     named = known.select("_member").join(roots.select(F.col("node").alias("_member"), "root"), "_member", "left")
     named = materialise(named.select("_member", F.coalesce("root", "_member").alias("root")), "classes")
@@ -263,7 +305,7 @@ def _rows(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     return docs.select(*more, body.alias("_text"), F.xxhash64(body).alias("_t1"), F.xxhash64(body, F.lit(1)).alias("_t2"))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = THRESHOLD_PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = THRESHOLD_PERCENT, sketch_bits: int | None = None) -> DataFrame:
     """One row per document: the id, ``n_shingles`` and ``component_id``.
 
     Words are runs without ASCII white space, A-Z in lower case.  Documents link when
@@ -280,7 +322,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     return out.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = THRESHOLD_PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = THRESHOLD_PERCENT, sketch_bits: int | None = None) -> DataFrame:
     """``docs`` with one document of each class: the one of the least id, nulls last, then the first row.
 
     Documents without shingles all stay.  Columns called _file or _at are reserved.
