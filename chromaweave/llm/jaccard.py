@@ -44,7 +44,7 @@ BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 16, 16, 26
 SLICE = 1 << 16
 HASH_MASK = np.uint64((1 << 58) - 1)
 #: Rounds in which each group tries one partner of another component.
-ROUNDS = 4
+ROUNDS = 2
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 250_000
 #: Pairs handed to Python at once: each carries two whole sets.
@@ -190,6 +190,13 @@ def verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, n: int, percen
     return links
 
 
+def replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """``new``, written; ``old``, which it was made from, is deleted."""
+    out = materialise(new, name)
+    release(old)
+    return out
+
+
 def _fits(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
@@ -257,7 +264,7 @@ def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_
     rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("_n1", "_n2")])
     meet = meet.where((F.col("count") + rest) * (100 + percent) >= (F.col("_n1") + F.col("_n2")) * percent)
     meet = materialise(meet.select("_group1", "_group2", "count"), "meet")
-    release(located)
+    release(located, lists)
     free_shuffles(spark)
 
     # Rounds: each group with the partner of another component that has most in common,
@@ -265,19 +272,21 @@ def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_
     tested = first
     for turn in range(ROUNDS + 1):
         ends = [spread.select(F.col("_group").alias(f"_group{i}"), F.col("_lo").alias(f"_lo{i}"), F.col("_hi").alias(f"_hi{i}")) for i in (1, 2)]
+        met_now = meet
         meet = meet.join(ends[0], "_group1").join(ends[1], "_group2").where(open_).select("_group1", "_group2", "count")
-        meet = materialise(meet, "meet")
+        meet = replaced(met_now, meet, "meet")
         if turn < ROUNDS:
             each = meet.unionByName(meet.select(F.col("_group2").alias("_group1"), F.col("_group1").alias("_group2"), "count"))
             best = each.groupBy("_group1").agg(F.max_by("_group2", F.struct("count", F.xxhash64("_group2", F.lit(turn)))).alias("_group2"))
             best = best.select(F.least("_group1", "_group2").alias("_group1"), F.greatest("_group1", "_group2").alias("_group2")).distinct()
-            meet = materialise(meet.join(best, ["_group1", "_group2"], "left_anti"), "meet")
+            best = materialise(best, "best")
+            meet = replaced(meet, meet.join(best, ["_group1", "_group2"], "left_anti"), "meet")
             best = best.join(lead.select(F.col("_group").alias("_group1"), F.col("_lead").alias("a")), "_group1").join(lead.select(F.col("_group").alias("_group2"), F.col("_lead").alias("b")), "_group2")
             # Groups of several members keep their pair for the last round, but for the one tried here.
             several = known.groupBy("_group").count().where("count > 1").select(F.col("_group").alias("g"))
             again_later = best.select("_group1", "_group2", F.lit(0).cast("long").alias("count"))
             again_later = again_later.join(several, F.col("_group1") == F.col("g"), "left_semi").unionByName(again_later.join(several, F.col("_group2") == F.col("g"), "left_semi")).distinct()
-            meet = materialise(meet.unionByName(again_later), "meet")
+            meet = replaced(meet, meet.unionByName(again_later), "meet")
             pairs = best.select("a", "b")
         else:
             inner = spread.where("_lo <> _hi").select(F.col("_group").alias("_group1"), F.col("_group").alias("_group2"))
@@ -290,10 +299,13 @@ def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_
         more = verified(pairs, rows, known, n, percent)
         free_shuffles(spark)
         if more.limit(1).count():
-            links = materialise(links.unionByName(more), "links")
+            links = replaced(links, links.unionByName(more), "links")
+            release(roots, placed, spread)
             roots = materialise(components(links), "roots")
             placed, spread = where_now()
-        tested = materialise(tested.unionByName(pairs), "tested")
+        release(more)
+        tested = replaced(tested, tested.unionByName(pairs), "tested")
+        release(pairs)
 
     named = known.select("_member").join(roots.select(F.col("node").alias("_member"), "root"), "_member", "left")
     named = materialise(named.select("_member", F.coalesce("root", "_member").alias("root")), "classes")
