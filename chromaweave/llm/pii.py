@@ -138,23 +138,33 @@ def _pairs(batches):
                 yield pa.RecordBatch.from_arrays([ts, pa.array([e] * len(ts), pa.int64())], names=["t", "e"])
 
 
-class _Bits:
-    """A bitmap of hashes: what is not in it is surely not in the set."""
+#: Bits of the slot numbers of :class:`_Bounds` (4 MB).
+SLOT_BITS = 22
 
-    def __init__(self, bits: int, array: np.ndarray | None = None):
-        self.bits, self.array = bits, np.zeros(1 << (bits - 3), np.uint8) if array is None else array
 
-    def add(self, hashes: np.ndarray) -> None:
-        at = hashes.astype(np.uint64) >> np.uint64(64 - self.bits)
-        np.bitwise_or.at(self.array, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+class _Bounds:
+    """For hashed terms, an upper bound of the texts a term may be in and still disclose; 0 for no candidate.
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.astype(np.uint64) >> np.uint64(64 - self.bits)
-        return (self.array[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    A table of fixed size, in powers of the square root of 2; terms that share a slot
+    share the greater bound, so it errs on the side of telling too much.
+    """
+
+    def __init__(self, levels: np.ndarray | None = None):
+        self.levels = np.zeros(1 << SLOT_BITS, np.uint8) if levels is None else levels
+
+    @staticmethod
+    def slots(hashes: np.ndarray) -> np.ndarray:
+        return (hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def add(self, hashes: np.ndarray, bounds: np.ndarray) -> None:
+        level = np.minimum(np.ceil(2 * np.log2(np.maximum(bounds, 1))) + 1, 255).astype(np.uint8)
+        np.maximum.at(self.levels, self.slots(hashes), level)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        level = self.levels[self.slots(hashes)].astype(float)
+        return np.where(level > 0, np.floor(2 ** ((level - 1) / 2)) + 2, 0).astype(np.int64)
 
 
-#: Bits of the map that keeps words which cannot be candidates from being shuffled (1 MB).
-MAP_BITS = 23
 #: Words that a worker remembers.
 CACHE_WORDS = 250_000
 
@@ -193,26 +203,27 @@ def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float)
     wanted = pairs.select("t").distinct()
 
     # How many distinct texts hold each candidate term, over the whole corpus.
-    def bitmap(batches):
-        bits = _Bits(MAP_BITS)
-        for b in batches:
-            bits.add(b.column("t").to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.array.tobytes()], pa.binary())], names=["m"])
+    bound = pairs.groupBy("t").agg(F.max(F.col("nte") * F.pow(total / F.col("ne"), F.lit(1 - disclosure))).alias("b"))
 
-    maps = wanted.coalesce(8).mapInArrow(bitmap, "m binary").collect()  # at most 8 maps of 1 MB
-    candidates = np.bitwise_or.reduce([np.frombuffer(r["m"], np.uint8) for r in maps]) if maps else np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    held_map = docs.sparkSession.sparkContext.broadcast(candidates)
+    def tabulate(batches):
+        table = _Bounds()
+        for b in batches:
+            table.add(b.column("t").to_numpy(), b.column("b").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([table.levels.tobytes()], pa.binary())], names=["m"])
 
-    # A term of more texts than this discloses nothing, however many more there are.
-    most = pairs.agg(F.max(F.col("nte") * F.pow(total / F.col("ne"), F.lit(1 - disclosure)))).first()[0] or 0
-    enough = int(most) + 2
+    tables = bound.coalesce(8).mapInArrow(tabulate, "m binary").collect()  # at most 8 tables of 4 MB
+    levels = np.maximum.reduce([np.frombuffer(r["m"], np.uint8) for r in tables]) if tables else np.zeros(1 << SLOT_BITS, np.uint8)
+    held_table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def count_terms(batches):
-        """(term, text) for the first ``enough`` different texts of each term in this task."""
+        """(term, text) for the first different texts of each term in this task, one more than its bound.
+
+        A term of more texts than its bound discloses nothing, however many more there are.
+        """
         told: dict[int, int] = {}
         seen: set[bytes] = set()
-        bits = _Bits(MAP_BITS, held_map.value)
-        known: dict[bytes, int | None] = {}  # hash of a word that may be a candidate
+        table = _Bounds(held_table.value)
+        known: dict[bytes, tuple[int, int] | None] = {}  # hash and bound of a word that may be a candidate
         for b in batches:
             split = [(t, set(t.encode("utf-8", "replace").split())) for t in b.column("_text").to_pylist() if t]
             new = [w for w in set().union(*(ws for _, ws in split)) if w not in known]
@@ -221,11 +232,11 @@ def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float)
                 new = list(set().union(*(ws for _, ws in split)))
             cores = [core_of(w.decode("utf-8")) for w in new]
             hashes = np.array([term_hash(c) if c else 0 for c in cores], np.int64)
-            may = bits.has(hashes.view(np.uint64)).tolist()
-            known.update((w, h if c and m else None) for w, h, c, m in zip(new, hashes.tolist(), cores, may, strict=True))
+            bounds = table.get(hashes).tolist()
+            known.update((w, (h, m) if c and m else None) for w, h, c, m in zip(new, hashes.tolist(), cores, bounds, strict=True))
             ts, keys = [], []
             for t, ws in split:
-                hit = {h for h in map(known.__getitem__, ws) if h is not None and told.get(h, 0) < enough}
+                hit = {x[0] for x in map(known.__getitem__, ws) if x is not None and told.get(x[0], 0) < x[1]}
                 if not hit or (key := text_key(t)) in seen:
                     continue
                 if len(seen) >= CACHE_WORDS:
