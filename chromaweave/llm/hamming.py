@@ -71,13 +71,13 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, dims: int, width: int | N
     nulls last.  A query finds itself if it is among the rows.  Fewer rows than k give
     fewer results; none give none.  Repeated rows are results each; so are repeated
     queries.  ``width`` is the bits of a segment, by default the logarithm of the number
-    of distinct codes, so that a key has about one code.
+    of distinct codes less 2, so that a key has a few codes and lookups stay few.
     """
     ranked = W.partitionBy("code").orderBy(F.col("id").isNull(), "id")
     ids = rows.select("code", "id", F.row_number().over(ranked).alias("i")).where(F.col("i") <= k)
     codes = materialise(ids.groupBy("code").agg(F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("null"), "id"))).alias("ids")), "codes")
     n = codes.count()
-    width = width or max(4, min(16, round(log2(max(n, 2)))))
+    width = width or max(4, min(16, round(log2(max(n, 2))) - 2))
     segments = _segments(max(dims, 1), width)
     m, rounds = len(segments), max(s[2] for s in segments)
     keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _part(F.col("code"), s).alias("key")) for i, s in enumerate(segments)]))
