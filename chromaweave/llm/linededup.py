@@ -7,10 +7,12 @@ surroundings only, so equal passages give equal shingles wherever they stand.
 
 Each distinct line is signed by 18 minima over the hashes of its shingles, in lines of
 ``LONG`` code points or more over those whose hash is divisible by four (a choice that
-depends on the shingle alone); three minima make a band, and lines that agree in one of the six bands are compared, each
-with the least line of its band and with the one before it.  For lines of Jaccard 0.8
-a band agrees with probability 0.51, one of six with 0.986.  Compared lines are linked
-if the exact Jaccard similarity of their shingle sets reaches the threshold;
+depends on the shingle alone); three minima make a band.  Lines that agree in one of the
+six bands are compared, first each with the least line of its band and with the one
+before it, then, in bands whose lines are not all connected, every two lines of
+different components that a prefix join on rare shingles cannot rule out.  For lines of
+Jaccard 0.8 a band agrees with probability 0.51, one of six with 0.986.  Compared lines
+are linked if the exact Jaccard similarity of their shingle sets reaches the threshold;
 components of links are found by distributed union-find, and the first line of each
 component is kept.
 """
@@ -116,31 +118,77 @@ def signatures(lines: DataFrame, n: int = SHINGLE) -> DataFrame:
     return each.groupBy("k1", "k2").agg(*minima)
 
 
-def near_lines(lines: DataFrame, n: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """Links (a, b) between different lines: structs of their two hashes."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (me, s) reach the threshold."""
+    both = pairs.join(sets.select(F.col("me").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("me").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.where(_fits(F.size("sa"), F.size("sb"), percent))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    """Sets that differ too much in size cannot reach the threshold."""
+    return (a * 100 >= percent * b) & (b * 100 >= percent * a)
+
+
+def _open_pairs(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of lines of different components that may still be near.
+
+    A prefix join, and so exact, of the lines in buckets that hold several components:
+    sets that reach the threshold share a shingle among the first of each, the rarest
+    in front.
+    """
+    placed = buckets.join(roots.select(F.col("node").alias("me"), "root"), "me", "left").select("band", "me", F.coalesce("root", "me").alias("root"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    members = placed.join(mixed, "band").select("me", "root").distinct()
+    each = materialise(members.join(sets, "me").select("me", "root", F.size("s").alias("n"), F.explode("s").alias("x")), "lineshingles")
+    often = each.groupBy("x").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(W.partitionBy("me").orderBy("c", "x"))
+    prefix = each.join(often, "x").withColumn("i", rank).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1)
+    prefix = materialise(prefix.where("c > 1").select("x", "me", "root", "n"), "lineprefixes")
+    # Lines of a shingle's largest component meet those of others only.
+    counted = prefix.groupBy("x", "root").count().groupBy("x").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("k"))
+    located = prefix.join(counted.where("k > 1").drop("k"), "x").withColumn("is_major", F.col("root") == F.col("major")).drop("major")
+    one, two = (located.select("x", *[F.col(c).alias(f"{c}{i}") for c in ("me", "root", "n", "is_major")]) for i in (1, 2))
+    meet = one.where(~F.col("is_major1")).join(two, "x").where((F.col("root1") != F.col("root2")) & (F.col("is_major2") | (F.col("me1") < F.col("me2"))) & _fits(F.col("n1"), F.col("n2"), percent))
+    meet = meet.groupBy(F.least("me1", "me2").alias("a"), F.greatest("me1", "me2").alias("b")).agg(F.count("*").alias("c"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    # All common shingles outside both prefixes lie in the rest of one of the sets.
+    rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("n1", "n2")])
+    pairs = materialise(meet.where((F.col("c") + rest) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent).select("a", "b"), "openpairs")
+    release(each, prefix)
+    return pairs
+
+
+def near_components(lines: DataFrame, n: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """(node, root) of lines linked to others: structs of their two hashes."""
     me = F.struct("k1", "k2")
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     posted = signatures(lines, n).select("k1", "k2", F.explode(F.array(*bands)).alias("band"))
     order = W.partitionBy("band").orderBy("k1", "k2")
-    seen = posted.select("k1", "k2", F.first("k1").over(order).alias("h1"), F.first("k2").over(order).alias("h2"), F.lag("k1").over(order).alias("p1"), F.lag("k2").over(order).alias("p2"))
+    seen = posted.select("k1", "k2", "band", *[f(c).over(order).alias(f"{name}{c[1]}") for name, f in (("h", F.first), ("p", F.lag), ("x", F.lead)) for c in ("k1", "k2")])
+    buckets = materialise(seen.where("p1 IS NOT NULL OR x1 IS NOT NULL").drop("x1", "x2"), "linebuckets")
+    free_shuffles(lines.sparkSession)
+    # First each line with the least of its bucket and with the one before it.
     other = F.array_distinct(F.array(F.struct(F.col("h1").alias("k1"), F.col("h2").alias("k2")), F.struct(F.col("p1").alias("k1"), F.col("p2").alias("k2"))))
-    pairs = seen.where("p1 IS NOT NULL").select(me.alias("b"), F.explode(other).alias("a"))
+    pairs = buckets.where("p1 IS NOT NULL").select(me.alias("b"), F.explode(other).alias("a"))
     pairs = materialise(pairs.select("a", "b").distinct(), "linepairs")
-    free_shuffles(lines.sparkSession)
     need = pairs.select(F.explode(F.array("a", "b")).alias("me")).distinct()
     small = need.count() <= BROADCAST_ROWS
     texts = lines.select(me.alias("me"), "_line").join(F.broadcast(need) if small else need, "me", "left_semi")
     texts = texts.groupBy("me").agg(F.first("_line").alias("_line"))
     # Written once: both ends of the pairs read it.
     sets = materialise(texts.select("me", shingle_hashes(F.col("_line"), n).alias("s")), "linesets")
-    both = pairs.join(sets.select(F.col("me").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("me").alias("b"), F.col("s").alias("sb")), "b")
-    # Sets that differ too much in size cannot reach the threshold.
-    both = both.where((F.size("sa") * 100 >= percent * F.size("sb")) & (F.size("sb") * 100 >= percent * F.size("sa")))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    links = materialise(links, "linelinks")
-    release(pairs, sets)
-    return links
+    links = materialise(_verified(pairs, sets, percent), "linelinks")
+    roots = materialise(components(links), "lineroots")
+    # Then all pairs that could join two components.
+    left = _open_pairs(buckets.select("band", me.alias("me")), sets, roots, percent)
+    more = materialise(_verified(left, sets, percent), "linelinks")
+    release(pairs, left, buckets, sets)
+    if more.limit(1).count():
+        release(roots)
+        roots = materialise(components(links.unionByName(more)), "lineroots")
+    release(links, more)
+    return roots
 
 
 def dropped_lines(rows: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -153,7 +201,7 @@ def dropped_lines(rows: DataFrame, text: str = "text", order: str = "doc_id") ->
     place = F.struct(F.col("_order").isNull().alias("null"), "_order", *ROW, "_ln")
     seen = materialise(lines.select("k1", "k2", place.alias("place")), "lines")
     distinct = seen.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    roots = components(near_lines(lines)).select("node.k1", "node.k2", "root")
+    roots = near_components(lines).select("node.k1", "node.k2", "root")
     known = distinct.join(roots, ["k1", "k2"], "left").where("n > 1 OR root IS NOT NULL")
     known = materialise(known, "knownlines")
     kept = known.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("kept"))
