@@ -1,9 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines with equal text (two 64-bit hashes) count as one.  The shingles of a line are
-its runs of ``SHINGLE`` characters that begin where a word begins; of lines that are
-short or hold few spaces, all such runs.  Which runs count depends on their own
-surroundings only, so equal passages give equal shingles wherever they stand.
+all its runs of ``SHINGLE`` characters.
 
 Each distinct line is signed by 18 minima over the hashes of its shingles, in lines of
 ``LONG`` code points or more over those whose hash is divisible by four (a choice that
@@ -30,10 +28,8 @@ from chromaweave.llm.store import free_shuffles, materialise, release
 SHINGLE = 9
 THRESHOLD_PERCENT = 80
 BANDS, ROWS = 6, 3
-#: Lines under so many code points have all runs as shingles.
-SHORT = 64
-#: So have lines with fewer than one space in so many code points.
-SPARSE = 16
+#: Lines under so many code points have all runs as shingles: every line, as Spark's strings are shorter.
+SHORT = 1 << 31
 #: Lines under so many code points, white space around them aside, are left alone.
 LEAST_CHARS = 8
 BLOCK, SUPER = 64, 4096
@@ -81,33 +77,18 @@ def _starts(block: Column, n: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.length(block) - n + 1, F.lit(1)))
 
 
-def _runs(line: Column, words: Column, n: int) -> Column:
-    """array<struct<w, x>>: words with their successors, whose first n characters are the shingles.
-
-    Where all runs count, w is a run and x is null.
-    """
-    none = F.lit(None).cast("string")
-    at_words = F.arrays_zip(words.alias("w"), F.slice(words, F.lit(2), F.size(words)).alias("x"))
-    every = F.flatten(F.transform(_blocks(line, n), lambda b: F.transform(_starts(b, n), lambda i: F.struct(F.substring(b, i, F.lit(n)).alias("w"), none.alias("x")))))
-    return F.when((F.length(line) < SHORT) | (F.size(words) * SPARSE < F.length(line)), every).otherwise(at_words)
-
-
-def _hash(run: Column, n: int) -> Column:
-    return F.hash(F.substring(F.concat_ws(" ", run["w"], run["x"]), F.lit(1), F.lit(n)))
-
-
 def shingle_hashes(line: Column, n: int) -> Column:
     """Distinct 32-bit hashes of a line's shingles; of the whole line where it is shorter."""
-    return F.array_distinct(F.transform(_runs(line, F.split(line, " "), n), lambda r: _hash(r, n)))
+    each = F.transform(_blocks(line, n), lambda b: F.transform(_starts(b, n), lambda i: F.hash(F.substring(b, i, F.lit(n)))))
+    return F.array_distinct(F.flatten(each))
 
 
 def signatures(lines: DataFrame, n: int = SHINGLE) -> DataFrame:
     """(k1, k2, m0 ... ) of each distinct line."""
-    each = lines.select("k1", "k2", "_line", F.split("_line", " ").alias("_ws"))
-    # In a step of its own, lest every run carry its whole line along.
-    each = each.select("k1", "k2", (F.length("_line") < LONG).alias("_all"), _runs(F.col("_line"), F.col("_ws"), n).alias("_rs"))
-    each = each.select("k1", "k2", "_all", F.explode("_rs").alias("_r"))
-    each = each.select("k1", "k2", "_all", _hash(F.col("_r"), n).alias("_s"))
+    # Blocks in a step of their own, lest every run carry its whole line along.
+    each = lines.select("k1", "k2", (F.length("_line") < LONG).alias("_all"), F.explode(_blocks(F.col("_line"), n)).alias("_b"))
+    each = each.select("k1", "k2", "_all", "_b", F.explode(_starts(F.col("_b"), n)).alias("_i"))
+    each = each.select("k1", "k2", "_all", F.hash(F.substring("_b", F.col("_i"), F.lit(n))).alias("_s"))
     each = each.where(F.col("_all") | (F.col("_s").bitwiseAND(F.lit(3)) == 0))
     each = each.select("k1", "k2", *[F.xxhash64("_s", F.lit(j)).alias(f"_h{j}") for j in (1, 2, 3)])
     minima = []

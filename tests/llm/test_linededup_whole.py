@@ -32,3 +32,12 @@ def test_all_members_of_large_buckets_are_compared(spark, docs):
         lines += [" ".join(own), " ".join([*own[:-1], word(r)])]
     assert 0.5 < jaccard(lines[0], lines[2]) < 0.75 and jaccard(lines[0], lines[1]) > 0.85
     assert len(kept(lines, docs) ^ set(range(0, 500, 2))) <= 3
+
+
+def test_what_follows_the_first_letters_of_words_counts(spark, docs):
+    sessions = [f"username={u} location={c} sessionid={s} timestamp={t} requestid={q} operation={o}" for u, c, s, t, q, o in (("alice", "paris", "abc1", 1001, 77, "get"), ("robert", "oslo", "xyz9", 2417, 31, "delete"))]
+    stems = ["electroen", "counterre", "internati", "interdisc", "photosynt", "transcont", "misunders", "overwhelm"]
+    longer = [" ".join(s + e for s, e in zip(stems, ends, strict=True)) for ends in (["cephalogram", "volutionary", "onalisation", "iplinarity", "hetically", "inentally", "tandings", "ingness"], ["qqqqqqqq", "wwwwwwww", "eeeeeeee", "rrrrrrrr", "tttttttt", "yyyyyyyy", "uuuuuuuu", "iiiiiiii"])]
+    lines = sessions + longer
+    assert all(len(x) >= 64 for x in lines) and max(jaccard(lines[0], lines[1]), jaccard(lines[2], lines[3])) < 0.8
+    assert kept(lines, docs) == {0, 1, 2, 3}
