@@ -3,9 +3,8 @@
 Lines with equal text (two 64-bit hashes) count as one.  The shingles of a line are
 all its runs of ``SHINGLE`` characters.
 
-Each distinct line is signed by 18 minima over the hashes of its shingles, in lines of
-``LONG`` code points or more over those whose hash is divisible by four (a choice that
-depends on the shingle alone); three minima make a band.  Lines that agree in one of the
+Each distinct line is signed by 18 minima over the hashes of its shingles; three minima
+make a band.  Lines that agree in one of the
 six bands are compared, first each with the least line of its band and with the one
 before it, then, in bands whose lines are not all connected, every two lines of
 different components that a prefix join on rare shingles cannot rule out.  For lines of
@@ -33,8 +32,6 @@ SHORT = 1 << 31
 #: Lines under so many code points, white space around them aside, are left alone.
 LEAST_CHARS = 8
 BLOCK, SUPER = 64, 4096
-#: Lines from so many code points on are signed by a quarter of their shingles.
-LONG = 240
 #: Lists of keys (two numbers each) are broadcast up to so many, about 50 MB, and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 ROW = ["_file", "_at"]
@@ -86,10 +83,9 @@ def shingle_hashes(line: Column, n: int) -> Column:
 def signatures(lines: DataFrame, n: int = SHINGLE) -> DataFrame:
     """(k1, k2, m0 ... ) of each distinct line."""
     # Blocks in a step of their own, lest every run carry its whole line along.
-    each = lines.select("k1", "k2", (F.length("_line") < LONG).alias("_all"), F.explode(_blocks(F.col("_line"), n)).alias("_b"))
-    each = each.select("k1", "k2", "_all", "_b", F.explode(_starts(F.col("_b"), n)).alias("_i"))
-    each = each.select("k1", "k2", "_all", F.hash(F.substring("_b", F.col("_i"), F.lit(n))).alias("_s"))
-    each = each.where(F.col("_all") | (F.col("_s").bitwiseAND(F.lit(3)) == 0))
+    each = lines.select("k1", "k2", F.explode(_blocks(F.col("_line"), n)).alias("_b"))
+    each = each.select("k1", "k2", "_b", F.explode(_starts(F.col("_b"), n)).alias("_i"))
+    each = each.select("k1", "k2", F.hash(F.substring("_b", F.col("_i"), F.lit(n))).alias("_s"))
     each = each.select("k1", "k2", *[F.xxhash64("_s", F.lit(j)).alias(f"_h{j}") for j in (1, 2, 3)])
     minima = []
     for k in range(BANDS * ROWS):

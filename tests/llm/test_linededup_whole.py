@@ -41,3 +41,17 @@ def test_what_follows_the_first_letters_of_words_counts(spark, docs):
     lines = sessions + longer
     assert all(len(x) >= 64 for x in lines) and max(jaccard(lines[0], lines[1]), jaccard(lines[2], lines[3])) < 0.8
     assert kept(lines, docs) == {0, 1, 2, 3}
+
+
+def test_long_lines_are_signed_by_all_shingles(spark, docs):
+    # Near lines on both sides of 240 code points, and long ones of very few shingles.
+    r = random.Random(8)
+    lines = []
+    for _ in range(60):
+        x = " ".join(word(r) for _ in range(26))
+        lines += [x + "z", x + "z " + word(r)]
+        assert len(lines[-2]) < 240 <= len(lines[-1])
+    for _ in range(60):
+        x = word(r)[:5] * 60
+        lines += [x, x + x[:5]]
+    assert len(kept(lines, docs) ^ set(range(0, len(lines), 2))) <= 1
