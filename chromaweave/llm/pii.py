@@ -97,19 +97,28 @@ def entity(kind: int, value: str) -> int:
 
 
 def core_of(word: str) -> str:
-    """What of a word can disclose: no punctuation around it, no digits in it."""
-    core = word.strip(_TRIM)
-    return "" if any(c in "0123456789@" for c in core) else core
+    """What of a word can disclose: no punctuation around it."""
+    return word.strip(_TRIM)
 
 
-def terms(text: str):
-    """(hash, start, end) of the words that can disclose."""
+def terms(text: str, spans: list[tuple[int, int, int]]):
+    """(hash, start, end) of the words that can disclose: those outside the text's base spans."""
+    taken = sorted((a, b) for _, a, b in spans)
+    at = over = 0
     for m in _WORD.finditer(text):
-        if core := core_of(m[0]):
+        while at < len(taken) and taken[at][0] < m.end():
+            over = max(over, taken[at][1])
+            at += 1
+        if over <= m.start() and (core := core_of(m[0])):
             start = m.start() + m[0].index(core)
             yield term_hash(core), start, start + len(core)
 
 
+def may_overlap(word: str) -> bool:
+    """Whether a base span can reach into a word: it holds digits or an @, or else only what joins a phone number's digits."""
+    return any(c in "0123456789@" for c in word) or not word.strip("().-")
+
+
 def term_hash(core: str) -> int:
     return xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "replace")) - (1 << 63)
 
@@ -133,7 +142,7 @@ def _pairs(batches):
     """(term, entity) for every term of a text with recurring entities, and (term, null) once."""
     for b in batches:
         for es, t in zip(b.column("_es").to_pylist(), b.column("_text").to_pylist(), strict=True):
-            ts = pa.array(np.array(sorted({h for h, _, _ in terms(t)}), np.int64))
+            ts = pa.array(np.array(sorted({h for h, _, _ in terms(t, base_spans(t))}), np.int64))
             for e in [None, *es]:
                 yield pa.RecordBatch.from_arrays([ts, pa.array([e] * len(ts), pa.int64())], names=["t", "e"])
 
@@ -223,7 +232,7 @@ def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float)
         told: dict[int, int] = {}
         seen: set[bytes] = set()
         table = _Bounds(held_table.value)
-        known: dict[bytes, tuple[int, int] | None] = {}  # hash and bound of a word that may be a candidate
+        known: dict[bytes, tuple[int, int, bool] | None] = {}  # hash and bound of a word that may be a candidate; whether a span may hold it
         for b in batches:
             split = [(t, set(t.encode("utf-8", "replace").split())) for t in b.column("_text").to_pylist() if t]
             new = [w for w in set().union(*(ws for _, ws in split)) if w not in known]
@@ -233,10 +242,14 @@ def disclosing(docs: DataFrame, text: str, least_texts: int, disclosure: float)
             cores = [core_of(w.decode("utf-8")) for w in new]
             hashes = np.array([term_hash(c) if c else 0 for c in cores], np.int64)
             bounds = table.get(hashes).tolist()
-            known.update((w, (h, m) if c and m else None) for w, h, c, m in zip(new, hashes.tolist(), cores, bounds, strict=True))
+            known.update((w, (h, m, may_overlap(w.decode("utf-8"))) if c and m else None) for w, h, c, m in zip(new, hashes.tolist(), cores, bounds, strict=True))
             ts, keys = [], []
             for t, ws in split:
-                hit = {x[0] for x in map(known.__getitem__, ws) if x is not None and told.get(x[0], 0) < x[1]}
+                may = {x for x in map(known.__getitem__, ws) if x is not None and told.get(x[0], 0) < x[1]}
+                hit = {x[0] for x in may}
+                if any(x[2] for x in may):
+                    # Where such a word lies in base spans only, the text does not hold it as a term.
+                    hit &= {h for h, _, _ in terms(t, base_spans(t))}
                 if not hit or (key := text_key(t)) in seen:
                     continue
                 if len(seen) >= CACHE_WORDS:
@@ -286,7 +299,7 @@ def protect(docs: DataFrame, text: str = "text", spans: str = "spans", sanitised
     def find(t, told):
         found = base_spans(t)
         if told:
-            found += [(4, a, b) for h, a, b in terms(t) if h in told]
+            found += [(4, a, b) for h, a, b in terms(t, list(found)) if h in told]
         return found
 
     def mask(t, found):
