@@ -32,6 +32,8 @@ SHORT = 1 << 31
 #: Lines under so many code points, white space around them aside, are left alone.
 LEAST_CHARS = 8
 BLOCK, SUPER = 64, 4096
+#: Counters of the sketch of shingles in :func:`_open_pairs`, a byte each.
+SLOTS = 1 << 18
 #: Lists of keys (two numbers each) are broadcast up to so many, about 50 MB, and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 ROW = ["_file", "_at"]
@@ -117,22 +119,33 @@ def _open_pairs(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent:
     """
     placed = buckets.join(roots.select(F.col("node").alias("me"), "root"), "me", "left").select("band", "me", F.coalesce("root", "me").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    members = placed.join(mixed, "band").select("me", "root").distinct()
-    each = materialise(members.join(sets, "me").select("me", "root", F.size("s").alias("n"), F.explode("s").alias("x")), "lineshingles")
-    often = each.groupBy("x").agg(F.count("*").alias("c"))
-    rank = F.row_number().over(W.partitionBy("me").orderBy("c", "x"))
-    prefix = each.join(often, "x").withColumn("i", rank).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1)
-    prefix = materialise(prefix.where("c > 1").select("x", "me", "root", "n"), "lineprefixes")
+    members = materialise(placed.join(mixed, "band").select("me", "root").distinct().join(sets, "me"), "openlines")
+    # How common shingles are, by powers of two, in a sketch of fixed size: any order is exact.
+    slot = lambda x: F.pmod(x, F.lit(SLOTS))
+    often = members.select(F.explode("s").alias("x")).groupBy(slot(F.col("x")).alias("slot")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("level"))
+    levels = bytearray(SLOTS)
+    for r in often.collect():  # SLOTS rows at most
+        levels[r["slot"]] = r["level"]
+    level = lambda x: F.ascii(F.substring(F.lit(bytes(levels)), slot(x) + 1, F.lit(1)).cast("string"))
+    ranked = F.sort_array(F.transform("s", lambda x: F.shiftleft(level(x).cast("long"), 32) + x + F.lit(1 << 31)))
+    first = F.slice(ranked, F.lit(1), (F.size("s") - F.ceil(F.size("s") * percent / F.lit(100)) + 1).cast("int"))
+    prefix = materialise(members.select("me", "root", F.size("s").alias("n"), F.explode(first).alias("x")), "lineprefixes")
+    # Only shingles of several components can join any.
+    mixed = prefix.select("x", F.xxhash64("root").alias("r")).groupBy("x").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("x")
+    mixed = materialise(mixed, "mixed")
+    located = materialise(prefix.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "x"), "located")
+    release(members, prefix, mixed)
+    free_shuffles(buckets.sparkSession)
     # Lines of a shingle's largest component meet those of others only.
-    counted = prefix.groupBy("x", "root").count().groupBy("x").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("k"))
-    located = prefix.join(counted.where("k > 1").drop("k"), "x").withColumn("is_major", F.col("root") == F.col("major")).drop("major")
-    one, two = (located.select("x", *[F.col(c).alias(f"{c}{i}") for c in ("me", "root", "n", "is_major")]) for i in (1, 2))
+    major = located.groupBy("x", "root").count().groupBy("x").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
+    placed = located.join(major, "x").withColumn("is_major", F.col("root") == F.col("major"))
+    one, two = (placed.select("x", *[F.col(c).alias(f"{c}{i}") for c in ("me", "root", "n", "is_major")]) for i in (1, 2))
     meet = one.where(~F.col("is_major1")).join(two, "x").where((F.col("root1") != F.col("root2")) & (F.col("is_major2") | (F.col("me1") < F.col("me2"))) & _fits(F.col("n1"), F.col("n2"), percent))
     meet = meet.groupBy(F.least("me1", "me2").alias("a"), F.greatest("me1", "me2").alias("b")).agg(F.count("*").alias("c"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
     # All common shingles outside both prefixes lie in the rest of one of the sets.
     rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("n1", "n2")])
     pairs = materialise(meet.where((F.col("c") + rest) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent).select("a", "b"), "openpairs")
-    release(each, prefix)
+    release(located)
     return pairs
 
 
