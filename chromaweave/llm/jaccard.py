@@ -1,15 +1,14 @@
 """N-gram Jaccard join: a grouped prefix join over sets of word shingles.
 
 1. Every text becomes its set of distinct 5-word shingles, as 58-bit hashes.  A first
-   pass counts, in a fixed-size sketch, in how many texts each shingle occurs; the
-   logarithm of the count is put before the hash, so that sorting sets sorts rare
-   shingles first.  Any total order keeps the join exact; this one keeps passages
-   that many documents share out of the prefixes.
-2. Two sets of n and m shingles that reach the threshold share a shingle in their
-   prefixes.  Documents with equal sets are one member; members with equal size and
-   prefix are one group; only groups are joined on prefix shingles.
-3. Groups that meet are filtered by size and, as all their common prefix shingles are
-   counted, by the largest overlap that this count leaves possible.
+   pass finds which shingles may lie in several texts, and how common they are
+   (``setjoin.rarity``); rare ones come first in every set.
+2. Two sets that reach the threshold share a shingle in their prefixes.  Documents with
+   equal sets are one member; members with equal size and prefix are one group; only
+   groups are joined on prefix shingles, and only on those that several texts may have.
+3. Groups that meet are filtered by size, by how many of their shingles can be matched
+   at all, and, as all their common prefix shingles are counted, by the largest overlap
+   that this count leaves possible.
 4. What passes is expanded to members and verified on whole sets.  The first rounds
    verify one partner for each group, the one with most common shingles, and one
    member of each group against the others; then all pairs are expanded that could
@@ -23,32 +22,24 @@ network once per round.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromaweave.llm.components import components
-from chromaweave.llm.linededup import BROADCAST_ROWS, ROW, with_row_ids
-from chromaweave.llm.store import batches_of, free_shuffles, materialise, release
+from chromaweave.llm.linededup import with_row_ids
+from chromaweave.llm.setjoin import BROADCAST_ROWS, fits, input_bytes, matched, meetings, prefix_length, rarity, shared_lists, verified
+from chromaweave.llm.store import free_shuffles, materialise, release
 
 WORDS = 5
 THRESHOLD_PERCENT = 80
-#: Bytes of input for each counter of the sketch, and its least and largest size in bits.
-BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 16, 16, 26
-SLICE = 1 << 16
 HASH_MASK = np.uint64((1 << 58) - 1)
-#: Rounds in which each group tries one partner of another component.
-ROUNDS = 2
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 250_000
-#: Pairs handed to Python at once: each carries two whole sets.
-PAIRS_AT_ONCE = 16
 
 
 class WordHashes(dict):
@@ -81,112 +72,48 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(out & HASH_MASK)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many first shingles of a set of n meet those of every set that reaches the threshold."""
-    return n - -(-n * percent // 100) + 1 if n else 0
-
-
-def sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
-    """For each counter, twice the binary logarithm of its count (uint8).
-
-    Tasks emit their counters in compressed slices; slices are summed by number, task
-    by task, so that no worker holds more than the slices of its own partition.
-    """
-    size = 1 << bits
-    width = min(SLICE, size)
-
-    def count(batches):
-        counts = np.zeros(size, np.uint16)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                at = shingles(t, n) & np.uint64(size - 1)
-                counts[at] = np.minimum(counts[at], 65534) + 1
-        for i in range(size // width):
-            part = counts[i * width : (i + 1) * width]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["i", "c"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, c in zip(b.column("i").to_pylist(), b.column("c").to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(c), np.uint16)
-                sums[i] = sums[i] + part if i in sums else part.astype(np.uint64)
-        for i, s in sums.items():
-            level = np.minimum(2 * np.log2(np.maximum(s, 1)), 63).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(level.tobytes())], pa.binary())], names=["i", "c"])
-
-    parts = texts.mapInArrow(count, "i int, c binary").repartition(size // width, "i").mapInArrow(add, "i int, c binary")
-    levels = np.zeros(size, np.uint8)
-    for r in parts.collect():  # 2 ** bits bytes at most
-        levels[r["i"] * width : (r["i"] + 1) * width] = np.frombuffer(zlib.decompress(r["c"]), np.uint8)
-    return levels
-
-
-def ordered(text: str | None, n: int, levels: np.ndarray) -> np.ndarray:
-    """The set of a text in the join's order: rare shingles first, then by hash."""
-    s = shingles(text, n)
-    return np.sort((levels[s & np.uint64(len(levels) - 1)].astype(np.uint64) << np.uint64(58)) | s)
-
-
 def member_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def keyed(rows: DataFrame, levels, n: int, percent: int, carry: list[str]) -> DataFrame:
-    """``carry`` with the set's size, its key, its group's key and its prefix (array<long>)."""
+def keyed(rows: DataFrame, table, n: int, percent: int, carry: list[str]) -> DataFrame:
+    """``carry`` with the set's size, how many can be matched, its key, its group's key and what can be matched of its prefix."""
     schema = T.StructType(
         [rows.schema[c] for c in carry]
-        + [T.StructField("_n", T.LongType(), False), T.StructField("_member", T.BinaryType()), T.StructField("_group", T.LongType()), T.StructField("_prefix", T.ArrayType(T.LongType(), False))]
+        + [T.StructField("_n", T.LongType(), False), T.StructField("_e", T.LongType(), False), T.StructField("_member", T.BinaryType()), T.StructField("_group", T.LongType()), T.StructField("_prefix", T.ArrayType(T.LongType(), False))]
     )
 
     def run(batches):
-        table = levels.value
+        rarity = table.value
         for b in batches:
-            sizes, keys, groups, prefixes = [], [], [], []
+            sizes, matchable, keys, groups, prefixes = [], [], [], [], []
             for t in b.column("_text").to_pylist():
-                s = ordered(t, n, table)
+                s = rarity.ordered(shingles(t, n))
                 p = s[: prefix_length(len(s), percent)]
                 sizes.append(len(s))
+                matchable.append(len(matched(s)))
                 keys.append(member_key(s) if len(s) else None)
                 groups.append(xxhash.xxh3_64_intdigest(p.tobytes(), len(s)) - (1 << 63) if len(s) else None)
-                prefixes.append(p.astype(np.int64) if len(s) else None)
+                # Sets too few of whose elements can be matched have no partner.
+                prefixes.append(matched(p).astype(np.int64) if 100 * matchable[-1] >= percent * len(s) else [])
             lists = pa.array(prefixes, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.int64()), lists], names=[*carry, "_n", "_member", "_group", "_prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + [pa.array(sizes, pa.int64()), pa.array(matchable, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.int64()), lists], names=[*carry, "_n", "_e", "_member", "_group", "_prefix"])
 
     return rows.select(*carry, "_text").mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+def check(pairs: DataFrame, rows: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of members whose whole sets reach the threshold.
 
-    Texts of the members are found by the hash of a text that has the member's set;
-    each text is turned into its set once, and sets are joined to the pairs.
+    Texts of the members are found by the hash of a text that has the member's set.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("_member")).distinct()
-    need = known.join(ends, "_member", "left_semi").select("_member", "_t1", "_t2")
-    texts = rows.select("_t1", "_t2", "_text").join(need, ["_t1", "_t2"]).groupBy("_member").agg(F.first("_text").alias("_text"))
-
-    def make(batches):
-        for b in batches:
-            sets = [shingles(t, n).tobytes() for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_member"), pa.array(sets, pa.binary())], names=["_member", "_set"])
-
-    sets = materialise(texts.mapInArrow(make, "_member binary, _set binary"), "sets")
-    both = pairs.join(sets.select(F.col("_member").alias("a"), F.col("_set").alias("_sa")), "a").join(sets.select(F.col("_member").alias("b"), F.col("_set").alias("_sb")), "b")
-
-    def test(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("_sa"), b.column("_sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with batches_of(pairs.sparkSession, PAIRS_AT_ONCE):
-        links = materialise(both.mapInArrow(test, "a binary, b binary"), "links")
-    release(sets)
+    need = materialise(known.join(ends, "_member", "left_semi").select("_member", "_t1", "_t2"), "need")
+    small = need.count() <= BROADCAST_ROWS
+    texts = rows.select("_t1", "_t2", "_text").join(F.broadcast(need) if small else need, ["_t1", "_t2"])
+    texts = texts.groupBy("_member").agg(F.first("_text").alias("text")).withColumnRenamed("_member", "member")
+    links = verified(pairs, texts, lambda t: shingles(t, n), percent)
+    release(need)
     return links
 
 
@@ -197,10 +124,6 @@ def replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
-
-
 def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_bits: int | None) -> tuple[DataFrame, DataFrame]:
     """(keys, roots) of rows with ``carry`` columns, _text, _t1 and _t2.
 
@@ -208,108 +131,74 @@ def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_
     roots: _member and root, the same for linked members.
     """
     spark = rows.sparkSession
-    if sketch_bits is None:
-        # Only the order of shingles depends on it, so an estimate will do.
-        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        sketch_bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_COUNTER).bit_length()))
-    levels = spark.sparkContext.broadcast(sketch(rows.select("_text"), n, sketch_bits))  # 2 ** bits bytes
-    keys = materialise(keyed(rows, levels, n, percent, [*carry, "_t1", "_t2"]), "keys")
-    known = keys.where("_member IS NOT NULL").groupBy("_member").agg(F.first("_n").alias("_n"), F.first("_group").alias("_group"), F.min_by(F.struct("_t1", "_t2"), F.struct("_t1", "_t2")).alias("t"))
-    known = materialise(known.select("_member", "_n", "_group", "t.*"), "members")
+    table = spark.sparkContext.broadcast(rarity(rows.select("_text"), lambda t: shingles(t, n), input_bytes(rows), sketch_bits, sketch_bits))
+    keys = materialise(keyed(rows, table, n, percent, [*carry, "_t1", "_t2"]), "keys")
+    known = keys.where("_member IS NOT NULL").groupBy("_member").agg(F.first("_group").alias("_group"), F.min(F.struct("_t1", "_t2")).alias("t"))
+    known = materialise(known.select("_member", "_group", "t.*"), "members")
 
     # Groups that meet on a shingle of their prefixes.
-    groups = keys.where("_member IS NOT NULL").groupBy("_group").agg(F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"))
-    posted = groups.select("_group", "_n", F.explode("_prefix").alias("_s"))
-    by_size = W.partitionBy("_s").orderBy("_n", "_group")
-    marked = posted.select("*", F.lead("_group").over(by_size).alias("_more"), F.first("_group").over(by_size).alias("_hub"), F.first("_n").over(by_size).alias("_hub_n"))
-    # A shingle of one group only says nothing more.
-    lists = materialise(marked.where("_more IS NOT NULL OR _hub <> _group").drop("_more"), "lists")
-    met = lists.where("_hub <> _group").where(_fits(F.col("_n"), F.col("_hub_n"), percent)).groupBy("_group", "_hub").count()
-    best = met.groupBy("_group").agg(F.max_by("_hub", F.struct("count", "_hub")).alias("_hub"))
-
-    # Round one: within each group, and each group with its best partner.
-    lead = known.groupBy("_group").agg(F.min("_member").alias("_lead"))
-    inside = known.join(lead, "_group").where("_member <> _lead").select(F.col("_lead").alias("a"), F.col("_member").alias("b"))
-    across = best.join(lead, "_group").join(lead.select(F.col("_group").alias("_hub"), F.col("_lead").alias("_to")), "_hub").select(F.col("_to").alias("a"), F.col("_lead").alias("b"))
-    first = materialise(inside.unionByName(across), "pairs")
+    groups = keys.where("size(_prefix) > 0").groupBy(F.col("_group").alias("node")).agg(F.first("_n").alias("n"), F.first("_e").alias("e"), F.first("_prefix").alias("_prefix"))
+    lists = shared_lists(groups.select("node", "n", "e", F.explode("_prefix").alias("s")))
+    hubs = materialise(lists.groupBy("s").agg(F.min(F.struct("n", "node", "e")).alias("h")).select("s", *[F.col(f"h.{c}").alias(f"h{c}") for c in ("n", "node", "e")]), "hubs")
+    small = hubs.count() <= BROADCAST_ROWS
+    met = lists.join(F.broadcast(hubs) if small else hubs, "s").where((F.col("node") != F.col("hnode")) & fits(F.col("n"), F.col("e"), F.col("hn"), F.col("he"), percent))
+    best = met.groupBy("node", "hnode").count().groupBy("node").agg(F.max_by("hnode", F.struct("count", "hnode")).alias("hnode"))
+
+    # First within each group, and each group with its best partner among the hubs.
+    lead = materialise(known.groupBy(F.col("_group").alias("node")).agg(F.min("_member").alias("lead"), F.count("*").alias("members")), "leads")
+    inside = known.join(lead.where("members > 1"), F.col("_group") == F.col("node")).where("_member <> lead").select(F.col("lead").alias("a"), F.col("_member").alias("b"))
+    across = best.join(lead, "node").join(lead.select(F.col("node").alias("hnode"), F.col("lead").alias("_to")), "hnode").select(F.col("_to").alias("a"), F.col("lead").alias("b"))
+    tested = materialise(inside.unionByName(across), "pairs")
+    release(hubs)
     free_shuffles(spark)
-    links = verified(first, rows, known, n, percent)
+    links = check(tested, rows, known, n, percent)
     roots = materialise(components(links), "roots")
 
     def where_now():
         """(members with their roots, groups with their least and greatest root)."""
-        placed = known.join(roots.select(F.col("node").alias("_member"), "root"), "_member", "left").select("_member", "_n", "_group", F.coalesce("root", "_member").alias("_root"))
+        moved = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+        placed = known.join(moved.select(F.col("node").alias("_member"), "root"), "_member", "left").select("_member", F.col("_group").alias("node"), F.coalesce("root", "_member").alias("root"))
         placed = materialise(placed, "placed")
-        spread = materialise(placed.groupBy("_group").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")), "spread")
+        spread = materialise(placed.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "spread")
         return placed, spread
 
     # What could still connect components: pairs of groups that meet, with their common shingles.
     placed, spread = where_now()
-    located = lists.select("_s", "_group", "_n").join(spread, "_group")
-    mixed = located.groupBy("_s").agg(F.min("_lo").alias("_l"), F.max("_hi").alias("_h")).where("_l <> _h").select("_s")
-    located = materialise(located.join(mixed, "_s"), "located")
-    uniform = F.col("_lo") == F.col("_hi")
-    major = located.where(uniform).groupBy("_s", "_lo").count().groupBy("_s").agg(F.max_by("_lo", F.struct("count", "_lo")).alias("_major"))
-    located = located.join(major, "_s", "left").withColumn("_in_major", F.coalesce(uniform & (F.col("_lo") == F.col("_major")), F.lit(False)))
-    cols = ("_group", "_n", "_lo", "_hi", "_in_major")
-    left = located.where(~F.col("_in_major")).select("_s", *[F.col(c).alias(f"{c}1") for c in cols])
-    right = located.select("_s", *[F.col(c).alias(f"{c}2") for c in cols])
-    open_ = ~((F.col("_lo1") == F.col("_hi1")) & (F.col("_lo2") == F.col("_hi2")) & (F.col("_lo1") == F.col("_lo2")))
-    meet = left.join(right, "_s").where(F.col("_in_major2") | (F.col("_group1") < F.col("_group2"))).where(_fits(F.col("_n1"), F.col("_n2"), percent) & open_)
-    one, two = (F.struct(F.col(f"_group{i}").alias("g"), F.col(f"_n{i}").alias("n")) for i in (1, 2))
-    meet = meet.select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q"))
-    meet = meet.select(F.col("p.g").alias("_group1"), F.col("p.n").alias("_n1"), F.col("q.g").alias("_group2"), F.col("q.n").alias("_n2"))
-    meet = meet.groupBy("_group1", "_group2", "_n1", "_n2").count()
-    # All common shingles outside both prefixes lie in the rest of one of the sets.
-    rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("_n1", "_n2")])
-    meet = meet.where((F.col("count") + rest) * (100 + percent) >= (F.col("_n1") + F.col("_n2")) * percent)
-    meet = materialise(meet.select("_group1", "_group2", "count"), "meet")
-    release(located, lists)
+    meet = meetings(lists, spread.join(lists.select("node").distinct(), "node", "left_semi"), percent)
+    release(lists)
     free_shuffles(spark)
 
-    # Rounds: each group with the partner of another component that has most in common,
-    # so that classes of many near copies grow together; then all pairs that are left.
-    tested = first
-    for turn in range(ROUNDS + 1):
-        ends = [spread.select(F.col("_group").alias(f"_group{i}"), F.col("_lo").alias(f"_lo{i}"), F.col("_hi").alias(f"_hi{i}")) for i in (1, 2)]
-        met_now = meet
-        meet = meet.join(ends[0], "_group1").join(ends[1], "_group2").where(open_).select("_group1", "_group2", "count")
-        meet = replaced(met_now, meet, "meet")
-        if turn < ROUNDS:
-            each = meet.unionByName(meet.select(F.col("_group2").alias("_group1"), F.col("_group1").alias("_group2"), "count"))
-            best = each.groupBy("_group1").agg(F.max_by("_group2", F.struct("count", F.xxhash64("_group2", F.lit(turn)))).alias("_group2"))
-            best = best.select(F.least("_group1", "_group2").alias("_group1"), F.greatest("_group1", "_group2").alias("_group2")).distinct()
-            best = materialise(best, "best")
-            meet = replaced(meet, meet.join(best, ["_group1", "_group2"], "left_anti"), "meet")
-            best = best.join(lead.select(F.col("_group").alias("_group1"), F.col("_lead").alias("a")), "_group1").join(lead.select(F.col("_group").alias("_group2"), F.col("_lead").alias("b")), "_group2")
-            # Groups of several members keep their pair for the last round, but for the one tried here.
-            several = known.groupBy("_group").count().where("count > 1").select(F.col("_group").alias("g"))
-            again_later = best.select("_group1", "_group2", F.lit(0).cast("long").alias("count"))
-            again_later = again_later.join(several, F.col("_group1") == F.col("g"), "left_semi").unionByName(again_later.join(several, F.col("_group2") == F.col("g"), "left_semi")).distinct()
-            meet = replaced(meet, meet.unionByName(again_later), "meet")
-            pairs = best.select("a", "b")
+    # A round in which each group tries the partner of another component that it has most
+    # in common with, so that classes of many near copies grow together; then all pairs left.
+    for last in (False, True):
+        ends = [spread.select(F.col("node").alias(f"node{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in (1, 2)]
+        open_ = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))
+        if not last:
+            each = meet.unionByName(meet.select(F.col("node2").alias("node1"), F.col("node1").alias("node2"), "count"))
+            best = each.groupBy("node1").agg(F.max_by("node2", F.struct("count", F.xxhash64("node2"))).alias("node2")).distinct()
+            pairs = best.join(lead.select(F.col("node").alias("node1"), F.col("lead").alias("a")), "node1").join(lead.select(F.col("node").alias("node2"), F.col("lead").alias("b")), "node2").select("a", "b")
         else:
-            inner = spread.where("_lo <> _hi").select(F.col("_group").alias("_group1"), F.col("_group").alias("_group2"))
-            side = lambda i: placed.select(F.col("_group").alias(f"_group{i}"), F.col("_member").alias("ab"[i - 1]), F.col("_root").alias(f"_root{i}"))
-            pairs = meet.select("_group1", "_group2").unionByName(inner).join(side(1), "_group1").join(side(2), "_group2")
-            pairs = pairs.where("_root1 <> _root2").where((F.col("_group1") != F.col("_group2")) | (F.col("a") < F.col("b"))).select("a", "b")
+            left = meet.join(ends[0], "node1").join(ends[1], "node2").where(open_).select("node1", "node2")
+            inner = spread.where("lo <> hi").select(F.col("node").alias("node1"), F.col("node").alias("node2"))
+            side = lambda i: placed.select(F.col("node").alias(f"node{i}"), F.col("_member").alias("ab"[i - 1]), F.col("root").alias(f"root{i}"))
+            pairs = left.unionByName(inner).join(side(1), "node1").join(side(2), "node2")
+            pairs = pairs.where("root1 <> root2").where((F.col("node1") != F.col("node2")) | (F.col("a") < F.col("b"))).select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        more = verified(pairs, rows, known, n, percent)
-        free_shuffles(spark)
+        more = check(pairs, rows, known, n, percent) if pairs.limit(1).count() else pairs
         if more.limit(1).count():
             links = replaced(links, links.unionByName(more), "links")
             release(roots, placed, spread)
             roots = materialise(components(links), "roots")
             placed, spread = where_now()
-        release(more)
+        if more is not pairs:
+            release(more)
         tested = replaced(tested, tested.unionByName(pairs), "tested")
         release(pairs)
-
-    named = known.select("_member").join(roots.select(F.col("node").alias("_member"), "root"), "_member", "left")
-    named = materialise(named.select("_member", F.coalesce("root", "_member").alias("root")), "classes")
-    return keys.select(*carry, "_n", "_member"), named
+        free_shuffles(spark)
+    release(meet, tested, links, lead, known, spread, roots)
+    return keys.select(*carry, "_n", "_member"), placed.select("_member", "root")
 
 
 def _rows(docs: DataFrame, text: str, *more: Column) -> DataFrame:
@@ -337,12 +226,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = THRESHOLD_PERCENT, sketch_bits: int | None = None) -> DataFrame:
     """``docs`` with one document of each class: the one of the least id, nulls last, then the first row.
 
-    Documents without shingles all stay.  Columns called _file or _at are reserved.
+    Documents without shingles all stay.  Repeated rows are copies of each other; an
+    empty table gives an empty table; other columns may have any name.
     """
-    named = with_row_ids(docs)
-    keys, roots = memberships(_rows(named, text, F.col(doc_id).alias("_id"), *ROW), ["_id", *ROW], n, percent, sketch_bits)
-    placed = keys.where("_member IS NOT NULL").select("_member", F.struct(F.col("_id").isNull().alias("null"), "_id", *ROW).alias("place")).join(roots, "_member")
+    named, row = with_row_ids(docs)
+    placed_at = [F.col(row[0]).alias("_file"), F.col(row[1]).alias("_at")]
+    keys, roots = memberships(_rows(named, text, F.col(doc_id).alias("_id"), *placed_at), ["_id", "_file", "_at"], n, percent, sketch_bits)
+    placed = keys.where("_member IS NOT NULL").select("_member", F.struct(F.col("_id").isNull().alias("null"), "_id", "_file", "_at").alias("place")).join(roots, "_member")
     first = placed.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1")
-    gone = materialise(placed.join(first, "root").where("place <> first").select("place._file", "place._at"), "gone")
+    gone = materialise(placed.join(first, "root").where("place <> first").select(F.col("place._file").alias(row[0]), F.col("place._at").alias(row[1])), "gone")
+    release(keys, roots)
     small = gone.count() <= BROADCAST_ROWS
-    return named.join(F.broadcast(gone) if small else gone, ROW, "left_anti").select(*[c for c in docs.columns if c not in ROW])
+    return named.join(F.broadcast(gone) if small else gone, row, "left_anti").select(*docs.columns)

@@ -1,223 +1,324 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame operations only.
-
-Lines with equal text (two 64-bit hashes) count as one.  The shingles of a line are
-all its runs of ``SHINGLE`` characters.
-
-Each distinct line is signed by 18 minima over the hashes of its shingles; three minima
-make a band.  Lines that agree in one of the
-six bands are compared, first each with the least line of its band and with the one
-before it, then, in bands whose lines are not all connected, every two lines of
-different components that a prefix join on rare shingles cannot rule out.  For lines of
-Jaccard 0.8 a band agrees with probability 0.51, one of six with 0.986.  Compared lines
-are linked if the exact Jaccard similarity of their shingle sets reaches the threshold;
-components of links are found by distributed union-find, and the first line of each
-component is kept.
+"""Fuzzy line deduplication by MinHash.
+
+A line's shingles are all its runs of ``SHINGLE`` characters; a shorter line is one
+shingle.  Lines with equal text (a 128-bit hash) count as one.  Blank lines are left
+alone.
+
+1. One pass over the texts cuts lines and signs each distinct line by 18 minima over
+   the hashes of its shingles (rolling hashes of whole batches in numpy); three minima
+   make a band.  For lines of Jaccard 0.8 a band agrees with probability 0.51, one of
+   six with 0.986.
+2. Bands of several lines are found by an aggregate; only their lines go on.  Each is
+   compared with the least and the greatest line of its band.
+3. In bands whose lines are not all connected, every two lines of different components
+   are compared that a prefix join on rare shingles (``setjoin``) cannot rule out.
+4. Compared lines are linked if the exact Jaccard similarity of their shingle sets
+   reaches the threshold; components of links are found by distributed union-find, and
+   the first line of each component is kept.
+
+The signing runs in Python: a run of characters costs about 260 ns in the JVM (explode,
+hash, 18 minima in one aggregate), and some 40 ns here.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chromaweave.llm.components import components
-from chromaweave.llm.store import free_shuffles, materialise, release
+from chromaweave.llm.setjoin import BROADCAST_ROWS, HASH_BITS, matched, meetings, prefix_length, rarity, shared_lists, verified
+from chromaweave.llm.store import free_shuffles, materialise, release, unused
 
 SHINGLE = 9
 THRESHOLD_PERCENT = 80
 BANDS, ROWS = 6, 3
-#: Lines under so many code points have all runs as shingles: every line, as Spark's strings are shorter.
-SHORT = 1 << 31
-#: Lines under so many code points, white space around them aside, are left alone.
-LEAST_CHARS = 8
-BLOCK, SUPER = 64, 4096
-#: Counters of the sketch of shingles in :func:`_open_pairs`, a byte each.
-SLOTS = 1 << 18
-#: Lists of keys (two numbers each) are broadcast up to so many, about 50 MB, and shuffled beyond.
-BROADCAST_ROWS = 1_000_000
-ROW = ["_file", "_at"]
+#: Code points hashed at once.
+BLOCK = 1 << 17
+#: Distinct lines that a task remembers, so that it signs them once.
+SEEN_LINES = 250_000
 
+_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_TURNS = np.random.default_rng(9).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """``docs`` with _file and _at, which tell rows apart and do not change between runs.
+
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two more columns, and their names, which tell rows apart and do not change between runs.
 
     Files know their rows' numbers; what does not come from files is written first.
     """
-    if "_file" in docs.columns or "_at" in docs.columns:
-        docs = docs.drop(*ROW)
+    row = [unused("_file", docs.columns), unused("_at", docs.columns)]
     try:
-        named = docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        named = docs.select("*", F.xxhash64("_metadata.file_path").alias(row[0]), F.col("_metadata.row_index").alias(row[1]))
         named.schema  # noqa: B018  resolves the columns
-        return named
+        return named, row
     except AnalysisException:
-        return materialise(docs.select("*", F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_at")), "rows")
-
-
-def lines_of(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """One row for each line worth comparing: row id, order, line number, line and its two hashes."""
-    cut = F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("_ln", "_raw")
-    each = rows.select(*ROW, F.col(order).alias("_order"), cut).withColumn("_line", F.trim(F.regexp_replace("_raw", r"\r", ""))).drop("_raw")
-    each = each.where(F.length("_line") >= LEAST_CHARS)
-    return each.select("*", F.xxhash64("_line", F.lit(1)).alias("k1"), F.xxhash64("_line", F.lit(2)).alias("k2"))
-
-
-def _blocks(line: Column, n: int) -> Column:
-    """Overlapping pieces of a line; together they hold each shingle once."""
-
-    def cut(s, size):
-        last = F.greatest(F.length(s) - n, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), F.floor(last / size).cast("int")), lambda i: F.substring(s, i * size + 1, F.lit(size + n - 1)))
-
-    return F.flatten(F.transform(cut(line, SUPER), lambda s: cut(s, BLOCK)))
-
-
-def _starts(block: Column, n: int) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(block) - n + 1, F.lit(1)))
-
-
-def shingle_hashes(line: Column, n: int) -> Column:
-    """Distinct 32-bit hashes of a line's shingles; of the whole line where it is shorter."""
-    each = F.transform(_blocks(line, n), lambda b: F.transform(_starts(b, n), lambda i: F.hash(F.substring(b, i, F.lit(n)))))
-    return F.array_distinct(F.flatten(each))
-
-
-def signatures(lines: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(k1, k2, m0 ... ) of each distinct line."""
-    # Blocks in a step of their own, lest every run carry its whole line along.
-    each = lines.select("k1", "k2", F.explode(_blocks(F.col("_line"), n)).alias("_b"))
-    each = each.select("k1", "k2", "_b", F.explode(_starts(F.col("_b"), n)).alias("_i"))
-    each = each.select("k1", "k2", F.hash(F.substring("_b", F.col("_i"), F.lit(n))).alias("_s"))
-    each = each.select("k1", "k2", *[F.xxhash64("_s", F.lit(j)).alias(f"_h{j}") for j in (1, 2, 3)])
-    minima = []
-    for k in range(BANDS * ROWS):
-        h, turn = F.col(f"_h{1 + k % 3}"), 10 * (k // 3)
-        turned = h if turn == 0 else F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn))
-        minima.append(F.min(turned).alias(f"m{k}"))
-    return each.groupBy("k1", "k2").agg(*minima)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets (me, s) reach the threshold."""
-    both = pairs.join(sets.select(F.col("me").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("me").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.where(_fits(F.size("sa"), F.size("sb"), percent))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    """Sets that differ too much in size cannot reach the threshold."""
-    return (a * 100 >= percent * b) & (b * 100 >= percent * a)
-
-
-def _open_pairs(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of lines of different components that may still be near.
-
-    A prefix join, and so exact, of the lines in buckets that hold several components:
-    sets that reach the threshold share a shingle among the first of each, the rarest
-    in front.
+        return materialise(docs.select("*", F.lit(0).cast("long").alias(row[0]), F.monotonically_increasing_id().alias(row[1])), "rows"), row
+
+
+def lines_of(text: str | None) -> list[str]:
+    """The lines of a text, without carriage returns and the blanks around."""
+    return [] if text is None else [x.strip(" ") for x in text.replace("\r", "").split("\n")]
+
+
+def line_key(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
+
+
+def _runs(points: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n code points, by doubling."""
+    one = (points.astype(np.uint64) + np.uint64(1)) * _MIX
+    one ^= one >> np.uint64(31)
+    one *= _MULTIPLY
+    out, size, power, factors = one, 1, _MULTIPLY, []
+    bits = bin(n)[3:]
+    with np.errstate(over="ignore"):
+        for bit in bits:
+            out, size = out[: len(out) - size] * power + out[size:], 2 * size
+            power = power * power
+            if bit == "1":
+                out, size = out[: len(out) - 1] * _MULTIPLY + one[size : size + len(out) - 1], size + 1
+                power = power * _MULTIPLY
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def shingle_hashes(line: str | None, n: int = SHINGLE) -> np.ndarray:
+    """Sorted 58-bit hashes of the distinct shingles of a line."""
+    if not line:
+        return np.empty(0, np.uint64)
+    return np.unique(_runs(_points(line.ljust(n, "\0")), n) >> np.uint64(64 - HASH_BITS))
+
+
+def sign(lines: list[str], n: int = SHINGLE) -> np.ndarray:
+    """The minima (lines x 18) of each line's shingles' hashes."""
+    out = np.full((len(lines), BANDS * ROWS), np.uint64(2**64 - 1))
+    pieces = [(j, s[a : a + BLOCK + n - 1]) for j, s in enumerate(x.ljust(n, "\0") for x in lines) for a in range(0, len(s) - n + 1, BLOCK)]
+    at = 0
+    while at < len(pieces):
+        stop, size = at, 0
+        while stop < len(pieces) and (size == 0 or size + len(pieces[stop][1]) <= BLOCK):
+            size += len(pieces[stop][1])
+            stop += 1
+        run = pieces[at:stop]
+        lengths = np.array([len(s) for _, s in run])
+        starts = np.cumsum(lengths) - lengths
+        h = _runs(_points("".join(s for _, s in run) + "\0"), n)
+        # From each piece's first run to after its last; runs across pieces lie between.
+        cuts = np.stack([starts, starts + lengths - n + 1], 1).ravel()
+        which = [j for j, _ in run]
+        for k, turn in enumerate(_TURNS):
+            least = np.minimum.reduceat(h ^ turn, cuts)[::2]
+            if stop - at == 1:
+                out[which[0], k] = min(out[which[0], k], least[0])
+            else:
+                np.minimum.at(out[:, k], which, least)
+        at = stop
+    return out
+
+
+def bands_of(minima: np.ndarray) -> np.ndarray:
+    """(lines x 6) hashes of the bands."""
+    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(minima), 1))
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            h = (h ^ minima[:, r::ROWS]) * _MULTIPLY
+            h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def signed_lines(rows: DataFrame, row: list[str], text: str, order: str, n: int) -> DataFrame:
+    """(file, at, ln, order, key, bands) of every line that is not blank; bands once for each line of a task."""
+    schema = T.StructType(
+        [T.StructField("file", T.LongType()), T.StructField("at", T.LongType()), T.StructField("ln", T.IntegerType()), T.StructField("order", rows.schema[order].dataType), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    )
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for b in batches:
+            of, numbers, keys, new, new_at = [], [], [], [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                for j, line in enumerate(lines_of(t)):
+                    if line:
+                        k = line_key(line)
+                        if k not in seen:
+                            if len(seen) >= SEEN_LINES:
+                                seen.clear()
+                            seen.add(k)
+                            new.append(line)
+                            new_at.append(len(keys))
+                        of.append(i)
+                        numbers.append(j)
+                        keys.append(k)
+            counts = np.zeros(len(keys) + 1, np.int32)
+            counts[1:][new_at] = BANDS
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(bands_of(sign(new, n)).ravel()), mask=pa.array(counts[1:] == 0))
+            take = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("file", "at")], pa.array(numbers, pa.int32()), b.column("order").take(take), pa.array(keys, pa.binary()), lists], names=schema.names)
+
+    wanted = rows.select(F.col(row[0]).alias("file"), F.col(row[1]).alias("at"), F.col(order).alias("order"), F.col(text).cast("string").alias("text"))
+    return wanted.mapInArrow(run, schema)
+
+
+def _texts(rows: DataFrame, text: str, need: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(member, text) of the lines whose keys are needed."""
+    count = need.count()
+    wanted = None
+    if count <= broadcast_rows:
+        keys = np.frombuffer(b"".join(bytes(r["member"])[:8] for r in need.toLocalIterator()), "<u8")
+        wanted = rows.sparkSession.sparkContext.broadcast(np.unique(keys))  # 8 bytes for each
+
+    def run(batches):
+        for b in batches:
+            lines = [x for t in b.column(0).to_pylist() for x in lines_of(t) if x]
+            keys = [line_key(x) for x in lines]
+            if wanted is not None:
+                table = wanted.value
+                h = np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
+                hit = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
+                keep = {keys[i]: lines[i] for i in np.flatnonzero(hit).tolist()}
+            else:
+                keep = dict(zip(keys, lines, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.binary()), pa.array(list(keep.values()), pa.string())], names=["member", "text"])
+
+    found = rows.select(F.col(text).cast("string")).mapInArrow(run, "member binary, text string")
+    found = found.join(F.broadcast(need) if count <= broadcast_rows else need, "member", "left_semi")
+    return materialise(found.groupBy("member").agg(F.first("text").alias("text")), "linetexts")
+
+
+def _open_pairs(buckets: DataFrame, texts: DataFrame, roots: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of lines of different components that share a band and may still be near.
+
+    A prefix join, and so exact, of the lines in bands that hold several components.
     """
-    placed = buckets.join(roots.select(F.col("node").alias("me"), "root"), "me", "left").select("band", "me", F.coalesce("root", "me").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    members = materialise(placed.join(mixed, "band").select("me", "root").distinct().join(sets, "me"), "openlines")
-    # How common shingles are, by powers of two, in a sketch of fixed size: any order is exact.
-    slot = lambda x: F.pmod(x, F.lit(SLOTS))
-    often = members.select(F.explode("s").alias("x")).groupBy(slot(F.col("x")).alias("slot")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("level"))
-    levels = bytearray(SLOTS)
-    for r in often.collect():  # SLOTS rows at most
-        levels[r["slot"]] = r["level"]
-    level = lambda x: F.ascii(F.substring(F.lit(bytes(levels)), slot(x) + 1, F.lit(1)).cast("string"))
-    ranked = F.sort_array(F.transform("s", lambda x: F.shiftleft(level(x).cast("long"), 32) + x + F.lit(1 << 31)))
-    first = F.slice(ranked, F.lit(1), (F.size("s") - F.ceil(F.size("s") * percent / F.lit(100)) + 1).cast("int"))
-    prefix = materialise(members.select("me", "root", F.size("s").alias("n"), F.explode(first).alias("x")), "lineprefixes")
-    # Only shingles of several components can join any.
-    mixed = prefix.select("x", F.xxhash64("root").alias("r")).groupBy("x").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("x")
-    mixed = materialise(mixed, "mixed")
-    located = materialise(prefix.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "x"), "located")
-    release(members, prefix, mixed)
-    free_shuffles(buckets.sparkSession)
-    # Lines of a shingle's largest component meet those of others only.
-    major = located.groupBy("x", "root").count().groupBy("x").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
-    placed = located.join(major, "x").withColumn("is_major", F.col("root") == F.col("major"))
-    one, two = (placed.select("x", *[F.col(c).alias(f"{c}{i}") for c in ("me", "root", "n", "is_major")]) for i in (1, 2))
-    meet = one.where(~F.col("is_major1")).join(two, "x").where((F.col("root1") != F.col("root2")) & (F.col("is_major2") | (F.col("me1") < F.col("me2"))) & _fits(F.col("n1"), F.col("n2"), percent))
-    meet = meet.groupBy(F.least("me1", "me2").alias("a"), F.greatest("me1", "me2").alias("b")).agg(F.count("*").alias("c"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    # All common shingles outside both prefixes lie in the rest of one of the sets.
-    rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("n1", "n2")])
-    pairs = materialise(meet.where((F.col("c") + rest) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent).select("a", "b"), "openpairs")
-    release(located)
-    return pairs
-
-
-def near_components(lines: DataFrame, n: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """(node, root) of lines linked to others: structs of their two hashes."""
-    me = F.struct("k1", "k2")
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    posted = signatures(lines, n).select("k1", "k2", F.explode(F.array(*bands)).alias("band"))
-    order = W.partitionBy("band").orderBy("k1", "k2")
-    seen = posted.select("k1", "k2", "band", *[f(c).over(order).alias(f"{name}{c[1]}") for name, f in (("h", F.first), ("p", F.lag), ("x", F.lead)) for c in ("k1", "k2")])
-    buckets = materialise(seen.where("p1 IS NOT NULL OR x1 IS NOT NULL").drop("x1", "x2"), "linebuckets")
-    free_shuffles(lines.sparkSession)
-    # First each line with the least of its bucket and with the one before it.
-    other = F.array_distinct(F.array(F.struct(F.col("h1").alias("k1"), F.col("h2").alias("k2")), F.struct(F.col("p1").alias("k1"), F.col("p2").alias("k2"))))
-    pairs = buckets.where("p1 IS NOT NULL").select(me.alias("b"), F.explode(other).alias("a"))
-    pairs = materialise(pairs.select("a", "b").distinct(), "linepairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("me")).distinct()
-    small = need.count() <= BROADCAST_ROWS
-    texts = lines.select(me.alias("me"), "_line").join(F.broadcast(need) if small else need, "me", "left_semi")
-    texts = texts.groupBy("me").agg(F.first("_line").alias("_line"))
-    # Written once: both ends of the pairs read it.
-    sets = materialise(texts.select("me", shingle_hashes(F.col("_line"), n).alias("s")), "linesets")
-    links = materialise(_verified(pairs, sets, percent), "linelinks")
+    spark = texts.sparkSession
+    moved = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+    placed = buckets.join(moved.select(F.col("node").alias("key"), "root"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    mixed = materialise(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "mixedbands")
+    members = placed.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "band", "left_semi").select(F.col("key").alias("member"), "root").distinct()
+    members = materialise(members.join(texts, "member"), "openlines")
+    size = members.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    table = spark.sparkContext.broadcast(rarity(members.select("text"), lambda t: shingle_hashes(t, n), size))
+
+    def run(batches):
+        held = table.value
+        for b in batches:
+            sizes, matchable, prefixes = [], [], []
+            for t in b.column("text").to_pylist():
+                s = held.ordered(shingle_hashes(t, n))
+                sizes.append(len(s))
+                matchable.append(len(matched(s)))
+                prefixes.append(matched(s[: prefix_length(len(s), percent)]).astype(np.int64) if 100 * matchable[-1] >= percent * len(s) else [])
+            yield pa.RecordBatch.from_arrays([b.column("member"), b.column("root"), pa.array(sizes, pa.int64()), pa.array(matchable, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "root", "n", "e", "prefix"])
+
+    posted = members.mapInArrow(run, "node binary, root binary, n long, e long, prefix array<long>").where("size(prefix) > 0")
+    lists = shared_lists(posted.select("node", "n", "e", F.explode("prefix").alias("s")))
+    spread = members.select(F.col("member").alias("node"), F.col("root").alias("lo"), F.col("root").alias("hi"))
+    met = meetings(lists, spread, percent).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    release(mixed, lists, members)
+    return met
+
+
+def near_components(rows: DataFrame, text: str, lines: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """(node, root) of the keys of lines linked to others."""
+    spark = rows.sparkSession
+    posted = lines.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
+    shared = posted.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    shared = materialise(shared, "sharedbands")
+    small = shared.count() <= broadcast_rows
+    buckets = materialise(posted.join(F.broadcast(shared) if small else shared, "band").distinct(), "linebuckets")
+    release(shared)
+    free_shuffles(spark)
+    # First each line with the least and the greatest of its bands.
+    ends = buckets.select("key", F.explode(F.array("lo", "hi")).alias("to")).where("key <> to")
+    pairs = materialise(ends.select(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).distinct(), "linepairs")
+    need = materialise(buckets.select(F.col("key").alias("member")).distinct(), "needlines")
+    texts = _texts(rows, text, need, broadcast_rows)
+    free_shuffles(spark)
+    elements = lambda t: shingle_hashes(t, n)
+    links = verified(pairs, texts, elements, percent)
     roots = materialise(components(links), "lineroots")
     # Then all pairs that could join two components.
-    left = _open_pairs(buckets.select("band", me.alias("me")), sets, roots, percent)
-    more = materialise(_verified(left, sets, percent), "linelinks")
-    release(pairs, left, buckets, sets)
-    if more.limit(1).count():
-        release(roots)
-        roots = materialise(components(links.unionByName(more)), "lineroots")
-    release(links, more)
+    left = _open_pairs(buckets, texts, roots, n, percent)
+    if left.limit(1).count():
+        ends = left.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+        more = verified(left, texts.join(ends, "member", "left_semi"), elements, percent)
+        if more.limit(1).count():
+            release(roots)
+            roots = materialise(components(links.unionByName(more)), "lineroots")
+        release(more)
+    release(pairs, left, buckets, links, need, texts)
+    free_shuffles(spark)
     return roots
 
 
-def dropped_lines(rows: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """(_file, _at, drop): the numbers of the lines of a document that repeat an earlier one.
+def dropped_lines(rows: DataFrame, row: list[str], text: str = "text", order: str = "doc_id", n: int = SHINGLE, percent: int = THRESHOLD_PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(file, at, drop), written: the numbers of the lines of a document that repeat an earlier one.
 
     Earlier means: of the least document by ``order`` (nulls last), then by row id and
     line number.
     """
-    lines = lines_of(rows, text, order)
-    place = F.struct(F.col("_order").isNull().alias("null"), "_order", *ROW, "_ln")
-    seen = materialise(lines.select("k1", "k2", place.alias("place")), "lines")
-    distinct = seen.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    roots = near_components(lines).select("node.k1", "node.k2", "root")
-    known = distinct.join(roots, ["k1", "k2"], "left").where("n > 1 OR root IS NOT NULL")
-    known = materialise(known, "knownlines")
+    lines = materialise(signed_lines(rows, row, text, order, n), "lines")
+    roots = near_components(rows, text, lines, n, percent, broadcast_rows)
+    place = F.struct(F.col("order").isNull().alias("null"), "order", "file", "at", "ln")
+    # Lines that stand alone drop out; of the others the first place by key, and by component.
+    first = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    moved = F.broadcast(roots) if roots.count() <= broadcast_rows else roots
+    known = first.join(moved.select(F.col("node").alias("key"), "root"), "key", "left").where("n > 1 OR root IS NOT NULL")
+    known = materialise(known.select("key", "first", "root"), "knownlines")
     kept = known.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("kept"))
-    keep = known.join(kept, "root", "left").select("k1", "k2", F.coalesce("kept", "first").alias("keep"))
-    drops = seen.join(keep, ["k1", "k2"]).where("place <> keep")
-    return drops.groupBy("place._file", "place._at").agg(F.collect_set("place._ln").alias("drop"))
+    kept = F.broadcast(kept) if known.count() <= broadcast_rows else kept
+    keep = known.join(kept, "root", "left").select("key", F.coalesce("kept", "first").alias("keep"))
+    keep = materialise(keep, "keep")
+    seen = lines.select("key", "file", "at", "ln", place.alias("place"))
+    drops = seen.join(F.broadcast(keep) if keep.count() <= broadcast_rows else keep, "key").where("place <> keep")
+    drops = materialise(drops.groupBy("file", "at").agg(F.collect_set("ln").alias("drop")), "drops")
+    release(lines, roots, known, keep)
+    return drops
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", kept: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", kept: str | None = None, n: int = SHINGLE, percent: int = THRESHOLD_PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` without lines that repeat, exactly or nearly, a line elsewhere.
 
-    Of each group of near lines the first one stays, by document and line number.
-    Lines under LEAST_CHARS code points (so empty ones too) stay.  Rows and their order
-    of columns stay; a text of which nothing is left becomes empty; null texts stay
-    null.  ``kept`` names an additional column: the numbers of the kept lines.  Repeated
-    rows lose all lines but in the first; an empty table gives an empty table.  Columns
-    called _file or _at are reserved.
+    Of each group of near lines the first one stays, by document and line number.  Blank
+    lines stay.  Rows and their order of columns stay; a text of which nothing is left
+    becomes empty; null texts stay null.  ``kept`` names an additional column: the
+    numbers of the kept lines; an input column of that name is replaced.  Repeated rows
+    lose all lines but in the first; an empty table gives an empty table.  Other
+    columns may have any name.  Tables of keys go to every task up to
+    ``broadcast_rows`` rows, and are shuffled beyond.
     """
-    rows = with_row_ids(docs)
-    drops = materialise(dropped_lines(rows, text, order), "drops")
-    small = drops.count() <= BROADCAST_ROWS
-    lines = F.split(F.col(text).cast("string"), "\n")
-    joined = rows.join(F.broadcast(drops) if small else drops, ROW, "left")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    stay = F.when(F.col("drop").isNull(), numbers).otherwise(F.array_except(numbers, "drop"))
-    joined = joined.withColumn("_stay", stay)
-    rest = F.when(F.col("drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform("_stay", lambda i: F.element_at(lines, i + 1)), "\n"))
-    out = [rest.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ROW]
-    return joined.select(*out, *([F.when(F.col(text).isNotNull(), F.col("_stay")).alias(kept)] if kept else []))
+    rows, row = with_row_ids(docs)
+    drops = dropped_lines(rows, row, text, order, n, percent, broadcast_rows)
+    gone = unused("_drop", docs.columns)
+    drops = drops.select(F.col("file").alias(row[0]), F.col("at").alias(row[1]), F.col("drop").alias(gone))
+    joined = rows.join(F.broadcast(drops) if drops.count() <= broadcast_rows else drops, row, "left")
+    out = [c for c in docs.columns if c != kept]
+    schema = T.StructType([T.StructField(c, T.StringType()) if c == text else docs.schema[c] for c in out] + ([T.StructField(kept, T.ArrayType(T.IntegerType()))] if kept else []))
+
+    def cut(batches):
+        for b in batches:
+            texts, numbers = b.column(text).to_pylist(), []
+            for i, without in enumerate(b.column(gone).to_pylist()):
+                lines = texts[i].split("\n") if texts[i] is not None and (kept or without) else []
+                stay = range(len(lines))
+                if without:
+                    stay = sorted(set(stay).difference(without))
+                    texts[i] = "\n".join([lines[j] for j in stay])
+                numbers.append(None if texts[i] is None else list(stay))
+            columns = [pa.array(texts, pa.string()) if c == text else b.column(c) for c in out]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(numbers, pa.list_(pa.int32()))] if kept else []), names=schema.names)
+
+    wanted = [F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in out]
+    return joined.select(*wanted, gone).mapInArrow(cut, schema)

@@ -64,3 +64,11 @@ def batches_of(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(BATCH_ROWS, before)
+
+
+def unused(name: str, columns) -> str:
+    """``name``, with underscores behind it until no column is called like it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chromaweave.llm import jaccard, queries
+from chromaweave.llm import jaccard, queries, setjoin
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,9 +64,31 @@ def test_chain_and_empty(spark, docs):
     assert run(docs(rows), sketch_bits=10) == brute(rows)
 
 
+def test_keep_one_and_names_used_inside(spark, docs):
+    names = ["_text", "_t1", "_t2", "_id", "_file", "_at", "_n", "node"]
+    w = [f"w{i}" for i in range(60)]
+    rows = [(4, " ".join(w)), (2, " ".join(w[:-1])), (None, " ".join(w)), (2, " ".join(w[:-1])), (9, None), (8, None), (7, ""), (6, "other words")]
+    got = jaccard.keep_one(docs(rows).withColumns({c: F.lit(c) for c in names}))
+    assert got.columns[-len(names) :] == names
+    assert sorted((str(r.doc_id), r["_at"]) for r in got.collect()) == [(x, "_at") for x in ("2", "6", "7", "8", "9")]
+    assert jaccard.keep_one(docs([])).count() == 0
+
+
+def test_large_group_of_near_copies_that_mostly_do_not_link(spark, docs):
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for at in r.sample(range(200), r.choice([2, 5, 6])):
+            t[at] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    assert run(docs(rows)) == brute(rows)
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 300):
-        p = jaccard.prefix_length(n, 80)
+        p = setjoin.prefix_length(n, 80)
         # n - p further shingles alone are too few for the least overlap that is needed.
         assert n - p < np.ceil(n * 80 / 100) <= n - p + 1
 
