@@ -8,16 +8,18 @@ alone.
    the hashes of its shingles (rolling hashes of whole batches in numpy); three minima
    make a band.  For lines of Jaccard 0.8 a band agrees with probability 0.51, one of
    six with 0.986.
-2. Bands of several lines are found by an aggregate; only their lines go on.  Each is
-   compared with the least and the greatest line of its band.
-3. In bands whose lines are not all connected, every two lines of different components
-   are compared that a prefix join on rare shingles (``setjoin``) cannot rule out.
-4. Compared lines are linked if the exact Jaccard similarity of their shingle sets
-   reaches the threshold; components of links are found by distributed union-find, and
-   the first line of each component is kept.
+2. Bands of several lines are found by an aggregate; only their lines go on, each to a
+   task for every one of its bands.  There bitmaps of the shingle sets rule out most
+   pairs, and the others are compared whole unless links connect them already.
+3. Bands too large for a task (``TASK_ELEMENTS``) are compared by a prefix join on rare
+   shingles (``setjoin``).  Either way no pair of a band is left out that could connect
+   two components.
+4. Lines are linked if the exact Jaccard similarity of their shingle sets reaches the
+   threshold; components of links are found by distributed union-find, and the first
+   line of each component is kept.
 
 The signing runs in Python: a run of characters costs about 260 ns in the JVM (explode,
-hash, 18 minima in one aggregate), and some 40 ns here.
+hash, 18 minima in one aggregate), and 34 ns here.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromaweave.llm.components import components
-from chromaweave.llm.setjoin import BROADCAST_ROWS, HASH_BITS, matched, meetings, prefix_length, rarity, shared_lists, verified
+from chromaweave.llm.setjoin import BROADCAST_ROWS, HASH_BITS, LEAST_SEEN, MOST_SEEN, matched, meetings, prefix_length, rarity, shared_lists, verified
 from chromaweave.llm.store import free_shuffles, materialise, release, unused
 
 SHINGLE = 9
@@ -39,6 +41,8 @@ THRESHOLD_PERCENT = 80
 BANDS, ROWS = 6, 3
 #: Code points hashed at once.
 BLOCK = 1 << 17
+#: Bands whose lines have up to so many shingles are compared by one task, larger ones by a join.
+TASK_ELEMENTS = 4_000_000
 #: Distinct lines that a task remembers, so that it signs them once.
 SEEN_LINES = 250_000
 
@@ -139,9 +143,9 @@ def bands_of(minima: np.ndarray) -> np.ndarray:
 
 
 def signed_lines(rows: DataFrame, row: list[str], text: str, order: str, n: int) -> DataFrame:
-    """(file, at, ln, order, key, bands) of every line that is not blank; bands once for each line of a task."""
+    """(file, at, ln, order, key, half, bands) of every line that is not blank; bands once for each line of a task."""
     schema = T.StructType(
-        [T.StructField("file", T.LongType()), T.StructField("at", T.LongType()), T.StructField("ln", T.IntegerType()), T.StructField("order", rows.schema[order].dataType), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+        [T.StructField("file", T.LongType()), T.StructField("at", T.LongType()), T.StructField("ln", T.IntegerType()), T.StructField("order", rows.schema[order].dataType), T.StructField("key", T.BinaryType()), T.StructField("half", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     )
 
     def run(batches):
@@ -165,14 +169,14 @@ def signed_lines(rows: DataFrame, row: list[str], text: str, order: str, n: int)
             counts[1:][new_at] = BANDS
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(bands_of(sign(new, n)).ravel()), mask=pa.array(counts[1:] == 0))
             take = pa.array(of, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("file", "at")], pa.array(numbers, pa.int32()), b.column("order").take(take), pa.array(keys, pa.binary()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("file", "at")], pa.array(numbers, pa.int32()), b.column("order").take(take), pa.array(keys, pa.binary()), pa.array(np.frombuffer(b"".join(keys), "<i8")[::2]), lists], names=schema.names)
 
     wanted = rows.select(F.col(row[0]).alias("file"), F.col(row[1]).alias("at"), F.col(order).alias("order"), F.col(text).cast("string").alias("text"))
     return wanted.mapInArrow(run, schema)
 
 
-def _texts(rows: DataFrame, text: str, need: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(member, text) of the lines whose keys are needed."""
+def _texts(rows: DataFrame, text: str, need: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
+    """(member, text, n) with the sizes of sets of the lines whose keys are needed."""
     count = need.count()
     wanted = None
     if count <= broadcast_rows:
@@ -192,85 +196,160 @@ def _texts(rows: DataFrame, text: str, need: DataFrame, broadcast_rows: int) ->
                 keep = dict(zip(keys, lines, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.binary()), pa.array(list(keep.values()), pa.string())], names=["member", "text"])
 
+    def measure(batches):
+        for b in batches:
+            yield b.append_column("n", pa.array([len(shingle_hashes(t, n)) for t in b.column("text").to_pylist()], pa.int64()))
+
     found = rows.select(F.col(text).cast("string")).mapInArrow(run, "member binary, text string")
     found = found.join(F.broadcast(need) if count <= broadcast_rows else need, "member", "left_semi")
-    return materialise(found.groupBy("member").agg(F.first("text").alias("text")), "linetexts")
+    found = found.groupBy("member").agg(F.first("text").alias("text"))
+    return materialise(found.mapInArrow(measure, "member binary, text string, n long"), "linetexts")
+
+
+class _Band:
+    """Links of the lines of one band, enough to connect all that are near.
 
+    A bitmap of each set's hashes gives a lower bound of how many elements two sets do
+    not share, and so rules out most pairs; what it leaves is compared whole, nearest
+    first, unless earlier links connect the two already.
+    """
 
-def _open_pairs(buckets: DataFrame, texts: DataFrame, roots: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of lines of different components that share a band and may still be near.
+    BITS = 2048
+
+    def __init__(self, texts: list[str], n: int, percent: int):
+        self.sets = [shingle_hashes(t, n) for t in texts]
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.percent = percent
+
+    def near(self, i: int, j: int) -> bool:
+        x, y = self.sets[i], self.sets[j]
+        both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+        return 100 * both >= self.percent * (len(x) + len(y) - both)
+
+    def links(self) -> list[tuple[int, int]]:
+        if len(self.sets) == 2:
+            return [(0, 1)] if self.near(0, 1) else []
+        bits = np.zeros((len(self.sets), self.BITS), bool)
+        for row, s in zip(bits, self.sets, strict=True):
+            row[(s & np.uint64(self.BITS - 1)).astype(np.int64)] = True
+        bitmaps = np.packbits(bits, axis=1).view(np.uint64)
+        root, out = np.arange(len(self.sets)), []
+        for i in range(1, len(self.sets)):
+            apart = np.bitwise_count(bitmaps[:i] ^ bitmaps[i]).sum(1, dtype=np.int64)
+            may = np.flatnonzero(apart * (100 + self.percent) <= (self.sizes[:i] + self.sizes[i]) * (100 - self.percent))
+            for j in may[np.argsort(apart[may], kind="stable")].tolist():
+                if root[i] != root[j] and self.near(i, j):
+                    out.append((j, i))
+                    lo, hi = sorted((root[i], root[j]))
+                    root[: i + 1][root[: i + 1] == hi] = lo
+        return out
+
+
+def _band_links(placed: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of near lines, from rows (band, key, text) of bands that fit a task."""
+
+    def found(keys, texts):
+        return [(keys[i], keys[j]) for i, j in _Band(texts, n, percent).links()] if len(keys) > 1 else []
 
-    A prefix join, and so exact, of the lines in bands that hold several components.
+    def run(batches):
+        band, keys, texts, out = None, [], [], []
+        for b in batches:
+            for x, k, t in zip(*(b.column(c).to_pylist() for c in ("band", "key", "text")), strict=True):
+                if x != band:
+                    out += found(keys, texts)
+                    band, keys, texts = x, [], []
+                keys.append(k)
+                texts.append(t)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+                out = []
+        out += found(keys, texts)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    dealt = placed.select("band", "key", "text").repartition("band").sortWithinPartitions("band", "key")
+    return materialise(dealt.mapInArrow(run, "a binary, b binary"), "bandlinks")
+
+
+def _large_links(placed: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of near lines, from rows (band, key) of bands that no task should hold.
+
+    Lines are compared with the least and the greatest line of their band, then, where
+    components differ, by a prefix join on the elements of the band that they share.
     """
-    spark = texts.sparkSession
+    spark, elements = texts.sparkSession, lambda t: shingle_hashes(t, n)
+    ends = placed.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    ends = placed.join(F.broadcast(materialise(ends, "bandends")), "band").select("key", F.explode(F.array("lo", "hi")).alias("to")).where("key <> to")
+    pairs = materialise(ends.select(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).distinct(), "linepairs")
+    links = verified(pairs, texts, elements, percent, as_sets=False)
+    roots = materialise(components(links), "lineroots")
     moved = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
-    placed = buckets.join(moved.select(F.col("node").alias("key"), "root"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    mixed = materialise(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "mixedbands")
-    members = placed.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "band", "left_semi").select(F.col("key").alias("member"), "root").distinct()
+    placed = placed.join(moved.select(F.col("node").alias("key"), "root"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    members = placed.groupBy(F.col("key").alias("member")).agg(F.first("root").alias("root"), F.collect_set("band").alias("bands"))  # BANDS at most
     members = materialise(members.join(texts, "member"), "openlines")
-    size = members.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    table = spark.sparkContext.broadcast(rarity(members.select("text"), lambda t: shingle_hashes(t, n), size))
+    size = members.agg(F.sum("n")).first()[0] or 0
+    table = spark.sparkContext.broadcast(rarity(members.select("text"), elements, size, seen_bits=min(MOST_SEEN, max(LEAST_SEEN, (8 * size).bit_length()))))
 
     def run(batches):
         held = table.value
         for b in batches:
-            sizes, matchable, prefixes = [], [], []
+            matchable, prefixes = [], []
             for t in b.column("text").to_pylist():
                 s = held.ordered(shingle_hashes(t, n))
-                sizes.append(len(s))
                 matchable.append(len(matched(s)))
                 prefixes.append(matched(s[: prefix_length(len(s), percent)]).astype(np.int64) if 100 * matchable[-1] >= percent * len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column("member"), b.column("root"), pa.array(sizes, pa.int64()), pa.array(matchable, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "root", "n", "e", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("member"), b.column("bands"), b.column("n"), pa.array(matchable, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "bands", "n", "e", "prefix"])
 
-    posted = members.mapInArrow(run, "node binary, root binary, n long, e long, prefix array<long>").where("size(prefix) > 0")
-    lists = shared_lists(posted.select("node", "n", "e", F.explode("prefix").alias("s")))
+    posted = members.mapInArrow(run, "node binary, bands array<long>, n long, e long, prefix array<long>").where("size(prefix) > 0")
+    posted = posted.select("node", "n", "e", "prefix", F.explode("bands").alias("band")).select("node", "n", "e", "band", F.explode("prefix").alias("x"))
+    lists = shared_lists(posted.select("node", "n", "e", F.xxhash64("band", "x").alias("s")))
     spread = members.select(F.col("member").alias("node"), F.col("root").alias("lo"), F.col("root").alias("hi"))
     met = meetings(lists, spread, percent).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
-    release(mixed, lists, members)
-    return met
+    more = verified(met.join(pairs, ["a", "b"], "left_anti"), texts, elements, percent, as_sets=False)
+    out = materialise(links.unionByName(more), "largelinks")
+    release(pairs, links, roots, members, lists, met, more)
+    return out
 
 
-def near_components(rows: DataFrame, text: str, lines: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
+def near_components(rows: DataFrame, text: str, lines: DataFrame, n: int, percent: int, broadcast_rows: int, task_elements: int) -> DataFrame:
     """(node, root) of the keys of lines linked to others."""
     spark = rows.sparkSession
-    posted = lines.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
-    shared = posted.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    # By the first half of keys: most bands have one line, and go here.
+    shared = lines.where("bands IS NOT NULL").select("half", F.explode("bands").alias("band"))
+    shared = shared.groupBy("band").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo <> hi").select("band")
     shared = materialise(shared, "sharedbands")
-    small = shared.count() <= broadcast_rows
-    buckets = materialise(posted.join(F.broadcast(shared) if small else shared, "band").distinct(), "linebuckets")
+    posted = lines.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
+    buckets = posted.join(F.broadcast(shared) if shared.count() <= broadcast_rows else shared, "band").distinct()
+    buckets = materialise(buckets, "linebuckets")
     release(shared)
-    free_shuffles(spark)
-    # First each line with the least and the greatest of its bands.
-    ends = buckets.select("key", F.explode(F.array("lo", "hi")).alias("to")).where("key <> to")
-    pairs = materialise(ends.select(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).distinct(), "linepairs")
     need = materialise(buckets.select(F.col("key").alias("member")).distinct(), "needlines")
-    texts = _texts(rows, text, need, broadcast_rows)
+    texts = _texts(rows, text, need, n, broadcast_rows)
+    release(need)
     free_shuffles(spark)
-    elements = lambda t: shingle_hashes(t, n)
-    links = verified(pairs, texts, elements, percent)
-    roots = materialise(components(links), "lineroots")
-    # Then all pairs that could join two components.
-    left = _open_pairs(buckets, texts, roots, n, percent)
-    if left.limit(1).count():
-        ends = left.select(F.explode(F.array("a", "b")).alias("member")).distinct()
-        more = verified(left, texts.join(ends, "member", "left_semi"), elements, percent)
-        if more.limit(1).count():
-            release(roots)
-            roots = materialise(components(links.unionByName(more)), "lineroots")
-        release(more)
-    release(pairs, left, buckets, links, need, texts)
+    # How many elements the lines of a band have tells whether a task can hold them.
+    placed = buckets.join(texts.select(F.col("member").alias("key"), "text", "n"), "key")
+    large = placed.groupBy("band").agg(F.sum("n").alias("all")).where(F.col("all") > task_elements).select("band")
+    large = materialise(large, "largebands")
+    if large.limit(1).count():
+        links = _band_links(placed.join(F.broadcast(large), "band", "left_anti"), n, percent)
+        more = _large_links(materialise(buckets.join(F.broadcast(large), "band", "left_semi"), "largebuckets"), texts, n, percent)
+        links = materialise(links.unionByName(more), "linelinks")
+    else:
+        links = _band_links(placed, n, percent)
+    release(buckets, texts, large)
     free_shuffles(spark)
+    roots = materialise(components(links), "lineroots")
+    release(links)
     return roots
 
 
-def dropped_lines(rows: DataFrame, row: list[str], text: str = "text", order: str = "doc_id", n: int = SHINGLE, percent: int = THRESHOLD_PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dropped_lines(rows: DataFrame, row: list[str], text: str = "text", order: str = "doc_id", n: int = SHINGLE, percent: int = THRESHOLD_PERCENT, broadcast_rows: int = BROADCAST_ROWS, task_elements: int = TASK_ELEMENTS) -> DataFrame:
     """(file, at, drop), written: the numbers of the lines of a document that repeat an earlier one.
 
     Earlier means: of the least document by ``order`` (nulls last), then by row id and
     line number.
     """
     lines = materialise(signed_lines(rows, row, text, order, n), "lines")
-    roots = near_components(rows, text, lines, n, percent, broadcast_rows)
+    roots = near_components(rows, text, lines, n, percent, broadcast_rows, task_elements)
     place = F.struct(F.col("order").isNull().alias("null"), "order", "file", "at", "ln")
     # Lines that stand alone drop out; of the others the first place by key, and by component.
     first = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -288,7 +367,7 @@ def dropped_lines(rows: DataFrame, row: list[str], text: str = "text", order: st
     return drops
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", kept: str | None = None, n: int = SHINGLE, percent: int = THRESHOLD_PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", kept: str | None = None, n: int = SHINGLE, percent: int = THRESHOLD_PERCENT, broadcast_rows: int = BROADCAST_ROWS, task_elements: int = TASK_ELEMENTS) -> DataFrame:
     """``docs`` without lines that repeat, exactly or nearly, a line elsewhere.
 
     Of each group of near lines the first one stays, by document and line number.  Blank
@@ -300,7 +379,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", kept
     ``broadcast_rows`` rows, and are shuffled beyond.
     """
     rows, row = with_row_ids(docs)
-    drops = dropped_lines(rows, row, text, order, n, percent, broadcast_rows)
+    drops = dropped_lines(rows, row, text, order, n, percent, broadcast_rows, task_elements)
     gone = unused("_drop", docs.columns)
     drops = drops.select(F.col("file").alias(row[0]), F.col("at").alias(row[1]), F.col("drop").alias(gone))
     joined = rows.join(F.broadcast(drops) if drops.count() <= broadcast_rows else drops, row, "left")

@@ -202,31 +202,41 @@ def meetings(lists: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, elements: Elements, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, elements: Elements, percent: int, as_sets: bool = True) -> DataFrame:
     """Those of the pairs (a, b) of members whose whole sets reach the threshold, written.
 
-    ``texts`` has member and text, once for every member of a pair; each text becomes
-    its set once.
+    ``texts`` has member and text, once for every member of a pair.  Sets are made once
+    for every text, or (short texts, much smaller than their sets) for every pair; then
+    ``texts`` has n, the sets' sizes, and pairs of too different sizes are not tried.
     """
+    body, made = texts, None
 
     def make(batches):
         for b in batches:
             sets = [elements(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("member"), pa.array(sets, pa.binary())], names=["member", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("member"), pa.array(sets, pa.binary())], names=["member", "text"])
 
-    sets = materialise(texts.select("member", "text").mapInArrow(make, "member binary, set binary"), "sets")
-    both = pairs.join(sets.select(F.col("member").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("member").alias("b"), F.col("set").alias("sb")), "b")
+    if as_sets:
+        body = made = materialise(body.select("member", "text").mapInArrow(make, "member binary, text binary"), "sets").withColumn("n", F.lit(1))
+    one, two = (body.select(F.col("member").alias(x), F.col("text").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "sa", "sb")
 
     def test(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            keep, last, y = [], None, None
+            for one, other in zip(b.column("sa"), b.column("sb"), strict=True):
+                if as_sets:
+                    x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
+                else:
+                    x, other = elements(one.as_py()), other.as_py()
+                    if other != last:  # pairs come by their second member
+                        last, y = other, elements(other)
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with batches_of(pairs.sparkSession, PAIRS_AT_ONCE):
         links = materialise(both.mapInArrow(test, "a binary, b binary"), "links")
-    release(sets)
+    if made is not None:
+        release(made)
     return links

@@ -103,8 +103,8 @@ def test_shuffled_tables_give_the_same(spark, docs):
     r = random.Random(6)
     base = ["".join(r.choice("abcdef ") for _ in range(60)) for _ in range(12)]
     rows = [(i, "\n".join(x[:at] + "Z" + x[at + 1 :] if (at := r.randrange(80)) < 60 else x for x in r.sample(base, 3))) for i in range(60)]
-    got = [sorted((x.doc_id, x.text) for x in linededup.dedup_lines(docs(rows), broadcast_rows=n).collect()) for n in (0, 10**6)]
-    assert got[0] == got[1]
+    got = [sorted((x.doc_id, x.text) for x in linededup.dedup_lines(docs(rows), **k).collect()) for k in ({}, {"broadcast_rows": 0}, {"task_elements": 100})]
+    assert got[0] == got[1] == got[2]
 
 
 def test_signing_in_blocks(monkeypatch):
