@@ -4,18 +4,18 @@ Features are the n-grams of 1 to 3 characters of the lower-cased letters, other
 characters counting as one separator, hashed into a fixed number of slots.  Document
 frequencies come from every training document.  Weights are fitted in numpy by
 follow-the-regularised-leader with an elastic net, on a bounded sample of training
-rows (``sample_rows``, spread evenly over the labels and chosen by a hash of the
-row), and a temperature is fitted on the part of that sample that was not trained on.
+rows (``sample_rows``, an equal number at most for each label, chosen by a hash of the
+whole row), and a temperature is fitted on the part of that sample that was not trained on.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,9 @@ from chromaweave.llm.store import materialise, release
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
 GRAMS = (1, 2, 3)
-#: Rows of labelled text that the weights are fitted on, at most (in expectation).
+#: Rows of labelled text that the weights are fitted on, at most.
 SAMPLE_ROWS = 4000
-#: Labels that are learned; the rarest beyond them are not.
+#: Of a classifier's bounded sample: the labels that may be learned, the most frequent ones.
 MAX_LABELS = 256
 BLOCK_CHARS = 1 << 20
 UNDETERMINED = "und"
@@ -155,59 +155,68 @@ def fit_temperature(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]
     return float(min(np.geomspace(0.05, 20, 241), key=loss))
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", train: Column | None = None, sample_rows: int = SAMPLE_ROWS, max_labels: int = MAX_LABELS) -> Model:
+def sampled(rows: DataFrame, sizes: dict[str, int], labels: list[str], each: int) -> list[tuple[int, str, str]]:
+    """(label number, label, text) of ``each`` rows of each label at most, the least by a hash of the row.
+
+    Rows have a hash of their id, so that copies of a text do not go together.  A share
+    of each label that holds ``each`` rows with a wide margin is picked first, and cut
+    to the number in a window over what was picked.
+    """
+    share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, 1.5 * (each + 20) / sizes[k]))]) if labels else None
+    if share is None:
+        return []
+    picked = rows.where(F.col("label").isin(labels)).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
+    nth = F.row_number().over(W.partitionBy("label").orderBy("h", "text"))
+    picked = picked.withColumn("nth", nth).where(F.col("nth") <= each).select("label", "text", "h")
+    found = sorted((r["h"], r["label"], r["text"]) for r in picked.toLocalIterator())  # sample_rows at most
+    return [(labels.index(x), x, body) for _, x, body in found]
+
+
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", train: Column | None = None, sample_rows: int = SAMPLE_ROWS, max_labels: int = MAX_LABELS, doc_id: str = "doc_id") -> Model:
     """Fit a model on the rows where ``train`` holds and text and label are not null.
 
+    ``doc_id`` only helps to choose the sample.
+
     Without such rows the model has no labels and predicts ``und``.
     """
-    rows = docs.where(F.lit(True) if train is None else train).select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
+    rows = docs.where(F.lit(True) if train is None else train).select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("h"))
     rows = rows.where("label IS NOT NULL AND text IS NOT NULL")
     # One row for each label, max_labels at most.
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()}
     labels = sorted(sizes)
-    share = {x: min(1.0, sample_rows / len(labels) / sizes[x]) for x in labels}
-    schema = "slot int, df long, docs long, label string, slots binary, counts binary"
+    each = max(1, sample_rows // max(1, len(labels)))
+    schema = "slot int, df long, docs long"
 
     def gather(batches):
         df, n = np.zeros(SLOTS, np.int64), 0
-        names = ["slot", "df", "docs", "label", "slots", "counts"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
-
-        def batch(*columns):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
         for b in batches:
-            for name, body in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
-                counts = slot_counts(body)
-                slots = np.flatnonzero(counts)
-                if not len(slots):
-                    continue
-                n += 1
-                df[slots] += 1
-                # By a hash of the text: a function of the row, so that a task run again samples alike.
-                if name in share and zlib.crc32(body.encode("utf-8", "replace"), 17) < share[name] * 2**32:
-                    yield batch([None], [None], [None], [name], [slots.astype("<i4").tobytes()], [counts[slots].astype("<i4").tobytes()])
+            for body in b.column("text").to_pylist():
+                at = np.flatnonzero(slot_counts(body))
+                n += len(at) > 0
+                df[at] += 1
         at = np.flatnonzero(df)
         none = [None] * len(at)
-        yield batch(at, df[at], none, none, none, none)
-        yield batch([None], [None], [n], [None], [None], [None])
+        yield pa.RecordBatch.from_arrays([pa.array([*at, None], pa.int32()), pa.array([*df[at], None], pa.int64()), pa.array([*none, n], pa.int64())], names=["slot", "df", "docs"])
 
-    found = materialise(rows.mapInArrow(gather, schema), "langid")
+    found = materialise(rows.select("text").mapInArrow(gather, schema), "langid")
     total = found.agg(F.sum("docs")).first()[0] or 0
     idf = np.full(SLOTS, np.log1p(total) + 1)
     # One row for each slot at most.
     for slot, n in found.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("df")).collect():
         idf[slot] = np.log((1 + total) / (1 + n)) + 1
-    # The sample is bounded by sample_rows.
-    sample = found.where("label IS NOT NULL").select("label", "slots", "counts").toLocalIterator()
-    kept = sorted(
-        ((labels.index(r["label"]), bytes(r["slots"]), bytes(r["counts"])) for r in sample),
-        key=lambda r: (zlib.crc32(r[1] + r[2]), r),
-    )
-    kept = [(i, np.frombuffer(s, "<i4"), np.frombuffer(c, "<i4")) for i, s, c in kept]
+    release(found)
+    kept = []
+    for i, name, body in sampled(rows, sizes, labels, each):
+        counts = slot_counts(body)
+        slots = np.flatnonzero(counts)
+        if len(slots):
+            kept.append((i, slots, counts[slots]))
+    # Labels of which the sample has no text with letters are not learned.
+    labels = [x for i, x in enumerate(labels) if any(r[0] == i for r in kept)] if kept else []
+    number = {i: j for j, i in enumerate(sorted({r[0] for r in kept}))}
+    kept = [(number[i], s, c) for i, s, c in kept]
     held = kept[:: 5] if len(kept) >= 50 else []
     trained = [r for j, r in enumerate(kept) if j % 5] if held else kept
-    release(found)
     if not kept:
         return Model([], idf, np.zeros((SLOTS, 0), np.float32), np.zeros(0))
     model = fit_ftrl(trained, labels, idf)

@@ -58,3 +58,18 @@ def test_op10_held_out_accuracy(spark):
     assert 0.15 < len(held) / len(truth) < 0.35
     assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.9
     assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_the_sample_is_bounded_whatever_the_texts(spark, docs, monkeypatch):
+    seen, fit = [], langid.fit_ftrl
+
+    def spy(rows, labels, idf, **k):
+        seen.append((len(rows), labels))
+        return fit(rows, labels, idf, **k)
+
+    monkeypatch.setattr(langid, "fit_ftrl", spy)
+    rows = [(i, "the very same text", "en") for i in range(3000)] + [(i, f"und das ist der text {chr(97 + i % 26)}", "de") for i in range(3000, 3200)] + [(9000, "123", "xx")]
+    model = langid.fit(docs(rows), sample_rows=300)
+    # A third of the rows for each label; one in five is held back; a label without letters is not learned.
+    assert seen == [(160, ["de", "en"])] and model.labels == ["de", "en"]
+    assert model.predict("das ist der")[0] == "de" and model.predict("the same")[0] == "en"
