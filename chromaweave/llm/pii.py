@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromaweave.llm.store import materialise, release
+from chromaweave.llm.store import materialise, release, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 BASE = KINDS[:4]
@@ -33,7 +33,7 @@ BASE = KINDS[:4]
 DISCLOSURE = 0.95
 #: Least number of distinct texts that hold a term and an entity together.
 LEAST_TEXTS = 4
-#: Tables are broadcast up to so many rows, and shuffled beyond.
+#: Tables are broadcast up to so many rows (of texts with terms: terms), and shuffled beyond.
 BROADCAST_ROWS = 200_000
 
 # The patterns, written so that no start is tried twice within a run.
@@ -290,10 +290,10 @@ def protect(docs: DataFrame, text: str = "text", spans: str = "spans", sanitised
     out_keep = [c for c in keep if c not in new]
     schema = T.StructType([docs.schema[c] for c in out_keep] + [T.StructField(spans, span_type)] + ([T.StructField(sanitised, T.StringType())] if sanitised else []))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    rows_told = telling.count()
-    # Checked size: a table of at most BROADCAST_ROWS texts goes to every task, a larger one is joined by shuffle.
+    key, told_as = unused("_key", docs.columns), unused("_ts", docs.columns)
+    # Checked size: a table of at most BROADCAST_ROWS terms goes to every task, a larger one is joined by shuffle.
     local = None
-    if rows_told <= BROADCAST_ROWS:
+    if (telling.agg(F.sum(F.size("ts") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
         local = docs.sparkSession.sparkContext.broadcast({bytes(r["_key"]): frozenset(r["ts"]) for r in telling.toLocalIterator()})
 
     def find(t, told):
@@ -325,7 +325,7 @@ def protect(docs: DataFrame, text: str = "text", spans: str = "spans", sanitised
 
     def run_joined(batches):
         for b in batches:
-            yield answer(b, [frozenset(x) if x else None for x in b.column("_ts").to_pylist()])
+            yield answer(b, [frozenset(x) if x else None for x in b.column(told_as).to_pylist()])
 
     if local is not None:
         return docs.select(*keep).mapInArrow(run_local, schema)
@@ -333,7 +333,7 @@ def protect(docs: DataFrame, text: str = "text", spans: str = "spans", sanitised
     def add_key(batches):
         for b in batches:
             keys = [text_key(t) if t else None for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, key])
 
-    keyed = docs.select(*keep).mapInArrow(add_key, T.StructType([docs.schema[c] for c in keep] + [T.StructField("_key", T.BinaryType())]))
-    return keyed.join(telling.withColumnRenamed("ts", "_ts"), "_key", "left").select(*keep, "_ts").mapInArrow(run_joined, schema)
+    keyed = docs.select(*keep).mapInArrow(add_key, T.StructType([docs.schema[c] for c in keep] + [T.StructField(key, T.BinaryType())]))
+    return keyed.join(telling.select(F.col("_key").alias(key), F.col("ts").alias(told_as)), key, "left").select(*keep, told_as).mapInArrow(run_joined, schema)

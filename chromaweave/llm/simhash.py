@@ -18,6 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 128
 LANES = 0x0000000100000001
@@ -94,8 +95,11 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     and ``_next``.  Ids are cut into ranges of about equal size; the rows at a range's
     lower bound are copied as ghosts behind the range before it, so that each range is
     sorted by itself and no task sees all rows.  Null ids come first; rows with equal
-    ids are ordered by their texts' hashes.  Of a ghost only its text counts.
+    ids are ordered by their texts' hashes.  Of a ghost only its text counts.  Ids are
+    whole numbers; others raise a TypeError.
     """
+    if not isinstance(docs.schema[doc_id].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        raise TypeError(f"{doc_id} has to be a whole number")
     spark = docs.sparkSession
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_LONG))
     rows = docs.select(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), key.alias("_key"))
