@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one reads
-what it wrote.  All but the last return the columns of ``documents``.
+what it wrote.  All but the last return the columns of ``documents``, and keep further
+columns of any name.  Null, empty and letterless texts go in the first stage.  Repeated
+rows are copies of each other: their lines stay in the first row only, so the others go
+in the second stage.  Nulls in other columns stay as they are; a null id sorts last where
+the first of several documents stays.  Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those of which only blanks are left go."""
+    small_batches(spark)
     found = linededup.dedup_lines(docs)
     return with_text(found, docs.columns).where(~F.coalesce(F.col("text").rlike(r"^\s*$"), F.lit(False)))
 
