@@ -128,3 +128,28 @@ def factor_network(matrix: DataFrame, least: float = 0.3, exclude: tuple[str, ..
         out = out.join(expressed.select("gene").distinct(), "gene", "left_semi")
     capped = F.when(F.col("score") == 1.0, 0.9999).otherwise(F.col("score"))
     return out.groupBy(F.col("tf").alias("src"), F.concat("gene", F.lit(suffix)).alias("dst")).agg(F.max(capped).alias("weight"))
+
+
+def singleton_roots(roots: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node: the roots (node) that no chosen edge touches."""
+    return roots.select("node").distinct().join(nodes(chosen), "node", "left_anti")
+
+
+def run_counts(prizes: DataFrame, chosen: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row: terminals given and in the solution, nodes, roots, and roots that stand alone."""
+    terminals, found = prizes.select("node").distinct(), nodes(chosen)
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [one(terminals, "terminals"), one(terminals.join(found, "node", "left_semi"), "terminals_found"), one(found, "nodes"), one(roots.select("node").distinct(), "roots"), one(singleton_roots(roots, chosen), "singleton_roots")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out
+
+
+def guarded_prizes(prizes: DataFrame, edges: DataFrame, most: float = 0.9) -> DataFrame:
+    """:func:`known_prizes`; raises ValueError where more than that share of the prizes is not in the network."""
+    kept = known_prizes(prizes, edges)
+    n, left = prizes.count(), kept.count()
+    if n and (n - left) / n > most:
+        raise ValueError(f"{n - left} of {n} prizes are not in the network")
+    return kept

@@ -6,10 +6,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BACKGROUND = {"A": 0.25, "C": 0.25, "G": 0.25, "T": 0.25}
 # IUPAC codes and their bases.
@@ -148,7 +149,7 @@ def scan_sql(regions: DataFrame, m: DataFrame, threshold) -> DataFrame:
 
 
 def scan(regions: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
-    """As :func:`scan_sql`, by regions in parallel: motifs are small and go to every task.
+    """As :func:`scan_sql`, by batches of regions in parallel: motifs are small and go to every task.
 
     Windows with letters other than A, C, G, T have no score.
     """
@@ -163,29 +164,33 @@ def scan(regions: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
     code = np.full(256, 4, np.uint8)
     for i, x in enumerate("ACGT"):
         code[ord(x)] = i
+    widest = max(map(len, tables.values()), default=0)
+    schema = T.StructType([regions.schema["region"], T.StructField("motif", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("fwd", T.DoubleType()), T.StructField("rev", T.DoubleType())])
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for region, seq in zip(pdf["region"], pdf["seq"], strict=True):
-                s = code[np.frombuffer((seq or "").encode("ascii", "replace"), np.uint8)]
-                for name, t in tables.items():
-                    w, n = len(t), len(s) - len(t) + 1
-                    if n <= 0:
-                        continue
-                    back = t[::-1, [3, 2, 1, 0, 4]]
-                    fwd, rev = np.zeros(n), np.zeros(n)
-                    for i in range(w):
-                        fwd += t[i, s[i : i + n]]
-                        rev += back[i, s[i : i + n]]
-                    hit = np.flatnonzero(np.maximum(fwd, rev) > threshold)
-                    if len(hit):
-                        out.append(pd.DataFrame({"region": region, "motif": name, "offset": hit, "fwd": fwd[hit], "rev": rev[hit]}))
-            if out:
-                yield pd.concat(out)
-
-    region_type = regions.schema["region"].dataType.simpleString()
-    return regions.select("region", "seq").mapInPandas(run, f"region {region_type}, motif string, offset int, fwd double, rev double")
+        for b in batches:
+            # All sequences of a batch in a row; the gaps between them score nowhere.
+            parts = [code[np.frombuffer((x or "").encode("ascii", "replace"), np.uint8)] for x in b.column("seq").to_pylist()]
+            lengths = np.array([len(x) for x in parts], np.int64)
+            begin = np.cumsum(lengths + widest) - lengths - widest
+            gap = np.full(widest, 4, np.uint8)
+            s = np.concatenate([y for x in parts for y in (x, gap)] or [gap])
+            for name, t in tables.items():
+                n = len(s) - len(t) + 1
+                back = t[::-1, [3, 2, 1, 0, 4]]
+                fwd, rev = np.zeros(n), np.zeros(n)
+                for i in range(len(t)):
+                    here = s[i : i + n]
+                    fwd += t[i][here]
+                    rev += back[i][here]
+                hit = np.flatnonzero(np.maximum(fwd, rev) > threshold)
+                if len(hit):
+                    of = np.searchsorted(begin, hit, side="right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("region").take(pa.array(of)), pa.array([name] * len(hit)), pa.array(hit - begin[of], pa.int32()), pa.array(fwd[hit]), pa.array(rev[hit])], names=schema.names,
+                    )
+
+    return regions.select("region", "seq").mapInArrow(run, schema)
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
@@ -204,3 +209,133 @@ def mask(regions: DataFrame, hits: DataFrame, width: int) -> DataFrame:
     found = hits.groupBy("region").agg(F.collect_set("offset").alias("_o"))
     masked = F.aggregate("_o", F.col("seq"), lambda acc, o: F.overlay(acc, F.lit("N" * width), o + 1, F.lit(width)))
     return regions.join(found, "region", "left").select("region", F.coalesce(masked, F.col("seq")).alias("seq"))
+
+
+# -- thresholds, alignment, generation, text -------------------------------------------
+
+
+def own_threshold(seqs: DataFrame, m: DataFrame, z: float) -> DataFrame:
+    """motif, threshold: the mean less z standard deviations of the scores of a motif's own sequences (motif, seq)."""
+    scored = window_scores(seqs, m)
+    return scored.groupBy("motif").agg((F.avg("score") - z * F.coalesce(F.stddev_samp("score"), F.lit(0.0))).alias("threshold"))
+
+
+def window_scores(seqs: DataFrame, m: DataFrame) -> DataFrame:
+    """motif, seq, score: the summed ll of a word's first letters under its motif, as many as the motif is wide.
+
+    Words shorter than the motif, or with other letters there, have no score.
+    """
+    width = m.groupBy("motif").agg((F.max("pos") + 1).alias("width"))
+    each = seqs.select("motif", "seq", F.posexplode(F.split("seq", "")).alias("pos", "letter")).join(F.broadcast(m.select("motif", "pos", "letter", "ll")), ["motif", "pos", "letter"])
+    # Equal words of one motif are one row here, and multiplied back.
+    times = seqs.groupBy("motif", "seq").agg(F.count("*").alias("times"))
+    out = each.groupBy("motif", "seq").agg(F.sum("ll").alias("all"), F.count("*").alias("letters")).join(times, ["motif", "seq"]).join(F.broadcast(width), "motif")
+    return out.where(F.col("letters") == F.col("width") * F.col("times")).select("motif", "seq", F.explode(F.array_repeat(F.col("all") / F.col("times"), F.col("times").cast("int"))).alias("score"))
+
+
+def max_distance(m: DataFrame) -> DataFrame:
+    """motif, maxdiff: the greatest mean column distance that any motif can have to it."""
+    worst = F.sqrt(F.sum(F.pow("p", F.lit(2.0))) + 1 - 2 * F.min("p")) / F.sqrt(F.lit(2.0))
+    return m.groupBy("motif", "pos").agg(worst.alias("d")).groupBy("motif").agg(F.avg("d").alias("maxdiff"))
+
+
+def aligned_distance(a: DataFrame, b: DataFrame, overlap: int) -> DataFrame:
+    """motif_a, motif_b, distance, offset, strand: the least mean column distance over all placements.
+
+    Placements of b against a have at least ``overlap`` columns in common, on either
+    strand of b.  Motifs are short, so the offsets are a join on the letter only.
+    """
+    sides = [b.select("motif", "pos", "letter", "p").withColumn("strand", F.lit("+")), revcomp(b).select("motif", "pos", "letter", "p").withColumn("strand", F.lit("-"))]
+    other = sides[0].unionByName(sides[1]).select(F.col("motif").alias("motif_b"), F.col("pos").alias("pos_b"), "letter", F.col("p").alias("pb"), "strand")
+    both = a.select(F.col("motif").alias("motif_a"), "pos", "letter", F.col("p").alias("pa")).join(F.broadcast(other), "letter")
+    each = both.groupBy("motif_a", "motif_b", "strand", "pos", "pos_b").agg((F.sqrt(F.sum(F.pow(F.col("pa") - F.col("pb"), F.lit(2.0)))) / F.sqrt(F.lit(2.0))).alias("d"))
+    placed = each.groupBy("motif_a", "motif_b", "strand", (F.col("pos") - F.col("pos_b")).alias("offset")).agg(F.avg("d").alias("distance"), F.count("*").alias("columns")).where(F.col("columns") >= overlap)
+    best = F.min(F.struct(F.round("distance", 12).alias("distance"), "strand", "offset"))
+    return placed.groupBy("motif_a", "motif_b").agg(best.alias("b")).select("motif_a", "motif_b", "b.distance", "b.strand", "b.offset")
+
+
+def best_words(m: DataFrame, threshold: float) -> DataFrame:
+    """motif, word, score of all words that score over the threshold.
+
+    Column by column, a word is only continued if the best of what is left can still
+    lift it over the threshold.
+    """
+    best = m.groupBy("motif", "pos").agg(F.max("ll").alias("top"))
+    left = best.select("motif", "pos", F.coalesce(F.sum("top").over(W.partitionBy("motif").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("left"))
+    letters = m.select("motif", "pos", "letter", "ll").join(left, ["motif", "pos"])
+    width = m.agg(F.max("pos")).first()[0]
+    done = m.groupBy("motif").agg((F.max("pos") + 1).alias("width"))
+    words = done.select("motif", "width", F.lit("").alias("word"), F.lit(0.0).alias("score"))
+    out = None
+    for i in range(-1 if width is None else width + 1):
+        step = words.join(F.broadcast(letters.where(F.col("pos") == i)), "motif")
+        words = step.withColumn("score", F.col("score") + F.col("ll")).where(F.col("score") + F.col("left") > threshold).select("motif", "width", F.concat("word", "letter").alias("word"), "score")
+        ended = words.where(F.col("width") == i + 1)
+        out = ended if out is None else out.unionByName(ended)
+    return words.select("motif", "word", "score") if out is None else out.select("motif", "word", "score")
+
+
+def emit(m: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """motif, i, word: n words of each motif, letters drawn by its probabilities; a hash is the random number."""
+    upto = F.sum("p").over(W.partitionBy("motif", "pos").orderBy("letter"))
+    total = F.sum("p").over(W.partitionBy("motif", "pos"))
+    bounds = m.select("motif", "pos", "letter", (upto / total).alias("hi"))
+    table = bounds.groupBy("motif", "pos").agg(F.array_sort(F.collect_list(F.struct("hi", "letter"))).alias("letters"))
+    draws = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    u = (F.pmod(F.xxhash64("motif", "pos", "i", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    letter = F.element_at(F.filter(F.transform("letters", lambda x: F.struct((x["hi"] > u).alias("ok"), x["letter"].alias("letter"))), lambda x: x["ok"]), 1)["letter"]
+    drawn = draws.select("motif", "i", F.struct("pos", F.coalesce(letter, F.element_at("letters", -1)["letter"]).alias("x")).alias("s"))
+    return drawn.groupBy("motif", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "").alias("word"))
+
+
+def shuffle_positions(m: DataFrame, seed: int = 0) -> DataFrame:
+    """Each motif with its positions in a hash order that a re-run repeats."""
+    order = F.row_number().over(W.partitionBy("motif").orderBy(F.md5(F.concat_ws("/", "motif", F.col("pos").cast("string"), F.lit(str(seed)))), "pos")) - 1
+    return m.join(m.select("motif", "pos").distinct().select("motif", "pos", order.cast("int").alias("_new")), ["motif", "pos"]).withColumn("pos", F.col("_new")).drop("_new")
+
+
+def merged(a: DataFrame, b: DataFrame, overlap: int, name: str) -> DataFrame:
+    """b behind a, the last ``overlap`` positions of a averaged with the first of b."""
+    shift = a.agg((F.max("pos") + 1 - overlap).alias("_shift"))
+    moved = b.crossJoin(F.broadcast(shift)).withColumn("pos", (F.col("pos") + F.col("_shift")).cast("int"))  # one row
+    both = a.select("pos", "letter", "p").unionByName(moved.select("pos", "letter", "p")).groupBy("pos", "letter").agg(F.avg("p").alias("p"))
+    return _with_ll(both.select(F.lit(name).alias("motif"), "pos", "letter", "p"))
+
+
+def as_rows(m: DataFrame) -> DataFrame:
+    """motif, pos, p: a map from letters to probabilities for each position."""
+    return m.groupBy("motif", "pos").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("letter", "p")))).alias("p"))
+
+
+def summary(m: DataFrame) -> DataFrame:
+    """motif, line: consensus, width, total information and best score as text."""
+    info = bits(m).groupBy("motif").agg(F.sum("bits").alias("bits"))
+    out = consensus(m).join(info, "motif").join(score_range(m), "motif")
+    return out.select("motif", F.format_string("%s width=%d bits=%.3f max=%.3f", "consensus", "width", F.col("bits") + 0.0, "maxscore").alias("line"))
+
+
+def normalised(hits: DataFrame, m: DataFrame, score: str = "score") -> DataFrame:
+    """Scores of (motif, score) as shares of the motif's range, 0 at the least and 1 at the greatest possible."""
+    lo, hi = F.col("minscore"), F.col("maxscore")
+    return hits.join(F.broadcast(score_range(m)), "motif").withColumn(score, (F.col(score) - lo) / (hi - lo)).drop("minscore", "maxscore", "width")
+
+
+def back_projected(thresholds: DataFrame, m: DataFrame) -> DataFrame:
+    """(motif, threshold) as shares of the motif's range, turned into scores."""
+    lo, hi = F.col("minscore"), F.col("maxscore")
+    return thresholds.join(F.broadcast(score_range(m)), "motif").select("motif", (F.col("threshold") * (hi - lo) + lo).alias("threshold"))
+
+
+def affinities(hits: DataFrame, thresholds: DataFrame, m: DataFrame, total: str = "total", fp: str = "fp", typ: str = "typ") -> DataFrame:
+    """region, motif, affinity of scanned windows, from sums of weights that combine before they shuffle.
+
+    ``thresholds``: motif, and for each the normalised scores ``total`` and ``fp`` and the
+    type, as in :func:`chromaweave.functions.scalars.affinity`.
+    """
+    typ_ = F.greatest(F.col(typ).cast("double"), F.lit(1.000001))
+    gap = F.col(fp) - F.col(total)
+    weight = F.ln(typ_) / F.when(gap == 0, F.lit(0.1)).otherwise(gap)
+    known = thresholds.select("motif", weight.alias("_w"), (2 * typ_ * F.exp(weight * F.col(total))).alias("_b"))
+    scored = normalised(hits.select("region", "motif", F.greatest("fwd", "rev").alias("score")), m).join(F.broadcast(known), "motif")
+    a = F.sum(F.exp(F.col("_w") * F.col("score")))
+    return scored.groupBy("region", "motif").agg((a / (a + F.first("_b"))).alias("affinity"))

@@ -28,8 +28,10 @@ def top_kmers(seqs: DataFrame, seq: str, k: int, purge_n: bool = True) -> DataFr
     each = seqs.select(F.explode(kmers(F.col(seq), k)).alias("w"))
     if purge_n:
         each = each.where(~F.upper("w").contains("N"))
+    # Few different words are left after the first count, so strands are joined then.
+    counts = each.groupBy("w").agg(F.count("*").alias("c"))
     canon = F.least("w", reverse_complement(F.col("w")))
-    return each.groupBy(canon.alias("kmer")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kmer")
+    return counts.groupBy(canon.alias("kmer")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "kmer")
 
 
 def matches(a: Column, b: str) -> Column:
@@ -45,7 +47,49 @@ def m_matches(seqs: DataFrame, seq: str, word: str, least: int) -> DataFrame:
 
 def random_subset(seqs: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows (or all), by a hash order that a re-run repeats."""
-    return seqs.orderBy(F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+    return seqs.orderBy(_hash_order(key, seed), key).limit(n)
+
+
+def _hash_order(key: str, seed: int):
+    return F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))))
+
+
+def random_split(seqs: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
+    """Rows with ``part`` 0 for exactly int(fraction * rows) of them and 1 for the rest, by the order of :func:`random_subset`.
+
+    Keys are distinct.  Only the key's hashes are sorted, and only the last one that is
+    still in the first part goes to the driver.
+    """
+    n = int(fraction * seqs.count())
+    order = seqs.select(_hash_order(key, seed).alias("h"), F.col(key).alias("k"))
+    last = order.orderBy("h", "k").limit(n).agg(F.max(F.struct("h", "k")).alias("last")).first()["last"] if n else None
+    here = F.struct(_hash_order(key, seed).alias("h"), F.col(key).alias("k"))
+    inside = F.lit(False) if last is None else here <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).alias("k"))
+    return seqs.withColumn("part", F.when(inside, 0).otherwise(1))
+
+
+def sizes(seqs: DataFrame, seq: str) -> DataFrame:
+    """size, n: how many sequences have each length."""
+    return seqs.where(F.col(seq).isNotNull()).groupBy(F.length(seq).alias("size")).agg(F.count("*").alias("n"))
+
+
+def compare_words(words: DataFrame, a: str, b: str) -> DataFrame:
+    """The best ungapped placement of the shorter of two words in the longer, on either strand.
+
+    Adds ``identity``, the share of the shorter word's positions that agree, and
+    ``offset`` and ``strand`` of the first best placement ('+' before '-').
+    """
+    long, short = F.when(F.length(a) >= F.length(b), F.col(a)).otherwise(F.col(b)), F.when(F.length(a) >= F.length(b), F.col(b)).otherwise(F.col(a))
+    rows = words.withColumns({"_l": long, "_s": short}).where("length(_s) > 0")
+
+    def agree(word, at):
+        return F.size(F.filter(F.sequence(F.lit(1), F.length("_s")), lambda i: F.substring(F.col("_l"), at + i, F.lit(1)) == F.substring(word, i, F.lit(1))))
+
+    places = F.sequence(F.lit(0), F.length("_l") - F.length("_s"))
+    both = [F.transform(places, lambda at, w=w, x=x: F.struct(agree(w, at).alias("same"), (-F.lit(i)).alias("plus"), (-at).alias("back"), F.lit(x).alias("strand"))) for i, (x, w) in enumerate((("+", F.col("_s")), ("-", reverse_complement(F.col("_s")))))]
+    best = F.array_max(F.concat(*both))
+    out = rows.withColumn("_b", best)
+    return out.withColumns({"identity": F.col("_b.same") / F.length("_s"), "offset": -F.col("_b.back"), "strand": F.col("_b.strand")}).drop("_l", "_s", "_b")
 
 
 def reduce_regions(regions: DataFrame, mapped: DataFrame, include: DataFrame | None = None) -> DataFrame:
