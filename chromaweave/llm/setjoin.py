@@ -32,7 +32,7 @@ BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 128, 16, 24
 #: Bits of the bitmap for each byte of input, as a power of 2; its least and largest size.
 SEEN_SHIFT, LEAST_SEEN, MOST_SEEN = -1, 16, 29
 #: Slots that a task collects before it tells them.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Counters or bits told at once.
 SLICE, SEEN_SLICE = 1 << 16, 1 << 20
 #: Tables of keys are broadcast up to so many rows, about 20 MB, and shuffled beyond.
@@ -94,12 +94,13 @@ def rarity(texts: DataFrame, elements: Elements, size: int, bits: int | None = N
         return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
 
     def told(pending):
-        slots = np.sort(np.concatenate(pending))
+        slots = np.concatenate(pending)
+        slots.sort()
         twice = slots[1:][slots[1:] == slots[:-1]]
         cuts = np.arange(0, (1 << seen_bits) + 1, seen_width, dtype=np.int64)
         at, at2 = np.searchsorted(slots, cuts), np.searchsorted(twice, cuts)
         for i in np.flatnonzero(at[1:] > at[:-1]).tolist():
-            yield row(True, i, packed(slots[at[i] : at[i + 1]] - cuts[i]), packed(twice[at2[i] : at2[i + 1]] - cuts[i]))
+            yield row(True, i, packed(slots[at[i] : at[i + 1]].astype(np.int64) - cuts[i]), packed(twice[at2[i] : at2[i + 1]].astype(np.int64) - cuts[i]))
 
     def count(batches):
         counts, pending, held = np.zeros(counters, np.uint16), [], 0
@@ -108,7 +109,7 @@ def rarity(texts: DataFrame, elements: Elements, size: int, bits: int | None = N
                 s = elements(t)
                 at = (s & np.uint64(counters - 1)).astype(np.int64)
                 counts[at] = np.minimum(counts[at], 65534) + 1
-                pending.append((s >> np.uint64(HASH_BITS - seen_bits)).astype(np.int64))
+                pending.append((s >> np.uint64(HASH_BITS - seen_bits)).astype(np.uint32))
                 held += len(s)
                 if held >= CHUNK:
                     yield from told(pending)
