@@ -48,17 +48,29 @@ def nlog10(x: Column, least: float = 1e-323) -> Column:
     return F.abs(F.log10(F.greatest(x, F.lit(least))))
 
 
-def affinity(scores: Column, total: float, fp: float, typ: float) -> Column:
-    """Regional affinity of normalised window scores: sum of weights over itself plus a background."""
+def _affinity_terms(total: float, fp: float, typ: float) -> tuple[float, float]:
+    """The weight of a score and the background."""
     import math
 
     typ = 1.000001 if typ <= 1 else float(typ)
     w = math.log(typ) / ((fp - total) or 0.1)
-    b = 2 * typ * math.exp(w * total)
+    return w, 2 * typ * math.exp(w * total)
+
+
+def affinity(scores: Column, total: float, fp: float, typ: float) -> Column:
+    """Regional affinity of normalised window scores: sum of weights over itself plus a background."""
+    w, b = _affinity_terms(total, fp, typ)
     a = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp(F.lit(w) * x))
     return a / (a + b)
 
 
+def affinity_of_rows(score: Column, total: float, fp: float, typ: float) -> Column:
+    """:func:`affinity` of a group's rows, as an aggregate that combines before it shuffles."""
+    w, b = _affinity_terms(total, fp, typ)
+    a = F.sum(F.exp(F.lit(w) * score))
+    return a / (a + b)
+
+
 def region_key(header: Column) -> Column:
     """chrom:mid of 'chrom:lo-hi' or 'genome_chrom_lo_hi_strand' headers; null for others."""
 

@@ -86,7 +86,11 @@ def compare_words(words: DataFrame, a: str, b: str) -> DataFrame:
         return F.size(F.filter(F.sequence(F.lit(1), F.length("_s")), lambda i: F.substring(F.col("_l"), at + i, F.lit(1)) == F.substring(word, i, F.lit(1))))
 
     places = F.sequence(F.lit(0), F.length("_l") - F.length("_s"))
-    both = [F.transform(places, lambda at, w=w, x=x: F.struct(agree(w, at).alias("same"), (-F.lit(i)).alias("plus"), (-at).alias("back"), F.lit(x).alias("strand"))) for i, (x, w) in enumerate((("+", F.col("_s")), ("-", reverse_complement(F.col("_s")))))]
+
+    def placed(rank, strand, word):
+        return F.transform(places, lambda at: F.struct(agree(word, at).alias("same"), F.lit(-rank).alias("plus"), (-at).alias("back"), F.lit(strand).alias("strand")))
+
+    both = [placed(0, "+", F.col("_s")), placed(1, "-", reverse_complement(F.col("_s")))]
     best = F.array_max(F.concat(*both))
     out = rows.withColumn("_b", best)
     return out.withColumns({"identity": F.col("_b.same") / F.length("_s"), "offset": -F.col("_b.back"), "strand": F.col("_b.strand")}).drop("_l", "_s", "_b")

@@ -547,8 +547,8 @@ def pssm_scan_sum(spark, sf_dir):
 @query(SCANNED + """, k AS (SELECT ln(CAST(4 AS DOUBLE)) / (CAST(0.9 AS DOUBLE) - CAST(0.5 AS DOUBLE)) AS w), a AS (SELECT doc_id, motif, sum(exp(k.w * s / 12)) AS a FROM hits, k GROUP BY doc_id, motif)
   SELECT doc_id, motif, round(a / (a + 8 * exp(k.w * CAST(0.5 AS DOUBLE))), 6) AS affinity FROM a, k""")
 def affinity(spark, sf_dir):
-    normal = hits(spark, sf_dir).groupBy("region", "motif").agg(F.collect_list(F.greatest("fwd", "rev") / 12).alias("x"))
-    return normal.select(F.col("region").alias("doc_id"), "motif", F.round(S.affinity(F.col("x"), 0.5, 0.9, 4.0), 6).alias("affinity"))
+    found = hits(spark, sf_dir).groupBy("region", "motif").agg(S.affinity_of_rows(F.greatest("fwd", "rev") / 12, 0.5, 0.9, 4.0).alias("affinity"))
+    return found.select(F.col("region").alias("doc_id"), "motif", F.round("affinity", 6).alias("affinity"))
 
 
 @query(LETTERS + """, c AS (SELECT a.motif AS motif_a, b.motif AS motif_b, a.pos, sum(power(a.p - b.p, 2)) AS sq, greatest(sum(b.p * log2(b.p)) + 2, 0) AS bits, sum(a.p * log2(a.p / b.p)) AS kl
@@ -561,8 +561,112 @@ def motif_distance(spark, sf_dir):
     return out.select("motif_a", "motif_b", *[F.round(c, 6).alias(c) for c in ("euclid", "diff", "infomaskdiff", "diverge")])
 
 
+@query(f"WITH {BASES} SELECT CAST(length(seq) AS INTEGER) AS size, count(*) AS n FROM bases WHERE seq IS NOT NULL GROUP BY 1")
+def size_distribution(spark, sf_dir):
+    return sequences.sizes(bases(spark, sf_dir), "seq")
+
+
+@query("""WITH o AS (SELECT s_suppkey, row_number() OVER (ORDER BY md5(s_suppkey || '/0'), s_suppkey) AS k, count(*) OVER () AS n FROM supplier)
+  SELECT s_suppkey, CAST(CASE WHEN k <= floor(n * CAST(0.3 AS DOUBLE)) THEN 0 ELSE 1 END AS INTEGER) AS part FROM o""")
+def random_split(spark, sf_dir):
+    return sequences.random_split(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 0.3)
+
+
+_SAME = " + ".join(f"CAST(substr(w, CAST(o AS BIGINT) + {i}, 1) = substr(q, {i}, 1) AS INTEGER)" for i in range(1, 5))
+
+
+@query(f"""WITH {BASES}, {TILES}, d AS (SELECT DISTINCT w FROM tiles), p AS (SELECT w, o, st, {_SAME} AS same FROM d, range(0, 3) r(o), (VALUES ('+', 'GATA'), ('-', 'TATC')) s(st, q)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY same DESC, st, o) AS k FROM p)
+  SELECT w, same / CAST(4 AS DOUBLE) AS identity, CAST(o AS INTEGER) AS "offset", st AS strand FROM k WHERE k = 1""")
+def word_comparison(spark, sf_dir):
+    """Every word of six against GATA, on both strands."""
+    words = tiles(spark, sf_dir).select("w").distinct().withColumn("q", F.lit("GATA"))
+    return sequences.compare_words(words, "w", "q").select("w", "identity", "offset", "strand")
+
+
+@query(LETTERS + """, d AS (SELECT lang AS motif, w, count(*) AS times FROM tiles GROUP BY lang, w),
+  s AS (SELECT d.motif, w, max(times) AS times, sum(log2(p) + 2) AS score FROM d JOIN f ON f.motif = d.motif AND f.letter = substr(w, f.pos + 1, 1) GROUP BY d.motif, w),
+  a AS (SELECT motif, sum(times) AS n, sum(times * score) / sum(times) AS mean FROM s GROUP BY motif),
+  v AS (SELECT motif, any_value(mean) AS mean, CASE WHEN any_value(n) > 1 THEN sqrt(sum(times * power(score - mean, 2)) / (any_value(n) - 1)) ELSE 0 END AS sd FROM s JOIN a USING (motif) GROUP BY motif)
+  SELECT motif, round(mean - CAST(1.5 AS DOUBLE) * sd, 6) AS threshold FROM v""")
+def motif_own_threshold(spark, sf_dir):
+    m = motifs.from_sequences(tiles(spark, sf_dir), "lang", "w")
+    own = tiles(spark, sf_dir).select(F.col("lang").alias("motif"), F.col("w").alias("seq"))
+    return motifs.own_threshold(own, m, 1.5).select("motif", F.round("threshold", 6).alias("threshold"))
+
+
+@query(LETTERS + " SELECT motif, round(avg(d), 6) AS maxdiff FROM (SELECT motif, pos, sqrt(sum(p * p) + 1 - 2 * min(p)) / sqrt(CAST(2 AS DOUBLE)) AS d FROM f GROUP BY motif, pos) GROUP BY motif")
+def motif_max_distance(spark, sf_dir):
+    m = motifs.from_sequences(tiles(spark, sf_dir), "lang", "w")
+    return motifs.max_distance(m).select("motif", F.round("maxdiff", 6).alias("maxdiff"))
+
+
+@query(LETTERS + """, o AS (SELECT motif, pos, letter, p, '+' AS strand FROM f WHERE motif = 'de' UNION ALL SELECT motif, 5 - pos, translate(letter, 'ACGT', 'TGCA'), p, '-' FROM f WHERE motif = 'de'),
+  c AS (SELECT a.motif AS motif_a, o.motif AS motif_b, strand, a.pos AS pos_a, o.pos AS pos_b, sqrt(sum(power(a.p - o.p, 2))) / sqrt(CAST(2 AS DOUBLE)) AS d
+        FROM f a JOIN o ON a.letter = o.letter WHERE a.motif = 'en' GROUP BY 1, 2, 3, 4, 5),
+  g AS (SELECT motif_a, motif_b, strand, pos_a - pos_b AS off, avg(d) AS distance FROM c GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4),
+  k AS (SELECT *, row_number() OVER (PARTITION BY motif_a, motif_b ORDER BY round(distance, 12), strand, off) AS k FROM g)
+  SELECT motif_a, motif_b, round(distance, 6) AS distance, strand, CAST(off AS INTEGER) AS "offset" FROM k WHERE k = 1""")
+def motif_alignment(spark, sf_dir):
+    m = motifs.from_sequences(tiles(spark, sf_dir), "lang", "w")
+    return motifs.aligned_distance(m.where("motif = 'en'"), m.where("motif = 'de'"), 4).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH RECURSIVE {_values()}, g AS (SELECT DISTINCT motif, width, 0 AS n, '' AS word, CAST(0 AS DOUBLE) AS score FROM w
+  UNION ALL SELECT g.motif, g.width, g.n + 1, g.word || w.letter, g.score + w.ll FROM g JOIN w ON w.motif = g.motif AND w.pos = g.n)
+  SELECT motif, word, round(score, 6) AS score FROM g WHERE n = width AND score > 5""")
+def motif_best_words(spark, sf_dir):
+    return motifs.best_words(word_motifs(spark), 5.0).withColumn("score", F.round("score", 6))
+
+
+@query(LETTERS + ", c AS (SELECT motif, pos, max(log2(p) + 2) AS hi, min(log2(p) + 2) AS lo FROM f GROUP BY motif, pos) SELECT motif, round(CAST(0.7 AS DOUBLE) * (sum(hi) - sum(lo)) + sum(lo), 6) AS threshold FROM c GROUP BY motif")
+def threshold_back_projection(spark, sf_dir):
+    m = motifs.from_sequences(tiles(spark, sf_dir), "lang", "w")
+    shares = m.select("motif").distinct().withColumn("threshold", F.lit(0.7))
+    return motifs.back_projected(shares, m).withColumn("threshold", F.round("threshold", 6))
+
+
+#: Thresholds of the motifs as shares of their ranges: total, false positive, type.
+SHARES = (("tata", 0.5, 0.9, 4.0), ("gata", 0.6, 0.6, 1.5))
+
+
+@query(SCANNED + f""", ends AS (SELECT motif, pos, max(ll) AS hi, min(ll) AS lo FROM w GROUP BY motif, pos), r AS (SELECT motif, sum(hi) AS hi, sum(lo) AS lo FROM ends GROUP BY motif),
+  v AS (SELECT motif, CAST(total AS DOUBLE) AS total, CAST(CASE WHEN fp = total THEN 0.1 ELSE fp - total END AS DOUBLE) AS gap, CAST(typ AS DOUBLE) AS typ FROM (VALUES {", ".join(map(str, SHARES))}) x(motif, total, fp, typ)),
+  z AS (SELECT motif, ln(typ) / gap AS wt, 2 * typ * exp(ln(typ) / gap * total) AS b FROM v),
+  a AS (SELECT doc_id, motif, sum(exp(wt * (s - lo) / (hi - lo))) AS a, any_value(b) AS b FROM hits JOIN r USING (motif) JOIN z USING (motif) GROUP BY doc_id, motif)
+  SELECT doc_id, motif, round(a / (a + b), 6) AS affinity FROM a""")
+def affinity_normalised(spark, sf_dir):
+    """Affinities of whole sequences, thresholds joined by motif, scores as shares of the motif's range."""
+    thresholds = spark.createDataFrame(SHARES, "motif string, total double, fp double, typ double")
+    out = motifs.affinities(hits(spark, sf_dir), thresholds, word_motifs(spark))
+    return out.select(F.col("region").alias("doc_id"), "motif", F.round("affinity", 6).alias("affinity"))
+
+
 # -- Steiner forests ------------------------------------------------------------------
 
+
+def solution(spark, sf_dir):
+    """Interactions that stand for a solved forest: the strongest weight; parts are its roots."""
+    roots = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node"))
+    return edges(spark, sf_dir).where("weight > 1"), roots
+
+
+SOLUTION = f"WITH {EDGES}, {PRIZES}, nd AS (SELECT src AS node FROM edges WHERE weight > 1 UNION SELECT dst FROM edges WHERE weight > 1), r AS (SELECT DISTINCT 'P' || p_partkey AS node FROM part)"
+
+
+@query(SOLUTION + " SELECT node FROM r WHERE node NOT IN (SELECT node FROM nd)")
+def singleton_roots(spark, sf_dir):
+    chosen, roots = solution(spark, sf_dir)
+    return graph.singleton_roots(roots, chosen)
+
+
+@query(SOLUTION + """ SELECT (SELECT count(DISTINCT node) FROM prizes) AS terminals, (SELECT count(DISTINCT node) FROM prizes WHERE node IN (SELECT node FROM nd)) AS terminals_found,
+  (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM r) AS roots, (SELECT count(*) FROM r WHERE node NOT IN (SELECT node FROM nd)) AS singleton_roots""")
+def run_counts(spark, sf_dir):
+    chosen, roots = solution(spark, sf_dir)
+    return graph.run_counts(prizes(spark, sf_dir), chosen, roots)
+
+
 W_EDGES = (("A", "C", 0.75, "U"), ("B", "D", 0.75, "U"), ("C", "D", 0.25, "D"))
 H_EDGES = (("A", "B", 0.9, "D"), ("A", "C", 0.9, "D"), ("A", "D", 0.9, "D"), ("A", "E", 0.9, "D"), ("B", "C", 0.1, "D"), ("D", "E", 0.1, "D"))
 H_PRIZES = {"A": 5.0, "B": 6.0, "C": 6.0, "D": 6.0, "E": 6.0}
