@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.functions.scalars import tf_names
-from chromaweave.operators import graph, steiner, stats
+from chromaweave.operators import graph, robust, steiner, stats
 
 
 def factors_from_matrix(matrix: DataFrame, expression: DataFrame, threshold: float = 0.01, use_q: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -33,3 +33,34 @@ def forest(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, b: f
     arcs = augmented.select("src", "dst").union(augmented.where("dir = 'U'").select("dst", "src"))
     described = nodes.join(total, "node", "left").join(steiner.betweenness(arcs), "node", "left").withColumn("fraction", F.lit(1.0))
     return {"optimal": optimal, "augmented": augmented, "nodes": described, "solution": solved}
+
+
+def replicates(edges: DataFrame, prizes: DataFrame, roots: DataFrame, n_runs: int, w: float, b: float, depth: int, mu: float = 0.0, sd: float = 0.333, shuffle: bool = False, seed: int = 0) -> dict[str, DataFrame]:
+    """Perturb, solve and merge: forests of noisy edges, or of prizes dealt anew among the terminals.
+
+    ``nodes``, ``edges`` (src, dst: parent and child) and ``roots`` have the share of the
+    runs whose forest holds them, ``objectives`` a row for each run.  ``solution`` is
+    cached, as the others read it; the caller unpersists it.
+    """
+    clean = graph.directed_first(graph.keep_max(graph.clean_edges(edges))).select("src", "dst", "weight", "dir")
+    known = graph.known_prizes(prizes, clean)
+    total = graph.total_prizes(known, clean, b, mu)
+    if shuffle:
+        e = robust.runs_of(clean, n_runs)
+        dealt = robust.shuffle_prizes(known, n_runs, seed)
+        p = robust.runs_of(total.select("node", "prize_neg"), n_runs).join(dealt, ["run", "node"], "left").withColumn("prize_total", F.coalesce(F.col("prize") * b, F.lit(0.0)) + F.col("prize_neg"))
+    else:
+        e = robust.noise_edges(clean, n_runs, sd, seed).withColumn("weight", F.least(F.greatest("weight", F.lit(graph.LEAST_WEIGHT)), F.lit(graph.MOST_WEIGHT)))
+        p = robust.runs_of(total, n_runs)
+    r = robust.runs_of(roots.select("node").join(graph.nodes(clean), "node", "left_semi"), n_runs)
+    solved = steiner.solve_runs(e.select("run", "src", "dst", "weight", "dir"), p.select("run", "node", "prize_total"), r.select("run", "node"), w, depth).persist()
+    arcs = solved.where("parent <> ''").select("run", F.col("parent").alias("src"), F.col("node").alias("dst"))
+    ends = arcs.select("run", F.explode(F.array("src", "dst")).alias("node"))
+    n = F.lit(n_runs)
+    return {
+        "nodes": graph.merge_runs(ends, ["node"], "run", n),
+        "edges": graph.merge_runs(arcs, ["src", "dst"], "run", n),
+        "roots": graph.merge_runs(solved.where("parent = ''"), ["node"], "run", n),
+        "objectives": solved.groupBy("run").agg(F.first("objective").alias("objective")),
+        "solution": solved,
+    }

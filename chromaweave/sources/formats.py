@@ -30,7 +30,7 @@ def typed(spark: SparkSession, path: str, schema: str, strict: bool = False, com
     fields = _fields(schema)
     lines = spark.read.text(path).where(~F.col("value").startswith(comment) & (F.trim("value") != ""))
     parts = F.split("value", "\t", -1)
-    header = F.exists(parts, lambda x: x == fields[0][0])
+    header = F.get(parts, F.lit(0)) == fields[0][0]
     rows = lines.where(~header).select(parts.alias("p"))
     out = []
     for i, (name, kind) in enumerate(fields):
@@ -147,7 +147,9 @@ def dense_matrix(spark, path, rows: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def _tokens(spark, path):
-    return spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("t"), F.monotonically_increasing_id().alias("_n"))
+    """The tokens t of each line that has any, and its place _n, which orders the lines of a file however it is split."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("t"), place.alias("_n"))
 
 
 def expression(spark, path) -> DataFrame:
@@ -155,23 +157,27 @@ def expression(spark, path) -> DataFrame:
     return _tokens(spark, path).select(F.get("t", F.lit(0)).alias("gene"), F.get("t", F.lit(1)).cast("double").alias("value"))
 
 
+def _headless(t: DataFrame, good: Column) -> DataFrame:
+    """The lines that are ``good``; the first line of each file may be another, and any other such line fails."""
+    first = t.groupBy("_n.file").agg(F.min("_n").alias("_n"))
+    odd = t.where(~good).join(first, "_n", "left_anti").agg(F.count("*").alias("k"), F.min(F.array_join("t", " ")).alias("line"))
+    # One row, which is never kept: it only fails.
+    fail = F.raise_error(F.concat_ws(" ", F.lit("not a line of this format:"), "line")).cast("boolean")
+    none = odd.where(F.when(F.col("k") > 0, fail).otherwise(F.lit(False))).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in t.schema])
+    return t.where(good).unionByName(none)
+
+
 def interactome(spark, path) -> DataFrame:
-    """src, dst, weight, dir of 3- or 4-column lines; a header (third token no number) is skipped; other arities fail."""
-    t = _tokens(spark, path)
+    """src, dst, weight, dir of 3- or 4-column lines with a number in the third; a file's first line may be a header, other lines fail."""
     third = F.get("t", F.lit(2)).try_cast("double")
-    body = t.where(third.isNotNull())
-    arity = F.size("t")
-    bad = F.raise_error(F.lit("an interaction line needs 3 or 4 columns")).cast("boolean")
-    body = body.where(F.when(~arity.isin(3, 4), bad).otherwise(F.lit(True)))
+    body = _headless(_tokens(spark, path), F.size("t").isin(3, 4) & third.isNotNull())
     return body.select(F.get("t", F.lit(0)).alias("src"), F.get("t", F.lit(1)).alias("dst"), third.alias("weight"), F.coalesce(F.get("t", F.lit(3)), F.lit("U")).alias("dir"))
 
 
 def prizes(spark, path) -> DataFrame:
-    """node, prize; a header is skipped; the last of equal nodes; two tokens or an error."""
-    t = _tokens(spark, path)
-    bad = F.raise_error(F.lit("a prize line needs 2 columns")).cast("boolean")
-    t = t.where(F.when(F.size("t") != 2, bad).otherwise(F.lit(True)))
-    each = t.select(F.get("t", F.lit(0)).alias("node"), F.get("t", F.lit(1)).try_cast("double").alias("prize"), "_n").where("prize IS NOT NULL")
+    """node, prize of 2-column lines; a file's first line may be a header, other lines fail; the last of equal nodes."""
+    prize = F.get("t", F.lit(1)).try_cast("double")
+    each = _headless(_tokens(spark, path), (F.size("t") == 2) & prize.isNotNull()).select(F.get("t", F.lit(0)).alias("node"), prize.alias("prize"), "_n")
     return each.groupBy("node").agg(F.max_by("prize", "_n").alias("prize"))
 
 
