@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, hamming, jaccard, langid, linededup, lm, packing, pii, secrets, simhash
+from chromaweave.llm import bpe, crossalign, hamming, jaccard, langid, linededup, lm, packing, pii, secrets, simhash
 from chromaweave.llm.store import small_batches
 
 QUERIES: dict = {}
@@ -163,3 +163,11 @@ def op3_lm_score(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = lm.score(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ~in_fold(7, 2))
     return found.select("doc_id", in_fold(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_cross_align(spark, sf_dir):
+    """Every whole text in two tokenizers: groups between common ends, links, and how usual these are."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = crossalign.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
