@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaweave.llm import bpe, crossalign, hamming, jaccard, langid, linededup, lm, packing, pii, secrets, simhash
+from chromaweave.llm import bpe, crossalign, hamming, jaccard, langid, linededup, lm, mixing, packing, pii, secrets, simhash, sortmeans
 from chromaweave.llm.store import small_batches
 
 QUERIES: dict = {}
@@ -171,3 +171,44 @@ def op13_cross_align(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = crossalign.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
     return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op11_sort_means(spark, sf_dir):
+    """Eight centroids of all whole vectors after ten rounds, and each vector's place among them."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    found = sortmeans.cluster(rows, "vec_id", "embedding", dims=64, k=8, rounds=10, seed=3)
+    told = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", told.alias("centroid_sha256"))
+
+
+def sort_means_sql(dims: int, k: int, rounds: int, seed: int) -> str:
+    """Every distance in every round, written out round by round."""
+    number = "CAST({} AS HUGEINT)"
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS row_no,
+  list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS INTEGER) AS c, v AS w FROM kept ORDER BY sha256('{seed}:' || vec_id), v LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT row_no, min(struct_pack(d := d, c := c)) AS best FROM (
+  SELECT row_no, c, CAST(list_sum(list_transform(list_zip(v, w), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) AS d FROM kept, c{r}) GROUP BY row_no)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS MATERIALIZED (SELECT best.c AS c, i, sum({number.format('v[i]')}) AS s, count(*) AS n FROM a{r} JOIN kept USING (row_no), range(1, {dims + 1}) t(i) GROUP BY 1, 2),
+m{r} AS MATERIALIZED (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (row_no) JOIN c{rounds} ON best.c = c{rounds}.c"""
+
+
+ORACLES["op11_sort_means"] = sort_means_sql(64, 8, 10, 3)
+
+
+@query
+def op12_mix_sources(spark, sf_dir):
+    """How often each document is taken, so that sources come to their target weights."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
