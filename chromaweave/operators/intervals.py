@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chromaweave.operators.ranges import dealt, running
+
 UPSTREAM, DOWNSTREAM = 2000, 2000
 BIN = 1 << 14
 
@@ -114,28 +116,39 @@ def map_peaks(peaks: DataFrame, genes: DataFrame, up: int = UPSTREAM, down: int
     return peaks.join(hit.drop(*[c for c in peaks.columns if c != "peak_id"]), "peak_id", "left").withColumn("map_type", F.coalesce("map_type", F.lit("None")))
 
 
-def nearest_start(peaks: DataFrame, genes: DataFrame) -> DataFrame:
+def nearest_start(peaks: DataFrame, genes: DataFrame, ranges: int | None = None) -> DataFrame:
     """Signed distance of least absolute value from each peak to a gene start on its chromosome.
 
     Starts and peaks are merged in order; the nearest start is the last before or the
-    first after, so no pair is formed.  Ties prefer the start before.
+    first after, so no pair is formed.  Ties prefer the start before.  A chromosome is
+    swept range by range, with the last and the first start carried over their borders;
+    peaks of one position are spread over ranges by a hash of their id.
     """
-    both = peaks.select("chrom", F.col("peak_loc").alias("at"), "peak_id").unionByName(genes.select("chrom", F.col("tx_start").alias("at"), F.lit(None).cast(peaks.schema["peak_id"].dataType).alias("peak_id")))
-    start = F.when(F.col("peak_id").isNull(), F.col("at"))
-    order = W.partitionBy("chrom").orderBy("at")
-    before = F.last(start, True).over(order.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first(start, True).over(order.rangeBetween(0, W.unboundedFollowing))
-    found = both.select("chrom", "peak_id", "at", before.alias("b"), after.alias("a")).where("peak_id IS NOT NULL")
+    starts = genes.select("chrom", F.col("tx_start").alias("at"), F.lit(None).cast(peaks.schema["peak_id"].dataType).alias("peak_id"), F.lit(-1).cast("long").alias("tie"), F.col("tx_start").alias("start")).distinct()
+    tie = F.shiftrightunsigned(F.xxhash64("peak_id"), 1)
+    here = peaks.select("chrom", F.col("peak_loc").alias("at"), "peak_id", tie.alias("tie"), F.lit(None).cast(genes.schema["tx_start"].dataType).alias("start"))
+    # Starts come before the peaks of their position.
+    both = here.unionByName(starts)
+    both, n = dealt(both, ["chrom", "at", "tie"], ranges)
+    order = ["at", "tie"]
+    both = running(both, n, "chrom", order, F.col("start"), "b")
+    both = running(both, n, "chrom", order, F.col("start"), "a", largest=False, backward=True)
+    found = both.where("start IS NULL")
     db, da = F.col("at") - F.col("b"), F.col("at") - F.col("a")
     near = F.when(F.col("a").isNull() | (F.abs(db) <= F.abs(da)), db).otherwise(da)
     return found.select("chrom", "peak_id", near.alias("dist"))
 
 
-def merge(intervals: DataFrame, by: str, lo: str, hi: str, gap: int = 0) -> DataFrame:
-    """Unions of intervals that overlap or lie within ``gap``: by, lo, hi, n."""
-    order = W.partitionBy(by).orderBy(lo, hi)
-    reach = F.max(hi).over(order.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(lo) > reach + gap), 1).otherwise(0)
-    island = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    out = intervals.withColumn("_new", new).withColumn("_island", island)
-    return out.groupBy(by, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n")).drop("_island")
+def merge(intervals: DataFrame, by: str, lo: str, hi: str, gap: int = 0, ranges: int | None = None) -> DataFrame:
+    """Unions of intervals that overlap or lie within ``gap``: by, lo, hi, n.
+
+    A chromosome is swept range by range, with the greatest end so far carried over
+    their borders; an island is named by its start, which no other island shares.
+    Intervals with equal ends are counted once and weigh as many as they are.
+    """
+    each = intervals.groupBy(by, lo, hi).agg(F.count("*").alias("_n"))
+    each, n = dealt(each, [by, lo, hi], ranges)
+    each = running(each, n, by, [lo, hi], F.col(hi), "_reach", strict=True)
+    new = F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach") + gap), F.col(lo))
+    each = running(each, n, by, [lo, hi], new, "_island")
+    return each.groupBy(by, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.sum("_n").alias("n")).drop("_island")

@@ -14,10 +14,14 @@ from itertools import accumulate
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Sampled keys for each splitter: a range then seldom holds more than twice its share.
 SAMPLE_PER_RANGE = 40
+#: Rows below which a further range is not worth its jobs.
+ROWS_PER_RANGE = 20_000
 #: Bits of a hash that one round of the selection counts by.
 RADIX_BITS = 12
 #: Rows among which a selection ends on the driver.
@@ -43,15 +47,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def n_ranges(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Ranges for so many rows: as many as the session's shuffles have, fewer for small tables."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE)))
 
 
 def _columns(df: DataFrame, order) -> list[Column]:
     return [df[c] if isinstance(c, str) else c for c in order]
 
 
-def numbered(df: DataFrame, order: list, name: str = "rank", by: list[str] | None = None, start: int = 0) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str = "rank", by: list[str] | None = None, start: int = 0, ranges: int | None = None) -> DataFrame:
     """``df`` with the place of each row in the order (of its ``by`` group): ``start``, ``start`` + 1, ...
 
     Rows that ``order`` leaves equal are numbered by a hash of the whole row, so the
@@ -63,16 +68,17 @@ def numbered(df: DataFrame, order: list, name: str = "rank", by: list[str] | Non
     by = by or []
     marks = df.withColumns({"_h": F.xxhash64(*[df[c] for c in df.columns]), "_r": F.rand(7)}) if df.columns else df
     keys = [marks[c] for c in by] + _columns(marks, order) + [marks["_h"], marks["_r"]]
-    dealt = marks.repartitionByRange(n_ranges(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    parts = parts_for(df.sparkSession, df.count()) if ranges is None else ranges
+    spread = marks.repartitionByRange(parts, *keys) if parts > 1 else marks.repartition(1)
     # The upper bits of this id are the partition, which is the range; the lower 33 count its rows.
-    dealt = settled(dealt.drop("_h", "_r").withColumn("_id", F.monotonically_increasing_id()))
+    placed = settled(spread.sortWithinPartitions(*keys).drop("_h", "_r").withColumn("_id", F.monotonically_increasing_id()))
     part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    parts = sorted(counts)
-    before = list(zip(parts, accumulate([0] + [counts[p] for p in parts][:-1]), strict=True))
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    used = sorted(counts)
+    before = list(zip(used, accumulate([counts[p] for p in used], initial=0), strict=False))
     # One row for each range.
     base = df.sparkSession.createDataFrame(before, "_p long, _base long")
-    out = dealt.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + inside + start).drop("_p", "_base", "_id")
+    out = placed.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + inside + start).drop("_p", "_base", "_id")
     if by:
         first = out.groupBy(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]).agg(F.min(name).alias("_first"))
         same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
@@ -121,51 +127,74 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def range_of(df: DataFrame, by: str, at: str, ranges: int | None = None) -> Column:
-    """The number of the range of (``by``, ``at``) in which a row lies; a later range has greater keys only.
+def dealt(df: DataFrame, keys: list[str], ranges: int | None = None, seed: int = 11) -> tuple[DataFrame, int]:
+    """``df`` with ``_range``, the range of ``keys`` in which a row lies, and the number of ranges.
 
-    The splitters are quantiles of a sample of the keys.  They decide where rows go,
-    never what comes out.  They are searched in two steps of about the square root of
-    their number.  Rows of one key stay in one range.
+    A later range has greater keys only.  The splitters are quantiles of a sample of the
+    keys, about :data:`SAMPLE_PER_RANGE` for each range.  They decide where rows go,
+    never what comes out, and are searched in two steps of about the square root of
+    their number.  Rows with equal keys stay together: the last key should tell them apart.
     """
-    ranges = ranges or n_ranges(df.sparkSession)
-    key = F.struct(F.col(by).alias("k"), F.col(at).alias("a"))
-    keys = df.where(F.col(by).isNotNull() & F.col(at).isNotNull())
-    n = keys.count()
-    if ranges < 2 or n == 0:
-        return F.lit(0)
-    sample = keys.sample(min(1.0, SAMPLE_PER_RANGE * ranges / n), 11).select(key.alias("x")).collect()
-    found = sorted((r["x"]["k"], r["x"]["a"]) for r in sample)
+    n = df.count() if ranges is None else None
+    ranges = ranges or parts_for(df.sparkSession, n)
+    if ranges < 2:
+        return df.withColumn("_range", F.lit(0)), 1
+    n = df.count() if n is None else n
+    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]
+    whole = reduce(and_, [F.col(c).isNotNull() for c in keys])
+    sample = df.where(whole).sample(min(1.0, SAMPLE_PER_RANGE * ranges / max(n, 1)), seed).select(*named).collect()
+    found = sorted(tuple(r) for r in sample)
     cuts = sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
     if not cuts:
-        return F.lit(0)
-    types = [df.schema[by].dataType, df.schema[at].dataType]
-    as_key = lambda c: F.struct(F.lit(c[0]).cast(types[0]).alias("k"), F.lit(c[1]).cast(types[1]).alias("a"))
+        return df.withColumn("_range", F.lit(0)), 1
+    types = [df.schema[c].dataType for c in keys]
+    as_key = lambda c: F.struct(*[F.lit(x).cast(t).alias(f"k{i}") for i, (x, t) in enumerate(zip(c, types, strict=True))])
     width = max(1, round(len(cuts) ** 0.5))
     blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    key = F.struct(*named)
     block = F.size(F.filter(F.array(*[as_key(b[0]) for b in blocks]), lambda c: c <= key))
-    inner = F.array(*[F.array(*[as_key(c) for c in b]) for b in blocks])
-    found_in = F.when(block > 0, (block - 1) * width + F.size(F.filter(F.element_at(inner, F.greatest(block, F.lit(1))), lambda c: c <= key)))
-    return F.coalesce(found_in, F.lit(0)).cast("int")
+    inner = F.element_at(F.array(*[F.array(*[as_key(c) for c in b]) for b in blocks]), F.greatest(block, F.lit(1)))
+    at = F.when(block > 0, (block - 1) * width + F.size(F.filter(inner, lambda c: c <= key))).otherwise(0)
+    return df.withColumn("_range", at.cast("int")), len(cuts) + 1
 
 
-def carried(summaries: DataFrame, by: str, state: str, combine: Callable, backward: bool = False) -> DataFrame:
-    """(``by``, _range, _carry): what the ranges before (or behind) a range say about its group.
+def _carry(summaries: DataFrame, by: str, pick: Callable, backward: bool) -> DataFrame:
+    """(_by, _at, _carry): the extreme value of a group's ranges before (or behind) each of its ranges.
 
-    ``summaries`` has one row for each group and range that occur together (by, _range,
-    state).  A group that lies in one range needs no carry, so only groups that cross
-    a splitter reach the driver: at most two for each splitter.
+    ``summaries`` has a row (``by``, _range, _value) for each group and range that occur
+    together.  A group in one range needs no carry, so only groups that cross a splitter
+    reach the driver: no more than two for each splitter.
     """
-    spark = summaries.sparkSession
-    kind = summaries.schema[state].dataType.simpleString()
-    schema = f"`{by}` {summaries.schema[by].dataType.simpleString()}, _range int, _carry {kind}"
-    crossing = summaries.groupBy(by).agg(F.count("*").alias("_n"), F.collect_list(F.struct("_range", F.col(state).alias("s"))).alias("_s")).where("_n > 1")
+    crossing = summaries.groupBy(by).agg(F.collect_list(F.struct("_range", "_value")).alias("_s")).where(F.size("_s") > 1)
     rows = []
     for r in crossing.collect():
         now = None
         for x in sorted(r["_s"], key=lambda x: x["_range"], reverse=backward):
             if now is not None:
                 rows.append((r[by], x["_range"], now))
-            if x["s"] is not None:
-                now = x["s"] if now is None else combine(now, x["s"])
-    return spark.createDataFrame(rows, schema)
+            if x["_value"] is not None:
+                now = x["_value"] if now is None else pick(now, x["_value"])
+    kinds = [summaries.schema[c].dataType for c in (by, "_value")]
+    return summaries.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_by", kinds[0]), T.StructField("_at", T.IntegerType()), T.StructField("_carry", kinds[1])]))
+
+
+def running(df: DataFrame, ranges: int, by: str, order: list, value: Column, name: str, largest: bool = True, strict: bool = False, backward: bool = False) -> DataFrame:
+    """The greatest (or least) ``value`` of a group up to each row, null if there is none.
+
+    ``df`` comes from :func:`dealt` by (``by``, then ``order``).  ``strict`` leaves the
+    row itself out, ``backward`` looks from the row to the end of its group.  A group is
+    worked range by range: one shuffle by (group, range), one combined summary for each
+    and what :func:`_carry` joins back.
+    """
+    window = W.partitionBy(by, "_range").orderBy(*order)
+    edge = 1 if strict else 0
+    frame = window.rowsBetween(edge, W.unboundedFollowing) if backward else window.rowsBetween(W.unboundedPreceding, -edge)
+    best, both = (F.max, F.greatest) if largest else (F.min, F.least)
+    inside = best(value).over(frame)
+    if ranges == 1:
+        return df.withColumn(name, inside)
+    summaries = df.groupBy(by, "_range").agg(best(value).alias("_value"))
+    # No more than two rows for each splitter.
+    carry = F.broadcast(_carry(summaries, by, max if largest else min, backward))
+    out = df.withColumn(name, inside)
+    return out.join(carry, out[by].eqNullSafe(carry["_by"]) & (out["_range"] == carry["_at"]), "left").withColumn(name, both(name, "_carry")).drop("_by", "_at", "_carry")

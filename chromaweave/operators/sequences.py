@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.functions.scalars import gc_content, reverse_complement
+from chromaweave.operators.ranges import least_keys
 
 
 def gc_histogram(seqs: DataFrame, seq: str, bins: int, by: list[str] | None = None) -> DataFrame:
@@ -45,26 +46,25 @@ def m_matches(seqs: DataFrame, seq: str, word: str, least: int) -> DataFrame:
     return each.where(F.greatest(matches(F.col("kmer"), word), matches(reverse_complement(F.col("kmer")), word)) >= least)
 
 
-def random_subset(seqs: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows (or all), by a hash order that a re-run repeats."""
-    return seqs.orderBy(_hash_order(key, seed), key).limit(n)
+def _hash_key(key: str, seed: int) -> Column:
+    """The first 64 bits of the MD5 of key and seed, as a long in the order of the digest."""
+    told = F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))))
+    half = lambda at: F.conv(F.substring(told, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1) - (1 << 31), 32).bitwiseOR(half(9))
+
 
+def random_subset(seqs: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """Exactly n rows (or all), by a hash order that a re-run repeats.  Keys are distinct.
 
-def _hash_order(key: str, seed: int):
-    return F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))))
+    Rows are neither sorted nor gathered: the greatest hash that is still in is found by
+    counting (:func:`~chromaweave.operators.ranges.least_keys`).
+    """
+    return seqs.where(least_keys(seqs, _hash_key(key, seed), n))
 
 
 def random_split(seqs: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
-    """Rows with ``part`` 0 for exactly int(fraction * rows) of them and 1 for the rest, by the order of :func:`random_subset`.
-
-    Keys are distinct.  Only the key's hashes are sorted, and only the last one that is
-    still in the first part goes to the driver.
-    """
-    n = int(fraction * seqs.count())
-    order = seqs.select(_hash_order(key, seed).alias("h"), F.col(key).alias("k"))
-    last = order.orderBy("h", "k").limit(n).agg(F.max(F.struct("h", "k")).alias("last")).first()["last"] if n else None
-    here = F.struct(_hash_order(key, seed).alias("h"), F.col(key).alias("k"))
-    inside = F.lit(False) if last is None else here <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).alias("k"))
+    """Rows with ``part`` 0 for exactly int(fraction * rows) of them and 1 for the rest, chosen as in :func:`random_subset`."""
+    inside = least_keys(seqs, _hash_key(key, seed), int(fraction * seqs.count()))
     return seqs.withColumn("part", F.when(inside, 0).otherwise(1))
 
 

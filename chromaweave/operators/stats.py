@@ -6,10 +6,11 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chromaweave.operators.ranges import numbered
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Lentz's continued fraction of the incomplete beta function."""
@@ -73,14 +74,11 @@ def transform_response(y, kind: str):
 
 
 def bh_qvalues(tests: DataFrame, p: str = "p", slope: str = "slope", key: str = "motif") -> DataFrame:
-    """q = min(1, n * p / rank), rank by (p, |slope| descending, key); without a step-up.
-
-    One row for each motif: a dimension-sized table, so its ranks are taken in one task.
-    """
-    tests = tests.where(F.col(p).isNotNull())
-    rank = F.row_number().over(W.orderBy(F.col(p), -F.abs(F.col(slope)), F.col(key)))
-    n = F.count("*").over(W.partitionBy())
-    return tests.withColumn("q", F.least(F.lit(1.0), n * F.col(p) / rank))
+    """q = min(1, n * p / rank), rank by (p, |slope| descending, key); without a step-up."""
+    known = tests.where(F.col(p).isNotNull())
+    ranked = numbered(known, [F.col(p), -F.abs(F.col(slope)), F.col(key)], "_rank", start=1)
+    n = ranked.agg(F.count("*").alias("_n"))  # one row
+    return ranked.crossJoin(F.broadcast(n)).withColumn("q", F.least(F.lit(1.0), F.col("_n") * F.col(p) / F.col("_rank"))).drop("_n", "_rank")
 
 
 def factor_scores(results: DataFrame, names, p: str = "p", threshold: float = 0.01, by: str | None = None) -> DataFrame:

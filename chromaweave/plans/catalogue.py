@@ -9,11 +9,10 @@ and a part, a prize a supplier's balance, a factor a supplier.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromaweave.functions import scalars as S
-from chromaweave.operators import graph, intervals, motifs, robust, sequences, stats, steiner
+from chromaweave.operators import graph, intervals, motifs, ranges, robust, sequences, stats, steiner
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -309,7 +308,7 @@ def fold_assignment(spark, sf_dir):
 @query(f"""WITH {EDGES}, {DEGREES}, r AS (SELECT node, row_number() OVER (ORDER BY degree, node) - 1 AS rank FROM degrees)
   SELECT a.node AS node, b.node AS other FROM r a JOIN r b ON b.rank = a.rank + 3""")
 def degree_rank_offset(spark, sf_dir):
-    r = graph.degree(edges(spark, sf_dir)).withColumn("rank", F.row_number().over(W.orderBy("degree", "node")) - 1)
+    r = ranges.numbered(graph.degree(edges(spark, sf_dir)), ["degree", "node"])
     return r.select("node", (F.col("rank") + 3).alias("rank")).join(r.select("rank", F.col("node").alias("other")), "rank").select("node", "other")
 
 
@@ -709,12 +708,29 @@ def steiner_lineitem(spark, sf_dir):
     return steiner.solve_runs(e, p, p.select("run", "node"), 1.0, 4)
 
 
-@query()
+UNIT = "((CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE))"
+
+
+def noise_sql(*keys):
+    """Box and Muller from the MD5 of the keys, as ``robust.normal`` with seed 0."""
+    unit = lambda k: UNIT.format(" || '/' || ".join([*keys, f"'0/{k}'"]))
+    return f"(sqrt(-2 * ln({unit(1)})) * cos(2 * pi() * {unit(2)}))"
+
+
+@query(f"""WITH {EDGES}, cleaned AS (SELECT CASE WHEN dir = 'U' THEN least(src, dst) ELSE src END AS src, CASE WHEN dir = 'U' THEN greatest(src, dst) ELSE dst END AS dst, dir,
+  least(greatest(weight, 0), CAST(0.99 AS DOUBLE)) AS weight FROM edges WHERE src <> dst), top AS (SELECT src, dst, dir, max(weight) AS weight FROM cleaned GROUP BY src, dst, dir)
+  SELECT CAST(run AS INTEGER) AS run, src, dst, dir, round(weight + CAST(0.333 AS DOUBLE) * {noise_sql("src", "dst", "dir", "run")}, 6) AS weight FROM top, range(0, 5) r(run)""")
 def noise_runs(spark, sf_dir):
-    return robust.noise_edges(solver_edges(spark, sf_dir), 5, 0.333)
+    return robust.noise_edges(solver_edges(spark, sf_dir), 5, 0.333).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PRIZES}, {EDGES}, {DEGREES}, ranked AS (SELECT node, row_number() OVER (ORDER BY degree, node) - 1 AS rank, count(*) OVER () AS n FROM degrees),
+  wanted AS (SELECT run, prize, n, CAST(((round(rank + 100 * {noise_sql("node", "run")}) % n) + n) % n AS BIGINT) AS want, md5(node || '/' || run || '/0') AS o
+    FROM prizes JOIN ranked USING (node), range(0, 5) r(run)),
+  laps AS (SELECT *, want AS at FROM wanted UNION ALL SELECT *, want + n FROM wanted),
+  seq AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY at, o) AS k FROM laps),
+  placed AS (SELECT run, prize, n, at, k + max(at - k) OVER (PARTITION BY run ORDER BY k) AS pos FROM seq)
+  SELECT CAST(run AS INTEGER) AS run, node, prize FROM placed JOIN ranked ON ranked.rank = placed.pos % placed.n WHERE at >= placed.n""")
 def random_terminals(spark, sf_dir):
     return robust.random_terminals(prizes(spark, sf_dir), graph.degree(edges(spark, sf_dir)), 5)
 
