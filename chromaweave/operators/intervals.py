@@ -132,7 +132,7 @@ def nearest_start(peaks: DataFrame, genes: DataFrame, ranges: int | None = None)
     both, n = dealt(both, ["chrom", "at", "tie"], ranges)
     order = ["at", "tie"]
     both = running(both, n, "chrom", order, F.col("start"), "b")
-    both = running(both, n, "chrom", order, F.col("start"), "a", largest=False, backward=True)
+    both = running(both, n, "chrom", order, F.col("start"), "a", kind="min", backward=True)
     found = both.where("start IS NULL")
     db, da = F.col("at") - F.col("b"), F.col("at") - F.col("a")
     near = F.when(F.col("a").isNull() | (F.abs(db) <= F.abs(da)), db).otherwise(da)

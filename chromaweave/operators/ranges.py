@@ -158,12 +158,20 @@ def dealt(df: DataFrame, keys: list[str], ranges: int | None = None, seed: int =
     return df.withColumn("_range", at.cast("int")), len(cuts) + 1
 
 
-def _carry(summaries: DataFrame, by: str, pick: Callable, backward: bool) -> DataFrame:
-    """(_by, _at, _carry): the extreme value of a group's ranges before (or behind) each of its ranges.
+#: What a running value is made of: over a window, of two summaries on the driver, of two columns.
+KINDS = {
+    "max": (F.max, max, F.greatest),
+    "min": (F.min, min, F.least),
+    "sum": (F.sum, lambda a, b: a + b, lambda a, b: F.when(F.col(a).isNull(), F.col(b)).otherwise(F.col(a) + F.coalesce(F.col(b), F.lit(0)))),
+}
+
+
+def _carry(summaries: DataFrame, by: str, combine: Callable, backward: bool) -> DataFrame:
+    """(_by, _at, _carry): the combined value of a group's ranges before (or behind) each of its ranges.
 
     ``summaries`` has a row (``by``, _range, _value) for each group and range that occur
     together.  A group in one range needs no carry, so only groups that cross a splitter
-    reach the driver: no more than two for each splitter.
+    reach the driver: no more than two rows for each splitter.
     """
     crossing = summaries.groupBy(by).agg(F.collect_list(F.struct("_range", "_value")).alias("_s")).where(F.size("_s") > 1)
     rows = []
@@ -173,28 +181,29 @@ def _carry(summaries: DataFrame, by: str, pick: Callable, backward: bool) -> Dat
             if now is not None:
                 rows.append((r[by], x["_range"], now))
             if x["_value"] is not None:
-                now = x["_value"] if now is None else pick(now, x["_value"])
+                now = x["_value"] if now is None else combine(now, x["_value"])
     kinds = [summaries.schema[c].dataType for c in (by, "_value")]
     return summaries.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_by", kinds[0]), T.StructField("_at", T.IntegerType()), T.StructField("_carry", kinds[1])]))
 
 
-def running(df: DataFrame, ranges: int, by: str, order: list, value: Column, name: str, largest: bool = True, strict: bool = False, backward: bool = False) -> DataFrame:
-    """The greatest (or least) ``value`` of a group up to each row, null if there is none.
+def running(df: DataFrame, ranges: int, by: str, order: list, value: Column, name: str, kind: str = "max", strict: bool = False, backward: bool = False) -> DataFrame:
+    """The greatest (or least, or summed) ``value`` of a group up to each row, null if there is none.
 
-    ``df`` comes from :func:`dealt` by (``by``, then ``order``).  ``strict`` leaves the
-    row itself out, ``backward`` looks from the row to the end of its group.  A group is
-    worked range by range: one shuffle by (group, range), one combined summary for each
-    and what :func:`_carry` joins back.
+    ``df`` comes from :func:`dealt` by (``by``, then ``order``), or has ranges of its own
+    that follow each other in that order.  ``strict`` leaves the row itself out,
+    ``backward`` looks from the row to the end of its group.  A group is worked range by
+    range: one shuffle by (group, range), one combined summary for each and what
+    :func:`_carry` joins back.
     """
     window = W.partitionBy(by, "_range").orderBy(*order)
     edge = 1 if strict else 0
     frame = window.rowsBetween(edge, W.unboundedFollowing) if backward else window.rowsBetween(W.unboundedPreceding, -edge)
-    best, both = (F.max, F.greatest) if largest else (F.min, F.least)
-    inside = best(value).over(frame)
+    over, combine, both = KINDS[kind]
+    inside = over(value).over(frame)
     if ranges == 1:
         return df.withColumn(name, inside)
-    summaries = df.groupBy(by, "_range").agg(best(value).alias("_value"))
+    summaries = df.groupBy(by, "_range").agg(over(value).alias("_value"))
     # No more than two rows for each splitter.
-    carry = F.broadcast(_carry(summaries, by, max if largest else min, backward))
+    carry = F.broadcast(_carry(summaries, by, combine, backward))
     out = df.withColumn(name, inside)
     return out.join(carry, out[by].eqNullSafe(carry["_by"]) & (out["_range"] == carry["_at"]), "left").withColumn(name, both(name, "_carry")).drop("_by", "_at", "_carry")

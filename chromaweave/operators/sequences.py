@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaweave.functions.scalars import gc_content, reverse_complement
 from chromaweave.operators.ranges import least_keys
+from chromaweave.operators.tiles import count_words, count_words_of_tiles, cut
 
 
 def gc_histogram(seqs: DataFrame, seq: str, bins: int, by: list[str] | None = None) -> DataFrame:
@@ -25,12 +26,10 @@ def kmers(seq: Column, k: int) -> Column:
 
 
 def top_kmers(seqs: DataFrame, seq: str, k: int, purge_n: bool = True) -> DataFrame:
-    """kmer, n on the lesser of both strands, most frequent first."""
-    each = seqs.select(F.explode(kmers(F.col(seq), k)).alias("w"))
-    if purge_n:
-        each = each.where(~F.upper("w").contains("N"))
+    """kmer, n on the lesser of both strands, most frequent first; sequences of any length (counted in tiles)."""
+    rows = seqs.select(F.lit(0).alias("_name"), F.col(seq).alias("_seq"))
+    counts = count_words_of_tiles(cut(rows, "_name", "_seq", halo=k - 1), "_seq", k, purge_n=purge_n)
     # Few different words are left after the first count, so strands are joined then.
-    counts = each.groupBy("w").agg(F.count("*").alias("c"))
     canon = F.least("w", reverse_complement(F.col("w")))
     return counts.groupBy(canon.alias("kmer")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "kmer")
 
@@ -42,7 +41,7 @@ def matches(a: Column, b: str) -> Column:
 
 def m_matches(seqs: DataFrame, seq: str, word: str, least: int) -> DataFrame:
     """kmer, n of the k-mers that agree with ``word`` on at least so many positions, on either strand."""
-    each = seqs.select(F.explode(kmers(F.col(seq), len(word))).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    each = count_words(seqs, seq, len(word), purge_n=False).withColumnsRenamed({"w": "kmer", "c": "n"})
     return each.where(F.greatest(matches(F.col("kmer"), word), matches(reverse_complement(F.col("kmer")), word)) >= least)
 
 

@@ -727,10 +727,10 @@ def noise_runs(spark, sf_dir):
 @query(f"""WITH RECURSIVE {PRIZES}, {EDGES}, {DEGREES}, ranked AS (SELECT node, row_number() OVER (ORDER BY degree, node) - 1 AS rank, count(*) OVER () AS n FROM degrees),
   wanted AS (SELECT run, prize, n, CAST(((round(rank + 100 * {noise_sql("node", "run")}) % n) + n) % n AS BIGINT) AS want, md5(node || '/' || run || '/0') AS o
     FROM prizes JOIN ranked USING (node), range(0, 5) r(run)),
-  laps AS (SELECT *, want AS at FROM wanted UNION ALL SELECT *, want + n FROM wanted),
-  seq AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY at, o) AS k FROM laps),
-  placed AS (SELECT run, prize, n, at, k + max(at - k) OVER (PARTITION BY run ORDER BY k) AS pos FROM seq)
-  SELECT CAST(run AS INTEGER) AS run, node, prize FROM placed JOIN ranked ON ranked.rank = placed.pos % placed.n WHERE at >= placed.n""")
+  laps AS (SELECT *, want AS spot FROM wanted UNION ALL SELECT *, want + n FROM wanted),
+  seq AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY spot, o) AS k FROM laps),
+  placed AS (SELECT run, prize, n, spot, k + max(spot - k) OVER (PARTITION BY run ORDER BY k) AS pos FROM seq)
+  SELECT CAST(run AS INTEGER) AS run, node, prize FROM placed JOIN ranked ON ranked.rank = placed.pos % placed.n WHERE spot >= placed.n""")
 def random_terminals(spark, sf_dir):
     return robust.random_terminals(prizes(spark, sf_dir), graph.degree(edges(spark, sf_dir)), 5)
 
@@ -750,3 +750,7 @@ def cross_validation(spark, sf_dir):
     e = robust.runs_of(solver_edges(spark, sf_dir), 5).select("run", "src", "dst", "weight", "dir")
     solved = steiner.solve_runs(e, left, robust.runs_of(fold.select("node"), 5).select("run", "node"), 1.0, 4)
     return robust.fold_summary(fold.select("fold", "node"), solved.select(F.col("run").alias("fold"), "node"), fold)
+
+
+# The queries that are cut to ranges and tiles register themselves here.
+from chromaweave.plans import scale  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.functions.scalars import wrap
+from chromaweave.sources.formats import TAMO_MARKS
 
 
 def tsv(df: DataFrame, path: str, header: bool = True) -> None:
@@ -49,3 +50,30 @@ def attribute_lines(df: DataFrame, key: str, value: str) -> DataFrame:
 def matrix_rows(matrix: DataFrame, genes: list[str]) -> DataFrame:
     """One row a factor, one column for each of a listed set of genes."""
     return matrix.groupBy("tf").pivot("gene", genes).agg(F.first("score")).na.fill(0.0)
+
+
+def tamo_lines(m: DataFrame, fields: DataFrame) -> DataFrame:
+    """motif, value: the text of each motif's block in a motif file, from its log odds and ``formats.tamo_fields``."""
+    number = lambda c, f: F.format_string(f, c)
+    cells = m.groupBy("motif", "letter").agg(F.array_sort(F.collect_list(F.struct("pos", "ll"))).alias("x"))
+    row = F.concat(F.lit("#"), "letter", F.lit(" "), F.array_join(F.transform("x", lambda c: number(c["ll"], "%9.3f")), " "))
+    matrix = cells.groupBy("motif").agg(F.max(F.size("x")).alias("width"), F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    ruler = F.concat(F.lit("#  "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: number(i, "%9d")), " "))
+    given = lambda c, text: F.when(F.col(c).isNotNull(), text)
+    minus_log = {name: log for _, name, log in TAMO_MARKS}
+    marks = dict((name, mark) for mark, name, _ in reversed(TAMO_MARKS) if name not in ("total_bits", "map_score", "p_value"))
+    shown = [given(n, F.concat(F.lit(f" {mark} "), number(-F.log10(n) if minus_log[n] else F.col(n), "%6.4f"))) for n, mark in marks.items()]
+    word = F.coalesce("word", F.lit("-"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    line = F.concat(
+        F.format_string("Motif %3d %-25s (Bits: %5.2f  MAP: %5.2f   D: %5.3f  %2d) E: %6.3f", "motif", word, zero("total_bits"), zero("map_score"), zero("seed_dist"), F.coalesce("seed_num", F.lit(0)), -F.log10(F.coalesce("p_value", F.lit(1.0)))),
+        F.concat_ws("", *shown),
+    )
+    beside = F.when(F.col("dataset").isNotNull(), F.format_string("fasta file: %s beta: %f background sequences: %s", "dataset", F.coalesce("beta", F.lit(0.0)), F.coalesce("background", F.lit("-"))))
+    text = F.concat_ws(
+        "\n", F.concat(F.format_string("Log-odds matrix for Motif %3d ", "motif"), word), ruler, "rows", given("seed", F.format_string("Seed %3d: %s", "seed_num", "seed")), given("gamma", F.format_string("Gamma: %7.5f", "gamma")),
+        given("evalue", F.format_string("Evalue: %6.3e", "evalue")), given("program", F.concat(F.lit("Program specific score: "), "program", F.lit(": "), F.coalesce("program_score", F.lit("")))), given("family", F.concat(F.lit("Family: "), "family")),
+        given("source", F.concat(F.lit("Source:  "), "source")), beside, given("match_threshold", F.format_string("SVM match threshold: %s", "match_threshold")), given("cv_error", F.format_string("classification error: %s", "cv_error")),
+        given("word", line), given("threshold", F.format_string("Threshold: %s", "threshold")),
+    )
+    return matrix.join(fields, "motif").select("motif", text.alias("value"))

@@ -143,7 +143,7 @@ def test_formats(spark, tmp_path):
     assert (cfg.w, cfg.depth, cfg.mu, cfg.noise) == (6, 6, 0, 0.333)
     with pytest.raises(ValueError):
         formats.ForestConfig.parse("b = 1\nD = 5")
-    motif = formats.tamo(spark, "Log-odds matrix for Motif   0\n#A 1.0 -2.0\n#C 0 1\n#G 0 0\n#T 0 0\nSource: S\n")
+    motif = formats.tamo(spark, write(tmp_path, "m.tamo", "Log-odds matrix for Motif   0\n#A 1.0 -2.0\n#C 0 1\n#G 0 0\n#T 0 0\nSource: S\n"))
     assert motif.count() == 8 and motif.first().source == "S"
 
 
