@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaweave.llm import jaccard, langid, linededup, packing, pii
-from chromaweave.llm.store import materialise, small_batches
+from chromaweave.llm.store import materialise, small_batches, unused
 
 #: Calibrated probability below which a document's language counts as unknown.
 LEAST_SCORE = 0.5
@@ -30,8 +30,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels know; null, letterless and undecided texts go."""
     small_batches(spark)
     model = langid.fit(docs)
-    found = langid.predict(docs, model, label="_lang", score="_score")
-    return found.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    label, score = unused("_lang", docs.columns), unused("_score", docs.columns)
+    found = langid.predict(docs, model, label=label, score=score)
+    return found.where((F.col(label) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def protect_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data generalised and disclosing terms removed."""
     small_batches(spark)
-    return with_text(pii.protect(docs, spans="_spans", sanitised="text"), docs.columns)
+    return with_text(pii.protect(docs, spans=unused("_spans", docs.columns), sanitised="text"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,13 @@ def test_stages_on_odd_rows(spark, docs):
             if name != "packing":
                 assert out.columns == table.columns
         out.collect()
+
+
+def test_columns_called_like_the_stages_own_stay(spark, docs):
+    from pyspark.sql import functions as F
+
+    table = docs([(i, t, x) for i, (t, x) in enumerate([("the dog and the cat run", "en"), ("der hund und die katze", "de")] * 10)])
+    table = table.withColumns({"_lang": F.lit("keep"), "_score": F.lit("s"), "_spans": F.lit(7)})
+    for stage in (cp.language_id, cp.protect_pii):
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns and out.select("_lang", "_score", "_spans").distinct().collect() == [("keep", "s", 7)]
