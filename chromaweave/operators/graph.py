@@ -94,7 +94,10 @@ def dummy_neighbours(mode: str, prizes: DataFrame, edges: DataFrame, listed: Dat
     if mode == "others":
         return nodes(edges).join(prizes.select("node"), "node", "left_anti")
     if mode == "file" and listed is not None:
-        return listed.select("node").distinct().join(nodes(edges), "node", "left_semi")
+        known = listed.select("node").distinct().join(nodes(edges), "node", "left_semi")
+        if not known.limit(1).count():
+            raise ValueError("no node of the dummy list is in the network")
+        return known
     raise ValueError(f"unknown dummy mode {mode}")
 
 
@@ -153,3 +156,29 @@ def guarded_prizes(prizes: DataFrame, edges: DataFrame, most: float = 0.9) -> Da
     if n and (n - left) / n > most:
         raise ValueError(f"{n - left} of {n} prizes are not in the network")
     return kept
+
+
+def solution_edges(edges: DataFrame, tree: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The network's edges between parents and children (src, dst of ``tree``), in the direction that the tree uses them.
+
+    An undirected edge may be used either way.  An arc of the tree that the network does
+    not have fails the query.  ``by`` are columns that both have, such as a run.
+    """
+    by = by or []
+    named = tree.select(*by, F.col("src").alias("_p"), F.col("dst").alias("_c"))
+    ways = edges.select(*by, "src", "dst", "weight", "dir", F.col("src").alias("_p"), F.col("dst").alias("_c"))
+    back = edges.where("dir = 'U'").select(*by, "src", "dst", "weight", "dir", F.col("dst").alias("_p"), F.col("src").alias("_c"))
+    met = named.join(ways.unionByName(back), [*by, "_p", "_c"], "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("the network has no edge"), "_p", "_c")).cast("string")
+    return met.select(*by, F.when(F.col("src").isNull(), missing).otherwise(F.col("src")).alias("src"), "dst", "weight", "dir").distinct()
+
+
+def with_dummy(fractions: DataFrame, roots: DataFrame, dummy: str = "DUMMY") -> DataFrame:
+    """Shares of edges (src, dst, fraction) with an edge from the dummy to each root (node, fraction)."""
+    return fractions.select("src", "dst", "fraction").unionByName(roots.select(F.lit(dummy).alias("src"), F.col("node").alias("dst"), "fraction"))
+
+
+def merged_attributes(shares: DataFrame, prizes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, fraction, prize, terminal, degree of merged nodes (node, fraction): what all runs have in common."""
+    out = shares.join(prizes.select("node", "prize"), "node", "left").join(degree(edges), "node", "left")
+    return out.select("node", "fraction", F.coalesce("prize", F.lit(0.0)).alias("prize"), F.col("prize").isNotNull().alias("terminal"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))

@@ -5,9 +5,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import log2
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -254,25 +257,135 @@ def aligned_distance(a: DataFrame, b: DataFrame, overlap: int) -> DataFrame:
     return placed.groupBy("motif_a", "motif_b").agg(best.alias("b")).select("motif_a", "motif_b", "b.distance", "b.strand", "b.offset")
 
 
-def best_words(m: DataFrame, threshold: float) -> DataFrame:
-    """motif, word, score of all words that score over the threshold.
+def columns_of(m: DataFrame) -> DataFrame:
+    """motif, pos, p: the probabilities of A, C, G and T of each position."""
+    return m.groupBy("motif", "pos").agg(F.array(*[F.coalesce(F.max(F.when(F.col("letter") == x, F.col("p"))), F.lit(0.0)) for x in BACKGROUND]).alias("p"))
+
+
+def placements(a: DataFrame, b: DataFrame, pairs: DataFrame, overlap: int, padded: bool = False, background=None) -> DataFrame:
+    """motif_a, motif_b, strand, offset and diff, maskdiff, infomaskdiff, diverge of every placement of b against a.
+
+    ``pairs`` (motif_a, motif_b) are compared.  At least ``overlap`` columns of both lie
+    over each other; column p of a lies over column p - offset of b.  Only these count,
+    or, if ``padded``, all columns of both, over background where the other has none.
+    The distances are those of :func:`distances`, with b as the second motif.
+    """
+    bg = background or BACKGROUND
+    flat = F.array(*[F.lit(bg[x]) for x in BACKGROUND])
+    width = lambda m: m.groupBy("motif").agg((F.max("pos") + 1).alias("_w"))
+    both = b.select("motif", "pos", "letter", "p").withColumn("strand", F.lit("+")).unionByName(revcomp(b).select("motif", "pos", "letter", "p").withColumn("strand", F.lit("-")))
+    wide_b = both.groupBy("motif", "strand", "pos").agg(F.array(*[F.coalesce(F.max(F.when(F.col("letter") == x, F.col("p"))), F.lit(0.0)) for x in BACKGROUND]).alias("pb"))
+    wa, wb = width(a).withColumnsRenamed({"motif": "motif_a", "_w": "wa"}), width(b).withColumnsRenamed({"motif": "motif_b", "_w": "wb"})
+    placed = pairs.select("motif_a", "motif_b").join(wa, "motif_a").join(wb, "motif_b").where((F.col("wa") >= overlap) & (F.col("wb") >= overlap))
+    placed = placed.select("*", F.explode(F.sequence(overlap - F.col("wb"), F.col("wa") - overlap)).alias("offset"), F.lit(["+", "-"]).alias("_s")).select("*", F.explode("_s").alias("strand")).drop("_s")
+    lo, hi = F.lit(0), F.col("wa")
+    if padded:
+        lo, hi = F.least(lo, F.col("offset")), F.greatest(hi, F.col("offset") + F.col("wb"))
+    else:
+        lo, hi = F.greatest(lo, F.col("offset")), F.least(hi, F.col("offset") + F.col("wb"))
+    each = placed.select("motif_a", "motif_b", "strand", "offset", F.explode(F.sequence(lo, hi - 1)).alias("at")).withColumn("at_b", F.col("at") - F.col("offset"))
+    each = each.join(columns_of(a).select(F.col("motif").alias("motif_a"), F.col("pos").alias("at"), F.col("p").alias("pa")), ["motif_a", "at"], "left")
+    each = each.join(wide_b.select(F.col("motif").alias("motif_b"), "strand", F.col("pos").alias("at_b"), "pb"), ["motif_b", "strand", "at_b"], "left")
+    each = each.withColumns({"pa": F.coalesce("pa", flat), "pb": F.coalesce("pb", flat)})
+    x = [F.get("pa", F.lit(i)) for i in range(4)]
+    y = [F.get("pb", F.lit(i)) for i in range(4)]
+    back = [bg[k] for k in BACKGROUND]
+    total = lambda parts: reduce(lambda u, v: u + v, parts)
+    d = F.sqrt(total([(u - v) * (u - v) for u, v in zip(x, y, strict=True)])) / F.sqrt(F.lit(2.0))
+    info = F.greatest(total([F.when(v > 0, v * F.log2(v)).otherwise(0.0) - q * log2(q) for v, q in zip(y, back, strict=True)]), F.lit(0.0))
+    even = F.greatest(*[F.abs(v - q) for v, q in zip(y, back, strict=True)]) < 0.05
+    kl = total([F.when((u > 0) & (v > 0), u * F.log2(u / v)).otherwise(0.0) for u, v in zip(x, y, strict=True)])
+    col = each.select("motif_a", "motif_b", "strand", "offset", d.alias("d"), info.alias("bits"), even.alias("even"), kl.alias("kl"))
+    return col.groupBy("motif_a", "motif_b", "strand", "offset").agg(
+        F.avg("d").alias("diff"),
+        F.avg(F.when(~F.col("even"), F.col("d"))).alias("maskdiff"),
+        F.when(F.max("bits") < 0.1, F.lit(1.0)).otherwise(F.sum(F.col("d") * F.col("bits")) / F.sum("bits")).alias("infomaskdiff"),
+        F.avg(F.when(F.col("bits") > 0, F.col("kl"))).alias("diverge"),
+    )
+
+
+DISTANCES = ("diff", "maskdiff", "infomaskdiff", "diverge")
+
+
+def nearest_placements(placed: DataFrame) -> DataFrame:
+    """motif_a, motif_b, distance, value, strand, offset: the best placement of a pair under each distance.
+
+    Placements without a value, as all columns are masked, do not count; of equal ones
+    the '+' strand and the least offset.
+    """
+    long = placed.select("motif_a", "motif_b", "strand", "offset", F.explode(F.create_map(*[x for d in DISTANCES for x in (F.lit(d), F.round(d, 12))])).alias("distance", "value")).where("value IS NOT NULL")
+    return long.groupBy("motif_a", "motif_b", "distance").agg(F.min(F.struct("value", "strand", "offset")).alias("b")).select("motif_a", "motif_b", "distance", "b.value", "b.strand", "b.offset")
+
+
+def _digit(*keys) -> Column:
+    """A whole number from 0 to 2 ** 32 - 1 from the MD5 of the keys."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[k.cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
+
+
+def random_motifs(widths: DataFrame, n: int, seed: int = 0, dominant: float = 0.91) -> DataFrame:
+    """motif, i, pos, letter, p: ``n`` random motifs for each (motif, width), a letter drawn by hash dominant at each position."""
+    each = widths.select("motif", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.sequence(F.lit(0), F.col("width") - 1).alias("_p")).select("motif", "i", F.explode("_p").alias("pos"))
+    top = _digit(F.col("motif"), F.col("pos"), F.col("i"), F.lit(seed)) % 4
+    p = lambda k: F.when(top == k, F.lit(dominant)).otherwise(F.lit((1 - dominant) / 3))
+    return each.select("motif", "i", "pos", F.explode(F.array(*[F.struct(F.lit(x).alias("letter"), p(k).alias("p")) for k, x in enumerate(BACKGROUND)])).alias("x")).select("motif", "i", "pos", "x.letter", "x.p")
+
+
+def shuffled_letters(m: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """motif, i, pos, letter, p: ``n`` copies of each motif, in each the probabilities of a position dealt anew to the letters.
+
+    The probabilities of a position stay as they are; the letters take them in the order
+    of a hash of motif, copy, position and letter.
+    """
+    each = m.groupBy("motif", "pos").agg(F.array_sort(F.collect_list(F.struct("letter", "p"))).alias("_x")).select("motif", "pos", "_x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    order = F.array_sort(F.transform("_x", lambda x: F.struct(F.md5(F.concat_ws("/", "motif", F.col("i").cast("string"), F.col("pos").cast("string"), x["letter"], F.lit(str(seed)))).alias("h"), x["letter"].alias("letter"))))
+    dealt = F.zip_with(order, "_x", lambda o, x: F.struct(o["letter"].alias("letter"), x["p"].alias("p")))
+    return each.select("motif", "i", "pos", F.explode(dealt).alias("x")).select("motif", "i", "pos", "x.letter", "x.p")
+
+
+def null_distribution(m: DataFrame, others: DataFrame) -> DataFrame:
+    """motif, n, mean, sd of the mean column distance between each motif and its random ones (motif, i, pos, letter, p)."""
+    both = m.select("motif", "pos", "letter", F.col("p").alias("pa")).join(others, ["motif", "pos", "letter"])
+    col = both.groupBy("motif", "i", "pos").agg((F.sqrt(F.sum(F.pow(F.col("pa") - F.col("p"), F.lit(2.0)))) / F.sqrt(F.lit(2.0))).alias("d"))
+    each = col.groupBy("motif", "i").agg(F.avg("d").alias("distance"))
+    return each.groupBy("motif").agg(F.count("*").alias("n"), F.avg("distance").alias("mean"), F.coalesce(F.stddev_samp("distance"), F.lit(0.0)).alias("sd"))
+
+
+def z_scores(observed: DataFrame, null: DataFrame, distance: str = "diff") -> DataFrame:
+    """The observed (motif_a, ..., ``distance``) with z, in standard deviations below the mean of motif_a's null distribution."""
+    known = null.select(F.col("motif").alias("motif_a"), F.col("mean").alias("_mean"), F.col("sd").alias("_sd"))
+    return observed.join(known, "motif_a", "left").withColumn("z", (F.col("_mean") - F.col(distance)) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mean", "_sd")
+
+
+#: Positions whose words are rows of their own, so that one motif's words are many tasks' work.
+SPREAD = 3
+
+
+def best_words(m: DataFrame, threshold: float | str) -> DataFrame:
+    """motif, word, score of all words that score over the threshold (a number, or a column of ``m``).
 
-    Column by column, a word is only continued if the best of what is left can still
-    lift it over the threshold.
+    Position by position, a word goes on only if the best of what is left can still
+    lift it over the threshold.  A motif is one row, its words grow in an array inside
+    it; after :data:`SPREAD` positions each beginning is a row.  Nothing is joined.
     """
-    best = m.groupBy("motif", "pos").agg(F.max("ll").alias("top"))
-    left = best.select("motif", "pos", F.coalesce(F.sum("top").over(W.partitionBy("motif").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("left"))
-    letters = m.select("motif", "pos", "letter", "ll").join(left, ["motif", "pos"])
-    width = m.agg(F.max("pos")).first()[0]
-    done = m.groupBy("motif").agg((F.max("pos") + 1).alias("width"))
-    words = done.select("motif", "width", F.lit("").alias("word"), F.lit(0.0).alias("score"))
-    out = None
-    for i in range(-1 if width is None else width + 1):
-        step = words.join(F.broadcast(letters.where(F.col("pos") == i)), "motif")
-        words = step.withColumn("score", F.col("score") + F.col("ll")).where(F.col("score") + F.col("left") > threshold).select("motif", "width", F.concat("word", "letter").alias("word"), "score")
-        ended = words.where(F.col("width") == i + 1)
-        out = ended if out is None else out.unionByName(ended)
-    return words.select("motif", "word", "score") if out is None else out.select("motif", "word", "score")
+    bound = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else F.first(threshold)
+    letters = m.groupBy("motif", "pos").agg(F.array_sort(F.collect_list(F.struct("letter", "ll"))).alias("x"), F.max("ll").alias("top"), bound.cast("double").alias("bound"))
+    each = letters.groupBy("motif").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "top"))).alias("c"), F.first("bound").alias("bound"))
+    # What the positions behind each can add at most, from the last on.
+    left = F.reverse(F.aggregate(F.reverse("c"), F.array(F.lit(0.0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["top"]))))
+    each = each.withColumn("left", F.slice(left, F.lit(2), F.size("c")))
+
+    def grown(words, steps):
+        def one(acc, step):
+            longer = F.flatten(F.transform(acc, lambda w: F.transform(step["c"]["x"], lambda y: F.struct(F.concat(w["word"], y["letter"]).alias("word"), (w["score"] + y["ll"]).alias("score")))))
+            return F.filter(longer, lambda w: w["score"] + step["left"] > F.col("bound"))
+
+        return F.aggregate(steps, words, one)
+
+    steps = F.zip_with("c", "left", lambda c, r: F.struct(c.alias("c"), r.alias("left")))
+    empty = F.array(F.struct(F.lit("").alias("word"), F.lit(0.0).alias("score")))
+    begun = each.select("motif", "bound", steps.alias("s")).withColumn("w", grown(empty, F.slice("s", 1, SPREAD)))
+    rows = begun.select("motif", "bound", F.expr(f"slice(s, {SPREAD + 1}, greatest(size(s) - {SPREAD}, 0))").alias("s"), F.explode("w").alias("w")).repartition("motif", "w.word")
+    return rows.select("motif", F.explode(grown(F.array("w"), F.col("s"))).alias("w")).select("motif", "w.word", "w.score")
 
 
 def emit(m: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -611,13 +611,6 @@ def motif_alignment(spark, sf_dir):
     return motifs.aligned_distance(m.where("motif = 'en'"), m.where("motif = 'de'"), 4).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH RECURSIVE {_values()}, g AS (SELECT DISTINCT motif, width, 0 AS n, '' AS word, CAST(0 AS DOUBLE) AS score FROM w
-  UNION ALL SELECT g.motif, g.width, g.n + 1, g.word || w.letter, g.score + w.ll FROM g JOIN w ON w.motif = g.motif AND w.pos = g.n)
-  SELECT motif, word, round(score, 6) AS score FROM g WHERE n = width AND score > 5""")
-def motif_best_words(spark, sf_dir):
-    return motifs.best_words(word_motifs(spark), 5.0).withColumn("score", F.round("score", 6))
-
-
 @query(LETTERS + ", c AS (SELECT motif, pos, max(log2(p) + 2) AS hi, min(log2(p) + 2) AS lo FROM f GROUP BY motif, pos) SELECT motif, round(CAST(0.7 AS DOUBLE) * (sum(hi) - sum(lo)) + sum(lo), 6) AS threshold FROM c GROUP BY motif")
 def threshold_back_projection(spark, sf_dir):
     m = motifs.from_sequences(tiles(spark, sf_dir), "lang", "w")

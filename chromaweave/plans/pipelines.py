@@ -17,50 +17,89 @@ def factors_from_matrix(matrix: DataFrame, expression: DataFrame, threshold: flo
 
 
 def forest(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, b: float, depth: int, mu: float = 0.0, knockout=None) -> dict[str, DataFrame]:
-    """Solve one instance; optimal edges, augmented edges, nodes with attributes and the objective."""
+    """Solve one instance; optimal edges, augmented edges, nodes with attributes and the objective.
+
+    Fails where more than nine tenths of the prizes are not in the network, and where
+    the solution has an edge that the network has not.  ``clean`` and ``solution`` are
+    cached, as the others read them; the caller unpersists them.
+    """
     clean = graph.directed_first(graph.keep_max(graph.clean_edges(edges, knockout))).persist()
-    known = graph.known_prizes(prizes, clean)
+    known = graph.guarded_prizes(prizes, clean)
     total = graph.total_prizes(known, clean, b, mu)
     one = lambda df: df.withColumn("run", F.lit(0))
     solved = steiner.solve_runs(one(clean).select("run", "src", "dst", "weight", "dir"), one(total).select("run", "node", "prize_total"), one(roots.select("node").join(graph.nodes(clean), "node", "left_semi")).select("run", "node"), w, depth).persist()
-    tree = solved.where("parent <> ''").select(F.col("parent").alias("p"), F.col("node").alias("c"))
-    either = ((F.col("src") == F.col("p")) & (F.col("dst") == F.col("c"))) | ((F.col("dir") == "U") & (F.col("src") == F.col("c")) & (F.col("dst") == F.col("p")))
-    pairs = tree.withColumns({"lo": F.least("p", "c"), "hi": F.greatest("p", "c")})
-    optimal = clean.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")}).join(pairs, ["lo", "hi"]).where(either).select("src", "dst", "weight", "dir", F.lit(1.0).alias("fraction"))
+    tree = solved.where("parent <> ''").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
+    optimal = graph.solution_edges(clean, tree).withColumn("fraction", F.lit(1.0))
     nodes = graph.nodes(optimal)
     extra = graph.induced(clean, nodes, optimal).select("src", "dst", "weight", "dir", F.lit(0.0).alias("fraction"))
     augmented = optimal.unionByName(extra)
     arcs = augmented.select("src", "dst").union(augmented.where("dir = 'U'").select("dst", "src"))
-    described = nodes.join(total, "node", "left").join(steiner.betweenness(arcs), "node", "left").withColumn("fraction", F.lit(1.0))
-    return {"optimal": optimal, "augmented": augmented, "nodes": described, "solution": solved}
+    kinds = known.select("node", F.lit("Proteomic").alias("terminal_type"))
+    described = nodes.join(total, "node", "left").join(kinds, "node", "left").join(steiner.betweenness(arcs), "node", "left").withColumn("fraction", F.lit(1.0))
+    return {"optimal": optimal, "augmented": augmented, "nodes": described, "solution": solved, "clean": clean}
 
 
-def replicates(edges: DataFrame, prizes: DataFrame, roots: DataFrame, n_runs: int, w: float, b: float, depth: int, mu: float = 0.0, sd: float = 0.333, shuffle: bool = False, seed: int = 0) -> dict[str, DataFrame]:
-    """Perturb, solve and merge: forests of noisy edges, or of prizes dealt anew among the terminals.
+def replicates(edges: DataFrame, prizes: DataFrame, roots: DataFrame, n_runs: int, w: float, b: float, depth: int, mu: float = 0.0, sd: float = 0.333, shuffle: bool = False, seed: int = 0, random_terminals: bool = False, spread: float = 100.0) -> dict[str, DataFrame]:
+    """Perturb, solve and merge: forests of noisy edges, of prizes dealt anew among the terminals, or of random terminals.
 
-    ``nodes``, ``edges`` (src, dst: parent and child) and ``roots`` have the share of the
-    runs whose forest holds them, ``objectives`` a row for each run.  ``solution`` is
-    cached, as the others read it; the caller unpersists it.
+    Random terminals are nodes of near degree rank (``spread`` ranks of normal noise)
+    that take the terminals' prizes.  ``nodes``, ``edges`` (src, dst: parent and child)
+    and ``roots`` have the share of the runs whose forest holds them, ``with_dummy`` both
+    kinds of edges in one, ``attributes`` the merged nodes with what they have in the
+    network, ``objectives`` a row for each run.  Fails where more than nine tenths of
+    the prizes are not in the network, and where a run uses an edge that it has not.
+    ``solution`` is cached, as the others read it; the caller unpersists it.
     """
     clean = graph.directed_first(graph.keep_max(graph.clean_edges(edges))).select("src", "dst", "weight", "dir")
-    known = graph.known_prizes(prizes, clean)
+    known = graph.guarded_prizes(prizes, clean)
     total = graph.total_prizes(known, clean, b, mu)
-    if shuffle:
+    if shuffle or random_terminals:
         e = robust.runs_of(clean, n_runs)
-        dealt = robust.shuffle_prizes(known, n_runs, seed)
-        p = robust.runs_of(total.select("node", "prize_neg"), n_runs).join(dealt, ["run", "node"], "left").withColumn("prize_total", F.coalesce(F.col("prize") * b, F.lit(0.0)) + F.col("prize_neg"))
+        dealt = robust.random_terminals(known, graph.degree(clean), n_runs, spread, seed) if random_terminals else robust.shuffle_prizes(known, n_runs, seed)
+        penalty = graph.total_prizes(known, clean, 0.0, mu).select("node", "prize_neg")
+        p = robust.runs_of(penalty, n_runs).join(dealt, ["run", "node"], "full_outer").withColumn("prize_total", F.coalesce(F.col("prize") * b, F.lit(0.0)) + F.coalesce("prize_neg", F.lit(0.0)))
     else:
         e = robust.noise_edges(clean, n_runs, sd, seed).withColumn("weight", F.least(F.greatest("weight", F.lit(graph.LEAST_WEIGHT)), F.lit(graph.MOST_WEIGHT)))
         p = robust.runs_of(total, n_runs)
     r = robust.runs_of(roots.select("node").join(graph.nodes(clean), "node", "left_semi"), n_runs)
     solved = steiner.solve_runs(e.select("run", "src", "dst", "weight", "dir"), p.select("run", "node", "prize_total"), r.select("run", "node"), w, depth).persist()
     arcs = solved.where("parent <> ''").select("run", F.col("parent").alias("src"), F.col("node").alias("dst"))
+    # Every arc of every run is one of the network's, in a way that it allows.
+    either = clean.select("src", "dst").union(clean.where("dir = 'U'").select("dst", "src")).withColumn("_known", F.lit(True)).distinct()
+    missing = F.raise_error(F.concat_ws(" ", F.lit("the network has no edge"), "src", "dst")).cast("string")
+    arcs = arcs.join(either, ["src", "dst"], "left").select("run", F.when(F.col("_known").isNull(), missing).otherwise(F.col("src")).alias("src"), "dst")
     ends = arcs.select("run", F.explode(F.array("src", "dst")).alias("node"))
     n = F.lit(n_runs)
+    shares = graph.merge_runs(ends, ["node"], "run", n)
+    pairs = graph.merge_runs(arcs, ["src", "dst"], "run", n)
+    alone = graph.merge_runs(solved.where("parent = ''"), ["node"], "run", n)
     return {
-        "nodes": graph.merge_runs(ends, ["node"], "run", n),
-        "edges": graph.merge_runs(arcs, ["src", "dst"], "run", n),
-        "roots": graph.merge_runs(solved.where("parent = ''"), ["node"], "run", n),
+        "nodes": shares,
+        "edges": pairs,
+        "roots": alone,
+        "with_dummy": graph.with_dummy(pairs, alone),
+        "attributes": graph.merged_attributes(shares, known, clean),
         "objectives": solved.groupBy("run").agg(F.first("objective").alias("objective")),
         "solution": solved,
     }
+
+
+def report(edges: DataFrame, prizes: DataFrame, solved: DataFrame) -> DataFrame:
+    """run, terminals_given, terminals_known, terminals_found, nodes, steiner, roots, lone_roots, objective: a row for each run.
+
+    ``solved`` is what ``steiner.solve_runs`` gives, ``edges`` the cleaned network.
+    """
+    given = prizes.select("node").distinct()
+    known = given.join(graph.nodes(edges), "node", "left_semi").withColumn("_t", F.lit(1))
+    counts = given.agg(F.count("*").alias("terminals_given"))
+    n_known = known.agg(F.count("*").alias("terminals_known"))
+    arcs = solved.where("parent <> ''")
+    ends = arcs.select("run", F.explode(F.array("parent", "node")).alias("node")).distinct()
+    here = ends.join(known, "node", "left").groupBy("run").agg(F.count("*").alias("nodes"), F.count("_t").alias("terminals_found"))
+    roots = solved.where("parent = ''").select("run", "node").distinct().join(ends.withColumn("_in", F.lit(1)), ["run", "node"], "left")
+    tops = roots.groupBy("run").agg(F.count("*").alias("roots"), F.count_if(F.col("_in").isNull()).alias("lone_roots"))
+    best = solved.groupBy("run").agg(F.first("objective").alias("objective"))
+    out = best.join(here, "run", "left").join(tops, "run", "left").na.fill(0, ["nodes", "terminals_found", "roots", "lone_roots"])
+    # Two tables of one row.
+    out = out.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(n_known))
+    return out.select("run", "terminals_given", "terminals_known", "terminals_found", "nodes", (F.col("nodes") - F.col("terminals_found")).alias("steiner"), "roots", "lone_roots", "objective")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chromaweave.operators import intervals, ranges, robust, sequences, tiles
+from chromaweave.operators import background, intervals, motifs, ranges, robust, sequences, tiles
 from chromaweave.plans import catalogue as C
 
 RANGES = 8
@@ -89,3 +89,101 @@ def placement_in_ranges(spark, sf_dir):
     n = C.table(spark, sf_dir, "orders").count()
     li = C.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("run"), F.col("l_orderkey").cast("double").alias("prize"), F.col("l_partkey").cast("long").alias("rank"), F.md5(F.col("l_orderkey").cast("string")).alias("o"))
     return robust.place(li, n, RANGES)
+
+
+# -- background sequences, null distributions, consensus words ---------------------------
+
+SIZES = (8, 12)
+
+
+def windows(spark, sf_dir):
+    """Foreground: a window in each sequence that is long enough, by the number of its document."""
+    b = C.bases(spark, sf_dir).where("length(seq) >= 64")
+    size = F.when(F.col("doc_id") % 2 == 0, SIZES[0]).otherwise(SIZES[1])
+    start = F.pmod(F.col("doc_id") * 7, F.length("seq") - 12).cast("long")
+    return b.select(F.col("doc_id").alias("region"), F.lit("all").alias("chrom"), start.alias("start"), F.substring("seq", (start + 1).cast("int"), size).alias("seq"), "doc_id")
+
+
+@C.query(f"""WITH {C.BASES}, w AS (SELECT substr(seq, doc_id * 7 % (length(seq) - 12) + 1, CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 12 END) AS seq FROM bases WHERE length(seq) >= 64)
+  SELECT CAST(least(floor({C.GC} * 4), 3) AS INTEGER) AS gc, CAST(length(seq) AS INTEGER) AS size, count(*) AS n FROM w GROUP BY ALL""")
+def background_sample(spark, sf_dir):
+    """Background windows from each document's sequence, matched to the foreground: its bins hold as many."""
+    fore = windows(spark, sf_dir).withColumn("chrom", F.col("doc_id"))
+    b = C.bases(spark, sf_dir).where("length(seq) >= 64")
+    genes = b.select(F.col("doc_id").alias("chrom"), (F.col("doc_id") % 50).alias("tx_start"))
+    genome = tiles.cut(b.select(F.col("doc_id").alias("chrom"), "seq"), "chrom", "seq", TILE, max(SIZES))
+    found = background.sample(fore, genes, genome, TILE, bins=4, jitter=20)
+    return found.groupBy("gc", "size").agg(F.count("*").alias("n"))
+
+
+def learnt(spark, sf_dir):
+    return motifs.from_sequences(C.tiles(spark, sf_dir), "lang", "w")
+
+
+@C.query(C.LETTERS.replace("WITH ", "WITH RECURSIVE ", 1) + """, v AS (SELECT motif, pos, letter, log2(p) + 2 AS ll FROM f),
+  e AS (SELECT motif, pos, max(ll) AS hi, min(ll) AS lo FROM v GROUP BY motif, pos), b AS (SELECT motif, CAST(0.8 AS DOUBLE) * (sum(hi) - sum(lo)) + sum(lo) AS bound FROM e GROUP BY motif),
+  g AS (SELECT DISTINCT motif, 0 AS n, '' AS word, CAST(0 AS DOUBLE) AS score FROM v UNION ALL SELECT g.motif, g.n + 1, g.word || v.letter, g.score + v.ll FROM g JOIN v ON v.motif = g.motif AND v.pos = g.n)
+  SELECT motif, word, round(score, 6) AS score FROM g JOIN b USING (motif) WHERE n = 6 AND score > bound""")
+def motif_best_words(spark, sf_dir):
+    """The words that score over four fifths of their motif's range, for a motif of each language."""
+    m = learnt(spark, sf_dir)
+    bound = motifs.back_projected(m.select("motif").distinct().withColumn("threshold", F.lit(0.8)), m)
+    return motifs.best_words(m.join(bound, "motif"), "threshold").withColumn("score", F.round("score", 6))
+
+
+#: Random motifs of a null distribution.
+REPLICATES = 25
+DIFF = "d AS (SELECT motif, i, pos, sqrt(sum(power(pa - p, 2))) / sqrt(CAST(2 AS DOUBLE)) AS d FROM x GROUP BY motif, i, pos), m AS (SELECT motif, i, avg(d) AS v FROM d GROUP BY motif, i)"
+NULL = " SELECT motif, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM m GROUP BY motif"
+
+
+@C.query(C.LETTERS + f""", x AS (SELECT motif, i, pos, p AS pa, CASE WHEN CAST('0x' || substr(md5(motif || '/' || pos || '/' || i || '/0'), 1, 8) AS BIGINT) % 4 = strpos('ACGT', letter) - 1 THEN CAST(0.91 AS DOUBLE) ELSE CAST(0.03 AS DOUBLE) END AS p
+  FROM f, range(0, {REPLICATES}) r(i)), {DIFF}{NULL}""")
+def motif_random_null(spark, sf_dir):
+    """How far random motifs with a dominant letter in each position are from each learnt one."""
+    m = learnt(spark, sf_dir)
+    widths = m.groupBy("motif").agg((F.max("pos") + 1).alias("width"))
+    found = motifs.null_distribution(m, motifs.random_motifs(widths, REPLICATES))
+    return found.select("motif", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@C.query(C.LETTERS + f""", h AS (SELECT motif, i, pos, letter, row_number() OVER (PARTITION BY motif, i, pos ORDER BY md5(motif || '/' || i || '/' || pos || '/' || letter || '/0')) AS k FROM f, range(0, {REPLICATES}) r(i)),
+  q AS (SELECT motif, pos, p, row_number() OVER (PARTITION BY motif, pos ORDER BY letter) AS k FROM f),
+  x AS (SELECT h.motif, h.i, h.pos, f.p AS pa, q.p AS p FROM h JOIN q ON q.motif = h.motif AND q.pos = h.pos AND q.k = h.k JOIN f ON f.motif = h.motif AND f.pos = h.pos AND f.letter = h.letter), {DIFF}{NULL}""")
+def motif_shuffled_null(spark, sf_dir):
+    """How far each learnt motif is from copies of itself whose letters are dealt anew."""
+    m = learnt(spark, sf_dir)
+    found = motifs.null_distribution(m, motifs.shuffled_letters(m, REPLICATES))
+    return found.select("motif", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+def placements_sql(padded: bool) -> str:
+    lo, hi = ("least(0, off)", "greatest(6, off + 6)") if padded else ("greatest(0, off)", "least(6, off + 6)")
+    return C.LETTERS + f""", o AS (SELECT motif, pos, letter, p, '+' AS strand FROM f UNION ALL SELECT motif, 5 - pos, translate(letter, 'ACGT', 'TGCA'), p, '-' FROM f),
+  pl AS (SELECT a.motif AS motif_a, b.motif AS motif_b, strand, off FROM (SELECT DISTINCT motif FROM f) a, (SELECT DISTINCT motif FROM f) b, (VALUES ('+'), ('-')) s(strand), range(-2, 3) r(off) WHERE a.motif < b.motif),
+  at AS (SELECT *, unnest(range({lo}, {hi})) AS x FROM pl),
+  l AS (SELECT at.*, al.letter, coalesce(a.p, CAST(0.25 AS DOUBLE)) AS pa, coalesce(b.p, CAST(0.25 AS DOUBLE)) AS pb FROM at CROSS JOIN al LEFT JOIN f a ON a.motif = motif_a AND a.pos = x AND a.letter = al.letter
+    LEFT JOIN o b ON b.motif = motif_b AND b.strand = at.strand AND b.pos = x - off AND b.letter = al.letter),
+  c AS (SELECT motif_a, motif_b, strand, off, x, sqrt(sum(power(pa - pb, 2))) / sqrt(CAST(2 AS DOUBLE)) AS d, greatest(sum(pb * log2(pb)) + 2, 0) AS bits, max(abs(pb - CAST(0.25 AS DOUBLE))) < CAST(0.05 AS DOUBLE) AS even, sum(pa * log2(pa / pb)) AS kl FROM l GROUP BY ALL),
+  g AS (SELECT motif_a, motif_b, strand, off, avg(d) AS diff, avg(d) FILTER (NOT even) AS maskdiff, CASE WHEN max(bits) < CAST(0.1 AS DOUBLE) THEN 1 ELSE sum(d * bits) / sum(bits) END AS infomaskdiff, avg(kl) FILTER (bits > 0) AS diverge FROM c GROUP BY ALL)
+  SELECT motif_a, motif_b, strand, CAST(off AS INTEGER) AS "offset", round(diff, 6) AS diff, round(maskdiff, 6) AS maskdiff, round(infomaskdiff, 6) AS infomaskdiff, round(diverge, 6) AS diverge FROM g"""
+
+
+def placed(spark, sf_dir, padded):
+    m = learnt(spark, sf_dir)
+    names = m.select("motif").distinct()
+    pairs = names.withColumnRenamed("motif", "motif_a").join(names.withColumnRenamed("motif", "motif_b"), F.col("motif_a") < F.col("motif_b"))
+    out = motifs.placements(m, m, pairs, 4, padded=padded)
+    return out.select("motif_a", "motif_b", "strand", "offset", *[F.round(d, 6).alias(d) for d in motifs.DISTANCES])
+
+
+@C.query(placements_sql(True))
+def motif_padded_placements(spark, sf_dir):
+    """Every placement of the languages' motifs against each other under four distances, with flanks of background."""
+    return placed(spark, sf_dir, True)
+
+
+@C.query(placements_sql(False))
+def motif_placements(spark, sf_dir):
+    """The same without flanks."""
+    return placed(spark, sf_dir, False)

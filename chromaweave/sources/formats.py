@@ -319,27 +319,40 @@ def expression(spark, path) -> DataFrame:
     return _tokens(spark, path).select(F.get("t", F.lit(0)).alias("gene"), F.get("t", F.lit(1)).cast("double").alias("value"))
 
 
-def _headless(t: DataFrame, good: Column) -> DataFrame:
-    """The lines that are ``good``; the first line of each file may be another, and any other such line fails."""
-    first = t.groupBy("_n.file").agg(F.min("_n").alias("_n"))
-    odd = t.where(~good).join(first, "_n", "left_anti").agg(F.count("*").alias("k"), F.min(F.array_join("t", " ")).alias("line"))
-    # One row, which is never kept: it only fails.
+def _failing(t: DataFrame, found: DataFrame) -> DataFrame:
+    """No row of ``t``'s columns: fails if ``found``, one row, has a ``line``."""
     fail = F.raise_error(F.concat_ws(" ", F.lit("not a line of this format:"), "line")).cast("boolean")
-    none = odd.where(F.when(F.col("k") > 0, fail).otherwise(F.lit(False))).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in t.schema])
-    return t.where(good).unionByName(none)
+    return found.where(F.when(F.col("line").isNotNull(), fail).otherwise(F.lit(False))).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in t.schema])
+
+
+def _headless(t: DataFrame, good: Column, header: Column) -> DataFrame:
+    """The lines that are ``good``; the first line of each file may be a ``header``, and any other line fails."""
+    first = t.groupBy("_n.file").agg(F.min("_n").alias("_n"), F.lit(True).alias("_first")).select("_n", "_first")
+    odd = t.where(~good).join(first, "_n", "left").where(F.col("_first").isNull() | ~header).agg(F.min(F.array_join("t", " ")).alias("line"))
+    return t.where(good).unionByName(_failing(t, odd))
 
 
 def interactome(spark, path) -> DataFrame:
-    """src, dst, weight, dir of 3- or 4-column lines with a number in the third; a file's first line may be a header, other lines fail."""
+    """src, dst, weight, dir of 3- or 4-column lines with a number in the third, and U or D in the fourth.
+
+    All lines of a file have as many columns.  Its first line may be a header: as many
+    columns as a line may have, and no number in the third.  Any other line fails.
+    """
     third = F.get("t", F.lit(2)).try_cast("double")
-    body = _headless(_tokens(spark, path), F.size("t").isin(3, 4) & third.isNotNull())
+    arity = F.size("t").isin(3, 4)
+    good = arity & third.isNotNull() & ((F.size("t") == 3) | F.get("t", F.lit(3)).isin("U", "D"))
+    body = _headless(_tokens(spark, path), good, arity & third.isNull())
+    widths = body.groupBy("_n.file").agg(F.min(F.size("t")).alias("a"), F.max(F.size("t")).alias("b"), F.max_by(F.array_join("t", " "), F.size("t")).alias("line"))
+    mixed = widths.where("a <> b").agg(F.min("line").alias("line"))
+    body = body.unionByName(_failing(body, mixed))
     return body.select(F.get("t", F.lit(0)).alias("src"), F.get("t", F.lit(1)).alias("dst"), third.alias("weight"), F.coalesce(F.get("t", F.lit(3)), F.lit("U")).alias("dir"))
 
 
 def prizes(spark, path) -> DataFrame:
-    """node, prize of 2-column lines; a file's first line may be a header, other lines fail; the last of equal nodes."""
+    """node, prize of 2-column lines; a file's first line may be a header of two columns, other lines fail; the last of equal nodes."""
     prize = F.get("t", F.lit(1)).try_cast("double")
-    each = _headless(_tokens(spark, path), (F.size("t") == 2) & prize.isNotNull()).select(F.get("t", F.lit(0)).alias("node"), prize.alias("prize"), "_n")
+    two = F.size("t") == 2
+    each = _headless(_tokens(spark, path), two & prize.isNotNull(), two & prize.isNull()).select(F.get("t", F.lit(0)).alias("node"), prize.alias("prize"), "_n")
     return each.groupBy("node").agg(F.max_by("prize", "_n").alias("prize"))
 
 

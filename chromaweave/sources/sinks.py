@@ -77,3 +77,14 @@ def tamo_lines(m: DataFrame, fields: DataFrame) -> DataFrame:
         given("word", line), given("threshold", F.format_string("Threshold: %s", "threshold")),
     )
     return matrix.join(fields, "motif").select("motif", text.alias("value"))
+
+
+def by_run(df: DataFrame, path: str, run: str = "run") -> None:
+    """Results of runs or folds as Parquet, a folder for each, written side by side."""
+    df.write.partitionBy(run).mode("error").parquet(path)
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """run, value: the figures of ``pipelines.report`` as text, one to a line."""
+    names = [c for c in report.columns if c != "run"]
+    return report.select("run", F.concat_ws("\n", *[F.concat(F.lit(f"{c.replace('_', ' ')}: "), F.col(c).cast("string")) for c in names]).alias("value"))
