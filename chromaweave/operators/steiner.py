@@ -13,6 +13,9 @@ from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chromaweave.operators.ranges import settled
 
 #: Instances up to so many parent assignments are solved exactly.
 EXACT_LIMIT = 300_000
@@ -199,12 +202,51 @@ def solve_runs(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float,
     return both.groupBy("run").applyInPandas(one, f"run {run_type}, node string, parent string, objective double")
 
 
-def betweenness(arcs: DataFrame) -> DataFrame:
-    """node, betweenness of a directed, unweighted graph, over (n - 1)(n - 2).
+#: Arcs of a graph that is sent whole to the tasks; a larger one is searched by joins.
+FEW_ARCS = 50_000
+
 
-    Sources are spread over the tasks; the graph, one solution's arcs, goes to each.
+def betweenness(arcs: DataFrame, few: int = FEW_ARCS) -> DataFrame:
+    """node, betweenness of a directed, unweighted graph (src, dst), over (n - 1)(n - 2).
+
+    A graph of at most ``few`` arcs, such as one forest, goes to all tasks, which share
+    its sources.  A larger one is searched by joins from all sources at once, level by
+    level, each level a written table; every pair that is connected is a row there.
     """
-    pairs = sorted((r["src"], r["dst"]) for r in arcs.select("src", "dst").distinct().collect())  # one forest
+    arcs = arcs.select("src", "dst").distinct()
+    if arcs.limit(few + 1).count() <= few:
+        return _betweenness_of_few(arcs)
+    return _betweenness_by_levels(arcs)
+
+
+def _betweenness_by_levels(arcs: DataFrame) -> DataFrame:
+    names = settled(arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct())
+    arcs = settled(arcs.where("src <> dst"))
+    levels = [settled(names.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("s", "node")
+    while True:
+        ahead = levels[-1].join(arcs, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        new = settled(ahead.join(seen, ["s", "node"], "left_anti").select("s", "node", "paths"))
+        if not new.limit(1).count():
+            break
+        levels.append(new)
+        seen = seen.unionByName(new.select("s", "node"))
+    # Back from the farthest level: what a node hands on to those before it, by its paths.
+    shares, below = [], levels[-1].withColumn("share", F.lit(0.0))
+    for level in reversed(levels[:-1]):
+        shares.append(below)
+        hands = below.select("s", F.col("node").alias("dst"), ((1 + F.col("share")) / F.col("paths")).alias("x")).join(arcs, "dst").groupBy("s", F.col("src").alias("node")).agg(F.sum("x").alias("x"))
+        below = settled(level.join(hands, ["s", "node"], "left").select("s", "node", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("share")))
+    total = names.select("node", F.lit(0.0).alias("share"))
+    for part in shares:
+        total = total.unionByName(part.select("node", "share"))
+    n = names.count()
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return total.groupBy("node").agg((F.sum("share") * scale).alias("betweenness"))
+
+
+def _betweenness_of_few(arcs: DataFrame) -> DataFrame:
+    pairs = sorted((r["src"], r["dst"]) for r in arcs.collect())  # a checked number
     names = sorted({x for p in pairs for x in p})
     out: dict[str, list[str]] = {}
     for a, b in pairs:
@@ -239,6 +281,4 @@ def betweenness(arcs: DataFrame) -> DataFrame:
     if not names:
         return spark.createDataFrame([], "node string, betweenness double")
     parts = spark.createDataFrame([(x,) for x in names], "node string").mapInPandas(run, "node string, b double")
-    from pyspark.sql import functions as F
-
     return parts.groupBy("node").agg((F.sum("b") * scale).alias("betweenness"))

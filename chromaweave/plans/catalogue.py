@@ -337,9 +337,12 @@ def max_abs_score(spark, sf_dir):
     return matrix(spark, sf_dir)
 
 
-@query(f"WITH {MATRIX} SELECT tf, " + ", ".join(f"coalesce(sum(score) FILTER (gene = {g}), 0) AS g{g}" for g in range(1, 9)) + " FROM m GROUP BY tf")
+@query(f"WITH {MATRIX} SELECT tf, string_agg(gene || ':' || CAST(CAST(round(score * 100) AS INTEGER) AS VARCHAR), ' ' ORDER BY gene) AS row, count(*) AS n FROM m GROUP BY tf")
 def matrix_long_pivot(spark, sf_dir):
-    return matrix(spark, sf_dir).groupBy("tf").agg(*[F.coalesce(F.sum(F.when(F.col("gene") == g, F.col("score"))), F.lit(0.0)).alias(f"g{g}") for g in range(1, 9)])
+    """A row for each factor with all its genes, as sparse cells in the order of the genes; scores in hundredths."""
+    cell = F.struct("gene", F.round(F.col("score") * 100).cast("int").alias("x"))
+    rows = matrix(spark, sf_dir).groupBy("tf").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    return rows.select("tf", F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["gene"].cast("string"), c["x"].cast("string"))), " ").alias("row"), F.size("c").cast("long").alias("n"))
 
 
 REGR = "CASE WHEN isnan({0}) THEN NULL ELSE round({0}, {1}) END"
@@ -659,36 +662,6 @@ def run_counts(spark, sf_dir):
     return graph.run_counts(prizes(spark, sf_dir), chosen, roots)
 
 
-W_EDGES = (("A", "C", 0.75, "U"), ("B", "D", 0.75, "U"), ("C", "D", 0.25, "D"))
-H_EDGES = (("A", "B", 0.9, "D"), ("A", "C", 0.9, "D"), ("A", "D", 0.9, "D"), ("A", "E", 0.9, "D"), ("B", "C", 0.1, "D"), ("D", "E", 0.1, "D"))
-H_PRIZES = {"A": 5.0, "B": 6.0, "C": 6.0, "D": 6.0, "E": 6.0}
-
-
-@query("""SELECT name, CAST(objective AS DOUBLE) AS objective, arcs FROM (VALUES ('w0.25', 1.0, 'A>C B>D'), ('w1', 2.0, 'A>C C>D'), ('w10', 10.0, ''), ('b0', 0.0, ''), ('b.24', 0.48, ''), ('b.26', 0.5, 'A>C B>D'),
-  ('d2', 10.0, ''), ('d3', 0.5, 'A>C B>D'), ('d3w1', 2.5, 'A>C B>D'), ('h1', 0.8, 'B>C D>E'), ('h2', 1.4, 'A>B A>C A>D A>E')) v(name, objective, arcs)""")
-def steiner_expectations(spark, sf_dir):
-    """The published expectations on two small graphs, one solver task a case."""
-    cases = [("w0.25", 0.25, 5.0, 5), ("w1", 1.0, 5.0, 5), ("w10", 10.0, 5.0, 5), ("b0", 0.0, 0.0, 5), ("b.24", 0.0, 0.24, 5), ("b.26", 0.0, 0.26, 5), ("d2", 0.0, 5.0, 2), ("d3", 0.0, 5.0, 3), ("d3w1", 1.0, 5.0, 3)]
-    rows = []
-    for name, w, b, d in cases:
-        inst = steiner.Instance({"C": b, "D": b}, W_EDGES, frozenset("AB"), w, d)
-        rows.append((name, inst))
-    degrees = {"A": 4, "B": 2, "C": 2, "D": 2, "E": 2}
-    for name, b in (("h1", 1.0), ("h2", 2.0)):
-        rows.append((name, steiner.Instance({k: b * v - 2 * degrees[k] for k, v in H_PRIZES.items()}, H_EDGES, frozenset("ABD"), 1.0, 5)))
-    out = []
-    for name, inst in rows:
-        parent = steiner.solve(inst)
-        out.append((name, round(steiner.value(inst, parent), 6), " ".join(sorted(f"{p}>{v}" for v, p in parent.items() if p))))
-    return spark.createDataFrame(out, "name string, objective double, arcs string")
-
-
-@query("SELECT node, CAST(betweenness AS DOUBLE) AS betweenness FROM (VALUES ('a', 0.0), ('b', 0.333333), ('c', 0.333333), ('d', 0.0)) v(node, betweenness)")
-def betweenness_small(spark, sf_dir):
-    arcs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
-    return steiner.betweenness(arcs).withColumn("betweenness", F.round("betweenness", 6))
-
-
 def solver_edges(spark, sf_dir):
     return graph.keep_max(graph.clean_edges(edges(spark, sf_dir)))
 

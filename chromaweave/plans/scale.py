@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chromaweave.operators import background, intervals, motifs, ranges, robust, sequences, tiles
+from chromaweave.operators import background, intervals, motifs, ranges, robust, sequences, steiner, tiles
 from chromaweave.plans import catalogue as C
 
 RANGES = 8
@@ -161,10 +161,10 @@ def placements_sql(padded: bool) -> str:
     lo, hi = ("least(0, off)", "greatest(6, off + 6)") if padded else ("greatest(0, off)", "least(6, off + 6)")
     return C.LETTERS + f""", o AS (SELECT motif, pos, letter, p, '+' AS strand FROM f UNION ALL SELECT motif, 5 - pos, translate(letter, 'ACGT', 'TGCA'), p, '-' FROM f),
   pl AS (SELECT a.motif AS motif_a, b.motif AS motif_b, strand, off FROM (SELECT DISTINCT motif FROM f) a, (SELECT DISTINCT motif FROM f) b, (VALUES ('+'), ('-')) s(strand), range(-2, 3) r(off) WHERE a.motif < b.motif),
-  at AS (SELECT *, unnest(range({lo}, {hi})) AS x FROM pl),
-  l AS (SELECT at.*, al.letter, coalesce(a.p, CAST(0.25 AS DOUBLE)) AS pa, coalesce(b.p, CAST(0.25 AS DOUBLE)) AS pb FROM at CROSS JOIN al LEFT JOIN f a ON a.motif = motif_a AND a.pos = x AND a.letter = al.letter
-    LEFT JOIN o b ON b.motif = motif_b AND b.strand = at.strand AND b.pos = x - off AND b.letter = al.letter),
-  c AS (SELECT motif_a, motif_b, strand, off, x, sqrt(sum(power(pa - pb, 2))) / sqrt(CAST(2 AS DOUBLE)) AS d, greatest(sum(pb * log2(pb)) + 2, 0) AS bits, max(abs(pb - CAST(0.25 AS DOUBLE))) < CAST(0.05 AS DOUBLE) AS even, sum(pa * log2(pa / pb)) AS kl FROM l GROUP BY ALL),
+  ats AS (SELECT *, unnest(range({lo}, {hi})) AS x FROM pl),
+  pr AS (SELECT ats.*, al.letter, coalesce(a.p, CAST(0.25 AS DOUBLE)) AS pa, coalesce(b.p, CAST(0.25 AS DOUBLE)) AS pb FROM ats CROSS JOIN al LEFT JOIN f a ON a.motif = motif_a AND a.pos = x AND a.letter = al.letter
+    LEFT JOIN o b ON b.motif = motif_b AND b.strand = ats.strand AND b.pos = x - off AND b.letter = al.letter),
+  c AS (SELECT motif_a, motif_b, strand, off, x, sqrt(sum(power(pa - pb, 2))) / sqrt(CAST(2 AS DOUBLE)) AS d, greatest(sum(pb * log2(pb)) + 2, 0) AS bits, max(abs(pb - CAST(0.25 AS DOUBLE))) < CAST(0.05 AS DOUBLE) AS even, sum(pa * log2(pa / pb)) AS kl FROM pr GROUP BY ALL),
   g AS (SELECT motif_a, motif_b, strand, off, avg(d) AS diff, avg(d) FILTER (NOT even) AS maskdiff, CASE WHEN max(bits) < CAST(0.1 AS DOUBLE) THEN 1 ELSE sum(d * bits) / sum(bits) END AS infomaskdiff, avg(kl) FILTER (bits > 0) AS diverge FROM c GROUP BY ALL)
   SELECT motif_a, motif_b, strand, CAST(off AS INTEGER) AS "offset", round(diff, 6) AS diff, round(maskdiff, 6) AS maskdiff, round(infomaskdiff, 6) AS infomaskdiff, round(diverge, 6) AS diverge FROM g"""
 
@@ -187,3 +187,42 @@ def motif_padded_placements(spark, sf_dir):
 def motif_placements(spark, sf_dir):
     """The same without flanks."""
     return placed(spark, sf_dir, False)
+
+
+# -- graphs over the given tables -----------------------------------------------------------
+
+
+def places(spark, sf_dir):
+    """Arcs both ways between suppliers, their nations, these regions, a ring of regions, and a place beside it."""
+    supplier, nation, region = (C.table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    named = lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
+    one = supplier.select(named("S", "s_suppkey").alias("src"), named("N", "s_nationkey").alias("dst"))
+    one = one.unionByName(nation.select(named("N", "n_nationkey").alias("src"), named("R", "n_regionkey").alias("dst")))
+    one = one.unionByName(region.select(named("R", "r_regionkey").alias("src"), F.concat(F.lit("R"), ((F.col("r_regionkey") + 1) % 5).cast("string")).alias("dst")))
+    one = one.unionByName(region.where("r_regionkey IN (0, 2)").select(named("R", "r_regionkey").alias("src"), F.lit("W").alias("dst")))
+    return one.union(one.select("dst", "src")).distinct()
+
+
+@C.query("""WITH RECURSIVE one AS (SELECT 'S' || s_suppkey AS a, 'N' || s_nationkey AS b FROM supplier UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation
+    UNION ALL SELECT 'R' || r_regionkey, 'R' || ((r_regionkey + 1) % 5) FROM region UNION ALL SELECT 'R' || r_regionkey, 'W' FROM region WHERE r_regionkey IN (0, 2)),
+  arcs AS (SELECT a, b FROM one UNION SELECT b, a FROM one), names AS (SELECT DISTINCT a AS v FROM arcs),
+  walk AS (SELECT v AS s, v AS t, [v] AS path, 0 AS n FROM names UNION ALL SELECT s, b, list_append(path, b), n + 1 FROM walk JOIN arcs ON a = t WHERE NOT list_contains(path, b)),
+  short AS (SELECT s, t, path, n, min(n) OVER (PARTITION BY s, t) AS least FROM walk WHERE s <> t), sp AS (SELECT s, t, path, count(*) OVER (PARTITION BY s, t) AS ways FROM short WHERE n = least),
+  inner_nodes AS (SELECT unnest(path[2:len(path) - 1]) AS v, 1.0 / ways AS x FROM sp), total AS (SELECT v, sum(CAST(x AS DOUBLE)) AS b FROM inner_nodes GROUP BY v), k AS (SELECT count(*) AS n FROM names)
+  SELECT names.v AS node, round(coalesce(b, 0) / ((k.n - 1) * (k.n - 2)), 6) AS betweenness FROM names CROSS JOIN k LEFT JOIN total ON total.v = names.v""")
+def betweenness_places(spark, sf_dir):
+    """Betweenness of suppliers, nations and regions, by joins level by level."""
+    return steiner.betweenness(places(spark, sf_dir), few=0).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@C.query("""WITH s AS (SELECT s_nationkey AS run, 'S' || s_suppkey AS node, s_acctbal / 5000 AS prize, 1 - CAST((s_suppkey % 10) / CAST(10 AS DOUBLE) AS DOUBLE) AS cost FROM supplier),
+  g AS (SELECT run, node, prize - cost AS gain FROM s WHERE prize > cost), n AS (SELECT run, sum(gain) AS gain FROM g GROUP BY run HAVING sum(gain) > CAST(0.3 AS DOUBLE)),
+  k AS (SELECT run, node, 'N' || run AS parent FROM g WHERE run IN (SELECT run FROM n) UNION ALL SELECT run, 'N' || run, '' FROM n),
+  o AS (SELECT s.run, sum(prize) AS all_prizes, sum(CASE WHEN prize > cost THEN prize - cost ELSE 0 END) AS gain FROM s GROUP BY s.run)
+  SELECT k.run, node, parent, round(all_prizes - gain + CAST(0.3 AS DOUBLE), 6) AS objective FROM k JOIN o ON o.run = k.run""")
+def steiner_stars(spark, sf_dir):
+    """A forest for each nation: its suppliers around it, where a supplier's prize is worth its edge."""
+    sup = C.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("run"), F.concat(F.lit("S"), "s_suppkey").alias("node"), F.concat(F.lit("N"), "s_nationkey").alias("top"), (F.col("s_acctbal") / 5000).alias("prize_total"), ((F.col("s_suppkey") % 10) / 10).alias("weight"))
+    e = sup.select("run", F.col("top").alias("src"), F.col("node").alias("dst"), "weight", F.lit("U").alias("dir"))
+    out = steiner.solve_runs(e, sup.select("run", "node", "prize_total"), sup.select("run", F.col("top").alias("node")).distinct(), 0.3, 4)
+    return out.withColumn("objective", F.round("objective", 6))

@@ -158,7 +158,7 @@ def test_nib(spark, tmp_path):
 
 
 def test_forest_pipeline_and_sinks(spark):
-    e = spark.createDataFrame([(*x,) for x in catalogue.W_EDGES], "src string, dst string, weight double, dir string")
+    e = spark.createDataFrame([(*x,) for x in W_EDGES], "src string, dst string, weight double, dir string")
     p = spark.createDataFrame([("C", 1.0), ("D", 1.0)], "node string, prize double")
     r = spark.createDataFrame([("A",), ("B",)], "node string")
     out = pipelines.forest(e, p, r, 1.0, 5.0, 5)
@@ -179,3 +179,41 @@ def test_stream_equals_batch(spark, tmp_path):
     run.awaitTermination(120)
     got = {(r.peak_id, r.gene_id, r.map_type) for r in spark.table("mapped").collect()}
     assert got == {(r.peak_id, r.gene_id, r.map_type) for r in intervals.map_peaks(pk, ge).collect()}
+
+
+# Two small graphs, their prizes, and the forests expected of them under (w, b, depth).
+W_EDGES = (("A", "C", 0.75, "U"), ("B", "D", 0.75, "U"), ("C", "D", 0.25, "D"))
+H_EDGES = (("A", "B", 0.9, "D"), ("A", "C", 0.9, "D"), ("A", "D", 0.9, "D"), ("A", "E", 0.9, "D"), ("B", "C", 0.1, "D"), ("D", "E", 0.1, "D"))
+H_PRIZES = {"A": 5.0, "B": 6.0, "C": 6.0, "D": 6.0, "E": 6.0}
+H_DEGREES = {"A": 4, "B": 2, "C": 2, "D": 2, "E": 2}
+W_CASES = [
+    (0.25, 5.0, 5, 1.0, "A>C B>D"), (1.0, 5.0, 5, 2.0, "A>C C>D"), (10.0, 5.0, 5, 10.0, ""), (0.0, 0.0, 5, 0.0, ""), (0.0, 0.24, 5, 0.48, ""), (0.0, 0.26, 5, 0.5, "A>C B>D"),
+    (0.0, 5.0, 2, 10.0, ""), (0.0, 5.0, 3, 0.5, "A>C B>D"), (1.0, 5.0, 3, 2.5, "A>C B>D"),
+]
+H_CASES = [(1.0, 0.8, "B>C D>E"), (2.0, 1.4, "A>B A>C A>D A>E")]
+
+
+def arcs_of(parent):
+    return " ".join(sorted(f"{p}>{v}" for v, p in parent.items() if p))
+
+
+def test_expected_forests():
+    for w, b, depth, objective, arcs in W_CASES:
+        inst = steiner.Instance({"C": b, "D": b}, W_EDGES, frozenset("AB"), w, depth)
+        parent = steiner.solve(inst)
+        assert (round(steiner.value(inst, parent), 6), arcs_of(parent)) == (objective, arcs)
+    for b, objective, arcs in H_CASES:
+        inst = steiner.Instance({k: b * v - 2 * H_DEGREES[k] for k, v in H_PRIZES.items()}, H_EDGES, frozenset("ABD"), 1.0, 5)
+        parent = steiner.solve(inst)
+        assert (round(steiner.value(inst, parent), 6), arcs_of(parent)) == (objective, arcs)
+
+
+def test_betweenness_by_levels_equals_that_in_tasks(spark):
+    line = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    for few in (0, 100):
+        assert {r.node: round(r.betweenness, 6) for r in steiner.betweenness(line, few).collect()} == {"a": 0.0, "b": 0.333333, "c": 0.333333, "d": 0.0}
+    r = random.Random(7)
+    arcs = spark.createDataFrame([(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(30)], "src string, dst string")
+    a, b = ({x.node: round(x.betweenness, 9) for x in steiner.betweenness(arcs, few).collect()} for few in (0, 100))
+    assert a == b and max(a.values()) > 0
+    assert steiner.betweenness(line.where("false"), 0).count() == steiner.betweenness(line.where("false")).count() == 0
