@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromaweave.llm.bpe import batches_by_size
-from chromaweave.llm.store import materialise
+from chromaweave.llm.store import give_back, materialise
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
 BATCH_BYTES = 2 << 20
+#: Bytes of token rows that a task holds before it writes them.
+GROUP_BYTES = 32 << 20
 
 _ENCODERS: dict = {}
 
@@ -74,6 +76,7 @@ def tokenise(docs: DataFrame, path: str, text: str, keep: list[str], end_id: int
     )
 
     def run(batches):
+        give_back()
         bpe, part, at = fast_encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
@@ -86,6 +89,7 @@ def tokenise(docs: DataFrame, path: str, text: str, keep: list[str], end_id: int
                     [b.column(c) for c in keep] + [pa.array(np.full(b.num_rows, part, np.int32)), pa.array(starts), pa.array(counts), pa.array(ids, pa.binary())],
                     names=[*keep, "_part", "_at", "_n", "_ids"],
                 )
+        give_back()
 
     return docs.select(*keep, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
 
@@ -116,7 +120,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     if clash := new & set(keep):
         raise ValueError(f"kept columns have the names of new ones: {sorted(clash)}")
     spark = docs.sparkSession
-    tokens = materialise(tokenise(docs, path, text, list(keep), end_id), "tokens")
+    tokens = materialise(tokenise(docs, path, text, list(keep), end_id), "tokens", GROUP_BYTES)
     # One row for each partition of the input, so its number bounds what is collected and broadcast.
     totals = sorted(tuple(r) for r in tokens.groupBy("_part").agg(F.sum("_n")).collect())
     bases, total = [], 0

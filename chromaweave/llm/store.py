@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +26,16 @@ def shared_root(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The files outlive any executor, so what is built on them never recomputes
-    ``df`` and never sees another row order than the one that was written.
+    ``df`` and never sees another row order than the one that was written.  A task
+    holds ``group_bytes`` of rows before it writes them (by default what Parquet does).
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/chromaweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,3 +81,16 @@ def unused(name: str, columns) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def give_back() -> None:
+    """In a task: return what earlier tasks of this reused worker left in its allocators to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
