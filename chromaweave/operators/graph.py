@@ -45,6 +45,21 @@ def directed_first(edges: DataFrame) -> DataFrame:
     return own.where("dir = 'D'").unionByName(own.where("dir = 'U'").join(ends, ["src", "dst"], "left_anti").select(own.columns))
 
 
+def network(edges: DataFrame) -> DataFrame:
+    """:func:`directed_first` of :func:`keep_max` in one aggregate: a row for each pair of nodes, whatever its edges.
+
+    src, dst, dir, weight; a direction other than 'U' or 'D' fails.
+    """
+    kind = F.when(F.col("dir").isin("U", "D"), F.col("dir")).otherwise(F.raise_error(F.concat(F.lit("an edge is U or D, not "), F.coalesce("dir", F.lit("null")))).cast("string"))
+    ends = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("src") <= F.col("dst")).alias("on"), kind.alias("kind"), "weight")
+    most = lambda c: F.max(F.when(c, F.col("weight")))
+    pairs = ends.groupBy("a", "b").agg(most(F.col("kind") == "U").alias("u"), most((F.col("kind") == "D") & F.col("on")).alias("ab"), most((F.col("kind") == "D") & ~F.col("on")).alias("ba"))
+    edge = lambda src, dst, way, w: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(way).alias("dir"), F.col(w).alias("weight"))
+    ways = F.array(edge("a", "b", "D", "ab"), edge("b", "a", "D", "ba"))
+    kept = F.when(F.col("ab").isNull() & F.col("ba").isNull(), F.array(edge("a", "b", "U", "u"))).otherwise(F.filter(ways, lambda e: e["weight"].isNotNull()))
+    return pairs.select(F.explode(kept).alias("e")).select("e.*")
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 

@@ -33,9 +33,13 @@ def _with_ll(m: DataFrame, background=None) -> DataFrame:
 
 
 def from_sequences(seqs: DataFrame, motif: str, seq: str, bgscale: float = 1.0, background=None) -> DataFrame:
-    """p = (n + bgscale * bg) / (N + bgscale) of aligned sequences of one length per motif."""
-    each = seqs.select(F.col(motif).alias("motif"), F.posexplode(F.split(F.upper(seq), "")).alias("pos", "letter"))
-    counts = each.where(F.col("letter").isin(*BACKGROUND)).groupBy("motif", "pos").agg(*[F.count_if(F.col("letter") == x).alias(x) for x in BACKGROUND], F.count("*").alias("_n"))
+    """p = (n + bgscale * bg) / (N + bgscale) of aligned sequences of one length per motif.
+
+    Equal sequences are one row with their number before they are cut to letters.
+    """
+    words = seqs.groupBy(F.col(motif).alias("motif"), F.upper(seq).alias("_w")).agg(F.count("*").alias("_k"))
+    each = words.select("motif", "_k", F.posexplode(F.split("_w", "")).alias("pos", "letter"))
+    counts = each.where(F.col("letter").isin(*BACKGROUND)).groupBy("motif", "pos").agg(*[F.sum(F.when(F.col("letter") == x, F.col("_k")).otherwise(0)).alias(x) for x in BACKGROUND], F.sum("_k").alias("_n"))
     long = counts.select("motif", "pos", "_n", F.explode(F.array(*[F.struct(F.lit(x).alias("letter"), F.col(x).alias("n")) for x in BACKGROUND])).alias("l")).select("motif", "pos", "_n", "l.letter", "l.n")
     p = (F.col("n") + bgscale * _bg(F.col("letter"), background)) / (F.col("_n") + bgscale)
     return _with_ll(long.withColumn("p", p), background).select("motif", "pos", "letter", "p", "ll")

@@ -222,7 +222,7 @@ def edge_keep_max(spark, sf_dir):
 @query(CANON + """ SELECT src, dst, dir, round(weight, 6) AS weight FROM kept k WHERE dir = 'D' OR NOT EXISTS
   (SELECT 1 FROM kept d WHERE d.dir = 'D' AND least(d.src, d.dst) = k.src AND greatest(d.src, d.dst) = k.dst)""")
 def directed_precedence(spark, sf_dir):
-    return graph.directed_first(graph.keep_max(edges(spark, sf_dir))).select("src", "dst", "dir", F.round("weight", 6).alias("weight"))
+    return graph.network(edges(spark, sf_dir)).select("src", "dst", "dir", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {EDGES}, {DEGREES} SELECT node, degree FROM degrees")
@@ -478,7 +478,7 @@ TILES = "tiles AS (SELECT lang, substr(seq, i * 6 + 1, 6) AS w FROM (SELECT lang
 def tiles(spark, sf_dir):
     """Sequences cut into words of six: aligned sequences, one motif for each language."""
     b = bases(spark, sf_dir).where("length(seq) >= 6")
-    return b.select("lang", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / 6).cast("int") - 1), lambda i: F.substring("seq", i * 6 + 1, F.lit(6)))).alias("w"))
+    return b.select("lang", F.explode(F.regexp_extract_all("seq", F.lit(".{6}"), 0)).alias("w"))
 
 
 LETTERS = f"""WITH {BASES}, {TILES}, l AS (SELECT lang AS motif, i - 1 AS pos, substr(w, i, 1) AS letter, count(*) AS n FROM tiles, range(1, 7) r(i) GROUP BY ALL),

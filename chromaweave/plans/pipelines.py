@@ -23,7 +23,7 @@ def forest(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, b: f
     the solution has an edge that the network has not.  ``clean`` and ``solution`` are
     cached, as the others read them; the caller unpersists them.
     """
-    clean = graph.directed_first(graph.keep_max(graph.clean_edges(edges, knockout))).persist()
+    clean = graph.network(graph.clean_edges(edges, knockout)).persist()
     known = graph.guarded_prizes(prizes, clean)
     total = graph.total_prizes(known, clean, b, mu)
     one = lambda df: df.withColumn("run", F.lit(0))
@@ -50,7 +50,7 @@ def replicates(edges: DataFrame, prizes: DataFrame, roots: DataFrame, n_runs: in
     the prizes are not in the network, and where a run uses an edge that it has not.
     ``solution`` is cached, as the others read it; the caller unpersists it.
     """
-    clean = graph.directed_first(graph.keep_max(graph.clean_edges(edges))).select("src", "dst", "weight", "dir")
+    clean = graph.network(graph.clean_edges(edges)).select("src", "dst", "weight", "dir")
     known = graph.guarded_prizes(prizes, clean)
     total = graph.total_prizes(known, clean, b, mu)
     if shuffle or random_terminals:

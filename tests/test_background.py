@@ -172,3 +172,13 @@ def test_random_terminals_are_merged_with_attributes_and_reported(spark, tmp_pat
     sinks.by_run(out["solution"], f"file://{tmp_path}/runs")
     assert spark.read.parquet(f"file://{tmp_path}/runs").where("run = 3").count() == sum(r.run == 3 for r in solved)
     out["solution"].unpersist()
+
+
+def test_network_equals_keep_max_and_directed_first(spark):
+    r = random.Random(11)
+    rows = [(r.choice("abcdef"), r.choice("abcdef"), r.random(), r.choice("UD")) for _ in range(300)] + [("x", "y", 0.5, "U"), ("y", "x", 0.7, "U"), ("q", "p", 0.1, "D")]
+    df = spark.createDataFrame(rows, "src string, dst string, weight double, dir string")
+    key = lambda d: sorted((x.src, x.dst, x.dir, x.weight) for x in d.collect())
+    assert key(graph.network(df)) == key(graph.directed_first(graph.keep_max(df)))
+    with pytest.raises(Exception, match="U or D"):
+        graph.network(df.withColumn("dir", F.lit("X"))).collect()
