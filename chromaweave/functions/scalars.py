@@ -92,3 +92,16 @@ def clean_cluster(cluster: Column) -> Column:
     parts = F.split(cluster, r"\.")
     good = F.filter(parts, lambda x: (x != "") & ~x.contains("$"))
     return F.array_join(F.array_sort(F.array_distinct(F.when(F.size(good) > 0, good).otherwise(parts))), ".")
+
+
+def source_names(source: Column) -> Column:
+    """Factor names of a motif's source text, joined by '.': groups between ';', of which the third tab field counts, or all of a group without tabs.
+
+    Names are upper-cased and sorted; those with brackets, ':', '-', '/', '.', a blank or
+    'Delta', and groups that speak of species or inclusion, are left out.
+    """
+    groups = F.transform(F.split(source, ";"), lambda g: F.transform(F.split(g, "\t"), lambda x: F.trim(x)))
+    plain = lambda g: (F.size(g) == 1) & ~F.element_at(g, 1).contains("Species") & ~F.element_at(g, 1).contains("included")
+    names = F.transform(groups, lambda g: F.when(F.size(g) > 2, F.get(g, F.lit(2))).when(plain(g), F.element_at(g, 1)))
+    good = F.filter(names, lambda n: n.isNotNull() & (n != "") & ~n.rlike(r"[():/. -]|Delta"))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(good, F.upper))), ".")

@@ -23,9 +23,16 @@ def clean_edges(edges: DataFrame, knockout: list[str] | DataFrame | None = None)
     return out.withColumn("weight", F.when(weight.isNull(), bad).otherwise(F.least(F.greatest(weight, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))))
 
 
-def edge_warnings(edges: DataFrame) -> DataFrame:
-    """One row: below, above, self and total edge counts."""
-    return edges.agg(F.count_if(F.col("weight") < LEAST_WEIGHT).alias("n_below"), F.count_if(F.col("weight") > MOST_WEIGHT).alias("n_above"), F.count_if(F.col("src") == F.col("dst")).alias("n_self"), F.count("*").alias("n_edges"))
+def edge_warnings(edges: DataFrame, knockout: list[str] | None = None) -> DataFrame:
+    """One row: below, above, self and total edge counts, and with ``knockout`` how many edges touch such a node."""
+    gone = [F.count_if(F.col("src").isin(knockout) | F.col("dst").isin(knockout)).alias("n_knockout")] if knockout else []
+    return edges.agg(F.count_if(F.col("weight") < LEAST_WEIGHT).alias("n_below"), F.count_if(F.col("weight") > MOST_WEIGHT).alias("n_above"), F.count_if(F.col("src") == F.col("dst")).alias("n_self"), F.count("*").alias("n_edges"), *gone)
+
+
+def excluded_nodes(listed: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes of a list, and how many of them the network does not have."""
+    here = listed.select("node").distinct().join(nodes(edges).withColumn("_in", F.lit(1)), "node", "left")
+    return here.agg(F.count("*").alias("n_listed"), F.count_if(F.col("_in").isNull()).alias("n_excluded"))
 
 
 def canonical(edges: DataFrame) -> DataFrame:

@@ -65,6 +65,34 @@ def from_ll(m: DataFrame, background=None) -> DataFrame:
     return m.withColumn("p", F.pow(F.lit(2.0), F.col("ll") + F.log2(_bg(F.col("letter"), background))))
 
 
+def inferred_background(m: DataFrame) -> DataFrame:
+    """motif, letter, bg: the background that log odds (motif, pos, letter, ll) were taken against, A as T and C as G.
+
+    The probabilities of a position sum up to 1, which gives the background of A and T
+    from the odds; positions with all odds near 1, those that leave it open, and those
+    that put it outside 0.1 to 1.1 do not count.  The mean of the others, or 0.25.
+    """
+    odds = lambda x: F.max(F.when(F.col("letter") == x, F.pow(F.lit(2.0), F.col("ll"))))
+    flat = F.max(F.abs(F.col("ll"))) < 0.01
+    col = m.groupBy("motif", "pos").agg((odds("A") + odds("T")).alias("at"), (odds("C") + odds("G")).alias("gc"), flat.alias("flat"))
+    apart = F.col("at") - F.col("gc")
+    one = F.when(~F.col("flat") & (F.abs(apart) >= 0.01), (1 - 0.5 * F.col("gc")) / apart)
+    mean = col.select("motif", one.alias("x")).groupBy("motif").agg(F.avg(F.when(F.col("x").between(0.1, 1.1), F.col("x"))).alias("x"))
+    at = F.coalesce("x", F.lit(0.25))
+    letters = F.array(*[F.struct(F.lit(x).alias("letter"), (at if x in "AT" else 0.5 - at).alias("bg")) for x in BACKGROUND])
+    return mean.select("motif", F.explode(letters).alias("l")).select("motif", "l.letter", "l.bg")
+
+
+def from_odds(m: DataFrame) -> DataFrame:
+    """(motif, pos, letter, ll) with p = 2 ** ll * bg, the background inferred for each motif."""
+    return m.join(inferred_background(m), ["motif", "letter"]).withColumn("p", F.pow(F.lit(2.0), "ll") * F.col("bg")).drop("bg")
+
+
+def with_pseudocounts(m: DataFrame, beta: float, background: dict[str, float] | None = None) -> DataFrame:
+    """(p + beta * bg) / (1 + beta) in every position, with its log odds."""
+    return _with_ll(m.withColumn("p", (F.col("p") + beta * _bg(F.col("letter"), background)) / (1 + beta)), background).select("motif", "pos", "letter", "p", "ll")
+
+
 def new_background(m: DataFrame, background: dict[str, float]) -> DataFrame:
     return _with_ll(m.drop("ll"), background)
 

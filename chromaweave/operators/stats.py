@@ -4,54 +4,66 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromaweave.operators.ranges import numbered
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
+def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
     """Lentz's continued fraction of the incomplete beta function."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
+    tiny = 1e-300
+    away = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones_like(x), 1 / away(1 - (a + b) * x / (a + 1))
+    h = d.copy()
     for m in range(1, 400):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
+            d = 1 / away(1 + num * d)
+            c = away(1 + num / c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
     return h
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return min(max(x, 0.0), 1.0)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def incomplete_beta(a, b: float, x):
+    """The regularised incomplete beta function of arrays a and x and one b."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    inside = (x > 0) & (x < 1)
+    y = np.where(inside, x, 0.5)
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - math.lgamma(b) + a * np.log(y) + b * np.log1p(-y))
+    low = y < (a + 1) / (a + b + 2)
+    # The fraction converges fast on one side only; the other follows by symmetry, a and b exchanged.
+    direct = front * _beta_fraction(a, b, np.where(low, y, 0.0)) / a
+    mirror = 1 - front * _beta_fraction(np.full_like(a, b), a, np.where(low, 0.0, 1 - y)) / b
+    return np.where(inside, np.where(low, direct, mirror), np.clip(x, 0.0, 1.0))
 
 
 @F.pandas_udf(T.DoubleType())
 def t_two_sided(r2: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation with the given r squared over n points; null under 3 points."""
+    r2, df = r2.to_numpy(float, na_value=np.nan), n.to_numpy(float, na_value=np.nan) - 2
+    known = ~np.isnan(r2) & (df > 0)
+    rho, free = np.where(known, np.clip(r2, 0.0, 1.0), 0.5), np.where(known, df, 1.0)
+    # df / (df + t squared) is 1 - r squared.
+    p = incomplete_beta(free / 2, 0.5, 1 - rho)
+    return pd.Series(p).where(known, None)
+
+
+def significant(x: Column, digits: int = 12) -> Column:
+    """A double as it is when written with so many significant digits: orders by what a table shows."""
+    return F.format_string(f"%.{digits - 1}e", x.cast("double")).cast("double")
 
-    def one(r2, n):
-        df = n - 2
-        if pd.isna(r2) or pd.isna(n) or df <= 0:
-            return None
-        if r2 >= 1:
-            return 0.0
-        t2 = r2 * df / (1 - r2)
-        return incomplete_beta(df / 2, 0.5, df / (df + t2))
 
-    return pd.Series([one(a, b) for a, b in zip(r2, n, strict=True)], dtype="float64")
+def ordered_results(results: DataFrame, p: str = "p", slope: str = "slope", key: str = "motif") -> DataFrame:
+    """Regression results as a table shows them: by p, then |slope| descending, both to 12 digits, then by name."""
+    return results.orderBy(significant(F.col(p)), -significant(F.abs(F.col(slope))), key)
 
 
 def regression(points: DataFrame, by: str, x: str, y: str) -> DataFrame:

@@ -6,14 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.functions.scalars import tf_names
-from chromaweave.operators import graph, robust, steiner, stats
+from chromaweave.operators import graph, intervals, motifs, robust, stats, steiner
 
 
-def factors_from_matrix(matrix: DataFrame, expression: DataFrame, threshold: float = 0.01, use_q: bool = False) -> tuple[DataFrame, DataFrame]:
+def factors_from_matrix(matrix: DataFrame, expression: DataFrame, threshold: float = 0.01, use_q: bool = False, delim: str = ".") -> tuple[DataFrame, DataFrame]:
     """(regression results, factor scores) of (tf, gene, score) against (gene, value)."""
     joined = stats.join_expression(matrix, expression).withColumnRenamed("tf", "motif")
     results = stats.bh_qvalues(stats.regression(joined, "motif", "score", "value"))
-    return results, stats.factor_scores(results, tf_names(F.col("motif")), threshold=threshold, by="q" if use_q else None)
+    return results, stats.factor_scores(results, tf_names(F.col("motif"), delim), threshold=threshold, by="q" if use_q else None)
+
+
+def peaks_to_factors(peaks: DataFrame, regions: DataFrame, genes: DataFrame, m: DataFrame, thresholds: DataFrame, expression: DataFrame, up: int = intervals.UPSTREAM, down: int = intervals.DOWNSTREAM, tss: bool = True, response: str | None = None, threshold: float = 0.01, use_q: bool = False, delim: str = ".") -> dict[str, DataFrame]:
+    """From peaks to factor scores: mapping, scan, affinities, matrix, regression and scores as one lazy plan.
+
+    ``peaks`` (chrom, peak_id, peak_loc), ``regions`` (peak_id, seq: the letters of each
+    peak), ``genes`` (chrom, gene_id, tx_start, tx_end, strand), ``thresholds`` (motif,
+    total, fp, typ), ``expression`` (gene, value).  Only regions of mapped peaks are
+    scanned.  A motif's score for a gene is its affinity of greatest magnitude over the
+    gene's peaks, and 0 where none of them has a hit, as in a matrix with a cell for
+    each motif and mapped gene.
+
+    Gives ``mapped`` (peak, gene, map_type, dist), ``affinities`` (region, motif,
+    affinity), ``matrix`` (tf, gene, score), ``results`` and ``scores``.  ``response``
+    is 'log2' or 'log10' for expression that is to be transformed.
+    """
+    mapped = intervals.map_peaks(peaks, genes, up, down, tss=tss)
+    near = regions.join(mapped.select("peak_id").distinct(), "peak_id", "left_semi").select(F.col("peak_id").alias("region"), "seq")
+    found = motifs.affinities(motifs.scan(near, m, float("-inf")), thresholds, m)
+    of_gene = mapped.select(F.col("peak_id").alias("region"), F.col("gene_id").alias("gene")).distinct()
+    best = stats.max_abs(found.join(of_gene, "region").select(F.col("motif").alias("tf"), "gene", F.col("affinity").alias("score")), ["tf", "gene"])
+    # The matrix has a cell for each motif, of which there are few, and mapped gene.
+    names = m.join(thresholds, "motif", "left_semi").select(F.col("motif").alias("tf")).distinct()
+    cells = of_gene.select("gene").distinct().crossJoin(F.broadcast(names))
+    matrix = cells.join(best, ["tf", "gene"], "left").select("tf", "gene", F.coalesce("score", F.lit(0.0)).alias("score"))
+    if response:
+        expression = expression.withColumn("value", stats.transform_response(F.col("value"), response))
+    results, scores = factors_from_matrix(matrix, expression, threshold, use_q, delim)
+    return {"mapped": mapped, "affinities": found, "matrix": matrix, "results": results, "scores": scores}
 
 
 def forest(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, b: float, depth: int, mu: float = 0.0, knockout=None) -> dict[str, DataFrame]:

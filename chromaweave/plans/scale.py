@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chromaweave.operators import background, intervals, motifs, ranges, robust, sequences, steiner, tiles
 from chromaweave.plans import catalogue as C
+from chromaweave.plans import pipelines
 
 RANGES = 8
 
@@ -226,3 +227,41 @@ def steiner_stars(spark, sf_dir):
     e = sup.select("run", F.col("top").alias("src"), F.col("node").alias("dst"), "weight", F.lit("U").alias("dir"))
     out = steiner.solve_runs(e, sup.select("run", "node", "prize_total"), sup.select("run", F.col("top").alias("node")).distinct(), 0.3, 4)
     return out.withColumn("objective", F.round("objective", 6))
+
+
+# -- peaks to factors -------------------------------------------------------------------------
+
+
+def peak_run(spark, sf_dir):
+    """A peak of forty letters in each document's sequence, a gene behind it, one of fifty names; expression from orders."""
+    b = C.bases(spark, sf_dir).where("length(seq) >= 64")
+    start = F.pmod(F.col("doc_id") * 7, F.length("seq") - 40).cast("long")
+    at = b.select("doc_id", start.alias("start"), F.substring("seq", (start + 1).cast("int"), 40).alias("seq"))
+    peaks = at.select(F.col("doc_id").alias("chrom"), F.col("doc_id").alias("peak_id"), (F.col("start") + 20).alias("peak_loc"))
+    genes = at.select(F.col("doc_id").alias("chrom"), (F.col("doc_id") % 50).alias("gene_id"), (F.col("start") + 25).alias("tx_start"), (F.col("start") + 900).alias("tx_end"), F.lit("+").alias("strand"))
+    expression = C.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("gene"), F.col("o_totalprice").alias("value"))
+    thresholds = spark.createDataFrame(C.SHARES, "motif string, total double, fp double, typ double")
+    return pipelines.peaks_to_factors(peaks, at.select(F.col("doc_id").alias("peak_id"), "seq"), genes, C.word_motifs(spark), thresholds, expression, response="log10")
+
+
+PEAK_MATRIX = C.SCANNED.replace("hits AS (", "every AS (").replace("WHERE greatest(fwd, rev) > 5)", ")") + f""", st AS (SELECT doc_id, doc_id * 7 % (length(seq) - 40) AS lo FROM bases WHERE length(seq) >= 64),
+  hits AS (SELECT every.* FROM every JOIN st USING (doc_id) JOIN (SELECT DISTINCT motif, width FROM w) x ON x.motif = every.motif WHERE off >= lo AND off + x.width <= lo + 40),
+  ends AS (SELECT motif, pos, max(ll) AS hi, min(ll) AS lo FROM w GROUP BY motif, pos), r AS (SELECT motif, sum(hi) AS hi, sum(lo) AS lo FROM ends GROUP BY motif),
+  v AS (SELECT motif, CAST(total AS DOUBLE) AS total, CAST(CASE WHEN fp = total THEN 0.1 ELSE fp - total END AS DOUBLE) AS gap, CAST(typ AS DOUBLE) AS typ FROM (VALUES {", ".join(map(str, C.SHARES))}) x(motif, total, fp, typ)),
+  z AS (SELECT motif, ln(typ) / gap AS wt, 2 * typ * exp(ln(typ) / gap * total) AS b FROM v),
+  a AS (SELECT doc_id, motif, sum(exp(wt * (s - lo) / (hi - lo))) AS a, any_value(b) AS b FROM hits JOIN r USING (motif) JOIN z USING (motif) GROUP BY doc_id, motif),
+  g AS (SELECT motif AS tf, doc_id % 50 AS gene, max(a / (a + b)) AS score FROM a GROUP BY ALL)"""
+
+
+@C.query(PEAK_MATRIX + " SELECT tf, gene, round(score, 6) AS score FROM g")
+def peaks_to_matrix(spark, sf_dir):
+    """Peaks mapped to genes, scanned, and gathered to a matrix of motifs and genes."""
+    return peak_run(spark, sf_dir)["matrix"].withColumn("score", F.round("score", 6))
+
+
+@C.query(PEAK_MATRIX + """, e AS (SELECT o_custkey % 50 AS gene, log10(o_totalprice + CAST(0.1 AS DOUBLE)) AS y FROM orders)
+  SELECT tf AS motif, round(regr_slope(y, score), 6) AS slope, count(*) AS n, round(regr_r2(y, score), 6) AS r2 FROM g JOIN e USING (gene) GROUP BY tf""")
+def peaks_to_regression(spark, sf_dir):
+    """The same run up to the regression of expression on each motif's scores."""
+    out = peak_run(spark, sf_dir)["results"]
+    return out.select("motif", F.round("slope", 6).alias("slope"), "n", F.round(F.col("r") * F.col("r"), 6).alias("r2"))

@@ -314,8 +314,11 @@ def _tokens(spark, path):
     return spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("t"), _place().alias("_n"))
 
 
-def expression(spark, path) -> DataFrame:
-    """gene, value; duplicates stay."""
+def expression(spark, path, genes: DataFrame | None = None) -> DataFrame:
+    """gene, value; duplicates stay.  A file with values only is named by ``genes`` (row, id), line by line."""
+    if genes is not None:
+        values = _listed(spark, path).select(F.col("line").cast("int").alias("row"), F.trim("value").cast("double").alias("value"))
+        return values.join(genes.select("row", F.col("id").alias("gene")), "row").select("gene", "value")
     return _tokens(spark, path).select(F.get("t", F.lit(0)).alias("gene"), F.get("t", F.lit(1)).cast("double").alias("value"))
 
 
@@ -378,6 +381,11 @@ def annotation(spark, path) -> DataFrame:
     return rows.select(F.col("Organism").alias("species"), F.explode(names).alias("identifier")).where("identifier <> ''").distinct()
 
 
+def species_sets(identifiers: DataFrame) -> DataFrame:
+    """species, identifiers: what :func:`annotation` lists, as one sorted set for each species."""
+    return identifiers.groupBy("species").agg(F.array_sort(F.collect_set("identifier")).alias("identifiers"))
+
+
 def motif_thresholds(spark, path) -> DataFrame:
     """motif_id, thres, sum_, fp read as text from a protocol-0 dump: nothing is unpickled."""
     lines, splits = numbered_lines(spark, path)
@@ -506,3 +514,60 @@ class ForestConfig:
         values = {names.get(k, k): (int(v) if k in ("D", "threads", "processes") else float(v)) for k, v in found.items() if names.get(k, k) in cls.__dataclass_fields__}
         values["mu"] = max(0.0, values.get("mu", 0.0))
         return cls(**values)
+
+
+@dataclass(frozen=True)
+class AffinityConfig:
+    """What a run from peaks to factor scores reads and how; peaks, genes and their names are required."""
+
+    bedfile: str
+    genefile: str
+    xreffile: str
+    fastafile: str | None = None
+    windowsize: int = 2000
+    tamo_file: str | None = None
+    genome: str | None = None
+    numthreads: int = 1
+    do_network: bool = False
+    tf_delimiter: str = ""
+    expression_file: str | None = None
+    p_threshold: float = 0.01
+    q_threshold: float | None = None
+    save_plot: bool = False
+
+    @classmethod
+    def parse(cls, text: str) -> AffinityConfig:
+        """Sections of 'key=value' lines with '#' comments; empty values count as missing."""
+        import configparser
+
+        # The sections' keys.
+        keys = {
+            "bedfile": "bedfile", "genefile": "genefile", "xreffile": "xreffile", "fastafile": "fastafile", "windowsize": "windowsize", "tamo_file": "tamo_file", "genome": "genome", "numthreads": "numthreads",
+            "donetwork": "do_network", "tfdelimiter": "tf_delimiter", "expressionfile": "expression_file", "pvalthresh": "p_threshold", "qvalthresh": "q_threshold", "saveplot": "save_plot",
+        }
+        read = configparser.ConfigParser(interpolation=None)
+        read.read_string(text)
+        found = {keys[k]: v.strip() for section in read.sections() for k, v in read.items(section) if k in keys and v and v.strip()}
+        if missing := {"bedfile", "genefile", "xreffile"} - found.keys():
+            raise ValueError(f"missing settings: {sorted(missing)}")
+        kinds = {"windowsize": int, "numthreads": int, "p_threshold": float, "q_threshold": float, "do_network": lambda v: v.lower() != "false", "save_plot": lambda v: v.lower() != "false"}
+        return cls(**{k: kinds.get(k, str)(v) for k, v in found.items()})
+
+
+def organism_settings(*texts: str) -> dict[str, dict[str, str | int | float]]:
+    """Settings of each organism (a section) from texts of 'key = value' lines; later texts override; numbers are numbers."""
+    import configparser
+
+    read = configparser.ConfigParser(interpolation=None)
+    for text in texts:
+        read.read_string(text)
+
+    def number(v: str):
+        for kind in (int, float):
+            try:
+                return kind(v)
+            except ValueError:
+                pass
+        return v
+
+    return {s: {k: number(v) for k, v in read.items(s)} for s in read.sections()}

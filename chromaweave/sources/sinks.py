@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.functions.scalars import wrap
+from chromaweave.operators.ranges import numbered
 from chromaweave.sources.formats import TAMO_MARKS
 
 
@@ -88,3 +89,33 @@ def report_lines(report: DataFrame) -> DataFrame:
     """run, value: the figures of ``pipelines.report`` as text, one to a line."""
     names = [c for c in report.columns if c != "run"]
     return report.select("run", F.concat_ws("\n", *[F.concat(F.lit(f"{c.replace('_', ' ')}: "), F.col(c).cast("string")) for c in names]).alias("value"))
+
+
+def score_rows(matrix: DataFrame, digits: int = 3) -> DataFrame:
+    """tf, value: a motif's scores over all genes of the matrix in the order of their names, tab-separated; missing cells are 0.
+
+    A row is gathered for each motif: as long as there are genes.
+    """
+    genes = matrix.select("gene").distinct()
+    cells = matrix.select("tf").distinct().crossJoin(genes).join(matrix.select("tf", "gene", "score"), ["tf", "gene"], "left")  # the matrix itself
+    row = F.array_sort(F.collect_list(F.struct("gene", F.coalesce("score", F.lit(0.0)).alias("x"))))
+    return cells.groupBy("tf").agg(row.alias("r")).select("tf", F.array_join(F.transform("r", lambda c: F.format_string(f"%.{digits}f", c["x"])), "\t").alias("value"))
+
+
+def matrix_bundle(matrix: DataFrame, path: str) -> None:
+    """A matrix as Parquet: its cells (i, j, score), and the names of its rows (tfs) and columns (genes) by number."""
+    tfs, genes = numbered(matrix.select("tf").distinct(), ["tf"], "i"), numbered(matrix.select("gene").distinct(), ["gene"], "j")
+    tfs.write.parquet(f"{path}/tfs")
+    genes.write.parquet(f"{path}/genes")
+    matrix.join(tfs, "tf").join(genes, "gene").select("i", "j", "score").write.parquet(f"{path}/cells")
+
+
+def read_bundle(spark, path: str) -> DataFrame:
+    """tf, gene, score of what :func:`matrix_bundle` wrote."""
+    cells = spark.read.parquet(f"{path}/cells")
+    return cells.join(spark.read.parquet(f"{path}/tfs"), "i").join(spark.read.parquet(f"{path}/genes"), "j").select("tf", "gene", "score")
+
+
+def score_table(scores: DataFrame, path: str) -> None:
+    """Factor scores as two tab-separated columns without a header, sorted by factor."""
+    tsv(scores.orderBy("tf").select("tf", "score"), path, header=False)
