@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 #: Sampled keys for each splitter: a range then seldom holds more than twice its share.
 SAMPLE_PER_RANGE = 40
 #: Rows below which a further range is not worth its jobs.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 125_000
 #: Bits of a hash that one round of the selection counts by.
 RADIX_BITS = 12
 #: Rows among which a selection ends on the driver.

@@ -27,7 +27,8 @@ def cut(seqs: DataFrame, name: str, seq: str, tile: int = TILE, halo: int = 0) -
         raise ValueError("a halo longer than a tile")
     pieces = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{tile}}}"), 0)
     pieces = F.when(F.length(seq) > tile, pieces).otherwise(F.array(seq))
-    each = seqs.select(name, pieces.alias("_p")).select(name, "_p", F.posexplode("_p").alias("_i", "_s"))
+    # Never empty, but said to be outer: else a filter on the array is inferred, and what makes the letters is run again for it.
+    each = seqs.select(name, pieces.alias("_p")).select(name, "_p", F.posexplode_outer("_p").alias("_i", "_s"))
     whole = F.concat("_s", F.coalesce(F.substring(F.get("_p", F.col("_i") + 1), 1, halo), F.lit(""))) if halo else F.col("_s")
     return each.select(name, (F.col("_i").cast("long") * tile).alias("start"), whole.alias(seq))
 

@@ -478,7 +478,8 @@ TILES = "tiles AS (SELECT lang, substr(seq, i * 6 + 1, 6) AS w FROM (SELECT lang
 def tiles(spark, sf_dir):
     """Sequences cut into words of six: aligned sequences, one motif for each language."""
     b = bases(spark, sf_dir).where("length(seq) >= 6")
-    return b.select("lang", F.explode(F.regexp_extract_all("seq", F.lit(".{6}"), 0)).alias("w"))
+    # Outer, so that no filter on the array is inferred and evaluated beside it.
+    return b.select("lang", F.explode_outer(F.regexp_extract_all("seq", F.lit(".{6}"), 0)).alias("w")).where("w IS NOT NULL")
 
 
 LETTERS = f"""WITH {BASES}, {TILES}, l AS (SELECT lang AS motif, i - 1 AS pos, substr(w, i, 1) AS letter, count(*) AS n FROM tiles, range(1, 7) r(i) GROUP BY ALL),
