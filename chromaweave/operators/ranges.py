@@ -193,11 +193,11 @@ def running(df: DataFrame, ranges: int, by: str, order: list, value: Column, nam
     that follow each other in that order.  ``strict`` leaves the row itself out,
     ``backward`` looks from the row to the end of its group.  A group is worked range by
     range: one shuffle by (group, range), one combined summary for each and what
-    :func:`_carry` joins back.
+    :func:`_carry` joins back.  ``order`` holds names where it is read backward.
     """
-    window = W.partitionBy(by, "_range").orderBy(*order)
-    edge = 1 if strict else 0
-    frame = window.rowsBetween(edge, W.unboundedFollowing) if backward else window.rowsBetween(W.unboundedPreceding, -edge)
+    # Backward is forward in the reversed order: a frame up to the end would be read anew for every row.
+    ordered = [F.desc(c) for c in order] if backward else order
+    frame = W.partitionBy(by, "_range").orderBy(*ordered).rowsBetween(W.unboundedPreceding, -1 if strict else 0)
     over, combine, both = KINDS[kind]
     inside = over(value).over(frame)
     if ranges == 1:

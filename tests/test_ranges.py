@@ -1,6 +1,7 @@
 """Global ranks, selection, sweeps and placement, against plain Python; small ranges are forced."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -164,3 +165,14 @@ def test_runs_of_noise_and_shuffles(spark):
     for run in range(3):
         assert Counter(r.prize for r in out if r.run == run) == Counter(float(i) for i in range(200)) and len({r.node for r in out if r.run == run}) == 200
     assert len({tuple(sorted((r.node, r.prize) for r in out if r.run == run)) for run in range(3)}) == 3
+
+
+def test_a_backward_sweep_is_linear(spark):
+    """One range of many rows: a frame that is read anew for each row takes minutes here."""
+    df = spark.range(200_000, numPartitions=2).select(F.lit("c").alias("chrom"), "id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("start"), F.lit(0).alias("_range"))
+    start = time.monotonic()
+    out = ranges.running(df, 1, "chrom", ["id"], F.col("start"), "next", kind="min", backward=True)
+    after = ranges.running(df, 1, "chrom", ["id"], F.col("start"), "next", kind="min", strict=True, backward=True)
+    assert out.where("next <> ceil(id / 3) * 3").count() == 0 and out.where("next IS NULL").count() == 200_000 - 1 - 199_998
+    assert after.where("next <> (floor(id / 3) + 1) * 3").count() == 0
+    assert time.monotonic() - start < 60
