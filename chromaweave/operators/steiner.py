@@ -9,6 +9,7 @@ used with a as the parent.  One instance is solved in one task; runs are paralle
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import pandas as pd
@@ -210,8 +211,10 @@ def betweenness(arcs: DataFrame, few: int = FEW_ARCS) -> DataFrame:
     """node, betweenness of a directed, unweighted graph (src, dst), over (n - 1)(n - 2).
 
     A graph of at most ``few`` arcs, such as one forest, goes to all tasks, which share
-    its sources.  A larger one is searched by joins from all sources at once, level by
-    level, each level a written table; every pair that is connected is a row there.
+    its sources.  In a larger one leaves are folded into their neighbours first, as they
+    lie on no path but their own.  What is left is searched by joins from all sources at
+    once, level by level, each level a written table; every pair of it that is connected
+    is a row there.
     """
     arcs = arcs.select("src", "dst").distinct()
     if arcs.limit(few + 1).count() <= few:
@@ -219,14 +222,54 @@ def betweenness(arcs: DataFrame, few: int = FEW_ARCS) -> DataFrame:
     return _betweenness_by_levels(arcs)
 
 
+#: Leaves are folded as long as a round takes one node in so many.
+LEAVES_EVERY = 100
+
+
+def _folded(names: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of a graph when its leaves are folded into their neighbours, round by round.
+
+    A leaf has arcs from and to one node only, so all its paths lead through that node.
+    Gives the core's arcs, its nodes (node, w), and all nodes (node, root, w, sq): the
+    core's node that each was folded into, how many nodes were folded into it with
+    itself, and the sum of the squares of its branches' sizes.
+    """
+    live = names.select("node", F.lit(1.0).alias("w"), F.lit(0.0).alias("sq"))
+    folds, n = [], names.count()
+    while n:
+        ends = arcs.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("out")).unionByName(arcs.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(0).alias("out")))
+        ends = ends.groupBy("node").agg(F.count("*").alias("n"), F.sum("out").alias("out"), F.min("other").alias("parent"), F.max("other").alias("_last"))
+        leaves = ends.where("n = 2 AND out = 1 AND parent = _last").select("node", "parent")
+        # Of two nodes that have only each other, one stays.
+        pair = leaves.select(F.col("node").alias("parent"), F.col("parent").alias("node"), F.lit(True).alias("_pair"))
+        leaves = settled(leaves.join(pair, ["node", "parent"], "left").where("_pair IS NULL OR node > parent").select("node", "parent").join(live, "node"))
+        here = leaves.count()
+        if not here:
+            break
+        folds.append(leaves)
+        gained = leaves.groupBy(F.col("parent").alias("node")).agg(F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("w")).alias("_sq"))
+        plus = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c)
+        live = settled(live.join(leaves.select("node"), "node", "left_anti").join(gained, "node", "left").select("node", plus("w"), plus("sq")))
+        arcs = settled(arcs.join(leaves.select(F.col("node").alias("src")), "src", "left_anti").join(leaves.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        n -= here
+        if here * LEAVES_EVERY < n:
+            break
+    rooted = live.select("node", F.col("node").alias("root"), "w", "sq")
+    for leaves in reversed(folds):
+        above = rooted.select(F.col("node").alias("parent"), "root")
+        rooted = rooted.unionByName(settled(leaves.join(above, "parent").select("node", "root", "w", "sq")))
+    return arcs, live.select("node", "w"), rooted
+
+
 def _betweenness_by_levels(arcs: DataFrame) -> DataFrame:
     names = settled(arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct())
-    arcs = settled(arcs.where("src <> dst"))
-    levels = [settled(names.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
+    arcs, core, rooted = _folded(names, settled(arcs.where("src <> dst")))
+    # A node of the core stands for all that were folded into it: pairs weigh as many as they stand for.
+    levels = [settled(core.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths"), F.col("w").alias("from"), F.col("w").alias("to")))]
     seen = levels[0].select("s", "node")
     while True:
-        ahead = levels[-1].join(arcs, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        new = settled(ahead.join(seen, ["s", "node"], "left_anti").select("s", "node", "paths"))
+        ahead = levels[-1].join(arcs, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"), F.first("from").alias("from"))
+        new = settled(ahead.join(seen, ["s", "node"], "left_anti").join(core.withColumnRenamed("w", "to"), "node").select("s", "node", "paths", "from", "to"))
         if not new.limit(1).count():
             break
         levels.append(new)
@@ -235,14 +278,19 @@ def _betweenness_by_levels(arcs: DataFrame) -> DataFrame:
     shares, below = [], levels[-1].withColumn("share", F.lit(0.0))
     for level in reversed(levels[:-1]):
         shares.append(below)
-        hands = below.select("s", F.col("node").alias("dst"), ((1 + F.col("share")) / F.col("paths")).alias("x")).join(arcs, "dst").groupBy("s", F.col("src").alias("node")).agg(F.sum("x").alias("x"))
-        below = settled(level.join(hands, ["s", "node"], "left").select("s", "node", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("share")))
-    total = names.select("node", F.lit(0.0).alias("share"))
-    for part in shares:
-        total = total.unionByName(part.select("node", "share"))
+        hands = below.select("s", F.col("node").alias("dst"), ((F.col("to") + F.col("share")) / F.col("paths")).alias("x")).join(arcs, "dst").groupBy("s", F.col("src").alias("node")).agg(F.sum("x").alias("x"))
+        below = settled(level.join(hands, ["s", "node"], "left").select("s", "node", "paths", "from", "to", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("share")))
+    through = [part.select("node", (F.col("from") * F.col("share")).alias("share")) for part in shares]
+    # How many nodes a core node reaches and is reached by, itself and what was folded into it included.
+    reach = [x for level in levels for x in (level.select(F.col("s").alias("root"), F.col("to").alias("met")), level.select(F.col("node").alias("root"), F.col("from").alias("met")))]
+    both = lambda parts: reduce(DataFrame.unionByName, parts)
+    met = both(reach).groupBy("root").agg(F.sum("met").alias("met"))
+    # Pairs of which one or both lie in different branches of a node.
+    branches = F.col("w") - 1
+    own = rooted.join(met, "root").select("node", (branches * branches - F.col("sq") + branches * (F.col("met") - 2 * F.col("w"))).alias("share"))
     n = names.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return total.groupBy("node").agg((F.sum("share") * scale).alias("betweenness"))
+    return both([own, *through]).groupBy("node").agg((F.sum("share") * scale).alias("betweenness"))
 
 
 def _betweenness_of_few(arcs: DataFrame) -> DataFrame:

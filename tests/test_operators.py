@@ -217,3 +217,17 @@ def test_betweenness_by_levels_equals_that_in_tasks(spark):
     a, b = ({x.node: round(x.betweenness, 9) for x in steiner.betweenness(arcs, few).collect()} for few in (0, 100))
     assert a == b and max(a.values()) > 0
     assert steiner.betweenness(line.where("false"), 0).count() == steiner.betweenness(line.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_betweenness_of_folded_leaves_equals_that_in_tasks(spark, monkeypatch, seed):
+    """Trees on a directed core, and a tree of its own: no level holds a pair with a leaf."""
+    r = random.Random(seed)
+    core = [(f"c{r.randrange(5)}", f"c{r.randrange(5)}") for _ in range(9)]
+    tree = [(f"t{i}", f"t{r.randrange(i)}" if i and r.random() < 0.6 else f"c{r.randrange(5)}") for i in range(12)] + [("x", "y"), ("y", "z"), ("u", "v")]
+    arcs = spark.createDataFrame(core + tree + [(b, a) for a, b in tree], "src string, dst string")
+    a, b = ({x.node: round(x.betweenness, 9) for x in steiner.betweenness(arcs, few).collect()} for few in (0, 1000))
+    assert a == b and max(a.values()) > 0
+    names = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct()
+    left, nodes, rooted = steiner._folded(names, arcs.where("src <> dst").distinct())
+    assert nodes.count() <= 5 + 2 and rooted.count() == names.count() and left.where("src LIKE 't%' OR dst LIKE 't%'").count() == 0
