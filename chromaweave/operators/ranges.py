@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 SAMPLE_PER_RANGE = 40
 #: Rows below which a further range is not worth its jobs.
 ROWS_PER_RANGE = 125_000
+#: Rows beyond which a range is cut further, however many ranges there are.
+MOST_ROWS = 1_000_000
 #: Bits of a hash that one round of the selection counts by.
 RADIX_BITS = 12
 #: Rows among which a selection ends on the driver.
@@ -48,8 +50,8 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def parts_for(spark: SparkSession, rows: int) -> int:
-    """Ranges for so many rows: as many as the session's shuffles have, fewer for small tables."""
-    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE)))
+    """Ranges for so many rows: as many as the session's shuffles have, fewer for small tables, more for large ones."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE)), -(-rows // MOST_ROWS))
 
 
 def _columns(df: DataFrame, order) -> list[Column]:
@@ -63,12 +65,14 @@ def numbered(df: DataFrame, order: list, name: str = "rank", by: list[str] | Non
     numbers repeat in a later run; identical rows are interchangeable.  A key that a
     third of the rows share is spread over ranges by that hash, and copies of one row
     by a random number.  One shuffle by ranges of the key and one written table; the
-    driver sees one count for each range.
+    driver sees one count for each range.  ``ranges`` is the least number of ranges:
+    they are as many more as :data:`MOST_ROWS` asks for.
     """
     by = by or []
     marks = df.withColumns({"_h": F.xxhash64(*[df[c] for c in df.columns]), "_r": F.rand(7)}) if df.columns else df
     keys = [marks[c] for c in by] + _columns(marks, order) + [marks["_h"], marks["_r"]]
-    parts = parts_for(df.sparkSession, df.count()) if ranges is None else ranges
+    n = df.count()
+    parts = parts_for(df.sparkSession, n) if ranges is None else max(ranges, -(-n // MOST_ROWS))
     spread = marks.repartitionByRange(parts, *keys) if parts > 1 else marks.repartition(1)
     # The upper bits of this id are the partition, which is the range; the lower 33 count its rows.
     placed = settled(spread.sortWithinPartitions(*keys).drop("_h", "_r").withColumn("_id", F.monotonically_increasing_id()))
@@ -78,11 +82,14 @@ def numbered(df: DataFrame, order: list, name: str = "rank", by: list[str] | Non
     before = list(zip(used, accumulate([counts[p] for p in used], initial=0), strict=False))
     # One row for each range.
     base = df.sparkSession.createDataFrame(before, "_p long, _base long")
-    out = placed.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + inside + start).drop("_p", "_base", "_id")
+    out = placed.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + inside + start).drop("_base", "_id")
     if by:
-        first = out.groupBy(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]).agg(F.min(name).alias("_first"))
+        # A group's first number, once for each range that holds rows of the group: no key of the join has more rows than a range.
+        own = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
+        held = out.groupBy(*own, F.col("_p").alias("_q")).agg(F.min(name).alias("_first"))
+        held = held.withColumn("_first", F.min("_first").over(W.partitionBy(*[f"_b{i}" for i in range(len(by))])))
         same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
-        out = out.join(first, reduce(and_, same)).withColumn(name, F.col(name) - F.col("_first") + start)
+        out = out.join(held, reduce(and_, same, F.col("_p") == F.col("_q"))).withColumn(name, F.col(name) - F.col("_first") + start)
     return out.select(*[c for c in df.columns if c != name], name)
 
 
@@ -135,11 +142,10 @@ def dealt(df: DataFrame, keys: list[str], ranges: int | None = None, seed: int =
     never what comes out, and are searched in two steps of about the square root of
     their number.  Rows with equal keys stay together: the last key should tell them apart.
     """
-    n = df.count() if ranges is None else None
-    ranges = ranges or parts_for(df.sparkSession, n)
+    n = df.count()
+    ranges = max(ranges, -(-n // MOST_ROWS)) if ranges else parts_for(df.sparkSession, n)
     if ranges < 2:
         return df.withColumn("_range", F.lit(0)), 1
-    n = df.count() if n is None else n
     named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]
     whole = reduce(and_, [F.col(c).isNotNull() for c in keys])
     sample = df.where(whole).sample(min(1.0, SAMPLE_PER_RANGE * ranges / max(n, 1)), seed).select(*named).collect()

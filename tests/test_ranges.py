@@ -176,3 +176,15 @@ def test_a_backward_sweep_is_linear(spark):
     assert out.where("next <> ceil(id / 3) * 3").count() == 0 and out.where("next IS NULL").count() == 200_000 - 1 - 199_998
     assert after.where("next <> (floor(id / 3) + 1) * 3").count() == 0
     assert time.monotonic() - start < 60
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """A given number of ranges is the least one, and a group of many rows stays in its ranges."""
+    monkeypatch.setattr(ranges, "MOST_ROWS", 50)
+    written, settled = [], ranges.settled
+    monkeypatch.setattr(ranges, "settled", lambda df: written.append(settled(df)) or written[-1])
+    df = spark.range(1000).select("id", F.when(F.col("id") % 4 == 0, "few").alias("s"))
+    out = ranges.numbered(df, ["id"], "k", by=["s"], ranges=2)
+    assert {(r.id, r.k) for r in out.collect()} == {(i, i // 4) if i % 4 == 0 else (i, i - i // 4 - 1) for i in range(1000)}
+    assert max(sizes(written[0])) <= 150
+    assert ranges.dealt(df, ["id"], 2)[1] > 10
