@@ -3,7 +3,8 @@
 A forest hangs on a dummy root.  Its cost is the prizes of the nodes it leaves out, the
 costs 1 - weight of its edges, and w for each tree; a path from the dummy to a node may
 hold at most D - 1 edges, the dummy's own included.  Directed edges a -> b may only be
-used with a as the parent.  One instance is solved in one task; runs are parallel.
+used with a as the parent.  A small instance is solved in one task, runs in parallel; a
+large one is solved by joins, level by level.
 """
 
 from __future__ import annotations
@@ -181,11 +182,24 @@ def solve(inst: Instance) -> dict[str, str]:
     return exact(inst)
 
 
-def solve_runs(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, depth: int) -> DataFrame:
+def solve_runs(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, depth: int, few: int = EXACT_LIMIT) -> DataFrame:
     """run, node, parent ('' under the dummy) and objective, for every run.
 
     edges: run, src, dst, weight, dir; prizes: run, node, prize_total; roots: run, node.
+    A run of at most ``few`` arcs, counted as they are given, is solved in one task, a
+    larger one by joins; with so many different arcs none would be solved exactly.
     """
+    if depth < 1:
+        raise ValueError("depth must be at least 1")
+    # A row for each run.
+    large = settled(edges.groupBy("run").agg(F.sum(F.when(F.col("dir") == "U", 2).otherwise(1)).alias("_n")).where(F.col("_n") > few).select("run"))
+    if not large.limit(1).count():
+        return _solved_in_tasks(edges, prizes, roots, w, depth)
+    part = lambda how: [df.join(F.broadcast(large), "run", how) for df in (edges, prizes, roots)]
+    return _solved_in_tasks(*part("left_anti"), w, depth).unionByName(_solved_by_joins(*part("left_semi"), w, depth))
+
+
+def _solved_in_tasks(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, depth: int) -> DataFrame:
     both = edges.selectExpr("run", "'e' AS kind", "src AS a", "dst AS b", "weight AS x", "dir").unionByName(prizes.selectExpr("run", "'p' AS kind", "node AS a", "'' AS b", "prize_total AS x", "'' AS dir"))
     both = both.unionByName(roots.selectExpr("run", "'r' AS kind", "node AS a", "'' AS b", "0.0D AS x", "'' AS dir"))
 
@@ -203,6 +217,104 @@ def solve_runs(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float,
     return both.groupBy("run").applyInPandas(one, f"run {run_type}, node string, parent string, objective double")
 
 
+KEY = ["run", "node"]
+#: Rounds of moves in a forest that is built by joins; each lowers the objective, and the last one finds none.
+MOVES = 20
+
+
+def _by_depth(tree: DataFrame, depth: int) -> list[DataFrame]:
+    """The rows of (run, node, parent, ...) that hang on the dummy within the limit, by their depth; others are left out."""
+    levels = [settled(tree.where("parent = ''"))]
+    for _ in range(depth - 2):
+        above = levels[-1].select("run", F.col("node").alias("parent"))
+        levels.append(settled(tree.join(above, ["run", "parent"], "left_semi").select(tree.columns)))
+    return levels
+
+
+def _pruned(levels: list[DataFrame]) -> DataFrame:
+    """:func:`_prune` of (run, node, parent, cost, prize), level by level: what is kept, with its depth."""
+    gains, below = [], None
+    for level in reversed(levels):
+        net = F.col("prize")
+        if below is not None:
+            level, net = level.join(below, KEY, "left"), net + F.coalesce("_below", F.lit(0.0))
+        held = settled(level.withColumn("_gain", net - F.col("cost")).where("_gain > 1e-12").select("run", "node", "parent", "cost", "prize", "_gain"))
+        gains.append(held)
+        below = held.groupBy("run", F.col("parent").alias("node")).agg(F.sum("_gain").alias("_below"))
+    kept = []
+    for i, held in enumerate(reversed(gains)):
+        if kept:
+            held = held.join(kept[-1].select("run", F.col("node").alias("parent")), ["run", "parent"], "left_semi")
+        kept.append(settled(held.select("run", "node", "parent", "cost", "prize", F.lit(i + 1).alias("depth"))))
+    return reduce(DataFrame.unionByName, kept)
+
+
+def _solved_by_joins(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, depth: int, rounds: int = 3) -> DataFrame:
+    """The heuristic of all runs together: layers, pruning and moves as joins by node; no task holds a run.
+
+    Nodes of a layer are reached and moved at once, not one after the other, so that a
+    tie or the order of two moves may fall otherwise than in :func:`heuristic`.
+    """
+    ways = edges.select("run", F.col("src").alias("p"), F.col("dst").alias("node"), (1 - F.col("weight")).alias("cost"))
+    back = edges.where("dir = 'U'").select("run", F.col("dst").alias("p"), F.col("src").alias("node"), (1 - F.col("weight")).alias("cost"))
+    arcs = settled(ways.unionByName(back).groupBy("run", "p", "node").agg(F.min("cost").alias("cost")))
+    prizes = settled(prizes.groupBy(*KEY).agg(F.max("prize_total").alias("prize")))
+    tops = roots.select(*KEY).distinct().select(*KEY, F.lit("").alias("parent"), F.lit(float(w)).alias("cost")).join(prizes, KEY, "left")
+    tops = settled(tops.withColumn("prize", F.coalesce("prize", F.lit(0.0))) if depth > 1 else tops.where("false"))
+    priced = settled(arcs.join(prizes, KEY, "left").select("run", "p", "node", "cost", F.coalesce("prize", F.lit(0.0)).alias("prize")))
+    best = None
+    for turn in range(rounds):
+        discount = F.greatest(F.lit(0.0), F.col("prize")) * (turn / rounds)
+        step = F.greatest(F.lit(0.0), F.col("cost") - discount) + 1e-9
+        front = settled(tops.select("*", step.alias("dist")))
+        known = front
+        for _ in range(depth - 2):
+            ahead = front.select("run", F.col("node").alias("p"), F.col("dist").alias("_d")).join(priced, ["run", "p"])
+            # The first of the nearest parents, and a row for each node.
+            near = ahead.groupBy(*KEY).agg(F.min(F.struct((F.col("_d") + step).alias("dist"), F.col("p").alias("parent"), "cost")).alias("b"), F.first("prize").alias("prize"))
+            near = near.select(*KEY, "b.parent", "b.cost", "prize", "b.dist")
+            front = settled(near.join(known.select(*KEY, F.col("dist").alias("_had")), KEY, "left").where("_had IS NULL OR dist < _had - 1e-12").drop("_had"))
+            known = settled(known.join(front.select(*KEY), KEY, "left_anti").unionByName(front))
+        found = _pruned(_by_depth(known.drop("dist"), depth))
+        best = found if best is None else _better(best, found)
+    now = settled(best)
+    # A node moves only for less than what it costs now or would cost left out: its prize, or its first edge.
+    bound = now.select(*KEY, F.col("cost").alias("_held"))
+    useful = priced.unionByName(tops.select("run", F.col("parent").alias("p"), "node", "cost", "prize")).join(bound, KEY, "left")
+    useful = settled(useful.where("cost < greatest(prize, _held) - 1e-12").drop("_held"))
+    for _ in range(MOVES):
+        above = now.select("run", F.col("node").alias("p"), F.col("depth").alias("_at"))
+        above = above.unionByName(now.select("run").distinct().select("run", F.lit("").alias("p"), F.lit(0).alias("_at")))
+        held = now.select(*KEY, F.col("cost").alias("_held"), F.col("depth").alias("_depth"))
+        can = useful.join(above.where(F.col("_at") < depth - 1), ["run", "p"]).join(held, KEY, "left")
+        # A parent's depth is less than the node's, before all moves: so they make no circle, and nothing comes to lie deeper.
+        can = can.where((F.col("cost") < F.coalesce("_held", F.col("prize")) - 1e-12) & (F.col("_at") < F.coalesce(F.col("_depth"), F.lit(depth))))
+        moved = settled(can.groupBy(*KEY).agg(F.min(F.struct("cost", F.col("p").alias("parent"))).alias("b"), F.first("prize").alias("prize")).select(*KEY, "b.parent", "b.cost", "prize"))
+        if not moved.limit(1).count():
+            break
+        tree = settled(now.select(*KEY, "parent", "cost", "prize").join(moved.select(*KEY), KEY, "left_anti").unionByName(moved))
+        now = settled(_pruned(_by_depth(tree, depth)))
+    return _reported(now, prizes)
+
+
+def _better(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of two forests of each run that of the greater gain, the first where they are alike."""
+    gain = lambda df, name: df.groupBy("run").agg(F.sum(F.col("prize") - F.col("cost")).alias(name))
+    chosen = gain(a, "_a").join(gain(b, "_b"), "run", "full_outer").select("run", (F.coalesce("_b", F.lit(0.0)) > F.coalesce("_a", F.lit(0.0)) + 1e-12).alias("_second"))
+    chosen = F.broadcast(settled(chosen))  # a row for each run
+    return settled(a.join(chosen.where("NOT _second"), "run", "left_semi").unionByName(b.join(chosen.where("_second"), "run", "left_semi")))
+
+
+def _reported(forest: DataFrame, prizes: DataFrame) -> DataFrame:
+    """The forests with :func:`value` as reported: single roots count as left out."""
+    inner = forest.where("parent <> ''").select("run", F.col("parent").alias("node"))
+    used = forest.where("parent <> ''").select(*KEY).unionByName(inner).distinct()
+    lost = prizes.join(used, KEY, "left_anti").groupBy("run").agg(F.sum("prize").alias("_lost"))
+    cost = forest.groupBy("run").agg(F.sum("cost").alias("_cost"))
+    total = cost.join(lost, "run", "left").select("run", (F.col("_cost") + F.coalesce("_lost", F.lit(0.0))).alias("objective"))
+    return forest.join(F.broadcast(total), "run").select("run", "node", "parent", "objective")  # a row for each run
+
+
 #: Arcs of a graph that is sent whole to the tasks; a larger one is searched by joins.
 FEW_ARCS = 50_000
 

@@ -231,3 +231,27 @@ def test_betweenness_of_folded_leaves_equals_that_in_tasks(spark, monkeypatch, s
     names = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct()
     left, nodes, rooted = steiner._folded(names, arcs.where("src <> dst").distinct())
     assert nodes.count() <= 5 + 2 and rooted.count() == names.count() and left.where("src LIKE 't%' OR dst LIKE 't%'").count() == 0
+
+
+def test_forests_by_joins_are_as_good_as_those_in_tasks(spark):
+    """All runs in one table: trees within the limit, objectives as recounted, and in sum no worse than one task's."""
+    r = random.Random(4)
+    runs = {}
+    for k in range(6):
+        names = [f"n{i}" for i in range(30)]
+        edges = tuple((a, b, r.random(), r.choice("UD")) for a in names for b in names if a < b and r.random() < 0.15)
+        runs[k] = steiner.Instance({n: r.choice([0.0, 0.3, 1.5, -0.4]) for n in names}, edges, frozenset(r.sample(names, 8)), 0.4, 4)
+    e = spark.createDataFrame([(k, *x) for k, i in runs.items() for x in i.edges], "run int, src string, dst string, weight double, dir string")
+    p = spark.createDataFrame([(k, *x) for k, i in runs.items() for x in i.prizes.items()], "run int, node string, prize_total double")
+    t = spark.createDataFrame([(k, x) for k, i in runs.items() for x in i.roots], "run int, node string")
+    got = steiner.solve_runs(e, p, t, 0.4, 4, few=0).collect()
+    assert {x.run for x in got} == set(runs)
+    ours = theirs = 0.0
+    for k, inst in runs.items():
+        parent = {x.node: x.parent for x in got if x.run == k}
+        costs = inst.parents()
+        assert steiner._depth_ok(parent, 4) and all(q in costs[v] for v, q in parent.items())
+        assert {round(x.objective, 6) for x in got if x.run == k} == {round(steiner.value(inst, parent), 6)}
+        ours, theirs = ours + steiner.value(inst, parent, False), theirs + steiner.value(inst, steiner.heuristic(inst), False)
+        assert steiner.value(inst, parent, False) <= steiner.value(inst, {}, False)
+    assert ours <= theirs * 1.05
