@@ -86,7 +86,7 @@ DEGREES = """both_ends AS (SELECT src AS node, dst AS other FROM edges UNION SEL
 
 def bases(spark, sf_dir):
     """Documents as sequences: the letters A, C, G, T of their whole texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACGT]", "").alias("seq"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.upper(F.regexp_replace("text", "[^ACGTacgt]+", "")).alias("seq"))
 
 
 BASES = "bases AS (SELECT doc_id, lang, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', '', 'g') AS seq FROM documents)"
