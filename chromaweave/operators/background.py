@@ -17,6 +17,8 @@ from chromaweave.operators.ranges import numbered, settled
 
 #: Proposals of a round for each sequence that is still missing.
 PROPOSALS = 8
+#: Proposals that one row is opened to, so that a size with many is dealt to many tasks.
+CHUNK = 4096
 ROUNDS = 40
 
 
@@ -43,10 +45,13 @@ def propose(open_: DataFrame, distances: DataFrame, starts: DataFrame, n_distanc
     A gene's start and a foreground distance are drawn by their numbers; the interval
     lies at that distance from the start, but for a jitter.
     """
-    each = open_.select("size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("missing") * PROPOSALS - 1)).alias("k"))
+    last = F.col("missing") * PROPOSALS - 1
+    chunks = open_.select("size", last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(CHUNK).cast("long"))).alias("_k")).repartition("size", "_k")
+    each = chunks.select("size", F.explode(F.sequence("_k", F.least(F.col("_k") + CHUNK - 1, F.col("_last")))).alias("k"))
     key = lambda what: (F.col("size"), F.col("k"), F.lit(level), F.lit(seed), F.lit(what))
     each = each.select("size", "k", _draw(n_distances, *key("d")).alias("_d"), _draw(n_starts, *key("g")).alias("_g"), (_draw(2 * jitter + 1, *key("j")) - jitter).alias("_j"), F.when(_draw(2, *key("s")) == 0, "+").otherwise("-").alias("strand"))
-    each = each.join(distances.select(F.col("i").alias("_d"), "dist"), "_d").join(starts.select(F.col("i").alias("_g"), "chrom", "tx_start"), "_g")
+    # A few rows are opened to very many, which no estimate tells: the proposals must not be broadcast for their few rows.
+    each = each.hint("merge").join(distances.select(F.col("i").alias("_d"), "dist"), "_d").hint("merge").join(starts.select(F.col("i").alias("_g"), "chrom", "tx_start"), "_g")
     mid = F.col("tx_start") + F.col("dist") + F.col("_j")
     return each.select(F.concat_ws("/", F.lit(level), "size", "k").alias("proposal"), "chrom", (mid - F.floor(F.col("size") / 2)).alias("start"), "size", "strand", mid.alias("mid"), "dist").where("start >= 0")
 

@@ -182,3 +182,16 @@ def test_network_equals_keep_max_and_directed_first(spark):
     assert key(graph.network(df)) == key(graph.directed_first(graph.keep_max(df)))
     with pytest.raises(Exception, match="U or D"):
         graph.network(df.withColumn("dir", F.lit("X"))).collect()
+
+
+def test_many_proposals_of_few_sizes_are_dealt_to_tasks_and_not_broadcast(spark):
+    open_ = spark.createDataFrame([(20, 2000), (30, 1)], "size int, missing long")
+    distances = spark.createDataFrame([(0, 5), (1, -7), (2, 300)], "i long, dist long")
+    starts = spark.createDataFrame([(0, "x", 10_000), (1, "y", 20_000)], "i long, chrom string, tx_start long")
+    out = background.propose(open_, distances, starts, 3, 2, 0, 4, 10)
+    rows = out.collect()
+    assert {r.proposal for r in rows} == {f"0/20/{k}" for k in range(16_000)} | {f"0/30/{k}" for k in range(8)} and len(rows) == 16_008
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "Broadcast" not in plan and "REPARTITION_BY_COL" in plan
+    # No row is opened to all proposals of its size.
+    assert background.CHUNK < 16_000
