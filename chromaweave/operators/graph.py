@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.functions.scalars import degree_penalty
+from chromaweave.operators.ranges import parts_for
 
 LEAST_WEIGHT, MOST_WEIGHT = 0.0, 0.99
 
@@ -140,8 +141,15 @@ def objective(prizes: DataFrame, chosen_nodes: DataFrame, chosen_edges: DataFram
 
 
 def merge_runs(runs: DataFrame, keys: list[str], run: str, n_runs: Column) -> DataFrame:
-    """Share of the runs whose result holds each key."""
-    return runs.select(*keys, run).distinct().groupBy(*keys).agg((F.count("*") / n_runs).alias("fraction"))
+    """Share of the runs whose result holds each key.
+
+    Rows are dealt by key before anything is counted: few of them repeat, so a table of
+    a whole input split's keys would hold nearly all its rows and save no shuffle.  The
+    number of tasks follows from the rows, so that none holds more as the table grows.
+    """
+    parts = parts_for(runs.sparkSession, runs.count())
+    dealt = runs.select(*keys, run).repartition(parts, *keys)
+    return dealt.distinct().groupBy(*keys).agg((F.count("*") / n_runs).alias("fraction"))
 
 
 def factor_network(matrix: DataFrame, least: float = 0.3, exclude: tuple[str, ...] = (), expressed: DataFrame | None = None, suffix: str = "mrna") -> DataFrame:
