@@ -183,6 +183,10 @@ def scan_sql(regions: DataFrame, m: DataFrame, threshold) -> DataFrame:
     return win.where(F.greatest("fwd", "rev") > threshold).select("region", "motif", "offset", "fwd", "rev")
 
 
+#: Windows that a task scores at once.
+WINDOWS_AT_ONCE = 1 << 18
+
+
 def scan(regions: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
     """As :func:`scan_sql`, by batches of regions in parallel: motifs are small and go to every task.
 
@@ -210,20 +214,24 @@ def scan(regions: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
             begin = np.cumsum(lengths + widest) - lengths - widest
             gap = np.full(widest, 4, np.uint8)
             s = np.concatenate([y for x in parts for y in (x, gap)] or [gap])
+            del parts
             for name, t in tables.items():
-                n = len(s) - len(t) + 1
                 back = t[::-1, [3, 2, 1, 0, 4]]
-                fwd, rev = np.zeros(n), np.zeros(n)
-                for i in range(len(t)):
-                    here = s[i : i + n]
-                    fwd += t[i][here]
-                    rev += back[i][here]
-                hit = np.flatnonzero(np.maximum(fwd, rev) > threshold)
-                if len(hit):
-                    of = np.searchsorted(begin, hit, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("region").take(pa.array(of)), pa.array([name] * len(hit)), pa.array(hit - begin[of], pa.int32()), pa.array(fwd[hit]), pa.array(rev[hit])], names=schema.names,
-                    )
+                # Windows are scored so many at once, however many letters a batch has.
+                for lo in range(0, len(s) - len(t) + 1, WINDOWS_AT_ONCE):
+                    n = min(WINDOWS_AT_ONCE, len(s) - len(t) + 1 - lo)
+                    fwd, rev = np.zeros(n), np.zeros(n)
+                    for i in range(len(t)):
+                        here = s[lo + i : lo + i + n]
+                        fwd += t[i][here]
+                        rev += back[i][here]
+                    hit = np.flatnonzero(np.maximum(fwd, rev) > threshold)
+                    if len(hit):
+                        at = hit + lo
+                        of = np.searchsorted(begin, at, side="right") - 1
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column("region").take(pa.array(of)), pa.array([name] * len(hit)), pa.array(at - begin[of], pa.int32()), pa.array(fwd[hit]), pa.array(rev[hit])], names=schema.names,
+                        )
 
     return regions.select("region", "seq").mapInArrow(run, schema)
 

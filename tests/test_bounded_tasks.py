@@ -1,8 +1,9 @@
 """What a task holds does not grow with the table."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from chromaweave.operators import graph, ranges
+from chromaweave.operators import graph, motifs, ranges
 
 
 def test_runs_are_dealt_to_tasks_by_their_rows(spark, monkeypatch):
@@ -16,3 +17,42 @@ def test_runs_are_dealt_to_tasks_by_their_rows(spark, monkeypatch):
     assert out.rdd.getNumPartitions() == 60  # 6,000 rows
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_windows_of_a_batch_are_scored_in_blocks(spark, monkeypatch):
+    m = motifs.from_text(spark, {"tata": "TATAW", "one": "G"}).withColumn("ll", F.log2((F.col("p") + 0.01) / 1.04) + 2.0)
+    seqs = [(0, "GATTATAAATATATTTGN" * 9), (1, ""), (2, None), (3, "TATAA"), (4, "TATA"), (5, "CCTATATGG" * 5)]
+    rows = spark.createDataFrame(seqs, "region int, seq string").coalesce(1)
+    sizes = []
+    monkeypatch.setattr(motifs, "WINDOWS_AT_ONCE", 1 << 18)
+    whole = sorted(map(tuple, motifs.scan(rows, m, -2.0).collect()))
+    assert whole
+    for block in (1, 5, 64):
+        scan = _scan_with_block(monkeypatch, block, rows, m, sizes)
+        assert scan == whole
+    assert max(sizes) <= 64
+
+
+def _scan_with_block(monkeypatch, block, rows, m, sizes):
+    """The scan run here, not on executors, with a small block; notes the batches' sizes."""
+    monkeypatch.setattr(motifs, "WINDOWS_AT_ONCE", block)
+    held = {}
+
+    class Seen:
+        schema = rows.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            held["run"] = run
+            return self
+
+    motifs.scan(Seen(), m, -2.0)
+    data = rows.collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([r.region for r in data], pa.int32()), pa.array([r.seq for r in data], pa.string())], names=["region", "seq"])
+    out = []
+    for b in held["run"]([batch]):
+        sizes.append(b.num_rows)
+        out += [tuple(x.values()) for x in b.to_pylist()]
+    return sorted(out)
