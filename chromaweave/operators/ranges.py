@@ -13,6 +13,7 @@ from functools import reduce
 from itertools import accumulate
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,8 +81,8 @@ def numbered(df: DataFrame, order: list, name: str = "rank", by: list[str] | Non
     counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     used = sorted(counts)
     before = list(zip(used, accumulate([counts[p] for p in used], initial=0), strict=False))
-    # One row for each range.
-    base = df.sparkSession.createDataFrame(before, "_p long, _base long")
+    # One row for each range; as an Arrow table it needs no Python workers, as a list it would take one for each core.
+    base = df.sparkSession.createDataFrame(pa.table({"_p": pa.array([p for p, _ in before], pa.int64()), "_base": pa.array([b for _, b in before], pa.int64())}))
     out = placed.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + inside + start).drop("_base", "_id")
     if by:
         # A group's first number, once for each range that holds rows of the group: no key of the join has more rows than a range.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromaweave.operators.ranges import numbered
+from chromaweave.operators.ranges import numbered, parts_for, settled
 
 
 def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
@@ -71,9 +71,12 @@ def regression(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
     out = points.groupBy(by).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n")
     )
-    out = out.where(F.col("slope").isNotNull() & ~F.isnan("slope"))
+    # A row for each group.  p is made by as few tasks, with a Python worker each, as the rows fill, and
+    # written: a filter on p would be pushed before the dealing and make it again there.
+    out = settled(out.where(F.col("slope").isNotNull() & ~F.isnan("slope")))
+    out = out.repartition(parts_for(out.sparkSession, out.count()))
     r = F.signum("slope") * F.sqrt("r2")
-    return out.select(by, "slope", "intercept", r.alias("r"), "n", t_two_sided(F.col("r2"), F.col("n").cast("double")).alias("p"))
+    return settled(out.select(by, "slope", "intercept", r.alias("r"), "n", t_two_sided(F.col("r2"), F.col("n").cast("double")).alias("p")))
 
 
 def join_expression(matrix: DataFrame, expression: DataFrame) -> DataFrame:

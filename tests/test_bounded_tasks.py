@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from chromaweave.operators import graph, motifs, ranges
+from chromaweave.operators import graph, motifs, ranges, stats
 
 
 def test_runs_are_dealt_to_tasks_by_their_rows(spark, monkeypatch):
@@ -56,3 +56,19 @@ def _scan_with_block(monkeypatch, block, rows, m, sizes):
         sizes.append(b.num_rows)
         out += [tuple(x.values()) for x in b.to_pylist()]
     return sorted(out)
+
+
+def test_p_is_made_by_as_many_tasks_as_the_groups_fill(spark):
+    points = spark.range(2000).repartition(16).selectExpr("id % 40 AS g", "id % 11 AS x", "id % 7 + id % 11 AS y")
+    out = stats.regression(points, "g", "x", "y")
+    assert out.count() == 40 and out.where("p IS NULL").count() == 0
+    known = out.where("p IS NOT NULL")
+    assert known.rdd.getNumPartitions() == 1 and "Python" not in known._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbering_needs_no_python_workers(spark):
+    rows = spark.range(50).select((F.col("id") * 7 % 50).alias("k"))
+    out = ranges.numbered(rows, ["k"])
+    assert sorted(map(tuple, out.collect())) == [(i, i) for i in range(50)]
+    assert "ExistingRDD" not in str(out._jdf.queryExecution().optimizedPlan()) and "PythonRDD" not in out.rdd._jrdd.rdd().toDebugString()
+    assert ranges.numbered(rows.where("k < 0"), ["k"]).collect() == []
