@@ -7,10 +7,10 @@
    equal sets are one member; members with equal size and prefix are one group; only
    groups are joined on prefix shingles, and only on those that several texts may have.
 3. Groups that meet are filtered by size, by how many of their shingles can be matched
-   at all, and, as all their common prefix shingles are counted, by the largest overlap
-   that this count leaves possible.
+   at all, by where the shingle stands in their prefixes, and by parities of their sets
+   (``setjoin.meetings``), in tasks that tell only the pairs which pass.
 4. What passes is expanded to members and verified on whole sets.  The first rounds
-   verify one partner for each group, the one with most common shingles, and one
+   verify one partner for each group, at last the one that differs least, and one
    member of each group against the others; then all pairs are expanded that could
    still connect different components.  So large groups of near copies cost a few
    pairs per member, and no link that could join components is lost.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from chromaweave.llm.components import components
 from chromaweave.llm.linededup import with_row_ids
-from chromaweave.llm.setjoin import BROADCAST_ROWS, fits, input_bytes, matched, meetings, prefix_length, rarity, shared_lists, verified
+from chromaweave.llm.setjoin import BROADCAST_ROWS, fits, input_bytes, matched, meetings, parities, prefix_length, rarity, shared_lists, verified
 from chromaweave.llm.store import free_shuffles, materialise, release
 
 WORDS = 5
@@ -40,6 +40,8 @@ THRESHOLD_PERCENT = 80
 HASH_MASK = np.uint64((1 << 58) - 1)
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 250_000
+#: Rounds in which each group tries the partner that differs least, at most; another one follows if so large a share linked.
+BEST_ROUNDS, BEST_SHARE = 2, 0.1
 
 
 class WordHashes(dict):
@@ -77,16 +79,16 @@ def member_key(s: np.ndarray) -> bytes:
 
 
 def keyed(rows: DataFrame, table, n: int, percent: int, carry: list[str]) -> DataFrame:
-    """``carry`` with the set's size, how many can be matched, its key, its group's key and what can be matched of its prefix."""
+    """``carry`` with the set's size, how many can be matched, its key, its group's key, what can be matched of its prefix, and, with that, its parities."""
     schema = T.StructType(
         [rows.schema[c] for c in carry]
-        + [T.StructField("_n", T.LongType(), False), T.StructField("_e", T.LongType(), False), T.StructField("_member", T.BinaryType()), T.StructField("_group", T.LongType()), T.StructField("_prefix", T.ArrayType(T.LongType(), False))]
+        + [T.StructField("_n", T.LongType(), False), T.StructField("_e", T.LongType(), False), T.StructField("_member", T.BinaryType()), T.StructField("_group", T.LongType()), T.StructField("_prefix", T.ArrayType(T.LongType(), False)), T.StructField("_bits", T.BinaryType())]
     )
 
     def run(batches):
         rarity = table.value
         for b in batches:
-            sizes, matchable, keys, groups, prefixes = [], [], [], [], []
+            sizes, matchable, keys, groups, prefixes, bits = [], [], [], [], [], []
             for t in b.column("_text").to_pylist():
                 s = rarity.ordered(shingles(t, n))
                 p = s[: prefix_length(len(s), percent)]
@@ -96,8 +98,9 @@ def keyed(rows: DataFrame, table, n: int, percent: int, carry: list[str]) -> Dat
                 groups.append(xxhash.xxh3_64_intdigest(p.tobytes(), len(s)) - (1 << 63) if len(s) else None)
                 # Sets too few of whose elements can be matched have no partner.
                 prefixes.append(matched(p).astype(np.int64) if 100 * matchable[-1] >= percent * len(s) else [])
+                bits.append(parities(s) if len(prefixes[-1]) else None)
             lists = pa.array(prefixes, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + [pa.array(sizes, pa.int64()), pa.array(matchable, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.int64()), lists], names=[*carry, "_n", "_e", "_member", "_group", "_prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + [pa.array(sizes, pa.int64()), pa.array(matchable, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.int64()), lists, pa.array(bits, pa.binary())], names=[*carry, "_n", "_e", "_member", "_group", "_prefix", "_bits"])
 
     return rows.select(*carry, "_text").mapInArrow(run, schema)
 
@@ -138,7 +141,7 @@ def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_
 
     # Groups that meet on a shingle of their prefixes.
     groups = keys.where("size(_prefix) > 0").groupBy(F.col("_group").alias("node")).agg(F.first("_n").alias("n"), F.first("_e").alias("e"), F.first("_prefix").alias("_prefix"))
-    lists = shared_lists(groups.select("node", "n", "e", F.explode("_prefix").alias("s")))
+    lists = shared_lists(groups.select("node", "n", "e", F.posexplode("_prefix").alias("at", "s")))
     hubs = materialise(lists.groupBy("s").agg(F.min(F.struct("n", "node", "e")).alias("h")).select("s", *[F.col(f"h.{c}").alias(f"h{c}") for c in ("n", "node", "e")]), "hubs")
     small = hubs.count() <= BROADCAST_ROWS
     met = lists.join(F.broadcast(hubs) if small else hubs, "s").where((F.col("node") != F.col("hnode")) & fits(F.col("n"), F.col("e"), F.col("hn"), F.col("he"), percent))
@@ -162,32 +165,38 @@ def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_
         spread = materialise(placed.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "spread")
         return placed, spread
 
-    # What could still connect components: pairs of groups that meet, with their common shingles.
     placed, spread = where_now()
-    meet = meetings(lists, spread.join(lists.select("node").distinct(), "node", "left_semi"), percent)
-    release(lists)
+    listed = lists.select("node").distinct()
+    # A group of several members has no parities of its own.
+    several = lead.where("members > 1").select("node")
+    parity = keys.where("size(_prefix) > 0").groupBy(F.col("_group").alias("node")).agg(F.first("_bits").alias("bits"))
+    parity = materialise(parity.join(listed, "node", "left_semi").join(several, "node", "left_anti"), "parities")
     free_shuffles(spark)
 
-    # A round in which each group tries the partner of another component that it has most
-    # in common with, so that classes of many near copies grow together; then all pairs left.
-    for last in (False, True):
-        ends = [spread.select(F.col("node").alias(f"node{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in (1, 2)]
-        open_ = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))
+    # Rounds in which each group tries the partner of another component that differs least,
+    # so that classes of many near copies grow together; then all pairs left.
+    turn, last = 0, False
+    while not last:
+        last = turn == BEST_ROUNDS
+        turn += 1
+        meet = meetings(lists, spread.join(listed, "node", "left_semi"), parity, percent, best=not last)
         if not last:
-            each = meet.unionByName(meet.select(F.col("node2").alias("node1"), F.col("node1").alias("node2"), "count"))
-            best = each.groupBy("node1").agg(F.max_by("node2", F.struct("count", F.xxhash64("node2"))).alias("node2")).distinct()
-            pairs = best.join(lead.select(F.col("node").alias("node1"), F.col("lead").alias("a")), "node1").join(lead.select(F.col("node").alias("node2"), F.col("lead").alias("b")), "node2").select("a", "b")
+            pairs = meet.join(lead.select(F.col("node").alias("node1"), F.col("lead").alias("a")), "node1").join(lead.select(F.col("node").alias("node2"), F.col("lead").alias("b")), "node2").select("a", "b")
         else:
-            left = meet.join(ends[0], "node1").join(ends[1], "node2").where(open_).select("node1", "node2")
             inner = spread.where("lo <> hi").select(F.col("node").alias("node1"), F.col("node").alias("node2"))
             side = lambda i: placed.select(F.col("node").alias(f"node{i}"), F.col("_member").alias("ab"[i - 1]), F.col("root").alias(f"root{i}"))
-            pairs = left.unionByName(inner).join(side(1), "node1").join(side(2), "node2")
+            pairs = meet.select("node1", "node2").unionByName(inner).join(side(1), "node1").join(side(2), "node2")
             pairs = pairs.where("root1 <> root2").where((F.col("node1") != F.col("node2")) | (F.col("a") < F.col("b"))).select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        more = check(pairs, rows, known, n, percent) if pairs.limit(1).count() else pairs
-        if more.limit(1).count():
+        release(meet)
+        tried = pairs.count()
+        more = check(pairs, rows, known, n, percent) if tried else pairs
+        found = more.count()
+        if found < BEST_SHARE * tried or not tried:
+            turn = BEST_ROUNDS  # all pairs left come next
+        if found:
             links = replaced(links, links.unionByName(more), "links")
             release(roots, placed, spread)
             roots = materialise(components(links), "roots")
@@ -197,7 +206,7 @@ def memberships(rows: DataFrame, carry: list[str], n: int, percent: int, sketch_
         tested = replaced(tested, tested.unionByName(pairs), "tested")
         release(pairs)
         free_shuffles(spark)
-    release(meet, tested, links, lead, known, spread, roots)
+    release(lists, parity, tested, links, lead, known, spread, roots)
     return keys.select(*carry, "_n", "_member"), placed.select("_member", "root")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromaweave.llm.components import components
-from chromaweave.llm.setjoin import BROADCAST_ROWS, HASH_BITS, LEAST_SEEN, MOST_SEEN, matched, meetings, prefix_length, rarity, shared_lists, verified
+from chromaweave.llm.setjoin import BROADCAST_ROWS, HASH_BITS, LEAST_SEEN, MOST_SEEN, matched, meetings, parities, prefix_length, rarity, shared_lists, verified
 from chromaweave.llm.store import free_shuffles, materialise, release, unused
 
 SHINGLE = 9
@@ -300,13 +300,20 @@ def _large_links(placed: DataFrame, texts: DataFrame, n: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([b.column("member"), b.column("bands"), b.column("n"), pa.array(matchable, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "bands", "n", "e", "prefix"])
 
     posted = members.mapInArrow(run, "node binary, bands array<long>, n long, e long, prefix array<long>").where("size(prefix) > 0")
-    posted = posted.select("node", "n", "e", "prefix", F.explode("bands").alias("band")).select("node", "n", "e", "band", F.explode("prefix").alias("x"))
-    lists = shared_lists(posted.select("node", "n", "e", F.xxhash64("band", "x").alias("s")))
+    posted = posted.select("node", "n", "e", "prefix", F.explode("bands").alias("band")).select("node", "n", "e", "band", F.posexplode("prefix").alias("at", "x"))
+    lists = shared_lists(posted.select("node", "n", "e", "at", F.xxhash64("band", "x").alias("s")))
     spread = members.select(F.col("member").alias("node"), F.col("root").alias("lo"), F.col("root").alias("hi"))
-    met = meetings(lists, spread, percent).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+
+    def tell(batches):
+        for b in batches:
+            bits = [parities(elements(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("member"), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+    parity = materialise(members.select("member", "text").mapInArrow(tell, "node binary, bits binary"), "parities")
+    met = meetings(lists, spread, parity, percent).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
     more = verified(met.join(pairs, ["a", "b"], "left_anti"), texts, elements, percent, as_sets=False)
     out = materialise(links.unionByName(more), "largelinks")
-    release(pairs, links, roots, members, lists, met, more)
+    release(pairs, links, roots, members, lists, parity, met, more)
     return out
 
 

@@ -8,7 +8,15 @@ one text.  An element whose bit is not set lies in one text only and matches not
   count, then by hash; any total order keeps the join exact;
 - the prefix of a set of n, its first n - ceil(t n) + 1 elements, meets every set that
   reaches the threshold t; its unmatched elements need not be looked up;
-- sets of n and m elements of which e and f can be matched share min(e, f) at most.
+- sets of n and m elements of which e and f can be matched share min(e, f) at most;
+- sets that have to share o elements share one among the first e - o + 1 and f - o + 1
+  that can be matched;
+- parities of the numbers of elements in ``PARITY_BITS`` buckets differ in no more buckets
+  than there are elements in one set only.
+
+In a large group of near copies most pairs share a prefix element, so pairs are not joined
+as rows: the rows of an element go to a task, in blocks where they are many, which tests
+pairs by the last three rules and tells those that pass.
 
 Sketch and bitmap grow with the input up to a fixed size.  Beyond it they tell less, and
 lists of candidates are longer; what is found stays the same.
@@ -39,6 +47,12 @@ SLICE, SEEN_SLICE = 1 << 16, 1 << 20
 BROADCAST_ROWS = 500_000
 #: Pairs handed to Python at once: each carries two whole sets.
 PAIRS_AT_ONCE = 64
+#: Buckets of a set's parities.
+PARITY_BITS = 2048
+#: Rows of an element that one task tests against each other or against another block.
+BLOCK_ROWS = 4096
+#: Tables with parities are broadcast up to so many rows.
+BROADCAST_PARITIES = 50_000
 
 Elements = Callable[[str | None], np.ndarray]
 
@@ -160,6 +174,12 @@ def fits(n: Column, e: Column, m: Column, f: Column, percent: int) -> Column:
     return F.least(e, f) * (100 + percent) >= (n + m) * percent
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Whether an odd number of the elements lies in each bucket."""
+    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def shared_lists(posted: DataFrame) -> DataFrame:
     """The rows (s, node, ...) whose element several nodes have, written."""
     several = posted.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("s")
@@ -169,36 +189,112 @@ def shared_lists(posted: DataFrame) -> DataFrame:
     return out
 
 
-def meetings(lists: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
-    """(node1, node2, count) of nodes that may hold near sets of different components.
+class _Block:
+    """Rows (p, q, node, n, e, at, lo, hi, inside, part, bits) of one element, and which of them may hold near sets.
 
-    ``lists`` has s, node, n and e: the matchable elements of every node's prefix.
-    ``spread`` has node, lo and hi: the least and greatest component of the sets that
-    a node stands for.  Nodes of an element's largest component meet those of others
-    only.  Pairs are kept if sizes and the count of common prefix elements allow it.
+    ``part`` tells the blocks p and q apart; rows of the same one are tested against each
+    other only where p is q.
+    """
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.node = table["node"].combine_chunks()
+        self.n, self.e, self.at, self.lo, self.hi, self.part = (table[c].to_numpy() for c in ("n", "e", "at", "lo", "hi", "part"))
+        self.inside, self.two = table["inside"].to_numpy(), table["p"][0].as_py() != table["q"][0].as_py()
+        bits = table["bits"].to_pylist()
+        self.known = np.array([b is not None for b in bits])
+        self.bits = np.frombuffer(b"".join(b or bytes(PARITY_BITS // 8) for b in bits), np.uint64).reshape(len(bits), -1)
+        self.percent = percent
+
+    def partners(self, i: int, later: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that row i, not inside, may be near to, and in how many buckets they differ; of rows not inside either only later ones."""
+        other = self.part != self.part[i] if self.two else np.ones(len(self.n), bool)
+        if later:
+            other &= self.inside | (np.arange(len(self.n)) > i)
+        other &= (self.lo != self.lo[i]) | (self.hi != self.hi[i]) | (self.lo != self.hi)
+        other[i] = False
+        j = np.flatnonzero(other)
+        need = -(-(self.n[i] + self.n[j]) * self.percent // (100 + self.percent))
+        j_ok = (self.at[i] <= self.e[i] - need) & (self.at[j] <= self.e[j] - need)
+        j, need = j[j_ok], need[j_ok]
+        apart = np.bitwise_count(self.bits[j] ^ self.bits[i]).sum(1, dtype=np.int64)
+        apart[~(self.known[j] & self.known[i])] = 0
+        near = apart <= self.n[i] + self.n[j] - 2 * need
+        return j[near], apart[near]
+
+    def pairs(self, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, row, share of elements that differ at least) of pairs that may be near; ``best``: the best one of each row not inside."""
+        one, two, share = [], [], []
+        for i in np.flatnonzero(~self.inside).tolist():
+            j, apart = self.partners(i, not best)
+            if len(j):
+                x = apart / (self.n[i] + self.n[j])
+                if best:
+                    k = np.argmin(x)
+                    j, x = j[k : k + 1], x[k : k + 1]
+                one.append(np.full(len(j), i))
+                two.append(j)
+                share.append(x)
+        return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in ((one, np.int64), (two, np.int64), (share, np.float64)))
+
+
+def meetings(lists: DataFrame, spread: DataFrame, parity: DataFrame, percent: int, best: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(node1, node2, apart), written, of nodes that may hold near sets of different components.
+
+    ``lists`` has s, node, n, e and at: the matchable elements of every node's prefix, and
+    their places among them, from 0.  ``spread`` has node, lo and hi: the least and greatest
+    component of the sets that a node stands for.  ``parity`` has node and bits, the
+    parities of its set, null for a node of several.  Nodes of an element's largest
+    component meet those of others only.  ``apart``: the share of both sets' elements that
+    differ at least.  ``best``: for each node outside the largest component only the
+    partner that differs least.
     """
     small = spread.count() <= BROADCAST_ROWS
+    spread = spread.select("node", F.xxhash64("lo").alias("lo"), F.xxhash64("hi").alias("hi"))
     located = lists.join(F.broadcast(spread) if small else spread, "node")
-    mixed = located.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("s")
+    mixed = located.groupBy("s").agg(F.min(F.least("lo", "hi")).alias("l"), F.max(F.greatest("lo", "hi")).alias("h"), F.count("*").alias("rows")).where("l <> h").select("s", "rows")
     mixed = materialise(mixed, "mixed")
     located = materialise(located.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "s"), "located")
     release(mixed)
     uniform = F.col("lo") == F.col("hi")
     major = located.where(uniform).groupBy("s", "lo").count().groupBy("s").agg(F.max_by("lo", F.struct("count", "lo")).alias("major"))
     placed = located.join(major, "s", "left").withColumn("inside", F.coalesce(uniform & (F.col("lo") == F.col("major")), F.lit(False)))
-    cols = ("node", "n", "e", "lo", "hi", "inside")
-    one, two = (placed.select("s", *[F.col(c).alias(f"{c}{i}") for c in cols]) for i in (1, 2))
-    same = (F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))
-    once = F.col("inside2") | (F.col("node1") < F.col("node2"))
-    fit = fits(F.col("n1"), F.col("e1"), F.col("n2"), F.col("e2"), percent)
-    meet = one.where(~F.col("inside1")).join(two, "s").where(once & ~same & fit)
-    a, b = (F.struct(F.col(f"node{i}").alias("g"), F.col(f"n{i}").alias("n"), F.col(f"e{i}").alias("e")) for i in (1, 2))
-    meet = meet.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).count()
-    # Common elements outside both prefixes lie in the rest of one of the sets.
-    rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("a.n", "b.n")])
-    most = F.least(F.col("count") + rest, F.col("a.e"), F.col("b.e"))
-    meet = meet.where(most * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
-    out = materialise(meet.select(F.col("a.g").alias("node1"), F.col("b.g").alias("node2"), "count"), "meet")
+    few = parity.count() <= BROADCAST_PARITIES
+    placed = placed.join(F.broadcast(parity) if few else parity, "node", "left")
+    # A block meets itself and every other one.
+    blocks = F.ceil(F.col("rows") / F.lit(block_rows)).cast("int")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("s", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "node", "n", "e", "at", "lo", "hi", "inside", "part", "bits")
+    key = ["s", "p", "q"]
+    node = lists.schema["node"].dataType.simpleString()
+
+    def run(batches):
+        left = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            if left is not None:
+                table = pa.concat_tables([left, table])
+            ids = np.stack([table[c].to_numpy() for c in key])
+            cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
+            yield from told(table, np.concatenate([[0], cuts]))
+            left = table.slice(cuts[-1] if len(cuts) else 0)  # block_rows, twice, at most
+        if left is not None:
+            yield from told(left, np.array([0, len(left)]))
+
+    def told(table, cuts):
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if z - a > 1:
+                block = _Block(table.slice(a, z - a), percent)
+                one, two, apart = block.pairs(best)
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([block.node.take(pa.array(one)), block.node.take(pa.array(two)), pa.array(apart)], names=["node1", "node2", "apart"])
+
+    dealt = placed.repartition(*key).sortWithinPartitions(*key)
+    met = dealt.mapInArrow(run, f"node1 {node}, node2 {node}, apart double")
+    if best:
+        met = met.groupBy("node1").agg(F.min(F.struct("apart", "node2")).alias("b")).select("node1", "b.node2", "b.apart")
+    else:
+        met = met.groupBy(F.least("node1", "node2").alias("node1"), F.greatest("node1", "node2").alias("node2")).agg(F.min("apart").alias("apart"))
+    out = materialise(met, "meet")
     release(located)
     return out
 

@@ -97,3 +97,47 @@ def test_op2_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in queries.documents(spark, SF).collect()]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in queries.op2_ngram_jaccard(spark, SF).collect()), key=str)
     assert got == brute(rows)
+
+
+def near_copies(n, seed=3):
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for at in r.sample(range(200), r.choice([3, 4, 4, 4])):
+            t[at] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def test_group_of_near_copies_that_just_do_not_link_costs_few_pairs(spark, docs, monkeypatch):
+    rows, seen, check = near_copies(150), [], jaccard.check
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return check(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "check", counted)
+    assert run(docs(rows)) == brute(rows)
+    assert sum(seen) < 8 * len(rows)  # of 11,175
+
+
+@pytest.mark.parametrize("best", [True, False])
+def test_blocks_of_a_common_element_meet_each_other(spark, best):
+    r = np.random.default_rng(1)
+    rows, bits = [], []
+    base = r.choice(1 << 20, 100, replace=False)
+    for node in range(60):
+        s = np.sort(np.where(r.random(100) < 0.08, r.integers(1 << 20, 1 << 21, 100), base)).astype(np.uint64)
+        rows += [(int(x), node, 100, 100, at) for at, x in enumerate(s[:21])]
+        bits.append((node, bytearray(setjoin.parities(s)) if node % 7 else None))
+    lists = spark.createDataFrame(rows, "s long, node long, n long, e long, at int")
+    spread = spark.createDataFrame([(i, i // 3 if i < 30 else i, i // 3 if i < 30 else i + i % 2) for i in range(60)], "node long, lo long, hi long")
+    parity = spark.createDataFrame(bits, "node long, bits binary")
+
+    def met(block_rows):
+        out = setjoin.meetings(lists, spread, parity, 80, best, block_rows).collect()
+        return {(x.node1, x.apart if best else x.node2) for x in out}
+
+    assert met(4) == met(4096) and len(met(4096)) > 20
