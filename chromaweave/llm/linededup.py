@@ -328,6 +328,11 @@ def near_components(rows: DataFrame, text: str, lines: DataFrame, n: int, percen
     buckets = posted.join(F.broadcast(shared) if shared.count() <= broadcast_rows else shared, "band").distinct()
     buckets = materialise(buckets, "linebuckets")
     release(shared)
+    # Near lines share most of their bands, and bands of the same lines are compared once.
+    marks = [F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"), F.count("*").alias("m")]
+    once = buckets.groupBy("band").agg(*marks).groupBy("x", "y", "m").agg(F.min("band").alias("band")).select("band")
+    every, buckets = buckets, materialise(buckets.join(once, "band", "left_semi"), "linebuckets")
+    release(every)
     need = materialise(buckets.select(F.col("key").alias("member")).distinct(), "needlines")
     texts = _texts(rows, text, need, n, broadcast_rows)
     release(need)

@@ -55,3 +55,17 @@ def test_long_lines_are_signed_by_all_shingles(spark, docs):
         x = word(r)[:5] * 60
         lines += [x, x + x[:5]]
     assert len(kept(lines, docs) ^ set(range(0, len(lines), 2))) <= 1
+
+
+def test_bands_of_the_same_lines_are_compared_once(spark, docs, monkeypatch):
+    seen, band_links = [], linededup._band_links
+
+    def spy(placed, *more):
+        seen.extend(r.key for r in placed.select("key").collect())
+        return band_links(placed, *more)
+
+    monkeypatch.setattr(linededup, "_band_links", spy)
+    r = random.Random(12)
+    x = " ".join(word(r) for _ in range(40))
+    assert kept([x, x[:-1] + "z"], docs) == {0}
+    assert len(seen) == 2
