@@ -7,7 +7,9 @@ summaries as there are ranges, never rows.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from itertools import accumulate
@@ -50,6 +52,35 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Tables:
+    """Written tables of one computation, in the checkpoint folder; those that nothing reads any more are deleted.
+
+    They are Parquet, of which a row takes a fraction of what it takes in a checkpoint.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """The rows as written: later jobs see the same rows."""
+        folder = f"{checkpoint_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        out = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders[folder] = out
+        return out
+
+    def only(self, *kept: DataFrame) -> None:
+        """Delete all tables but these, and let Spark drop the shuffles of what was written."""
+        for folder, df in list(self.folders.items()):
+            if not any(df is k for k in kept):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                del self.folders[folder]
+        del df, kept
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def parts_for(spark: SparkSession, rows: int) -> int:
     """Ranges for so many rows: as many as the session's shuffles have, fewer for small tables, more for large ones."""
     return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE)), -(-rows // MOST_ROWS))

@@ -17,8 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromaweave.operators.ranges import settled
+from chromaweave.operators.ranges import Tables, settled
 
+#: Runs that are solved by joins go together up to so many arcs, so that the tables of one group are on disk at a time.
+GROUP_ARCS = 20_000_000
+#: Tables of nodes that are sent to all tasks, up to so many rows; beyond, arcs are shuffled to them.
+BROADCAST_ROWS = 500_000
 #: Instances up to so many parent assignments are solved exactly.
 EXACT_LIMIT = 300_000
 
@@ -191,12 +195,33 @@ def solve_runs(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float,
     """
     if depth < 1:
         raise ValueError("depth must be at least 1")
-    # A row for each run.
-    large = settled(edges.groupBy("run").agg(F.sum(F.when(F.col("dir") == "U", 2).otherwise(1)).alias("_n")).where(F.col("_n") > few).select("run"))
-    if not large.limit(1).count():
+    spark = edges.sparkSession
+    sizes = settled(edges.groupBy("run").agg(F.sum(F.when(F.col("dir") == "U", 2).otherwise(1)).alias("_n")))  # a row for each run
+    large = sizes.where(F.col("_n") > few)
+    groups = _groups([(r["run"], r["_n"]) for r in large.orderBy("run").collect()])  # a row for each run that has more than ``few`` arcs
+    if not groups:
         return _solved_in_tasks(edges, prizes, roots, w, depth)
-    part = lambda how: [df.join(F.broadcast(large), "run", how) for df in (edges, prizes, roots)]
-    return _solved_in_tasks(*part("left_anti"), w, depth).unionByName(_solved_by_joins(*part("left_semi"), w, depth))
+    out = []
+    for runs in groups:
+        chosen = F.broadcast(spark.createDataFrame([(r,) for r in runs], edges.select("run").schema))
+        out.append(_solved_by_joins(*[df.join(chosen, "run", "left_semi") for df in (edges, prizes, roots)], w, depth))
+    # Also runs without edges, whose roots may be trees by themselves.
+    given = reduce(DataFrame.union, [df.select("run").distinct() for df in (prizes, roots, sizes.where(F.col("_n") <= few))])
+    if given.join(F.broadcast(large.select("run")), "run", "left_anti").limit(1).count():
+        out.append(_solved_in_tasks(*[df.join(F.broadcast(large.select("run")), "run", "left_anti") for df in (edges, prizes, roots)], w, depth))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _groups(sizes: list[tuple], most: int | None = None) -> list[list]:
+    """Runs in groups of at most so many arcs, one run at least."""
+    out, total = [], 0
+    for run, n in sizes:
+        if not out or total + n > (most or GROUP_ARCS):
+            out.append([])
+            total = 0
+        out[-1].append(run)
+        total += n
+    return out
 
 
 def _solved_in_tasks(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, depth: int) -> DataFrame:
@@ -222,78 +247,111 @@ KEY = ["run", "node"]
 MOVES = 20
 
 
-def _by_depth(tree: DataFrame, depth: int) -> list[DataFrame]:
+def _by_depth(tree: DataFrame, depth: int, keep=settled) -> list[DataFrame]:
     """The rows of (run, node, parent, ...) that hang on the dummy within the limit, by their depth; others are left out."""
-    levels = [settled(tree.where("parent = ''"))]
+    levels = [keep(tree.where("parent = ''"))]
     for _ in range(depth - 2):
         above = levels[-1].select("run", F.col("node").alias("parent"))
-        levels.append(settled(tree.join(above, ["run", "parent"], "left_semi").select(tree.columns)))
+        levels.append(keep(tree.join(above, ["run", "parent"], "left_semi").select(tree.columns)))
     return levels
 
 
-def _pruned(levels: list[DataFrame]) -> DataFrame:
+def _pruned(levels: list[DataFrame], keep=settled) -> DataFrame:
     """:func:`_prune` of (run, node, parent, cost, prize), level by level: what is kept, with its depth."""
     gains, below = [], None
     for level in reversed(levels):
         net = F.col("prize")
         if below is not None:
             level, net = level.join(below, KEY, "left"), net + F.coalesce("_below", F.lit(0.0))
-        held = settled(level.withColumn("_gain", net - F.col("cost")).where("_gain > 1e-12").select("run", "node", "parent", "cost", "prize", "_gain"))
+        held = keep(level.withColumn("_gain", net - F.col("cost")).where("_gain > 1e-12").select("run", "node", "parent", "cost", "prize", "_gain"))
         gains.append(held)
         below = held.groupBy("run", F.col("parent").alias("node")).agg(F.sum("_gain").alias("_below"))
     kept = []
     for i, held in enumerate(reversed(gains)):
         if kept:
             held = held.join(kept[-1].select("run", F.col("node").alias("parent")), ["run", "parent"], "left_semi")
-        kept.append(settled(held.select("run", "node", "parent", "cost", "prize", F.lit(i + 1).alias("depth"))))
+        kept.append(keep(held.select("run", "node", "parent", "cost", "prize", F.lit(i + 1).alias("depth"))))
     return reduce(DataFrame.unionByName, kept)
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """To be sent to all tasks if it has few rows, of which ``rows`` is the number or a bound."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _solved_by_joins(edges: DataFrame, prizes: DataFrame, roots: DataFrame, w: float, depth: int, rounds: int = 3) -> DataFrame:
     """The heuristic of all runs together: layers, pruning and moves as joins by node; no task holds a run.
 
     Nodes of a layer are reached and moved at once, not one after the other, so that a
-    tie or the order of two moves may fall otherwise than in :func:`heuristic`.
+    tie or the order of two moves may fall otherwise than in :func:`heuristic`.  Arcs are
+    written once, those into one node side by side: what is found for a node is then
+    combined before it is shuffled, and arcs are shuffled only to more nodes than
+    :data:`BROADCAST_ROWS`.  A table is deleted as soon as nothing reads it.
     """
-    ways = edges.select("run", F.col("src").alias("p"), F.col("dst").alias("node"), (1 - F.col("weight")).alias("cost"))
-    back = edges.where("dir = 'U'").select("run", F.col("dst").alias("p"), F.col("src").alias("node"), (1 - F.col("weight")).alias("cost"))
-    arcs = settled(ways.unionByName(back).groupBy("run", "p", "node").agg(F.min("cost").alias("cost")))
-    prizes = settled(prizes.groupBy(*KEY).agg(F.max("prize_total").alias("prize")))
+    keep = Tables(edges.sparkSession)
+    prizes = keep(prizes.groupBy(*KEY).agg(F.max("prize_total").alias("prize")))
+    n_prizes = prizes.count()
     tops = roots.select(*KEY).distinct().select(*KEY, F.lit("").alias("parent"), F.lit(float(w)).alias("cost")).join(prizes, KEY, "left")
-    tops = settled(tops.withColumn("prize", F.coalesce("prize", F.lit(0.0))) if depth > 1 else tops.where("false"))
-    priced = settled(arcs.join(prizes, KEY, "left").select("run", "p", "node", "cost", F.coalesce("prize", F.lit(0.0)).alias("prize")))
+    tops = keep(tops.withColumn("prize", F.coalesce("prize", F.lit(0.0))) if depth > 1 else tops.where("false"))
+    n_tops = tops.count()
+    given = keep(edges.select("run", "src", "dst", "dir", (1 - F.col("weight")).alias("cost")))
+    keep.only(prizes, tops, given)
+    ends = lambda p, node: F.struct(F.col(p).alias("p"), F.col(node).alias("node"))
+    ways = F.when(F.col("dir") == "U", F.array(ends("src", "dst"), ends("dst", "src"))).otherwise(F.array(ends("src", "dst")))
+    # The rows of a node stay together in the aggregate by arc, and are written side by side.
+    arcs = given.select("run", F.explode(ways).alias("_w"), "cost").select("run", "_w.p", "_w.node", "cost").repartition(*KEY)
+    arcs = arcs.groupBy("run", "p", "node").agg(F.min("cost").alias("cost"))
+    priced = arcs.join(_few(prizes, n_prizes), KEY, "left").select("run", "p", "node", "cost", F.coalesce("prize", F.lit(0.0)).alias("prize"))
+    priced = keep(priced.sortWithinPartitions(*KEY))
+    keep.only(prizes, tops, priced)
     best = None
     for turn in range(rounds):
         discount = F.greatest(F.lit(0.0), F.col("prize")) * (turn / rounds)
         step = F.greatest(F.lit(0.0), F.col("cost") - discount) + 1e-9
-        front = settled(tops.select("*", step.alias("dist")))
-        known = front
+        first = front = keep(tops.select("*", step.alias("dist")))
+        known, n_front = front, n_tops
         for _ in range(depth - 2):
-            ahead = front.select("run", F.col("node").alias("p"), F.col("dist").alias("_d")).join(priced, ["run", "p"])
+            useful = priced
+            if n_front > BROADCAST_ROWS >= n_tops and n_front:
+                # Arcs that cannot bring a root nearer than it was at first, even from the nearest node, are not shuffled.
+                nearest = front.agg(F.min("dist")).first()[0]
+                useful = useful.join(F.broadcast(first.select(*KEY, F.col("dist").alias("_top"))), KEY, "left")
+                useful = useful.where(F.col("_top").isNull() | (F.lit(nearest) + step < F.col("_top") - 1e-12)).drop("_top")
+            ahead = useful.join(_few(front.select("run", F.col("node").alias("p"), F.col("dist").alias("_d")), n_front), ["run", "p"])
             # The first of the nearest parents, and a row for each node.
             near = ahead.groupBy(*KEY).agg(F.min(F.struct((F.col("_d") + step).alias("dist"), F.col("p").alias("parent"), "cost")).alias("b"), F.first("prize").alias("prize"))
             near = near.select(*KEY, "b.parent", "b.cost", "prize", "b.dist")
-            front = settled(near.join(known.select(*KEY, F.col("dist").alias("_had")), KEY, "left").where("_had IS NULL OR dist < _had - 1e-12").drop("_had"))
-            known = settled(known.join(front.select(*KEY), KEY, "left_anti").unionByName(front))
-        found = _pruned(_by_depth(known.drop("dist"), depth))
-        best = found if best is None else _better(best, found)
-    now = settled(best)
+            front = keep(near.join(known.select(*KEY, F.col("dist").alias("_had")), KEY, "left").where("_had IS NULL OR dist < _had - 1e-12").drop("_had"))
+            n_front = front.count()
+            known = keep(known.join(front.select(*KEY), KEY, "left_anti").unionByName(front))
+        found = _pruned(_by_depth(known.drop("dist"), depth, keep), keep)
+        best = keep(found if best is None else _better(best, found))
+        del first, front, known, found, useful, ahead, near
+        keep.only(prizes, tops, priced, best)
+    now, n_now = best, best.count()
     # A node moves only for less than what it costs now or would cost left out: its prize, or its first edge.
     bound = now.select(*KEY, F.col("cost").alias("_held"))
-    useful = priced.unionByName(tops.select("run", F.col("parent").alias("p"), "node", "cost", "prize")).join(bound, KEY, "left")
-    useful = settled(useful.where("cost < greatest(prize, _held) - 1e-12").drop("_held"))
+    useful = priced.unionByName(tops.select("run", F.col("parent").alias("p"), "node", "cost", "prize")).join(_few(bound, n_now), KEY, "left")
+    useful = keep(useful.where("cost < greatest(prize, _held) - 1e-12").drop("_held"))
+    del best, bound
+    keep.only(prizes, useful, now)
     for _ in range(MOVES):
         above = now.select("run", F.col("node").alias("p"), F.col("depth").alias("_at"))
         above = above.unionByName(now.select("run").distinct().select("run", F.lit("").alias("p"), F.lit(0).alias("_at")))
         held = now.select(*KEY, F.col("cost").alias("_held"), F.col("depth").alias("_depth"))
-        can = useful.join(above.where(F.col("_at") < depth - 1), ["run", "p"]).join(held, KEY, "left")
+        can = useful.join(_few(above.where(F.col("_at") < depth - 1), n_now), ["run", "p"]).join(_few(held, n_now), KEY, "left")
         # A parent's depth is less than the node's, before all moves: so they make no circle, and nothing comes to lie deeper.
         can = can.where((F.col("cost") < F.coalesce("_held", F.col("prize")) - 1e-12) & (F.col("_at") < F.coalesce(F.col("_depth"), F.lit(depth))))
-        moved = settled(can.groupBy(*KEY).agg(F.min(F.struct("cost", F.col("p").alias("parent"))).alias("b"), F.first("prize").alias("prize")).select(*KEY, "b.parent", "b.cost", "prize"))
+        moved = keep(can.groupBy(*KEY).agg(F.min(F.struct("cost", F.col("p").alias("parent"))).alias("b"), F.first("prize").alias("prize")).select(*KEY, "b.parent", "b.cost", "prize"))
         if not moved.limit(1).count():
             break
-        tree = settled(now.select(*KEY, "parent", "cost", "prize").join(moved.select(*KEY), KEY, "left_anti").unionByName(moved))
-        now = settled(_pruned(_by_depth(tree, depth)))
+        tree = keep(now.select(*KEY, "parent", "cost", "prize").join(moved.select(*KEY), KEY, "left_anti").unionByName(moved))
+        now = keep(_pruned(_by_depth(tree, depth, keep), keep))
+        n_now = now.count()
+        del above, held, can, moved, tree
+        keep.only(prizes, useful, now)
+    del useful
+    keep.only(prizes, now)
     return _reported(now, prizes)
 
 
@@ -302,7 +360,7 @@ def _better(a: DataFrame, b: DataFrame) -> DataFrame:
     gain = lambda df, name: df.groupBy("run").agg(F.sum(F.col("prize") - F.col("cost")).alias(name))
     chosen = gain(a, "_a").join(gain(b, "_b"), "run", "full_outer").select("run", (F.coalesce("_b", F.lit(0.0)) > F.coalesce("_a", F.lit(0.0)) + 1e-12).alias("_second"))
     chosen = F.broadcast(settled(chosen))  # a row for each run
-    return settled(a.join(chosen.where("NOT _second"), "run", "left_semi").unionByName(b.join(chosen.where("_second"), "run", "left_semi")))
+    return a.join(chosen.where("NOT _second"), "run", "left_semi").unionByName(b.join(chosen.where("_second"), "run", "left_semi"))
 
 
 def _reported(forest: DataFrame, prizes: DataFrame) -> DataFrame:
