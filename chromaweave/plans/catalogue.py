@@ -714,7 +714,8 @@ def cross_validation(spark, sf_dir):
     fold = robust.folds(prizes(spark, sf_dir), 5).select("node", "prize", "fold")
     runs = spark.range(5).select(F.col("id").cast("int").alias("run"))
     left = fold.join(F.broadcast(runs), F.col("fold") != F.col("run")).select("run", "node", (F.col("prize") / 1000).alias("prize_total"))
-    e = robust.runs_of(solver_edges(spark, sf_dir), 5).select("run", "src", "dst", "weight", "dir")
+    # Written once; the runs, which may be solved in groups, all read it.
+    e = robust.runs_of(ranges.Tables(spark)(solver_edges(spark, sf_dir)), 5).select("run", "src", "dst", "weight", "dir")
     solved = steiner.solve_runs(e, left, robust.runs_of(fold.select("node"), 5).select("run", "node"), 1.0, 4)
     return robust.fold_summary(fold.select("fold", "node"), solved.select(F.col("run").alias("fold"), "node"), fold)
 
